@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wattloom.llm.op5_secrets import op5_secret_scan
+from wattloom.llm.op8_language import op8_language_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
