@@ -41,7 +41,7 @@ def training_sample(docs: DataFrame, may_learn: Column) -> list[tuple[str, str]]
     if not share:
         return []
     # a share of each language by hash first, so that only the sample is sorted
-    edge = F.create_map(*[F.lit(x) for lang, s in sorted(share.items()) for x in (lang, int((2 * s - 1) * (2**63 - 1)))])
+    edge = F.create_map(*[F.lit(x) for lang, s in sorted(share.items()) for x in (lang, min(int((2 * s - 1) * 2**63), 2**63 - 1))])
     few = known.where(F.col("h") <= edge[F.col("lang")]).select("lang", "h", F.substring("text", 1, DOC_CHARS).alias("text"))
     rows = few.groupBy("lang").applyInPandas(_join_sample, "lang string, text string").collect()
     return sorted((r["lang"], r["text"]) for r in rows)
