@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from wattloom.llm.op5_secrets import op5_secret_scan
 from wattloom.llm.op8_language import op8_language_id
 from wattloom.llm.op10_mix import op10_source_mix
+from wattloom.llm.op9_pack import op9_best_fit_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op8_language_id": op8_language_id,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_source_mix": op10_source_mix,
 }
 
