@@ -90,9 +90,14 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_spans(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each run of bytes other than 0x20 and 0x09-0x0D, and the first word of each row."""
-    inside = ~_SPACE[raw]
+#: Bytes of words of letters and digits only; all of a character beyond ASCII counts as such.
+ALPHANUMERIC = np.zeros(256, bool)
+ALPHANUMERIC[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def word_spans(raw: np.ndarray, bounds: np.ndarray, inside: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each run of ``inside`` bytes (not 0x20 or 0x09-0x0D), and the first word of each row."""
+    inside = inside[raw]
     before = np.zeros(len(raw), bool)
     before[1:] = inside[:-1]
     edges = bounds[:-1][bounds[:-1] < len(raw)]
@@ -141,3 +146,14 @@ def hash_word(word: str) -> int:
     """word_hashes of one word, as the signed long that Spark holds."""
     raw = np.frombuffer(word.encode(), np.uint8)
     return int(word_hashes(raw, np.array([0]), np.array([len(raw)])).view(np.int64)[0])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, most: int) -> DataFrame:
+    """doc_id, text and label of at most ``most`` labelled rows, those of least hash among the rows of ``labels``.
+
+    Null labels and ids are left out; an id that is labelled twice counts with its greatest label.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & may_learn)
+    known = known.groupBy("doc_id").agg(F.max(label).alias("label"))
+    chosen = known.orderBy(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string")), "doc_id").limit(most)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # ``most`` rows bound the broadcast
