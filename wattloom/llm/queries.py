@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wattloom.llm.op1_minhash import op1_minhash_dedup
 from wattloom.llm.op3_quality import op3_quality_rules
 from wattloom.llm.op5_secrets import op5_secret_scan
+from wattloom.llm.op7_toxicity import op7_toxicity
 from wattloom.llm.op8_language import op8_language_id
 from wattloom.llm.op10_mix import op10_source_mix
 from wattloom.llm.op9_pack import op9_best_fit_packing
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op5_secret_scan": op5_secret_scan,
+    "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_source_mix": op10_source_mix,
