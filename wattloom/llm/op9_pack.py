@@ -16,6 +16,7 @@ an empty result. Whole texts are tokenised, whatever their length.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -35,7 +36,7 @@ from wattloom.llm.common import byte_buffer, materialise, read, row_slices
 CAPACITY, END_ID = 2048, 0
 SEARCH_NODES = 20_000
 #: Distinct words whose ids a task remembers at once.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 # --- ids -----------------------------------------------------------------------------------------------------------
@@ -51,9 +52,9 @@ class WordIds:
     """Ids of texts with a tokenizer whose pre-tokens never span white space, looked up word by word.
 
     The ids of a text are those of its white-space separated words, as the tokenizer splits at white space and drops
-    it. A word is encoded once while it is remembered. Words of plain Latin letters with at most one mark after them are
-    the tokens of the lower-case letters, then that mark's; letters are encoded many at a time, and a word's last id
-    is the one that closes a word.
+    it. A word is encoded once while it is remembered. Words of plain Latin letters with a run of ASCII marks after them
+    are the tokens of the lower-case letters, then those of the run; letters are encoded many at a time, and a word's
+    last id is the one that closes a word. Texts in Latin-1 are lower-cased whole, as the tokenizer would.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,13 +62,17 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)").fullmatch
+        # plain lower-case letters need no normalising and no splitting but at white space
+        bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None}
+        bare["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
+        self.plain = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)").fullmatch  # a run without apostrophes is one pre-token
         self.odd_space = re.compile("[\x1c-\x1f]").search  # str.split takes these for white space, the tokenizer doesn't
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.closes[i] = token.endswith("</w>")
-        self.marks = {m: self._encode(m) for m in ".,;:!?"} | {"": b""}
+        self.marks = {"": b""}
         self.words: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}
 
@@ -78,13 +83,13 @@ class WordIds:
         plain, other = [], []
         for w in words:
             if m := self.plain(w):
-                plain.append((w, m[1].lower(), m[2]))
+                plain.append((w, m[1], m[2]))
             else:
                 other.append(w)
         if len(self.letters) > REMEMBERED:
             self.letters.clear()
         if new := list({stem for _, stem, _ in plain if stem not in self.letters}):
-            joined = self._encode(" ".join(new))
+            joined = np.array(self.bare.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4").tobytes()
             ends = (np.flatnonzero(self.closes[np.frombuffer(joined, "<u4")]) * 4 + 4).tolist()
             if len(ends) != len(new):
                 raise ValueError("the tokenizer doesn't close each word with one token")
@@ -92,6 +97,10 @@ class WordIds:
             for stem, end in zip(new, ends, strict=True):
                 self.letters[stem] = joined[at:end]
                 at = end
+        if len(self.marks) > REMEMBERED:
+            self.marks = {"": b""}
+        for mark in {mark for _, _, mark in plain} - self.marks.keys():
+            self.marks[mark] = self._encode(mark)
         for w, stem, mark in plain:
             self.words[w] = self.letters[stem] + self.marks[mark]
         for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
@@ -101,10 +110,18 @@ class WordIds:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        split = [t.split() for t in texts]
-        self._learn(list({w for ws in split for w in ws if w not in self.words}))
-        known = self.words
-        return [self._encode(t) if self.odd_space(t) else b"".join([known[w] for w in ws]) for t, ws in zip(texts, split, strict=True)]
+        split = [_lowered(t).split() for t in texts]
+        self._learn([w for w in set().union(*split) if w not in self.words])
+        known = self.words.__getitem__
+        return [self._encode(t) if self.odd_space(t) else b"".join(map(known, ws)) for t, ws in zip(texts, split, strict=True)]
+
+
+def _lowered(text: str) -> str:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()  # special tokens are told by their case
 
 
 @cache
