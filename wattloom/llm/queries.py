@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wattloom.llm.op1_minhash import op1_minhash_dedup
+from wattloom.llm.op2_embedding import op2_embedding_dedup
 from wattloom.llm.op3_quality import op3_quality_rules
 from wattloom.llm.op5_secrets import op5_secret_scan
 from wattloom.llm.op7_toxicity import op7_toxicity
@@ -16,6 +17,7 @@ from wattloom.llm.op9_pack import op9_best_fit_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op5_secret_scan": op5_secret_scan,
     "op7_toxicity": op7_toxicity,
