@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wattloom.llm.op1_minhash import op1_minhash_dedup
 from wattloom.llm.op2_embedding import op2_embedding_dedup
 from wattloom.llm.op3_quality import op3_quality_rules
+from wattloom.llm.op4_ann import op4_ann_search
 from wattloom.llm.op5_secrets import op5_secret_scan
 from wattloom.llm.op7_toxicity import op7_toxicity
 from wattloom.llm.op8_language import op8_language_id
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_ann_search": op4_ann_search,
     "op5_secret_scan": op5_secret_scan,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
