@@ -13,8 +13,10 @@ points for each component however long the text; levels inside a range are halve
 Joins. Documents with equal word sequences are one text. Texts that share a band (ROWS components, of BANDS; a pair at
 0.8 shares none with probability 5e-5) are compared in two steps. First each text of a bucket with the least text of
 it, by exact multiset overlap. Then, where a bucket still holds several classes, texts of different classes: those of
-one class need no further link. Lengths that rule 0.8 out are not compared. No bucket is capped, and no pairs are made
-inside a class.
+one class need no further link. Lengths that rule 0.8 out are not compared. Of such a bucket, up to PAIRED texts are
+paired; a larger one is dealt to blocks of about BLOCK texts, each two blocks meet in a task of their own, which gets
+all overlaps by one matrix product and returns at most one link a text. So no bucket is capped, none is held by one
+task, and no row is made for each pair of a group.
 
 Results: documents without words (null, empty or white space) and rows without an id are classes of their own; rows
 with the same id are one document; equal texts are one class, whose id is the least doc_id. An empty table gives an
@@ -35,6 +37,7 @@ from wattloom.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
+PAIRED, BLOCK = 16, 256
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -163,6 +166,51 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def linked_in_tile(ids: np.ndarray, classes: np.ndarray, sizes: np.ndarray, items: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what similar texts of different classes join: each text and the least one it gets to."""
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    order = np.argsort(items, kind="stable")
+    new = np.diff(items[order], prepend=items[order[:1]] - 1 if len(items) else 0) != 0
+    code = np.cumsum(new) - 1
+    often = np.bincount(code) > 1  # an item of one text overlaps with nothing
+    place = np.cumsum(often) - 1
+    use = often[code]
+    has = np.zeros((len(ids), int(often.sum())), np.float32)
+    has[owner[order][use], place[code[use]]] = 1
+    shared = has @ has.T
+    linked = shared >= similarity * (sizes[:, None] + sizes[None, :] - shared)
+    linked &= classes[:, None] != classes[None, :]
+    label = np.arange(len(ids))
+    while True:
+        least = np.minimum(label, np.where(linked, label[None, :], len(ids)).min(axis=1))
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    at = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[label[at]], ids[at]
+
+
+def linked_in_large(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the classes of each band of ``rest``: band, doc_id, class and k, the band's texts."""
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    dealt = rest.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id", "band"), F.col("blocks")).cast("int"))
+    tiles = dealt.select("band", "doc_id", "class", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tiles = tiles.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "class")
+    kind = dict(rest.dtypes)["doc_id"]
+
+    def link(tile: pa.Table) -> pa.Table:
+        tile = tile.combine_chunks()
+        lists = tile.column("items").combine_chunks()
+        offsets = np.asarray(lists.offsets)
+        items = np.asarray(lists.values)[offsets[0] : offsets[-1]]
+        classes = np.unique(np.asarray(tile.column("class")), return_inverse=True)[1]
+        a, b = linked_in_tile(np.asarray(tile.column("doc_id")), classes, np.diff(offsets), items, similarity)
+        return pa.table({"a": a, "b": b})
+
+    return tiles.join(sets, "doc_id").groupBy("band", "i", "j").applyInArrow(link, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
     """doc_id and class_id of each row; class_id is the least doc_id of the class."""
     signed = materialise(signatures(docs, bands, rows, width))
@@ -180,15 +228,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     # buckets that hold more than one class yet
     classes = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
     classed = bucket.join(classes, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
-    open_bands = classed.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("hi > lo").select("band")
-    rest = materialise(classed.join(open_bands, "band", "left_semi").select("band", "doc_id", "n", "class", "head"))
-    x, y = rest.alias("x"), rest.alias("y")
+    open_bands = classed.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("k")).where("hi > lo").select("band", "k")
+    rest = materialise(classed.join(open_bands, "band").select("band", "doc_id", "n", "class", "head", "k"))
+    x, y = rest.where(F.col("k") <= PAIRED).alias("x"), rest.where(F.col("k") <= PAIRED).alias("y")
     near = (F.col("x.n") >= similarity * F.col("y.n")) & (F.col("y.n") >= similarity * F.col("x.n"))
     new = (F.col("x.doc_id") != F.col("x.head")) & (F.col("y.doc_id") != F.col("y.head"))  # compared before
     cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.class") < F.col("y.class")) & near & new)
     more = verified(cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), sets, similarity)
+    large = linked_in_large(rest.where(F.col("k") > PAIRED), sets, similarity)
 
-    found = connected_components(links.unionByName(more)).select(F.col("node").alias("rep"), F.col("component").alias("class"))
+    found = connected_components(links.unionByName(more).unionByName(large)).select(F.col("node").alias("rep"), F.col("component").alias("class"))
     by_text = texts.select("whole", "n", F.col("doc_id").alias("rep")).join(found, "rep", "left")
     by_text = by_text.select("whole", "n", F.coalesce("class", "rep").alias("class"))
     out = signed.select("doc_id", "whole", "n").join(by_text, ["whole", "n"], "left")
