@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples.
 
-Labelled texts of a bounded sample become TF-IDF vectors over the terms that bear on the label (a likelihood-ratio test
+Labelled texts of a bounded sample become TF-IDF vectors over the terms that tell toxic texts (a likelihood-ratio test
 against chance, on texts that are not copies of each other). The examples' inverted index is cut in blocks of
 consecutive examples, each with a term's largest weight in it. A query adds up these maxima, takes blocks in order of
 that bound, and stops when the next bound is below its K-th best cosine, so the K nearest are exact.
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from wattloom.llm.common import ALPHANUMERIC, crc_mod, labelled_sample, read, slices_of, word_hashes, word_spans
 
-EXAMPLES, TERMS, LEAST_TEXTS, LEAST_EVIDENCE = 24_000, 2_000, 5, 20.0
+EXAMPLES, TERMS = 24_000, 512
+#: A term bears on the label if so many texts have it, with so large a statistic, and toxic texts so much oftener.
+LEAST_TEXTS, LEAST_EVIDENCE, LEAST_LIFT = 5, 20.0, 3.0
 K, BLOCK, EVIDENCE = 15, 128, 3
 
 
@@ -51,7 +53,7 @@ def term_counts(sample: DataFrame) -> DataFrame:
 
 
 def telling_terms(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
-    """The at most TERMS terms whose share of texts differs most between labels; df and the test's statistic."""
+    """The at most TERMS terms that tell toxic texts best; df and the test's statistic."""
     by_term = counts.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).where(F.col("a") + F.col("b") >= LEAST_TEXTS)
     total = n_toxic + n_clean
 
@@ -62,7 +64,8 @@ def telling_terms(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     with_term, without = a + b, total - a - b
     g = 2 * (part(a, n_toxic, with_term) + part(b, n_clean, with_term) + part(n_toxic - a, n_toxic, without) + part(n_clean - b, n_clean, without))
-    return by_term.select("term", with_term.alias("df"), g.alias("g")).where(F.col("g") >= LEAST_EVIDENCE).orderBy(F.desc("g"), "term").limit(TERMS)
+    lift = a * n_clean >= LEAST_LIFT * n_toxic * b
+    return by_term.where(lift).select("term", with_term.alias("df"), g.alias("g")).where(F.col("g") >= LEAST_EVIDENCE).orderBy(F.desc("g"), "term").limit(TERMS)
 
 
 class BlockMaxIndex:
