@@ -11,6 +11,7 @@ from wattloom.llm.op2_embedding import op2_embedding_dedup
 from wattloom.llm.op3_quality import op3_quality_rules
 from wattloom.llm.op4_ann import op4_ann_search
 from wattloom.llm.op5_secrets import op5_secret_scan
+from wattloom.llm.op6_pitman_yor import op6_lm_score
 from wattloom.llm.op7_toxicity import op7_toxicity
 from wattloom.llm.op8_language import op8_language_id
 from wattloom.llm.op10_mix import op10_source_mix
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_ann_search": op4_ann_search,
     "op5_secret_scan": op5_secret_scan,
+    "op6_lm_score": op6_lm_score,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
