@@ -200,7 +200,7 @@ def seeded_schedule(trips: pd.DataFrame, start: date, end: date, random: np.rand
 def stream_schedules(trips: DataFrame, start: date, end: date, seed: int = 42) -> DataFrame:
     """As ``schedules``, drawn from numpy's streams: one a vehicle, seeded by ``seed`` and the vehicle."""
 
-    def draw(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         bldg, vehicle = key
         rows = rows.sort_values(["is_weekday", "trip"])
         stream = np.random.RandomState((seed + int(pd.util.hash_array(np.array([f"{bldg}:{vehicle}"], dtype=object))[0])) % 2**32)
