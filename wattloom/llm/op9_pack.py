@@ -35,8 +35,8 @@ from wattloom.llm.common import byte_buffer, materialise, read, row_slices
 
 CAPACITY, END_ID = 2048, 0
 SEARCH_NODES = 20_000
-#: Distinct words whose ids a task remembers at once.
-REMEMBERED = 800_000
+#: Distinct words whose ids a task remembers at once; beyond it goes on with those it met again.
+REMEMBERED = 350_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 # --- ids -----------------------------------------------------------------------------------------------------------
@@ -60,68 +60,76 @@ class WordIds:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        # plain lower-case letters need no normalising and no splitting but at white space
-        bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None}
-        bare["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
-        self.bare = Tokenizer.from_str(json.dumps(bare))
-        self.plain = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)").fullmatch  # a run without apostrophes is one pre-token
+        self.whole = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.bare = None, Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.plain = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@[-`{-~]+)").fullmatch  # a run without apostrophes is one pre-token
         self.odd_space = re.compile("[\x1c-\x1f]").search  # str.split takes these for white space, the tokenizer doesn't
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.closes[i] = token.endswith("</w>")
-        self.marks = {"": b""}
+        self.marks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
+        self.again: set[str] = set()
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        plain, other = [], []
-        for w in words:
-            if m := self.plain(w):
-                plain.append((w, m[1], m[2]))
+    def _learn(self, words: set[str], lowered: bool) -> None:
+        """lowered: the words are of texts in Latin-1, in lower case."""
+        stems = dict.fromkeys(w for w in words if w.isalpha()) if lowered else {}
+        marked, other = [], []
+        for w in words - stems.keys():
+            if lowered and (m := self.plain(w)):
+                marked.append((w, m[1], m[2]))
             else:
                 other.append(w)
-        if len(self.letters) > REMEMBERED:
-            self.letters.clear()
-        if new := list({stem for _, stem, _ in plain if stem not in self.letters}):
-            joined = np.array(self.bare.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        stems.update((stem, None) for _, stem, _ in marked if stem not in self.words)
+        if stems:
+            # plain lower-case letters need no normalising and no splitting but at white space
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.bare
+            joined = np.array(self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, "<u4").tobytes()
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.whole
             ends = (np.flatnonzero(self.closes[np.frombuffer(joined, "<u4")]) * 4 + 4).tolist()
-            if len(ends) != len(new):
+            if len(ends) != len(stems):
                 raise ValueError("the tokenizer doesn't close each word with one token")
-            at = 0
-            for stem, end in zip(new, ends, strict=True):
-                self.letters[stem] = joined[at:end]
-                at = end
+            self.words.update(zip(stems, [joined[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
         if len(self.marks) > REMEMBERED:
-            self.marks = {"": b""}
-        for mark in {mark for _, _, mark in plain} - self.marks.keys():
+            self.marks = {}
+        for mark in {mark for _, _, mark in marked} - self.marks.keys():
             self.marks[mark] = self._encode(mark)
-        for w, stem, mark in plain:
-            self.words[w] = self.letters[stem] + self.marks[mark]
+        known, marks = self.words, self.marks
+        self.words.update([(w, known[stem] + marks[mark]) for w, stem, mark in marked])
         for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self.words[w] = np.array(e.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         if len(self.words) > REMEMBERED:
-            self.words.clear()
-        split = [_lowered(t).split() for t in texts]
-        self._learn([w for w in set().union(*split) if w not in self.words])
-        known = self.words.__getitem__
-        return [self._encode(t) if self.odd_space(t) else b"".join(map(known, ws)) for t, ws in zip(texts, split, strict=True)]
-
-
-def _lowered(text: str) -> str:
+            kept = self.again if 2 * len(self.again) < REMEMBERED else ()
+            self.words = {w: self.words[w] for w in kept}
+            self.again = set()
+        lower = [_lowered(t) for t in texts]
+        split = [(t if low is None else low).split() for t, low in zip(texts, lower, strict=True)]
+        for lowered in (True, False):
+            met = set().union(*[ws for ws, low in zip(split, lower, strict=True) if (low is not None) == lowered])
+            known = met & self.words.keys()
+            self.again |= known
+            self._learn(met - known, lowered)
+        ids_of = self.words.__getitem__
+        return [self._encode(t) if self.odd_space(t) else b"".join(map(ids_of, ws)) for t, ws in zip(texts, split, strict=True)]
+
+
+def _lowered(text: str) -> str | None:
+    """Lower case of a text in Latin-1; None for others and for texts with special tokens, which are told by their case."""
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
-        return text
-    return text if "<|" in text else text.lower()  # special tokens are told by their case
+        return None
+    return None if "<|" in text else text.lower()
 
 
 @cache
