@@ -195,20 +195,28 @@ def determinise(rules: tuple[Rule, ...], anywhere: bool, backwards: bool = False
     return Automaton(rows, masks, dead)
 
 
+@cache
+def combined(rules: tuple[Rule, ...] = RULES) -> tuple[np.ndarray, list[int]]:
+    """The combined automaton's transition array (states, 256), and the rules that end in each state as a bit mask."""
+    machine = determinise(rules, anywhere=True)
+    return np.array(machine.next, np.uint16 if len(machine.next) < 1 << 16 else np.uint32), machine.accepts
+
+
 class Scanner:
     """The combined automaton of ``rules`` with the two small ones of each rule."""
 
-    def __init__(self, rules: tuple[Rule, ...] = RULES) -> None:
+    def __init__(self, rules: tuple[Rule, ...] = RULES, table: tuple[np.ndarray, list[int]] | None = None) -> None:
+        """table: ``combined(rules)``, if it is known already."""
         self.rules = rules
-        self.all = determinise(rules, anywhere=True)
+        moves, masks = table or combined(rules)
         self.forward = [determinise((r,), anywhere=False) for r in rules]
         self.head = [r.head and determinise((Rule("", r.head),), anywhere=False) for r in rules]
         self.back = [determinise((r,), anywhere=False, backwards=True) for r in rules]
         # a state is its own row of 256 rows; item 256 holds the mask of rules that end there
-        linked: list[list] = [[None] * 257 for _ in self.all.next]
-        for k, row in enumerate(self.all.next):
-            linked[k][:256] = [linked[t] for t in row]
-            linked[k][256] = self.all.accepts[k]
+        linked: list[list] = [[None] * 257 for _ in masks]
+        for row, there, mask in zip(linked, moves, masks, strict=True):
+            row[:256] = [linked[t] for t in there.tolist()]
+            row[256] = mask
         self.start = linked[0]
 
     @staticmethod
@@ -261,9 +269,14 @@ def _code_points(data: bytes, start: int, end: int) -> int:
     return len(data[start:end].decode("utf-8", "replace"))
 
 
-@cache
-def scanner() -> Scanner:
-    return Scanner()
+_scanners: list[Scanner] = []
+
+
+def scanner(table: tuple[np.ndarray, list[int]] | None = None) -> Scanner:
+    """This process's scanner, made once; tasks are sent the transition array."""
+    if not _scanners:
+        _scanners.append(Scanner(table=table))
+    return _scanners[0]
 
 
 # --- Spark ---------------------------------------------------------------------------------------------------------
@@ -275,10 +288,11 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     schema += (", " if schema else "") + "secrets array<struct<kind:string,start:bigint,stop:bigint>>"
+    table = docs.sparkSession.sparkContext.broadcast(combined())
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = scanner().secrets
+        find = scanner(table.value).secrets
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             rows = [
@@ -293,9 +307,10 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with each secret in ``text`` replaced by its kind in brackets; clean rows stay as they are."""
     place = docs.columns.index(text)
+    table = docs.sparkSession.sparkContext.broadcast(combined())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = scanner().secrets
+        find = scanner(table.value).secrets
         for batch in batches:
             values = batch.column(place)
             out = values.to_pylist()
