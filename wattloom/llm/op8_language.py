@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,15 +42,12 @@ def training_sample(docs: DataFrame, may_learn: Column) -> list[tuple[str, str]]
     # a share of each language by hash first, so that only the sample is sorted
     edge = F.create_map(*[F.lit(x) for lang, s in sorted(share.items()) for x in (lang, min(int((2 * s - 1) * 2**63), 2**63 - 1))])
     few = known.where(F.col("h") <= edge[F.col("lang")]).select("lang", "h", F.substring("text", 1, DOC_CHARS).alias("text"))
-    rows = few.groupBy("lang").applyInPandas(_join_sample, "lang string, text string").collect()
+    texts = F.array_sort(F.collect_list(F.struct("h", "text")))  # of a bounded number of rows
+    joined = few.groupBy("lang").agg(F.array_join(F.array_distinct(F.transform(texts, lambda x: x["text"])), "\n").alias("text"))
+    rows = joined.select("lang", F.substring("text", 1, LANGUAGE_CHARS).alias("text")).collect()
     return sorted((r["lang"], r["text"]) for r in rows)
 
 
-def _join_sample(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["h", "text"]).drop_duplicates("text")
-    return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "text": ["\n".join(rows["text"])[:LANGUAGE_CHARS]]})
-
-
 def suffix_automaton(letters: np.ndarray, n_classes: int) -> np.ndarray:
     """Transitions (state, class) of the suffix automaton of a sequence of classes; -1 where there is none."""
     size = 2 * len(letters) + 2
@@ -103,12 +99,17 @@ class Model:
         for text in texts:
             own = self.classes[text]
             table = suffix_automaton(own, k)
-            root = np.where(table[0] >= 0, table[0], 0)  # a letter the language lacks is a phrase of its own
-            full = np.where(table >= 0, (table + base) * k * 2, (root + base)[None, :] * k * 2 + 1)
+            # a missing letter begins the next phrase; one that the language lacks is a phrase of its own, after which
+            # any letter begins one: that is the last row
+            alone = len(table)
+            begin = np.where(table[0] >= 0, table[0], alone)
+            full = np.where(table >= 0, (table + base) * k * 2, (begin + base)[None, :] * k * 2 + 1)
+            full[0] = (begin + base) * k * 2  # the first phrase of a block is counted at its start
+            full = np.vstack([full, (begin + base)[None, :] * k * 2 + 1])
             tables.append(full.astype(np.int64 if base * k > 1 << 29 else np.int32))
             self.starts.append(base * k)
             self.bits.append(float(np.log2(len(own) + 1)))
-            base += len(table)
+            base += len(full)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(1, np.int32)
 
     def phrases(self, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -162,29 +163,22 @@ def letters_of(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     wide &= (raw >= 0x80) & (raw <= 0x9E)
     out[wide] += 0x20
     keep = out != 32
-    keep[:-1] |= out[1:] != 32  # the last space of each run
+    before = np.zeros(len(raw), bool)
+    before[:-1] = keep[1:]
+    before[bounds[1:][bounds[1:] > 0] - 1] = False
+    keep |= before  # the last space of each run, if a letter of the same row follows
     total = np.concatenate([[0], np.cumsum(keep)])
     return out[keep], total[bounds]
 
 
-_models: dict[tuple, Model] = {}
-
-
-def _model(sample: tuple[tuple[str, str], ...]) -> Model:
-    if sample not in _models:
-        _models.clear()
-        _models[sample] = Model(list(sample))
-    return _models[sample]
-
-
 def identify(docs: DataFrame, sample: list[tuple[str, str]], text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score`` added; columns of those names are replaced."""
     docs = docs.drop("lang_pred", "lang_score")
     place = docs.columns.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(sample))  # at most LANGUAGE_CHARS a language
+    shared = docs.sparkSession.sparkContext.broadcast(Model(sample))  # some 10 MB a language, as LANGUAGE_CHARS bounds it
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(shared.value)
+        model = shared.value
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         for batch in batches:
             column = batch.column(place)
