@@ -30,4 +30,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mix": op10_source_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Searches, scores, draws and plans are beyond SQL; tests hold them against brute force and held-out labels.
+ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_dedup": """
+    with recursive v as (select vec_id, label, embedding::double[] as e from embeddings
+        where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.98),
+    reach(x, y) as (select vec_id, vec_id from embeddings union select r.x, l.y from reach r join l on r.y = l.x)
+    select e.vec_id, (select count(*) from l where l.x = e.vec_id) as n_links, m.component_id, e.vec_id = m.component_id as kept
+    from embeddings e join (select x, min(y) as component_id from reach group by x) m on m.x = e.vec_id""",
+}
