@@ -57,3 +57,22 @@ def in_every_group(df: DataFrame, value: str, group: str) -> DataFrame:
     n = pairs.select(group).distinct().agg(F.count("*").alias("n"))
     by = pairs.groupBy(value).agg(F.count("*").alias("k"))
     return by.join(F.broadcast(n), F.col("k") == F.col("n")).select(value)  # n is one row
+
+
+def profile(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Count, sum, mean, least and greatest of a measure by group, and the group's share of the whole sum."""
+    c = col(column)
+    out = df.groupBy(*by).agg(F.count(c).alias("n"), F.sum(c).alias("total"), F.avg(c).alias("mean"), F.min(c).alias("least"), F.max(c).alias("greatest"))
+    whole = df.agg(F.sum(c).alias("__whole"))
+    return out.join(F.broadcast(whole)).withColumn("share", F.col("total") / F.col("__whole")).drop("__whole")  # one row
+
+
+def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """Rows by actual and predicted value, with the share of each actual value."""
+    by = df.groupBy(col(actual).alias("actual"), col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+    totals = df.groupBy(col(actual).alias("actual")).agg(F.count("*").alias("__n"))
+    return by.join(totals, "actual").select("actual", "predicted", "n", (F.col("n") / F.col("__n")).alias("recall"))
+
+
+def accuracy(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    return df.agg(F.avg((col(actual) == col(predicted)).cast("double")).alias("accuracy"))

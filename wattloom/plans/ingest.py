@@ -111,3 +111,17 @@ def files_by_upgrade(paths: DataFrame) -> DataFrame:
     n = F.regexp_extract("path", r"upgrade_?=?0*(\d+)", 1)
     upgrade = F.when(F.col("path").contains("baseline"), 0).when(n != "", n.cast("int"))
     return paths.withColumn("upgrade", upgrade).where("upgrade is not null").groupBy("upgrade").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+
+
+def work_by_source(buildings: DataFrame, source: str = "source_path", target: str = "target_path") -> DataFrame:
+    """One row a source file: the files that it feeds, each with its buildings. A source is then read once for all of them.
+
+    Buildings of a target are collected, so a target should hold a file's worth of them.
+    """
+    inner = buildings.groupBy(source, target).agg(F.sort_array(F.collect_set("bldg_id")).alias("bldg_ids"))
+    return inner.groupBy(source).agg(F.sort_array(F.collect_list(F.struct(target, "bldg_ids"))).alias("targets"))
+
+
+def append_batch(trips: DataFrame, path: str, release: str) -> None:
+    """Adds a batch of trip schedules as files of its own below release and state."""
+    write_partitioned(with_constants(trips, release=release), path, ("release", "state"), ("bldg_id", "vehicle_id", "date"), mode="append")

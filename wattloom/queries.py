@@ -429,3 +429,99 @@ def vehicle_model(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("bldg_id"), (F.abs("c_acctbal") * 20).alias("income"), (F.col("c_custkey") % 5 + 1).alias("occupants"), F.col("c_mktsegment").alias("metro"), F.lit(1.0).alias("hh_weight"))
     known = c.withColumn("vehicles", F.when(F.col("income") < 50_000, 0).when(F.col("occupants") < 3, 1).otherwise(2))
     return vehicles.OwnershipModel(known).predict(c).select("bldg_id", "vehicles")
+
+
+# --- catalogue, work lists, profiles, streams ----------------------------------------------------------------------
+
+
+def _catalogue(spark, sf_dir) -> DataFrame:
+    """Nations as releases: a key, and the regions' names as what they offer."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    offers = r.agg(F.sort_array(F.collect_list("r_name")).alias("all"))
+    return n.join(F.broadcast(offers)).select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("year"), F.slice("all", F.lit(1), F.col("n_regionkey") % 3 + 1).alias("file_types"))
+
+
+@query("""
+    select n_name as key, cast(n_regionkey as varchar) as year from nation
+    where n_regionkey in (1, 2, 4) and (select r_name from (select r_name, row_number() over (order by r_name) as k from region) r where k = 2) in
+          (select r_name from (select r_name, row_number() over (order by r_name) as k from region) r where k <= n_regionkey % 3 + 1)""")
+def release_filter(spark, sf_dir):
+    second = table(spark, sf_dir, "region").agg(F.sort_array(F.collect_list("r_name"))[1].alias("need"))
+    c = _catalogue(spark, sf_dir).where(F.col("year").isin("1", "2", "4")).join(F.broadcast(second))
+    return c.where(F.size(F.array_except(F.array("need"), "file_types")) == 0).select("key", "year")
+
+
+@query("select distinct r_name as file_type from region r join (select max(n_regionkey % 3 + 1) as k from nation) m on true where (select count(*) from region x where x.r_name <= r.r_name) <= m.k")
+def release_file_types(spark, sf_dir):
+    return _catalogue(spark, sf_dir).select(F.explode("file_types").alias("file_type")).distinct()
+
+
+@query("select n_name as key, p_size as upgrade, p_type as description from nation cross join (values (1), (2), (3)) v(p_size) left join (select 1 as s, 'walls' as p_type union all select 3, 'roof') d on d.s = v.p_size")
+def upgrade_descriptions(spark, sf_dir):
+    told = spark.createDataFrame([(1, "walls"), (3, "roof")], "upgrade int, description string")
+    c = table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.explode(F.array(*[F.lit(u) for u in (1, 2, 3)])).alias("upgrade"))
+    return c.join(F.broadcast(told), "upgrade", "left").select("key", "upgrade", "description")
+
+
+@query("""
+    select c_nationkey as source_path, count(distinct c_mktsegment) as n_targets, count(distinct c_custkey) as n_buildings from customer group by 1""")
+def work_by_source(spark, sf_dir):
+    from wattloom.plans.ingest import work_by_source as work
+
+    b = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("source_path"), F.col("c_mktsegment").alias("target_path"), F.col("c_custkey").alias("bldg_id"))
+    count = F.aggregate("targets", F.lit(0).cast("bigint"), lambda a, t: a + F.size(t["bldg_ids"]))
+    return work(b).select("source_path", F.size("targets").cast("bigint").alias("n_targets"), count.alias("n_buildings"))
+
+
+@query("""
+    select c_nationkey as state, c_custkey as bldg_id, u as upgrade
+    from (select *, row_number() over (partition by c_nationkey order by c_custkey) as n from customer where c_nationkey in (1, 5)) t cross join (values (0), (4)) v(u) where n <= 3""")
+def building_groups(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("state"), F.col("c_custkey").alias("bldg_id"))
+    first = [c.where(F.col("state") == s).orderBy("bldg_id").limit(3) for s in (1, 5)]
+    return lake.union_of_schemas(first).join(F.broadcast(spark.createDataFrame([(0,), (4,)], "upgrade int"))).select("state", "bldg_id", "upgrade")
+
+
+@query("""
+    select event_type, count(value) as n, round(sum(value), 4) as total, round(avg(value), 6) as mean, min(value) as least, max(value) as greatest,
+           round(sum(value) / (select sum(value) from events), 6) as share from events group by 1""")
+def profile_stats(spark, sf_dir):
+    p = checks.profile(table(spark, sf_dir, "events"), "value", ("event_type",))
+    return p.withColumns({"total": F.round("total", 4), "mean": F.round("mean", 6), "share": F.round("share", 6)})
+
+
+@query("""
+    select quality as actual, toxic as predicted, count(*) as n, round(count(*) / (select count(*) from labels x where x.quality = l.quality), 6) as recall from labels l group by 1, 2""")
+def confusion_matrix(spark, sf_dir):
+    return checks.confusion(table(spark, sf_dir, "labels"), "quality", "toxic").withColumn("recall", F.round("recall", 6))
+
+
+@query("select count(*) as n_sampled, round(avg(length(p_name)) * 500, 4) as estimated_bytes from (select * from part order by md5(concat('42:', p_name)), p_name limit 100) t")
+def size_estimate(spark, sf_dir):
+    files = table(spark, sf_dir, "part").select(F.col("p_name").alias("path"), F.length("p_name").alias("length"))
+    return lake.estimated_bytes(files, 500).withColumn("estimated_bytes", F.round("estimated_bytes", 4))
+
+
+@query("""
+    select user_id as bldg_id, date_trunc('hour', ts - interval 15 minute)::timestamp as timestamp, round(sum(value), 4) as value_sum, round(avg(value), 4) as value_mean
+    from events group by 1, 2""")
+def hourly_load_stream(spark, sf_dir):
+    """The streaming roll-up run to the end of what there is, in complete mode."""
+    import uuid
+
+    from wattloom.streaming.rollup import rollup_stream
+
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    own = stream.select(F.col("user_id").alias("bldg_id"), F.col("ts").alias("timestamp"), "value", F.col("value").alias("value_mean"))
+    name = f"hourly_{uuid.uuid4().hex}"
+    rolled = rollup_stream(own, {"value": "sum", "value_mean": "mean"}, "hourly")
+    done = rolled.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.table(name).select("bldg_id", "timestamp", F.round("value", 4).alias("value_sum"), F.round("value_mean", 4).alias("value_mean"))
+
+
+@query()
+def train_test_split(spark, sf_dir):
+    train, test = lake.split_by_hash(table(spark, sf_dir, "customer"), 0.8, 42, "c_custkey")
+    return train.select("c_custkey", F.lit("train").alias("part")).unionByName(test.select("c_custkey", F.lit("test").alias("part")))

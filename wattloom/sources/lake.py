@@ -174,3 +174,23 @@ def list_buildings(index: DataFrame, release: Release, state: str, limit: int |
 
 def missing_ids(wanted: DataFrame, there: DataFrame, column: str = "bldg_id") -> DataFrame:
     return wanted.select(column).distinct().join(there.select(column), column, "left_anti")
+
+
+def building_groups(index: DataFrame, release: Release, states: Collection[str], upgrades: Collection[int], limit: int | None = None) -> DataFrame:
+    """Buildings of each wanted state with each wanted upgrade; a limit takes each state's least ids."""
+    spark = index.sparkSession
+    own = union_of_schemas([list_buildings(index, release, s, limit).withColumn("state", F.lit(s)) for s in check_states(states)])
+    wanted = spark.createDataFrame([(int(u),) for u in upgrades], "upgrade int")
+    return own.join(F.broadcast(wanted))  # a few upgrades
+
+
+def split_by_hash(df: DataFrame, share: float, seed: int, column: str = "bldg_id") -> tuple[DataFrame, DataFrame]:
+    """Two parts by the hash of an id: about ``share`` of the ids first. Alike in every run and for every partitioning."""
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(column)), 11) / F.lit(float(1 << 53))
+    return df.where(u < share), df.where(u >= share)
+
+
+def estimated_bytes(files: DataFrame, n: int, seed: int = 42, most: int = 100) -> DataFrame:
+    """Files, and the bytes of all by the mean length of a seeded sample of at most ``most`` of them; n files in all."""
+    some = files.orderBy(*seeded_order(seed, "path")).limit(most)
+    return some.agg(F.count("*").alias("n_sampled"), (F.avg("length") * n).alias("estimated_bytes"))
