@@ -180,8 +180,8 @@ def score_toxicity(docs: DataFrame, index: BlockMaxIndex | None) -> DataFrame:
                     hit = own.terms[place] == term
                     pairs, tf = np.unique(row[hit] * len(own.terms) + place[hit], return_counts=True)
                     rows = pairs // len(own.terms)
-                    at = np.flatnonzero(np.diff(rows, prepend=-1))
-                    for a, b in zip(at, np.append(at[1:], len(rows)), strict=True):
+                    edges = np.append(np.flatnonzero(np.diff(rows, prepend=-1)), len(rows))
+                    for a, b in zip(edges[:-1], edges[1:], strict=True):
                         scores[rows[a]], evidence[rows[a]] = own.score(pairs[a:b] % len(own.terms), tf[a:b].astype(float))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(scores), pa.array(evidence, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
