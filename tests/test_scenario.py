@@ -155,3 +155,16 @@ def test_scenario_reads_and_saves(spark, lake_root, tmp_path):
         reader.read("metadata", years=[2])
     with pytest.raises(errors.UpgradesNotFound):
         ScenarioReader(Lake(spark, lake_root, KEY), {9: [0.5]}).read("metadata")
+
+
+def test_lake_reads_what_the_jobs_write(spark, tmp_path):
+    from wattloom.plans.ingest import load_curve_job, metadata_job
+
+    root = f"{tmp_path}/lake"
+    landed = spark.createDataFrame([(1, "NY", 0, 2.0), (2, "NY", 4, 2.0)], "bldg_id long, state string, upgrade int, weight double")
+    metadata_job(landed, f"{root}/{KEY}/metadata")
+    readings = landed.select("bldg_id", "state", "upgrade", F.lit("2018-01-01 00:15:00").cast("timestamp_ntz").alias("timestamp"), F.lit(1.0).alias("out.kwh"))
+    load_curve_job(readings, {"out.kwh": "sum"}, f"{root}/{KEY}")
+    own = Lake(spark, root, KEY)
+    assert own.partitions("metadata") == [("NY", 0), ("NY", 4)] and own.metadata(upgrades=[4]).first()["bldg_id"] == 2
+    assert own.load_curve("daily").count() == 2 and own.upgrades("load_curve_monthly") == [0, 4]

@@ -6,6 +6,7 @@ listed into a scan; building ids are a semi-join. An empty set of upgrades or of
 
 from __future__ import annotations
 
+import re
 from collections.abc import Collection, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from wattloom.errors import BaselineNotFound, DataNotFound, InvalidPath, NoBuildings, UpgradesNotFound, UpgradesNotInRelease
-from wattloom.functions.names import building_of_file, path_part
+from wattloom.functions.names import LAKE_PATH, building_of_file, path_part
 from wattloom.sources.catalog import Release, check_states
 
-METADATA_FILES = {"standard": "metadata.parquet", "sb": "metadata-sb.parquet"}
+#: Metadata files of each variant, as a path pattern; the jobs here write the standard one as part files.
+METADATA_FILES = {"standard": "{metadata.parquet,part-*.parquet}", "sb": "metadata-sb.parquet"}
 #: Up to so many ids are sent to all tasks; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -34,10 +36,6 @@ def with_path_parts(paths: DataFrame) -> DataFrame:
 
 
 def parse_path(path: str) -> dict:
-    import re
-
-    from wattloom.functions.names import LAKE_PATH
-
     if not (m := re.search(LAKE_PATH, path)):
         raise InvalidPath(path=path)
     return dict(zip(("release", "file_type", "state", "upgrade", "file"), (m[1], m[2], m[3], int(m[4]), m[5]), strict=True))
@@ -103,13 +101,23 @@ class Lake:
         df = df.withColumn("upgrade", F.col("upgrade").cast("long"))
         return df if self.states is None else df.where(F.col("state").isin(*self.states))
 
+    def partitions(self, file_type: str) -> list[tuple[str, int]]:
+        """(state, upgrade) of the chosen states on disk, from folder names alone: no file is opened."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        pattern = f"{self.root}/{self.release}/{file_type}/state=*/upgrade=*" + (f"/{self.metadata_file}" if file_type == "metadata" else "")
+        fs = hadoop(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = [str(f.getPath().toString()) for f in fs.globStatus(hadoop(pattern)) or []]
+        parts = {(m[1], int(m[2])) for p in found if (m := re.search(r"/state=([^/]+)/upgrade=(\d+)(?:/|$)", p))}
+        return sorted(p for p in parts if self.states is None or p[0] in self.states)
+
     def upgrades(self, file_type: str, every_state: bool | None = None) -> list[int]:
         """Upgrades on disk: in any state for metadata, in every chosen state for the rest (or as asked)."""
         every_state = file_type != "metadata" if every_state is None else every_state
-        parts = self._scan(file_type).select("state", "upgrade").distinct()
-        n = parts.select("state").distinct().count()
-        by = parts.groupBy("upgrade").agg(F.count("state").alias("n"))
-        return sorted(r["upgrade"] for r in (by.where(F.col("n") == n) if every_state else by).collect())
+        parts = self.partitions(file_type)
+        if not parts:
+            raise DataNotFound(file_type=file_type, path=f"{self.root}/{self.release}/{file_type}")
+        n = len({state for state, _ in parts}) if every_state else 1
+        return sorted({u for _, u in parts if sum(x == u for _, x in parts) >= n})
 
     def check_upgrades(self, file_type: str, upgrades: Collection[int] | None) -> list[int] | None:
         if upgrades is None:
