@@ -93,6 +93,7 @@ def test_tile_links():
 
 def test_odd_rows(spark, odd_documents):
     got = sorted(map(tuple, near_duplicates(odd_documents).collect()), key=str)
+    assert len(got) == odd_documents.count() and [c for i, c in got if i is None] == [None, None]
     ids = {i: c for i, c in got if i is not None}
     assert ids == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8, 9: 9, 10: 10}
     kept = deduplicate(odd_documents)

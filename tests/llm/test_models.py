@@ -109,6 +109,16 @@ def test_calibrated_scores_rise_with_votes():
     assert (np.diff(at) > 0).all() and (np.diff(share) >= 0).all() and share.min() >= 0 and share.max() <= 1
 
 
+def test_toxicity_of_texts_without_any_term(spark):
+    docs = spark.createDataFrame([(i, f"plain text {i} {'awful' if i % 3 == 0 else ''}") for i in range(1, 90)] + [(100, "nothing known here"), (101, "awful")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(1, 90)], "doc_id long, toxic int")
+    index = toxic.fit(docs, labels, F.lit(True))
+    assert len(index.terms) == 1
+    got = {r["doc_id"]: r["score"] for r in toxic.score_toxicity(docs.where("doc_id >= 100").repartition(2, "doc_id"), index).collect()}
+    assert got[100] < 0.1 and got[101] > 0.9
+    assert toxic.score_toxicity(docs.where("doc_id = 100"), index).first()["evidence"] == []
+
+
 def test_toxicity_of_odd_rows(spark, odd_documents):
     labels = spark.createDataFrame([(1, 1), (6, 0), (999, 1), (None, 1), (7, None)], "doc_id long, toxic int")
     index = toxic.fit(odd_documents, labels, F.lit(True))

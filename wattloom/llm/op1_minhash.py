@@ -18,8 +18,8 @@ paired; a larger one is dealt to blocks of about BLOCK texts, each two blocks me
 all overlaps by one matrix product and returns at most one link a text. So no bucket is capped, none is held by one
 task, and no row is made for each pair of a group.
 
-Results: documents without words (null, empty or white space) and rows without an id are classes of their own; rows
-with the same id are one document; equal texts are one class, whose id is the least doc_id. An empty table gives an
+Results: documents without words (null, empty or white space) are classes of their own, as are rows without an id, whose
+class_id is null; rows with the same id are one document; equal texts are one class, whose id is the least doc_id. An empty table gives an
 empty result; other columns are left alone.
 """
 
@@ -241,7 +241,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     by_text = texts.select("whole", "n", F.col("doc_id").alias("rep")).join(found, "rep", "left")
     by_text = by_text.select("whole", "n", F.coalesce("class", "rep").alias("class"))
     out = signed.select("doc_id", "whole", "n").join(by_text, ["whole", "n"], "left")
-    return out.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
+    out = out.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
+    nameless = docs.where(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"))
+    return out.unionByName(nameless)
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
@@ -254,4 +256,4 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id and kept of every document."""
     found = near_duplicates(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return found.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))

@@ -32,6 +32,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Searches, scores, draws and plans are beyond SQL; tests hold them against brute force and held-out labels.
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": r"""
+    with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+    s as (select doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as shingle from w),
+    c as (select doc_id, shingle, count(*) as n from s group by 1, 2),
+    t as (select doc_id, sum(n) as total from c group by 1),
+    p as (select a.doc_id as x, b.doc_id as y, sum(least(a.n, b.n)) as o from c a join c b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+    half as (select x, y from p join t a on a.doc_id = x join t b on b.doc_id = y where o >= 0.8 * (a.total + b.total - o)),
+    l as (select x, y from half union all select y, x from half),
+    reach(x, y) as (select doc_id, doc_id from documents union select r.x, l.y from reach r join l on r.y = l.x)
+    select x as doc_id, min(y) as class_id, x = min(y) as kept from reach group by x""",
     "op2_embedding_dedup": """
     with recursive v as (select vec_id, label, embedding::double[] as e from embeddings
         where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
