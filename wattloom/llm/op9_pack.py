@@ -36,7 +36,7 @@ from wattloom.llm.common import byte_buffer, materialise, read, row_slices
 CAPACITY, END_ID = 2048, 0
 SEARCH_NODES = 20_000
 #: Distinct words whose ids a task remembers at once; beyond it goes on with those it met again.
-REMEMBERED = 350_000
+REMEMBERED = 800_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 # --- ids -----------------------------------------------------------------------------------------------------------
@@ -57,7 +57,8 @@ class WordIds:
     last id is the one that closes a word. Texts in Latin-1 are lower-cased whole, as the tokenizer would.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
@@ -97,7 +98,7 @@ class WordIds:
             if len(ends) != len(stems):
                 raise ValueError("the tokenizer doesn't close each word with one token")
             self.words.update(zip(stems, [joined[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
-        if len(self.marks) > REMEMBERED:
+        if len(self.marks) > self.remembered:
             self.marks = {}
         for mark in {mark for _, _, mark in marked} - self.marks.keys():
             self.marks[mark] = self._encode(mark)
@@ -108,8 +109,8 @@ class WordIds:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        if len(self.words) > REMEMBERED:
-            kept = self.again if 2 * len(self.again) < REMEMBERED else ()
+        if len(self.words) > self.remembered:
+            kept = self.again if 2 * len(self.again) < self.remembered else ()
             self.words = {w: self.words[w] for w in kept}
             self.again = set()
         lower = [_lowered(t) for t in texts]
@@ -133,8 +134,8 @@ def _lowered(text: str) -> str | None:
 
 
 @cache
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, remembered: int = REMEMBERED) -> WordIds:
+    return WordIds(path, remembered)
 
 
 def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int]]:
@@ -144,12 +145,12 @@ def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int]]:
         yield start, len(part) // 4, zlib.crc32(part)
 
 
-def tokenise(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
     """One row a piece of each row of ``docs``: doc_id, piece, start, length and ids_crc32."""
     path = tokenizer or default_tokenizer()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(path)
+        encode = word_ids(path, remembered)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
@@ -301,10 +302,10 @@ def places(plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return table[:, 0], table[:, 1], table[:, 2]
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> DataFrame:
-    """The pieces of all documents with sequence_id and offset."""
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, nodes: int = SEARCH_NODES, remembered: int = REMEMBERED) -> DataFrame:
+    """The pieces of all documents with sequence_id and offset. ``remembered`` words cost a task some 150 bytes each."""
     spark = docs.sparkSession
-    pieces = materialise(tokenise(docs, tokenizer, capacity))
+    pieces = materialise(tokenise(docs, tokenizer, capacity, remembered))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     shared = spark.sparkContext.broadcast(places(plan_patterns(counts, capacity, nodes)))
 
