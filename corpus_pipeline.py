@@ -23,19 +23,30 @@ from wattloom.llm.op9_pack import pack
 from wattloom.llm.op10_mix import apply_mix
 
 MIN_SCORE = 0.5
+#: Rows that go to a Python task at once. Texts are long, and two tasks of an executor hold such batches.
+BATCH_ROWS = 2_000
+#: Words that the packing stage remembers; its tasks' processes also hold what the other stages needed.
+REMEMBERED = 200_000
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bound_batches(spark)
     sample = training_sample(docs, F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(False)))
     told = identify(docs, sample).where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= MIN_SCORE))
     return told.select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bound_batches(spark)
     return deduplicate(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bound_batches(spark)
     clean = redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
@@ -45,7 +56,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    _bound_batches(spark)
+    return pack(docs, remembered=REMEMBERED)
 
 
 STAGES = [
