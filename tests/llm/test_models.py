@@ -159,32 +159,25 @@ def test_predictive_probabilities_sum_to_one(spark):
     """Over all known tokens and one unknown, after every context of the model and after any other."""
     train = spark.createDataFrame([("a b a c a b d",), ("b a b a e",), (None,), ("A b",)], "text string")
     model = lm.fit(train)
-    words = ["a", "b", "c", "d", "e", "never"]
+    words, firsts = ["a", "b", "c", "d", "e", "never"], ("a", "b", "c", "never")
     assert model.n_tokens == 18 and model.n_known == 6
-    for first in ("a", "b", "c", "never"):
-        pairs = spark.createDataFrame([(f"{first} {w}",) for w in words] + [(first,)], "text string").withColumn("t", F.col("text"))
-        got = {r["t"]: r["score"] for r in lm.score_texts(pairs, model).collect()}
-        # P(first w end) / P(first) parts: the pair's own factor is found from three scores
-        ends = {w: after_end(model, w) for w in words}
-        total = sum(10 ** (got[f"{first} {w}"] - start_of(spark, model, first) - ends[w]) for w in words)
-        total += 10 ** (got[first] - start_of(spark, model, first))
-        assert total == pytest.approx(1.0, abs=1e-6)
-
-
-def start_of(spark, model, word):
-    """log10 P(word | start): the text's score less that of its end."""
-    one = lm.score_texts(spark.createDataFrame([(word, 1)], "text string, id int"), model).first()["score"]
-    return one - after_end(model, word)
-
-
-def after_end(model, word):
-    """log10 P(end | word), from the model's table."""
+    texts = [f"{first} {w}" for first in firsts for w in words] + list(firsts)
+    pairs = spark.createDataFrame([(t, t) for t in texts], "text string, t string")
+    got = {r["t"]: r["score"] for r in lm.score_texts(pairs, model).collect()}
     end = next(r for r in model.table.collect() if r["w"] == lm.END)
     places = {int(w): k for k, w in enumerate(model.known)}
-    if (k := places.get(hash_word(word))) is None:
-        return math.log10(np.mean(end["p"]))
-    own = end["x"][end["ctx"].index(k)] if k in end["ctx"] else 0.0
-    return math.log10(np.mean(np.array(end["p"]) * model.back_off[:, k]) + own)
+
+    def after(word):
+        """log10 P(end | word), from the model's table."""
+        if (k := places.get(hash_word(word))) is None:
+            return math.log10(np.mean(end["p"]))
+        own = end["x"][end["ctx"].index(k)] if k in end["ctx"] else 0.0
+        return math.log10(np.mean(np.array(end["p"]) * model.back_off[:, k]) + own)
+
+    for first in firsts:
+        start = got[first] - after(first)  # log10 P(first | start)
+        total = sum(10 ** (got[f"{first} {w}"] - start - after(w)) for w in words) + 10 ** after(first)
+        assert total == pytest.approx(1.0, abs=1e-6)
 
 
 def test_seats_follow_the_process():
