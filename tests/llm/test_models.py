@@ -129,6 +129,17 @@ def test_toxicity_of_odd_rows(spark, odd_documents):
     assert toxic.score_toxicity(odd_documents.limit(0), index).count() == 0
 
 
+def test_texts_without_telling_terms_have_neighbours(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 400, 30)) + (" awful" if i % 3 == 0 else "")) for i in range(1, 120)]
+    docs = spark.createDataFrame([*rows, (200, rows[9][1] + " unheard"), (201, "w7 w7")], "doc_id long, text string")
+    index = toxic.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"), F.lit(True))
+    assert set(index.vocabulary) == {hash_word(w) for _, t in rows for w in t.split()} and hash_word("awful") in index.terms
+    got = {r["doc_id"]: r["evidence"] for r in toxic.score_toxicity(docs.where("doc_id >= 200"), index).collect()}
+    assert got[200][0] == rows[9][0] and len(got[201]) == toxic.EVIDENCE
+    assert all("w7" in rows[i - 1][1].split() for i in got[201])
+
+
 # --- language model ------------------------------------------------------------------------------------------------
 
 

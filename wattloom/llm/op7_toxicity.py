@@ -1,22 +1,26 @@
 """Toxicity by the nearest labelled examples.
 
-Labelled texts of a bounded sample become TF-IDF vectors over the terms that tell toxic texts (a likelihood-ratio test
-against chance, on texts that are not copies of each other). The examples' inverted index is cut in blocks of
-consecutive examples, each with a term's largest weight in it. A query adds up these maxima, takes blocks in order of
-that bound, and stops when the next bound is below its K-th best cosine, so the K nearest are exact.
-
-Neighbours vote, each by its cosine; votes are calibrated on the examples themselves, each left out of its own vote, by
-the rising step function that fits best (isotonic regression). A text without any of the terms has no neighbours and
-gets the share of toxic labels among such examples. The nearest examples come along as evidence.
-
-EXAMPLES labelled rows of least hash bound the index, TERMS its vocabulary; queries are whole texts of all rows. Nulls
-count as empty texts. Ties between examples go to the smaller doc_id. Without usable labels every score is 0. Labels
-without a document are ignored; repeated rows get equal scores; an empty table gives an empty result.
+Labelled texts of a bounded sample become TF-IDF vectors over all of their terms. Terms that tell toxic texts (a
+likelihood-ratio test against chance, on texts that are not copies of each other) weigh TELLING times as much, as topics
+would rule the cosine otherwise; every other term keeps its idf. The COMMON most frequent terms are rows of a dense
+matrix, the others are inverted lists, and both are added up for a batch of texts at once. The K-th largest of the
+maxima of blocks of consecutive examples is a floor of the K-th best cosine; examples at the floor or above are summed
+again in double precision, so the K nearest are exact.
+
+Neighbours vote, each by its cosine; votes are calibrated on the examples themselves, each left out of its own vote (a
+Spark job over the examples), by the rising step function that fits best (isotonic regression). A text without any term
+of the examples has no neighbours and gets the share of toxic labels among examples without a telling term. The nearest
+examples come along as evidence.
+
+EXAMPLES labelled rows of least hash bound the index, nothing bounds its vocabulary or the texts; queries are whole texts
+of all rows. Nulls count as empty texts. Ties between examples go to the smaller doc_id. Without usable labels every
+score is 0. Labels without a document are ignored; repeated rows get equal scores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +29,13 @@ from pyspark.sql import functions as F
 
 from wattloom.llm.common import ALPHANUMERIC, crc_mod, labelled_sample, read, slices_of, word_hashes, word_spans
 
-EXAMPLES, TERMS = 24_000, 512
-#: A term bears on the label if so many texts have it, with so large a statistic, and toxic texts so much oftener.
+EXAMPLES, COMMON = 24_000, 512
+#: A term tells toxic texts if so many texts have it, with so large a statistic, and toxic texts so much oftener.
 LEAST_TEXTS, LEAST_EVIDENCE, LEAST_LIFT = 5, 20.0, 3.0
+TELLING = 4.0
 K, BLOCK, EVIDENCE = 15, 128, 3
+#: Texts whose cosines are added up at once; the dense part is in single precision, off by far less than SLACK.
+BATCH, SLACK = 64, 1e-5
 
 
 def row_terms(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,86 +44,156 @@ def row_terms(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.repeat(np.arange(len(bounds) - 1), np.diff(first)), word_hashes(raw, starts, stops).view(np.int64)
 
 
-def term_counts(sample: DataFrame) -> DataFrame:
-    """doc_id, label, term and tf of each sampled text; the distinct texts only."""
+def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the ranges that begin at ``first``, one range after the other."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def example_terms(sample: DataFrame) -> DataFrame:
+    """doc_id, label and the arrays term and tf of each sampled text that has a term; the distinct texts only."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, raw, bounds in slices_of(batch.column(1)):
                 row, term = row_terms(raw, bounds)
-                pairs, tf = np.unique(np.column_stack([row, term]), axis=0, return_counts=True)
-                at = pa.array(pairs[:, 0])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(at), batch.column(2).slice(i, j - i).take(at), pa.array(pairs[:, 1]), pa.array(tf)], names=["doc_id", "label", "term", "tf"])
+                order = np.lexsort((term, row))
+                row, term = row[order], term[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (term[1:] != term[:-1])
+                at = np.flatnonzero(new)
+                offsets = pa.array(np.searchsorted(row[at], np.arange(j - i + 1)), pa.int32())
+                tf = np.diff(np.append(at, len(row)))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (term[at], tf.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), *lists], names=["doc_id", "label", "term", "tf"])
 
     texts = sample.where(F.col("text").isNotNull()).groupBy(F.xxhash64("text").alias("h"), F.md5("text").alias("m")).agg(F.min_by(F.struct("doc_id", "text", "label"), "doc_id").alias("x")).select("x.*")
-    return texts.select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(count, "doc_id bigint, label int, term bigint, tf bigint")
+    counted = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("label").cast("int").alias("label")).mapInArrow(count, "doc_id bigint, label int, term array<bigint>, tf array<int>")
+    return counted.where(F.size("term") > 0)
 
 
-def telling_terms(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
-    """The at most TERMS terms that tell toxic texts best; df and the test's statistic."""
-    by_term = counts.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).where(F.col("a") + F.col("b") >= LEAST_TEXTS)
-    total = n_toxic + n_clean
+def telling_terms(a: np.ndarray, df: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Which terms tell toxic texts; a, df: how many toxic and how many texts have each."""
+    b, total = df - a, n_toxic + n_clean
 
     def part(seen, of, row):  # observed times log of observed over expected
-        seen = seen.cast("double")
-        return F.when(seen > 0, seen * F.log(seen * total / (F.lit(float(of)) * row))).otherwise(0.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(seen > 0, seen * np.log(seen * total / (of * row)), 0.0)
 
-    a, b = F.col("a"), F.col("b")
-    with_term, without = a + b, total - a - b
-    g = 2 * (part(a, n_toxic, with_term) + part(b, n_clean, with_term) + part(n_toxic - a, n_toxic, without) + part(n_clean - b, n_clean, without))
-    lift = a * n_clean >= LEAST_LIFT * n_toxic * b
-    return by_term.where(lift).select("term", with_term.alias("df"), g.alias("g")).where(F.col("g") >= LEAST_EVIDENCE).orderBy(F.desc("g"), "term").limit(TERMS)
+    g = 2 * (part(a, n_toxic, df) + part(b, n_clean, df) + part(n_toxic - a, n_toxic, total - df) + part(n_clean - b, n_clean, total - df))
+    return (df >= LEAST_TEXTS) & (g >= LEAST_EVIDENCE) & (a * n_clean >= LEAST_LIFT * n_toxic * b)
 
 
 class BlockMaxIndex:
-    """Examples' TF-IDF vectors by term and block of examples, with each block's largest weight."""
+    """Examples' TF-IDF vectors, by example and by term."""
+
+    n_blocks = 1  # a term's list is in one piece
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, places: np.ndarray, tf: np.ndarray, n_empty: tuple[int, int]) -> None:
-        """terms: sorted hashes; rows, places, tf: the examples' entries; ids ascend. n_empty: toxic and all of those without a term."""
-        self.terms, self.idf, self.ids, self.labels = terms, idf, ids, labels
+    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, places: np.ndarray, tf: np.ndarray, n_empty: tuple[int, int], telling: np.ndarray | None = None) -> None:
+        """vocabulary: sorted hashes, ``telling`` marks those that tell toxic texts (without it, all); rows, places, tf:
+        the examples' entries by example; ids ascend. n_empty: toxic and all examples without a telling term."""
+        self.vocabulary, self.idf, self.ids, self.labels = vocabulary, idf, ids, labels
+        self.terms = vocabulary if telling is None else vocabulary[telling]
         weight = (1 + np.log(tf)) * idf[places]
         weight /= np.sqrt(np.bincount(rows, weight**2, minlength=len(ids)))[rows]
-        order = np.lexsort((rows, places))
-        self.example, self.weight = rows[order], weight[order]
-        self.n_blocks = -(-len(ids) // BLOCK) or 1
-        key = places[order].astype(np.int64) * self.n_blocks + self.example // BLOCK
-        self.edges = np.searchsorted(key, np.arange(len(terms) * self.n_blocks + 1))
-        self.peak = np.zeros(len(terms) * self.n_blocks)
-        np.maximum.at(self.peak, key, self.weight)
-        self.peak = self.peak.reshape(len(terms), self.n_blocks)
-        self.seen: dict[bytes, tuple] = {}
+        self.own, self.place, self.own_weight = np.searchsorted(rows, np.arange(len(ids) + 1)), places.astype(np.int32), weight.astype(np.float32)
+        self.own_tf = tf.astype(np.int32)
         toxic, every = n_empty
         self.empty_score = toxic / every if every else float(labels.mean()) if len(labels) else 0.0
-        self.steps = self.calibrate(rows, places, tf)
-
-    def nearest(self, places: np.ndarray, weight: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The K nearest examples (not ``skip``) of a unit vector and their cosines, nearest first, ties by example."""
-        bound = weight @ self.peak[places]
-        best, score = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(best) == K and bound[block] < score[-1] - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for p, w in zip(places, weight, strict=True):
-                lo, hi = self.edges[p * self.n_blocks + block], self.edges[p * self.n_blocks + block + 1]
-                sums[self.example[lo:hi] - block * BLOCK] += w * self.weight[lo:hi]
-            own = np.flatnonzero(sums) + block * BLOCK
-            own = own[own != skip]
-            best, score = np.concatenate([best, own]), np.concatenate([score, sums[own - block * BLOCK]])
-            order = np.lexsort((best, -np.round(score, 12)))[:K]
-            best, score = best[order], score[order]
-        return best, score
-
-    def vote(self, places: np.ndarray, tf: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray]:
-        """The share of cosine that falls to toxic neighbours, and the neighbours; nan without any."""
-        weight = (1 + np.log(tf)) * self.idf[places]
-        best, score = self.nearest(places, weight / np.sqrt((weight**2).sum()), skip)
-        return (float(score @ self.labels[best] / score.sum()) if len(best) else np.nan), best
-
-    def calibrate(self, rows: np.ndarray, places: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.shared = None
+
+    def __getstate__(self) -> dict:
+        """What a task can't make of the rest."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("shared", "steps", "lists", "common")}
+
+    @cached_property
+    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each term's list begins, and the examples and weights of the lists."""
+        order = np.argsort(self.place, kind="stable")
+        row = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.own))
+        return np.searchsorted(self.place[order], np.arange(len(self.vocabulary) + 1)), row[order], self.own_weight[order]
+
+    @property
+    def edges(self) -> np.ndarray:
+        return self.lists[0]
+
+    @property
+    def example(self) -> np.ndarray:
+        return self.lists[1]
+
+    @property
+    def weight(self) -> np.ndarray:
+        return self.lists[2]
+
+    @cached_property
+    def common(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each term's row of the dense matrix (-1: it has none) and the matrix, padded to whole blocks of examples."""
+        df = np.diff(self.edges)
+        chosen = np.argsort(-df, kind="stable")[:COMMON]
+        row = np.full(len(self.vocabulary), -1, np.int32)
+        row[chosen] = np.arange(len(chosen))
+        dense = np.zeros((len(chosen), -(-len(self.ids) // BLOCK) * BLOCK), np.float32)
+        for k, c in enumerate(chosen):
+            span = slice(self.edges[c], self.edges[c + 1])
+            dense[k, self.example[span]] = self.weight[span]
+        return row, dense
+
+    def nearest_of(self, edges: np.ndarray, places: np.ndarray, weight: np.ndarray, skip: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each of a few vectors, whose entries lie between ``edges``."""
+        n = len(edges) - 1
+        row, dense = self.common
+        query, at = np.repeat(np.arange(n), np.diff(edges)), row[places]
+        often = at >= 0
+        first = np.zeros((n, len(dense)), np.float32)
+        first[query[often], at[often]] = weight[often]
+        sums = first @ dense
+        rare = places[~often]
+        size = self.edges[rare + 1] - self.edges[rare]
+        spot = _spans(self.edges[rare], size)
+        cell = np.repeat(query[~often] * sums.shape[1], size) + self.example[spot]
+        sums += np.bincount(cell, np.repeat(weight[~often], size) * self.weight[spot], minlength=sums.size).reshape(sums.shape)
+        if skip is not None:
+            sums[np.arange(n), skip] = 0
+        peaks = sums.reshape(n, -1, BLOCK).max(axis=2)
+        floor = np.partition(peaks, -K, axis=1)[:, -K] if peaks.shape[1] >= K else np.zeros(n)
+        found, best = np.nonzero((sums > 0) & (sums >= floor[:, None] - SLACK))
+        cut = np.searchsorted(found, np.arange(n + 1))
+        vector = np.zeros(len(self.vocabulary))
+        for k in range(n):
+            own, span = best[cut[k] : cut[k + 1]], slice(edges[k], edges[k + 1])
+            vector[places[span]] = weight[span]
+            size = self.own[own + 1] - self.own[own]
+            spot = _spans(self.own[own], size)
+            score = np.bincount(np.repeat(np.arange(len(own)), size), vector[self.place[spot]] * self.own_weight[spot], minlength=len(own)).astype(float)
+            vector[places[span]] = 0
+            order = np.lexsort((own, -np.round(score, 12)))[:K]
+            yield own[order], score[order]
+
+    def nearest(self, places: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The K nearest examples of a unit vector and their cosines, nearest first, ties by example."""
+        return next(self.nearest_of(np.array([0, len(places)]), places, weight))
+
+    def votes(self, edges: np.ndarray, places: np.ndarray, tf: np.ndarray, skip: np.ndarray | None = None) -> Iterator[tuple[float, np.ndarray]]:
+        """The share of cosine that falls to toxic neighbours (nan without any), and the neighbours, of each vector."""
+        for i in range(0, len(edges) - 1, BATCH):
+            part = edges[i : i + BATCH + 1]
+            span = slice(part[0], part[-1])
+            weight = (1 + np.log(tf[span])) * self.idf[places[span]]
+            row = np.repeat(np.arange(len(part) - 1), np.diff(part))
+            weight /= np.sqrt(np.bincount(row, weight**2, minlength=len(part) - 1))[row]
+            for best, score in self.nearest_of(part - part[0], places[span], weight, None if skip is None else skip[i : i + BATCH]):
+                yield (float(score @ self.labels[best] / score.sum()) if len(best) else np.nan), best
+
+    def left_out(self, lo: int, hi: int) -> np.ndarray:
+        """Votes of the examples lo to hi, each left out of its own."""
+        span = slice(self.own[lo], self.own[hi])
+        return np.array([v for v, _ in self.votes(self.own[lo : hi + 1] - self.own[lo], self.place[span], self.own_tf[span].astype(float), np.arange(lo, hi))])
+
+    @cached_property
+    def steps(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.calibrate(self.left_out(0, len(self.ids)))
+
+    def calibrate(self, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Votes and the share of toxic examples at them, rising: pools of adjacent violators."""
-        edges = np.searchsorted(rows, np.arange(len(self.ids) + 1))
-        votes = np.array([self.vote(places[a:b], tf[a:b], k)[0] for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
         use = ~np.isnan(votes)
         order = np.argsort(votes[use], kind="stable")
         x, y = votes[use][order], self.labels[use][order].astype(float)
@@ -132,57 +209,60 @@ class BlockMaxIndex:
         share = [(p[0] + self.empty_score) / (p[1] + 1) for p in pools]  # one example's worth of doubt
         return np.array(at), np.maximum.accumulate(np.array(share)) if share else np.array([])
 
-    def score(self, places: np.ndarray, tf: np.ndarray) -> tuple[float, list[int]]:
-        key = places.tobytes() + tf.tobytes()
-        if key not in self.seen:
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            vote, best = self.vote(places, tf)
-            known = len(self.steps[0]) and not np.isnan(vote)
-            self.seen[key] = (float(np.interp(vote, *self.steps)) if known else self.empty_score, self.ids[best[:EVIDENCE]].tolist())
-        return self.seen[key]
-
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn) -> BlockMaxIndex | None:
-    """The index of the bounded sample, built on the driver from the entries of telling terms only."""
-    counts = term_counts(labelled_sample(docs, labels, "toxic", may_learn, EXAMPLES)).persist()
-    sizes = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.countDistinct("doc_id").alias("n")).collect()}
-    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    if not n_toxic or not n_clean:
-        counts.unpersist()
+    """The index of the bounded sample, built on the driver; its calibration is a job over the examples."""
+    spark = docs.sparkSession
+    got = example_terms(labelled_sample(docs, labels, "toxic", may_learn, EXAMPLES)).toArrow().sort_by("doc_id").combine_chunks()
+    own = got.column("label").to_numpy().astype(np.int64)
+    n, n_toxic = len(own), int(own.sum())
+    if not 0 < n_toxic < n:
         return None
-    terms = telling_terms(counts, n_toxic, n_clean)
-    chosen = terms.select("term", "df").toPandas().sort_values("term")
-    entries = counts.join(F.broadcast(terms.select("term")), "term").toPandas()  # EXAMPLES times the few telling terms of each
-    counts.unpersist()
-    entries = entries.sort_values(["doc_id", "term"])
-    ids, rows = np.unique(entries["doc_id"].to_numpy(np.int64), return_inverse=True)
-    own = entries.drop_duplicates("doc_id")["label"].to_numpy(np.int64)
-    term = chosen["term"].to_numpy(np.int64)
-    places = np.searchsorted(term, entries["term"].to_numpy(np.int64))
-    idf = np.log((1 + n_toxic + n_clean) / (1 + chosen["df"].to_numpy(float))) + 1
-    empty = (n_toxic - int(own.sum()), n_toxic + n_clean - len(own))
-    return BlockMaxIndex(term, idf, ids, own, rows, places, entries["tf"].to_numpy(float), empty)
+    ids, lists = got.column("doc_id").to_numpy(), got.column("term").combine_chunks()
+    rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(np.asarray(lists.offsets)))
+    term, tf = lists.flatten().to_numpy(), got.column("tf").combine_chunks().flatten().to_numpy()
+    vocabulary = np.unique(term)
+    places = np.searchsorted(vocabulary, term).astype(np.int32)
+    del got, lists, term
+    df, toxic = (np.bincount(x, minlength=len(vocabulary)) for x in (places, places[own[rows] == 1]))
+    telling = telling_terms(toxic, df, n_toxic, n - n_toxic)
+    idf = (np.log((1 + n) / (1 + df)) + 1) * np.where(telling, TELLING, 1.0)
+    told = np.zeros(n, bool)
+    told[rows[telling[places]]] = True
+    index = BlockMaxIndex(vocabulary, idf, ids, own, rows, places, tf.astype(np.float32), (int(own[~told].sum()), int((~told).sum())), telling)
+    shared = index.shared = spark.sparkContext.broadcast(index)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = np.asarray(batch.column(0))  # consecutive
+            if len(k):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.left_out(int(k[0]), int(k[-1]) + 1))], names=["k", "vote"])
+
+    votes = spark.range(0, n, 1, -(-n // 512)).mapInArrow(vote, "k bigint, vote double").toArrow().sort_by("k")
+    index.steps = index.calibrate(votes.column("vote").to_numpy())
+    return index
 
 
 def score_toxicity(docs: DataFrame, index: BlockMaxIndex | None) -> DataFrame:
     """doc_id, score and evidence (doc_ids of the nearest examples) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = index and (index.shared or docs.sparkSession.sparkContext.broadcast(index))
+    steps, empty_score = (index.steps, index.empty_score) if index else (None, 0.0)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = shared and shared.value
         for batch in batches:
             for i, j, raw, bounds in slices_of(batch.column(1)):
-                scores, evidence = np.full(j - i, own.empty_score if own else 0.0), [[] for _ in range(j - i)]
-                if own is not None and len(own.terms):
+                scores, evidence = np.full(j - i, empty_score), [[] for _ in range(j - i)]
+                if own is not None:
                     row, term = row_terms(raw, bounds)
-                    place = np.minimum(np.searchsorted(own.terms, term), len(own.terms) - 1)
-                    hit = own.terms[place] == term
-                    pairs, tf = np.unique(row[hit] * len(own.terms) + place[hit], return_counts=True)
-                    rows = pairs // len(own.terms)
+                    place = np.minimum(np.searchsorted(own.vocabulary, term), len(own.vocabulary) - 1)
+                    hit = own.vocabulary[place] == term
+                    pairs, tf = np.unique(row[hit] * len(own.vocabulary) + place[hit], return_counts=True)
+                    rows = pairs // len(own.vocabulary)
                     edges = np.append(np.flatnonzero(np.diff(rows, prepend=-1)), len(rows))
-                    for a, b in zip(edges[:-1], edges[1:], strict=True):
-                        scores[rows[a]], evidence[rows[a]] = own.score(pairs[a:b] % len(own.terms), tf[a:b].astype(float))
+                    for at, (vote, best) in zip(rows[edges[:-1]], own.votes(edges, pairs % len(own.vocabulary), tf.astype(float)), strict=True):
+                        if len(best):
+                            scores[at], evidence[at] = np.interp(vote, *steps) if len(steps[0]) else empty_score, own.ids[best[:EVIDENCE]].tolist()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(scores), pa.array(evidence, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
