@@ -75,6 +75,15 @@ def test_odd_rows(spark, odd_documents):
     assert sorted(sample) == ["de", "en", "fr"] and len(sample["en"]) <= op.LANGUAGE_CHARS
 
 
+def test_sample_goes_beyond_shared_openings(spark):
+    """All documents of a language open with the same long passage; their own prose is in the sample all the same."""
+    opening = " ".join(f"clause{i} of the licence" for i in range(120)) + ". "
+    rows = [(i, opening + f"Prose number{i} stands far behind. " * 3 + f"End number{i}.", "en") for i in range(20)]
+    (sample,) = op.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), op.F.lit(True))
+    assert all(f"Prose number{i} stands" in sample[1] and f"End number{i}." in sample[1] for i in range(20))
+    assert sample[1].count("clause7 of") == 1 and len(sample[1]) <= op.LANGUAGE_CHARS
+
+
 def test_rows_do_not_depend_on_each_other():
     model = op.Model(SAMPLE[:2])
     texts = ["the cat", "dem dach", "x" * 2000, "", "und die katze und the mat"]

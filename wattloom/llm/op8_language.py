@@ -7,8 +7,10 @@ letter starts the following one. The language that needs the fewest bits a lette
 The automata become one transition table over letter classes, and all blocks of a slice of texts step through it side
 by side. A text is parsed whole, in blocks of BLOCK bytes; a phrase ends at the end of its block.
 
-Sample: of each language, about SAMPLE_DOCS training rows by least hash of their id, up to DOC_CHARS characters of each
-and LANGUAGE_CHARS in all. These bounds do not grow with the table; the sample alone goes through the driver.
+Sample: of each language, about SAMPLE_DOCS training rows by least hash of their id. The whole of their texts is cut into
+sentences and lines (PASSAGE characters at most); repeated ones are removed, and those of least hash are taken up to
+LANGUAGE_CHARS, so any place of a text is as likely as its opening. These bounds do not grow with the table; the sample
+alone goes through the driver.
 
 Results: ``und`` with score 0 for null texts, texts without a letter, and where no language can be learned. Ties go to
 the language that sorts first. Rows do not depend on each other, so repeated rows agree; an empty table gives an empty
@@ -25,10 +27,11 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from wattloom.llm.common import byte_buffer, crc_mod, read, slices_of
 
-SAMPLE_DOCS, DOC_CHARS, LANGUAGE_CHARS = 96, 1_000, 40_000
+SAMPLE_DOCS, PASSAGE, LANGUAGE_CHARS = 192, 400, 40_000
 BLOCK = 512
 UNKNOWN = "und"
 
@@ -36,15 +39,20 @@ UNKNOWN = "und"
 def training_sample(docs: DataFrame, may_learn: Column) -> list[tuple[str, str]]:
     """(language, text) of the bounded sample, each language joined to one string, by language."""
     known = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string")).alias("h"))
-    share = {r["lang"]: min(1.0, 2 * SAMPLE_DOCS / r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = {r["lang"]: min(1.0, SAMPLE_DOCS / r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:
         return []
     # a share of each language by hash first, so that only the sample is sorted
     edge = F.create_map(*[F.lit(x) for lang, s in sorted(share.items()) for x in (lang, min(int((2 * s - 1) * 2**63), 2**63 - 1))])
-    few = known.where(F.col("h") <= edge[F.col("lang")]).select("lang", "h", F.substring("text", 1, DOC_CHARS).alias("text"))
-    texts = F.array_sort(F.collect_list(F.struct("h", "text")))  # of a bounded number of rows
-    joined = few.groupBy("lang").agg(F.array_join(F.array_distinct(F.transform(texts, lambda x: x["text"])), "\n").alias("text"))
-    rows = joined.select("lang", F.substring("text", 1, LANGUAGE_CHARS).alias("text")).collect()
+    few = known.where(F.col("h") <= edge[F.col("lang")])
+    passage = F.explode(F.regexp_extract_all("text", F.lit(rf"[^.!?\n]{{1,{PASSAGE}}}[.!?]*"), F.lit(0)))
+    passages = few.select("lang", passage.alias("text")).select("lang", F.trim("text").alias("text")).where("text != ''").distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("passage"), "text"), "text")  # passages of a bounded number of rows
+    taken = passages.withColumn("n", F.row_number().over(order)).withColumn("end", F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    listed = F.array_sort(F.collect_list(F.struct("n", "text")))
+    joined = taken.where(F.col("end") <= LANGUAGE_CHARS).groupBy("lang").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n").alias("text"))
+    found = {r["lang"]: r["text"] for r in joined.collect()}
+    rows = [{"lang": lang, "text": found.get(lang, "")} for lang in share]  # a language may have blank texts only
     return sorted((r["lang"], r["text"]) for r in rows)
 
 
