@@ -2,6 +2,7 @@
 
 import io
 import zipfile
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +150,27 @@ def test_source_listing(spark):
     assert tuple(row) == ("res_2024_tmy3_2", ["hpxml", "schedule", "weather"], [0, 4])
     by = ingest.files_by_upgrade(spark.createDataFrame([("a/baseline.parquet",), ("a/upgrade04.parquet",), ("b/upgrade_4/c",), ("q",)], "path string"))
     assert {r["upgrade"]: len(r["paths"]) for r in by.collect()} == {0: 1, 4: 2}
+
+
+def test_stream_goes_to_a_table_of_the_shared_folder(spark, tmp_path):
+    from pathlib import Path
+
+    from wattloom.streaming.rollup import rollup_stream, run_to_end
+
+    schema = "bldg_id long, timestamp timestamp_ntz, kwh double"
+    for k in (1, 2):
+        rows = [(b, datetime(2022, 1, 1, 1, 15 * k), float(10 * k + b)) for b in (1, 2)] + [(9, datetime(2022, 1, 1, 5, 15 * k), 1.0)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    (tmp_path / "none").mkdir()
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(root.glob("*"))
+
+    def rolled(path):
+        own = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+        out = run_to_end(rollup_stream(own, {"kwh": "sum"}, "hourly", late="10 hours"), ("bldg_id", "timestamp"))
+        return {(r["bldg_id"], r["timestamp"].hour): r["kwh"] for r in out.collect()}
+
+    assert rolled(f"{tmp_path}/in") == {(1, 1): 32.0, (2, 1): 34.0, (9, 5): 2.0}
+    (own,) = set(root.glob("*")) - before
+    assert len(list(own.glob("table/__batch=[01]/*.parquet"))) >= 2 and (own / "state/offsets").is_dir()
+    assert rolled(f"{tmp_path}/none") == {}

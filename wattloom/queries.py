@@ -506,19 +506,14 @@ def size_estimate(spark, sf_dir):
     select user_id as bldg_id, date_trunc('hour', ts - interval 15 minute)::timestamp as timestamp, round(sum(value), 4) as value_sum, round(avg(value), 4) as value_mean
     from events group by 1, 2""")
 def hourly_load_stream(spark, sf_dir):
-    """The streaming roll-up run to the end of what there is, in complete mode."""
-    import uuid
-
-    from wattloom.streaming.rollup import rollup_stream
+    """The streaming roll-up run to the end of what there is; each batch's changed buckets go to a table of the shared folder."""
+    from wattloom.streaming.rollup import rollup_stream, run_to_end
 
     events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     own = stream.select(F.col("user_id").alias("bldg_id"), F.col("ts").alias("timestamp"), "value", F.col("value").alias("value_mean"))
-    name = f"hourly_{uuid.uuid4().hex}"
-    rolled = rollup_stream(own, {"value": "sum", "value_mean": "mean"}, "hourly")
-    done = rolled.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    done.awaitTermination()
-    return spark.table(name).select("bldg_id", "timestamp", F.round("value", 4).alias("value_sum"), F.round("value_mean", 4).alias("value_mean"))
+    rolled = run_to_end(rollup_stream(own, {"value": "sum", "value_mean": "mean"}, "hourly"), ("bldg_id", "timestamp"))
+    return rolled.select("bldg_id", "timestamp", F.round("value", 4).alias("value_sum"), F.round("value_mean", 4).alias("value_mean"))
 
 
 @query()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -20,3 +22,29 @@ def rollup_stream(readings: DataFrame, rules: Mapping[str, str], step: str, keys
     grouped = started.groupBy(F.window("__start", WINDOWS[step]).alias("__w"), *[quoted(k) for k in keys])
     out = grouped.agg(*[rule_column(n, r, F.struct(col(ts))) for n, r in check_rules(rules).items() if n in readings.columns and n not in keys])
     return out.select(*[quoted(k) for k in keys], F.col("__w.start").cast("timestamp_ntz").alias(ts), *[quoted(n) for n in out.columns if n not in ("__w", *keys)])
+
+
+def run_to_end(rolled: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The roll-up of all that the source holds: tasks write each batch's changed rows, the last of each key counts.
+
+    The table and the stream's state are in a fresh folder below ``spark.checkpoint.dir``; where that is unset, a
+    ``local[...]`` session uses a local one. A bucket that is still open when the source ends is written too.
+    """
+    spark = rolled.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}/wattloom-checkpoints"
+    where = f"{root}/{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/table/__batch={number}")  # a batch that runs again replaces its rows
+
+    spark.createDataFrame([], rolled.schema).write.parquet(f"{where}/table/__batch=-1")  # a source without rows runs no batch
+    writer = rolled.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{where}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    kept = [c for c in rolled.columns if c not in keys]
+    written = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rolled.schema)}, __batch bigint").parquet(f"{where}/table")
+    last = written.groupBy(*[quoted(k) for k in keys]).agg(F.max_by(F.struct(*[quoted(c) for c in kept]), "__batch").alias("__last"))
+    return last.select(*[quoted(k) for k in keys], *[F.col("__last").getField(c).alias(c) for c in kept])
