@@ -80,3 +80,17 @@ def test_config_dates():
     for start, end in (("2022-01-02", "2022-01-01"), ("x", "2022-01-01")):
         with pytest.raises(errors.InvalidDates):
             VehicleConfig("NY", start, end)
+
+
+def test_trip_schedules_of_all_line_items(spark, tmp_path):
+    from wattloom.queries import trip_schedule_noise
+
+    items = [(order, line, 3 * order + line, 5 * order + line, 10.0 * line) for order in (1, 2, 3) for line in range(1, 8)]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r["bldg_id"], r["vehicle_id"], r["date"].day): r for r in trip_schedule_noise(spark, str(tmp_path)).collect()}
+    days = [date(2022, 1, d) for d in range(1, 8)]
+    assert set(got) == {(str(o), line, d.day) for o, line, part, _, _ in items for d in days if (d.weekday() < 5) == (part % 2 == 0)}
+    for order, line, part, supp, miles in items:
+        for d in days:
+            if (r := got.get((str(order), line, d.day))) is not None:
+                assert abs(r["departure_hour"] - (supp % 12 + 6)) <= 2 and abs(r["arrival_hour"] - min(supp % 12 + 10, 23)) <= 2 and abs(r["miles_driven"] - miles) < miles
