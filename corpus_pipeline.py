@@ -1,6 +1,6 @@
 """A training-corpus pipeline over ``documents``: five stages, each written as Parquet and read again by the next.
 
-1. language ID: documents whose language can't be told (no letters, or a score below MIN_SCORE) go;
+1. language ID: documents whose language can't be told (``und``: no text, no letters) go;
 2. MinHash near-dedup: of each class of near-duplicates the document with the least id stays;
 3. secret scans: secrets are replaced by their kind in brackets, and ``n_chars`` follows; no document goes;
 4. mixing sources to target weights: documents are repeated or left out so that sources come near their targets;
@@ -22,7 +22,6 @@ from wattloom.llm.op8_language import UNKNOWN, identify, training_sample
 from wattloom.llm.op9_pack import pack
 from wattloom.llm.op10_mix import apply_mix
 
-MIN_SCORE = 0.5
 #: Rows that go to a Python task at once. Texts are long, and two tasks of an executor hold such batches.
 BATCH_ROWS = 2_000
 #: Words that the packing stage remembers; its tasks' processes also hold what the other stages needed.
@@ -36,7 +35,7 @@ def _bound_batches(spark: SparkSession) -> None:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _bound_batches(spark)
     sample = training_sample(docs, F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(False)))
-    told = identify(docs, sample).where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= MIN_SCORE))
+    told = identify(docs, sample).where(F.col("lang_pred") != UNKNOWN)
     return told.select(docs.columns)
 
 

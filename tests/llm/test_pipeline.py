@@ -41,6 +41,14 @@ def test_language_stage_drops_what_has_no_language(stages):
     assert len(gone) < 0.01 * len(before) and all(len(t) < 40 or not any(c.isalpha() for c in t) for t in gone)
 
 
+def test_short_texts_of_any_language_stay(spark):
+    """A text that is as likely in six languages scores a sixth; only what has no letters goes."""
+    own = "the old mill by the river turns slowly all day long"
+    rows = [(i, own, f"l{i % 6}") for i in range(60)] + [(100, "This.", "l1"), (101, "A.", None), (102, "12 34", "l1"), (103, None, "l1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()} == {*range(60), 100, 101}
+
+
 def test_one_of_each_class_stays(stages):
     before, after = rows_of(stages[1][1]), rows_of(stages[1][2])
     classes = classes_of([(i, r["text"]) for i, r in before.items()])
