@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -40,6 +42,14 @@ def test_spans_are_those_of_the_patterns(pieces):
     assert scanner(combined()).secrets(data) == brute(data)
 
 
+@pytest.mark.parametrize("text", ["token=secret:" + "x" * 1_000_000, "token=secret:" * 80_000, "xoxb-AKIA" * 100_000, "eyJa." * 200_000])
+def test_long_runs_take_linear_time(text):
+    start = time.monotonic()
+    found = scanner(combined()).secrets(text.encode())
+    assert time.monotonic() - start < 10  # quadratic work would take hours
+    assert found == brute(text.encode())
+
+
 def test_automaton_is_minimal_and_total():
     moves, masks = combined()
     assert moves.shape == (len(masks), 256) and moves.max() < len(masks)

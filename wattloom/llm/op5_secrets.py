@@ -4,7 +4,9 @@ Each rule is a small regular language over bytes. All rules are put in one nonde
 match at any byte; subset construction and minimisation turn it into a transition array, and one pass over the bytes
 of a text reports where some rule has just been matched. The ends are few; for each, the rule's reversed automaton
 gives the leftmost start and its own forward automaton the longest end. Spans of a rule do not overlap: a span that is
-too short to be a secret still uses up its text, as a regular-expression search would.
+too short to be a secret still uses up its text, as a regular-expression search would. After a span the rule's own
+automaton, begun anew at the end of the span, says which further ends count; it and the way back read each byte at most
+once, so the time is linear in the text.
 
 Null and empty texts give no spans. Whole texts are scanned, whatever their length, and rows are independent of each
 other: repeated rows give repeated results, an empty table an empty one, and further columns are left alone.
@@ -212,6 +214,7 @@ class Scanner:
         self.forward = [determinise((r,), anywhere=False) for r in rules]
         self.head = [r.head and determinise((Rule("", r.head),), anywhere=False) for r in rules]
         self.back = [determinise((r,), anywhere=False, backwards=True) for r in rules]
+        self.again = [determinise((r,), anywhere=True) for r in rules]
         # a state is its own row of 256 rows; item 256 holds the mask of rules that end there
         linked: list[list] = [[None] * 257 for _ in masks]
         for row, there, mask in zip(linked, moves, masks, strict=True):
@@ -234,17 +237,23 @@ class Scanner:
     def scan(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule, end) in bytes, by start and then rule, before lengths are looked at."""
         found, row, done = [], self.start, [0] * len(self.rules)
+        state, read = [0] * len(self.rules), [0] * len(self.rules)  # of the rule's own automaton, since its last span
         for at, byte in enumerate(data):
             row = row[byte]
             if row[256]:
                 mask, k = row[256], 0
                 while mask:
                     if mask & 1 and at >= done[k]:
-                        back = self._furthest(self.back[k], data, range(at, done[k] - 1, -1))
-                        if back is not None:
-                            start = at + 1 - back
+                        if done[k]:
+                            own, s = self.again[k], state[k]
+                            for i in range(read[k], at + 1):
+                                s = own.next[s][data[i]]
+                            state[k], read[k] = s, at + 1
+                        if not done[k] or own.accepts[s]:
+                            start = at + 1 - self._furthest(self.back[k], data, range(at, done[k] - 1, -1))
                             end = start + self._furthest(self.forward[k], data, range(start, len(data)))
-                            done[k] = end
+                            done[k] = read[k] = end
+                            state[k] = 0
                             found.append((start, k, end))
                     mask >>= 1
                     k += 1

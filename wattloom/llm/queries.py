@@ -30,8 +30,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mix": op10_source_mix,
 }
 
+_NAMES = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_key", "apikey"))
+#: kind, pattern, the group whose length counts, and the least of it.
+_SECRETS = (
+    ("assign", rf"(?:{_NAMES})[\"\']?\x20*[:=]\x20*[\"\']?([A-Za-z0-9+/_.=-]+)", 1, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]{16,}", 0, 16),
+    ("pem", "-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    ("forge", "gh[pousr]_[A-Za-z0-9]+", 0, 24),
+    ("chat", "xox[abprs]-[A-Za-z0-9-]+", 0, 20),
+)
+
+
+def _secrets_sql() -> str:
+    """Matches are marked in the text, which is then split at the marks: what comes before a part gives its place."""
+
+    def found(k: int, kind: str, pattern: str, group: int, least: int) -> str:
+        pattern = pattern.replace("'", "''")
+        return f"""
+    select doc_id, {k} as k, '{kind}' as kind, place + 1 - i as start, length(hit) as size from (
+        select doc_id, i, split_part(part, chr(57345), 1) as hit, coalesce(sum(length(part)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as place
+        from (select doc_id, unnest(parts) as part, generate_subscripts(parts, 1) - 1 as i
+              from (select doc_id, string_split(regexp_replace(coalesce(text, ''), '{pattern}', chr(57344) || '\\0' || chr(57345), 'g'), chr(57344)) as parts from documents) as m) as n) as o
+    where i > 0 and length(regexp_extract(hit, '{pattern}', {group})) >= {least}"""
+
+    kinds = " union all ".join(found(k, *rule) for k, rule in enumerate(_SECRETS))
+    listed = "string_agg(kind || ':' || start || ':' || (start + size), ',' order by start, k)"
+    return f"""
+    with s as ({kinds}),
+    a as (select doc_id, count(*) filter (where k = 0) as n_assign, count(*) filter (where k = 1) as n_access, count(*) filter (where k = 2) as n_hex,
+        coalesce({listed} filter (where k < 3), '') as base, {listed} as spans from s group by doc_id)
+    select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+        sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+    from documents d left join a on a.doc_id = d.doc_id"""
+
+
 #: Searches, scores, draws and plans are beyond SQL; tests hold them against brute force and held-out labels.
 ORACLE_SQL: dict[str, str] = {
+    "op5_secret_scan": _secrets_sql(),
     "op1_minhash_dedup": r"""
     with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
     s as (select doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as shingle from w),
