@@ -103,6 +103,15 @@ def test_recall(spark, monkeypatch, block):
     assert all(s == pytest.approx(true[q, i], abs=1e-12) for q, own in got.items() for i, s in own)
 
 
+def test_repeated_query_rows_are_one_query(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.standard_normal(8).astype("float32").tolist(), 0) for i in range(1, 60)] + [(100, [1.0] * 8, 0)] * 2 + [(100, [-1.0] * 8, 0)] + [(7, [1.0] * 8, 0)] * 2
+    got = search(spark.createDataFrame(rows, SCHEMA))[100]
+    others = [(i, min(np.linalg.norm(np.array(v) - q) for q in (np.ones(8), -np.ones(8)))) for i, v, _ in rows if i != 100]
+    want = sorted(others, key=lambda x: (x[1], x[0]))[:10]
+    assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want])
+
+
 def test_ties_few_candidates_and_odd_vectors(spark):
     rows = [(100 * i, [1.0, 2.0, 3.0], None) for i in range(1, 4)] + [(7, [1.0, 2.0, 4.0], 1), (8, None, 1), (9, [0.0] * 3, 1), (10, [1.0, None, 2.0], 1), (11, [float("inf")] * 3, 1), (12, [1.0], 1)]
     got = search(spark.createDataFrame(rows, SCHEMA))

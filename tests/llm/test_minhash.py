@@ -88,13 +88,26 @@ def test_tile_links():
     ids, classes, sizes = np.array([5, 3, 9]), np.array([0, 1, 2]), np.array([4, 4, 4])
     a, b = linked_in_tile(ids, classes, sizes, np.array([1, 2, 3, 4, 1, 2, 3, 4, 7, 8, 9, 1]), 0.8)
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(5, 3)}
+    rng = np.random.default_rng(2)
+    bags = [np.unique(np.where(rng.random(60) < 0.12, rng.integers(0, 5000, 60), np.arange(60) + 100 * (i % 2))) for i in range(90)]
+    a, b = linked_in_tile(np.arange(90), np.arange(90), np.array([len(x) for x in bags]), np.concatenate(bags), 0.8)
+    label = np.arange(90)
+    label[b] = a
+    parent = np.arange(90)
+    for i in range(90):
+        for j in range(i):
+            both = len(np.intersect1d(bags[i], bags[j]))
+            if both >= 0.8 * (len(bags[i]) + len(bags[j]) - both):
+                parent[parent == max(parent[i], parent[j])] = min(parent[i], parent[j])
+    assert (label == parent).all() and 2 < len(set(parent.tolist())) < 90
     assert len(linked_in_tile(ids, np.zeros(3, int), sizes, np.arange(12) % 4, 0.8)[0]) == 0
 
 
 def test_odd_rows(spark, odd_documents):
     got = sorted(map(tuple, near_duplicates(odd_documents).collect()), key=str)
-    assert len(got) == odd_documents.count() and [c for i, c in got if i is None] == [None, None]
-    ids = {i: c for i, c in got if i is not None}
+    assert len(got) == odd_documents.count() and [(c, k) for i, c, k in got if i is None] == [(None, True)] * 2
+    ids = {i: c for i, c, _ in got if i is not None}
+    assert {i for i, _, k in got if not k} == {2, 7}
     assert ids == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8, 9: 9, 10: 10}
     kept = deduplicate(odd_documents)
     assert kept.columns == odd_documents.columns
@@ -102,6 +115,17 @@ def test_odd_rows(spark, odd_documents):
     assert near_duplicates(odd_documents.limit(0)).count() == 0
 
 
+def test_no_text_is_lost_to_a_shared_id(spark):
+    """Rows of one id and different texts are different documents; helper names may be taken by columns."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, a + " end"), (7, None), (7, None), (7, b.upper())]
+    docs = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "doc_id long, text string, t long, h long, row string")
+    assert sorted((r["doc_id"], r["text"]) for r in deduplicate(docs).where("text is not null").collect()) == [(1, a), (5, b)]
+    assert deduplicate(docs).where("text is null").count() == 2 and deduplicate(docs).columns == docs.columns
+    got = Counter(map(tuple, near_duplicates(docs).collect()))
+    assert got == Counter({(1, 1, True): 1, (5, 1, False): 1, (5, 5, True): 2, (7, 1, False): 1, (7, 7, True): 2, (7, 5, False): 1})
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 90), (90, 95), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}

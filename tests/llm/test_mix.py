@@ -1,6 +1,7 @@
 """Source mixing: targets, conservation, expectation and repeatability."""
 
 import collections
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ def test_documents_table(spark):
     assert sorted(r["doc_id"] for r in got) == sorted(docs)
     by = collections.defaultdict(list)
     for r in got:
-        assert r["size"] == len((docs[r["doc_id"]]["text"] or "").split(" ")) or r["size"] <= len((docs[r["doc_id"]]["text"] or "").split())
+        assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", docs[r["doc_id"]]["text"] or ""))
         assert r["taken"] in (0, r["size"], 2 * r["size"])
         by[docs[r["doc_id"]]["source"]].append(r)
     want = targets({s: sum(r["size"] for r in rows) for s, rows in by.items()})
@@ -74,6 +75,22 @@ def test_apply_repeats_rows(spark):
     assert got == {i: n for i, n in copies.items() if n}
 
 
+def test_repeated_ids_and_clashing_names(spark):
+    """Rows of one id with different texts are not mixed up, equal rows share their copies, and no helper name is taken."""
+    names = ["rows", "key", "__row", "k", "n", "total", "part", "row", "hash", "size", "copies", "doc", "times", "copy"]
+    rows = [(1, "s", f"a {i} " * 3, *[i] * len(names)) for i in range(40)] + [(1, "s", "same text here", *[0] * len(names))] * 30 + [(None, "s", "no id", *[0] * len(names))] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, " + ", ".join(f"`{n}` long" for n in names)).repartition(3)
+    mixed = op.mix_sources(docs.select("doc_id", "source", "text"))
+    assert mixed.groupBy("doc_id", "hash", "row").count().where("count > 1").count() == 0 and mixed.count() == 100
+    out = op.apply_mix(docs)
+    assert out.columns == docs.columns
+    got = collections.Counter(r["text"] for r in out.collect())
+    assert got["same text here"] in range(30, 61) and got["no id"] in range(30, 61)  # 1.5 times 30, each row once or twice
+    assert all(got[f"a {i} " * 3] in (1, 2) for i in range(40))
+    size = {t: len(t.split()) for t in got}
+    assert abs(sum(size[t] * n for t, n in got.items()) - 1.5 * sum(len(r[2].split()) for r in rows)) <= 6
+
+
 def test_odd_rows(spark, odd_documents):
     rows = op.mix_sources(odd_documents).collect()
     assert len(rows) == odd_documents.count()

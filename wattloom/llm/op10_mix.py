@@ -10,7 +10,11 @@ leaves one open document. Those of GROUP neighbouring groups meet on the next le
 is drawn by its fraction. A source's words so miss the target by less than one document. Draws are hashes of ids: reruns agree.
 
 Sources are ordered by code point, nulls last as a source of their own, with weights 3, 1, 2 repeating. Null texts have
-size 0 and take nothing; an empty table gives an empty result. Rows that repeat an id are documents of their own.
+size 0 and take nothing; an empty table gives an empty result. Texts of any length are one number here, their size.
+
+Rows that repeat an id are documents of their own. A row is told by its id, source, size and a hash of all its columns;
+rows that agree in these are interchangeable and numbered, within the partition that read them first, so that a group of
+any number of them is never in one task. ``apply_mix`` keeps all columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -102,11 +106,30 @@ def settle(items: DataFrame, levels: int, seed: int = SEED) -> DataFrame:
     return last if settled is None else settled.unionByName(last)
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row; maps, which can't be hashed, are left out."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not f.dataType.simpleString().count("map<")])
+
+
+def numbered(rows: DataFrame, keys: list[str], part: str) -> DataFrame:
+    """``rows`` with ``row``, 1 to n within the rows of the same ``keys``, which are told apart by ``part`` only.
+
+    Ranks are taken within a part and shifted by the counts of the parts before it, so equal keys are spread over tasks.
+    """
+    per_part = rows.groupBy(*keys, part).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy(part)) - F.col("n")
+    shifts = per_part.select(F.struct(*keys).alias("k"), F.col(part).alias("p"), before.alias("before")).where("before > 0")
+    own = rows.withColumn("row", F.row_number().over(Window.partitionBy(*keys, part).orderBy(*keys)))
+    same = F.struct(*[own[k] for k in keys]).eqNullSafe(F.col("k")) & (own[part] == F.col("p"))
+    return own.join(shifts, same, "left").withColumn("row", F.col("row") + F.coalesce("before", F.lit(0))).drop("k", "p", "before")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, row, source_size, target and copies; ``row`` tells rows apart that agree in the first three."""
-    same = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
-    sizes = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"))
-    sizes = materialise(sizes.withColumn("row", F.row_number().over(same)))
+    """doc_id, source, size, hash, row, source_size, target and copies; ``row`` tells rows apart that agree in the first four."""
+    keys = ["doc_id", "source", "size", "hash"]
+    sizes = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), row_hash(docs).alias("hash"), F.spark_partition_id().alias("part"))
+    sizes = numbered(materialise(sizes), keys, "part").drop("part")
+    sizes = materialise(sizes)
     targets = materialise(source_targets(sizes, weights, share, most))
     n_sources, largest = targets.agg(F.count("*"), F.max("n_docs")).first()
     if n_sources <= MAX_BROADCAST_SOURCES:
@@ -114,7 +137,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rated = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"]).withColumn("rate", rate)
     rated = rated.withColumn("sure", F.floor("rate")).withColumn("open", F.col("size") * (F.col("rate") - F.floor("rate")))
-    rated = rated.withColumn("id", F.struct("doc_id", "size", "row"))
+    rated = rated.withColumn("id", F.struct("doc_id", "size", "hash", "row"))
     is_open = (F.col("open") > 0) & (F.col("open") < F.col("size"))
     groups = F.ceil(F.col("n_docs") / GROUP)
     items = rated.where(is_open).select("source", F.pmod(F.xxhash64(F.lit(seed), F.lit(-2), "id"), groups).alias("node"), "id", F.col("size").cast("double").alias("size"), "open")
@@ -124,27 +147,30 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     settled = settle(items, levels, seed).select(F.col("source").alias("s"), "id", F.col("open").alias("words"))
     out = rated.join(settled, rated["source"].eqNullSafe(F.col("s")) & (rated["id"] == settled["id"]), "left")
     copies = (F.col("sure") + F.when(F.col("words") > 0, 1).otherwise(0)).cast("long")
-    return out.select("doc_id", "source", "size", "row", "source_size", "target", copies.alias("copies"))
+    return out.select(*keys, "row", "source_size", "target", copies.alias("copies"))
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them; size 0 takes part by its rate's whole part only."""
-    mixed = mix_sources(docs, **options).where("copies > 0")
-    per_key = mixed.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list(F.struct("row", "copies"))).alias("rows"))
-    per_key = per_key.select(F.struct("doc_id", "source", "size").alias("key"), "rows")
-    keyed = docs.select(*docs.columns, F.struct("doc_id", "source", count_words(F.col("text")).alias("size")).alias("__key"))
-    joined = keyed.join(per_key, keyed["__key"] == per_key["key"])
-    single = F.size("rows") == 1
-    alone = joined.where(single & (F.col("rows")[0]["row"] == 1)).withColumn("__n", F.col("rows")[0]["copies"])
-    # only rows that share id, source and size need an ordinal
-    ordinal = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
-    several = joined.where(~single | (F.col("rows")[0]["row"] != 1)).withColumn("__row", ordinal)
-    several = several.withColumn("__n", F.filter("rows", lambda r: r["row"] == F.col("__row"))[0]["copies"]).drop("__row")
-    both = alone.unionByName(several)
-    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy")).drop("__copy")
+    """The rows of ``docs`` as often as the mix takes them; size 0 takes part by its rate's whole part only.
+
+    Interchangeable rows share their copies: each gets the whole part of the mean, the first ones one more.
+    """
+    keys = ["doc_id", "source", "size", "hash"]
+    per_key = mix_sources(docs, **options).groupBy(*keys).agg(F.count("*").alias("n"), F.sum("copies").alias("total"))
+    per_key = per_key.where("total > 0").select(F.struct(*keys).alias("k"), "n", "total")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.struct("doc_id", "source", count_words(F.col("text")).alias("size"), row_hash(docs).alias("hash")).alias("key"))
+    joined = packed.join(per_key, F.col("key") == F.col("k")).drop("k")
+    alone = joined.where("n = 1").select("doc", F.col("total").alias("times"))
+    # only interchangeable rows need numbers
+    several = materialise(joined.where("n > 1").withColumn("part", F.spark_partition_id()))
+    ranked = numbered(several, ["key"], "part")
+    times = F.floor(F.col("total") / F.col("n")) + F.when(F.col("row") <= F.col("total") % F.col("n"), 1).otherwise(0)
+    both = alone.unionByName(ranked.select("doc", times.cast("long").alias("times")))
+    repeated = both.where("times > 0").select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy"))
+    return repeated.select("doc.*")
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
-    mixed = mix_sources(read(spark, sf_dir, "documents"))
+    mixed = mix_sources(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

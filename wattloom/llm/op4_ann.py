@@ -13,7 +13,9 @@ least (with all ties) are computed exactly, in double precision, and the k neare
 
 Null, zero or not finite vectors, rows without an id, and vectors of another length than the most common one take no
 part. Ties go to the smaller id; repeated rows are candidates of their own, and a query meets all rows but those with
-its id. Fewer than k candidates are all returned, if need be from further lists. An empty table gives an empty result.
+its id. Query rows that share an id are one query: a candidate counts once, with its least distance to any of them. Fewer
+than k candidates are all returned, if need be from further lists. An empty table gives an empty result; columns other
+than vec_id and embedding are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -162,7 +164,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, probes: int | None
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near), pa.array([c.tobytes() for c in code], pa.binary())], names=[*batch.schema.names, "list", "code"])
 
     kind = dict(good.dtypes)["vec_id"]
-    indexed = materialise(good.select("vec_id", "v").mapInArrow(encode, f"vec_id {kind}, v array<double>, list bigint, code binary"))
+    encoded = good.select("vec_id", "v").mapInArrow(encode, f"vec_id {kind}, v array<double>, list bigint, code binary")
+    indexed = materialise(encoded.withColumn("row", F.monotonically_increasing_id()))  # numbers are fixed by writing them
     sizes = np.zeros(len(index.value.coarse), np.int64)
     for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect():  # at most MAX_LISTS rows
         sizes[r["list"]] = r["n"]
@@ -177,28 +180,31 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, probes: int | None
             lists = [row[:m] for row, m in zip(order, enough, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int64()))], names=["query_id", "q", "lists"])
 
-    queries = indexed.where(is_query).select("vec_id", "v").mapInArrow(probe, f"query_id {kind}, q array<double>, lists array<bigint>")
+    queries = indexed.where(is_query).select("vec_id", "v").distinct().mapInArrow(probe, f"query_id {kind}, q array<double>, lists array<bigint>")
     probed = materialise(queries.select("query_id", "q", F.explode("lists").alias("list")))
     # blocks of a list's vectors meet chunks of its queries; both counts are per list, so they can be broadcast
     per_list = spark.createDataFrame([(i, int(-(-s // BLOCK)), int(s)) for i, s in enumerate(sizes) if s], "list bigint, blocks int, n bigint")
     asked = probed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     plan = F.broadcast(per_list.join(asked, "list").select("list", "blocks", "chunks"))
-    dealt = indexed.join(plan, "list").withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "vec_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("list", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "vec_id", "v", "code")
-    asking = probed.join(plan, "list").withColumn("chunk", F.pmod(F.xxhash64(F.lit(SEED), "query_id"), F.col("chunks")).cast("int"))
+    dealt = indexed.join(plan, "list").withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "row"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("list", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "row", "vec_id", "v", "code")
+    asking = probed.join(plan, "list").withColumn("chunk", F.pmod(F.xxhash64(F.lit(SEED), "query_id", "q"), F.col("chunks")).cast("int"))
     asking = asking.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "chunk", "query_id", "q")
 
     def search(block: pa.Table, asked: pa.Table) -> pa.Table:
         if not block.num_rows or not asked.num_rows:
-            return pa.table({"query_id": pa.array([], asked.schema.field("query_id").type), "vec_id": pa.array([], asked.schema.field("query_id").type), "score": pa.array([], pa.float64())})
+            empty = pa.array([], asked.schema.field("query_id").type)
+            return pa.table({"query_id": empty, "row": pa.array([], pa.int64()), "vec_id": empty, "score": pa.array([], pa.float64())})
         ids, v = np.asarray(block.column("vec_id")), _matrix(block.column("v"), block.num_rows)
         q_ids, q = np.asarray(asked.column("query_id")), _matrix(asked.column("q"), asked.num_rows)
         place, near, exact = search_block(index.value, block.column("list")[0].as_py(), ids, v, _codes(block.column("code"), len(ids)), q_ids, q, k, rerank)
-        return pa.table({"query_id": q_ids[place], "vec_id": ids[near], "score": exact})
+        return pa.table({"query_id": q_ids[place], "row": np.asarray(block.column("row"))[near], "vec_id": ids[near], "score": exact})
 
     keys = ("list", "block", "chunk")
-    found = dealt.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(search, f"query_id {kind}, vec_id {kind}, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    found = dealt.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(search, f"query_id {kind}, row bigint, vec_id {kind}, score double")
+    # a candidate row counts once, however many rows share the query's id
+    once = found.groupBy("query_id", "row", "vec_id").agg(F.min("score").alias("score"))
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id", "row")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

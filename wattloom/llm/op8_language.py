@@ -4,13 +4,16 @@ Per language, a suffix automaton of a bounded sample of labelled text is built.
 phrases that the automaton of a language holds; log2(sample length) bits point at each phrase, and a phrase's next
 letter starts the following one. The language that needs the fewest bits a letter wins.
 
-The automata become one transition table over letter classes, and all blocks of a slice of texts step through it side
-by side. A text is parsed whole, in blocks of BLOCK bytes; a phrase ends at the end of its block.
+The automata become one transition table over letter classes, and blocks of BLOCK bytes of a slice of texts step through
+it side by side, each as if a phrase began with it. Then the phrase that truly crosses into a block is followed until
+some phrase begins where one of the block's own begins; from there both go on alike. Blocks that never meet the true
+phrases (long runs of one pattern) are read one after the other. So a text is parsed whole, and its phrases are those of
+one pass from its first letter to its last.
 
-Sample: of each language, about SAMPLE_DOCS training rows by least hash of their id. The whole of their texts is cut into
-sentences and lines (PASSAGE characters at most); repeated ones are removed, and those of least hash are taken up to
-LANGUAGE_CHARS, so any place of a text is as likely as its opening. These bounds do not grow with the table; the sample
-alone goes through the driver.
+Sample: of each language, about SAMPLE_DOCS training rows by least hash of id and text. The whole of their texts is cut
+into sentences and lines (PASSAGE characters at most); repeated ones are removed, and those of least hash are taken up to
+LANGUAGE_CHARS (less with very many languages, MODEL_CHARS in all), so any place of a text is as likely as its opening.
+These bounds do not grow with the table; the sample alone goes through the driver, and the table stays within some GB/4.
 
 Results: ``und`` with score 0 for null texts, texts without a letter, and where no language can be learned. Ties go to
 the language that sorts first. Rows do not depend on each other, so repeated rows agree; an empty table gives an empty
@@ -31,14 +34,14 @@ from pyspark.sql.window import Window
 
 from wattloom.llm.common import byte_buffer, crc_mod, read, slices_of
 
-SAMPLE_DOCS, PASSAGE, LANGUAGE_CHARS = 192, 400, 40_000
+SAMPLE_DOCS, PASSAGE, LANGUAGE_CHARS, MODEL_CHARS = 192, 400, 40_000, 800_000
 BLOCK = 512
 UNKNOWN = "und"
 
 
 def training_sample(docs: DataFrame, may_learn: Column) -> list[tuple[str, str]]:
     """(language, text) of the bounded sample, each language joined to one string, by language."""
-    known = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string")).alias("h"))
+    known = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string"), "text").alias("h"))
     share = {r["lang"]: min(1.0, SAMPLE_DOCS / r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:
         return []
@@ -50,7 +53,7 @@ def training_sample(docs: DataFrame, may_learn: Column) -> list[tuple[str, str]]
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("passage"), "text"), "text")  # passages of a bounded number of rows
     taken = passages.withColumn("n", F.row_number().over(order)).withColumn("end", F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     listed = F.array_sort(F.collect_list(F.struct("n", "text")))
-    joined = taken.where(F.col("end") <= LANGUAGE_CHARS).groupBy("lang").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n").alias("text"))
+    joined = taken.where(F.col("end") <= min(LANGUAGE_CHARS, MODEL_CHARS // len(share))).groupBy("lang").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n").alias("text"))
     found = {r["lang"]: r["text"] for r in joined.collect()}
     rows = [{"lang": lang, "text": found.get(lang, "")} for lang in share]  # a language may have blank texts only
     return sorted((r["lang"], r["text"]) for r in rows)
@@ -133,17 +136,68 @@ class Model:
         letters = self.classes[raw]
         out = np.zeros((len(sizes), len(self.languages)))
         live = np.searchsorted(-long, -np.arange(BLOCK), side="left")  # blocks longer than the step
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        late = np.flatnonzero(np.diff(np.sort(row), prepend=-1) == 0)  # not the first of their text, in reading order
+        here, before = place[late], place[late - 1]
+        steps = int(long[0]) if len(long) else 0
         for lang, start in enumerate(self.starts):
             state = np.full(len(row), start, self.table.dtype)
-            count = np.ones(len(row), np.int32)
-            for step in range(int(long[0]) if len(long) else 0):
+            count = np.zeros(len(row), np.int64)
+            begins = np.zeros((steps, len(row)), np.uint8)
+            for step in range(steps):
                 n = live[step]
                 entry = self.table[state[:n] + letters[first[:n] + step]]
-                count[:n] += entry & 1
+                begins[step, :n] = entry & 1 if step else 1
+                count[:n] += begins[step, :n]
                 state[:n] = entry >> 1
+            if len(late):
+                self._follow(letters, first, long, begins, count, state, here, before)
             out[:, lang] = np.bincount(row, weights=count, minlength=len(sizes))
         return out
 
+    def _follow(self, letters: np.ndarray, first: np.ndarray, long: np.ndarray, begins: np.ndarray, count: np.ndarray, state: np.ndarray, here: np.ndarray, before: np.ndarray) -> None:
+        """Put right the counts of the blocks ``here`` (in reading order), into which a phrase of ``before`` may go on."""
+        open_, at = np.arange(len(here)), state[before]
+        true, own = np.zeros(len(here), np.int64), np.zeros(len(here), np.int64)  # phrases so far, followed and its own
+        met = np.zeros(len(here), bool)
+        for step in range(len(begins)):
+            open_ = open_[long[here[open_]] > step]
+            if not len(open_):
+                break
+            block = here[open_]
+            entry = self.table[at[open_] + letters[first[block] + step]]
+            at[open_] = entry >> 1
+            true[open_] += entry & 1
+            own[open_] += begins[step, block]
+            same = (entry & 1 & begins[step, block]).astype(bool)
+            met[open_[same]] = True
+            open_ = open_[~same]
+        met |= at == state[here]  # the same phrase at the end of the block
+        whole = true.copy()
+        whole[met] += (count[here] - own)[met]
+        at[met] = state[here][met]
+        # behind a block that was not met, the phrase that goes on is another than was followed
+        table, reached = None, -1
+        for k in np.flatnonzero(~met).tolist():
+            if k <= reached:
+                continue
+            while k + 1 < len(here) and before[k + 1] == here[k] and at[k] != state[here[k]]:
+                k += 1
+                table = table if table is not None else memoryview(self.table)
+                block, n, s, left = here[k], 0, int(at[k - 1]), int(count[here[k]])
+                span = letters[first[block] : first[block] + long[block]].tobytes()
+                for letter, mark in zip(span, begins[:, block].tobytes(), strict=False):
+                    entry = table[s + letter]
+                    s, left = entry >> 1, left - mark
+                    n += entry & 1
+                    if entry & mark & 1:
+                        n, s = n + left, int(state[block])
+                        break
+                whole[k], at[k] = n, s
+            reached = k
+        count[here] = whole
+
     def predict(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the best language and its score: the softmax of minus the bits, softened by SOFT."""
         bits = self.phrases(raw, bounds) * np.array(self.bits)
