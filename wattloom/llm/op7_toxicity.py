@@ -34,8 +34,8 @@ EXAMPLES, COMMON = 24_000, 512
 LEAST_TEXTS, LEAST_EVIDENCE, LEAST_LIFT = 5, 20.0, 3.0
 TELLING = 4.0
 K, BLOCK, EVIDENCE = 15, 128, 3
-#: Texts whose cosines are added up at once; the dense part is in single precision, off by far less than SLACK.
-BATCH, SLACK = 64, 1e-5
+#: Texts whose dense parts are added up at once, and whose lists are; sums are in single precision, off by far less than SLACK.
+BATCH, LISTED, SLACK = 256, 8, 1e-5
 
 
 def row_terms(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,16 +146,23 @@ class BlockMaxIndex:
         first = np.zeros((n, len(dense)), np.float32)
         first[query[often], at[often]] = weight[often]
         sums = first @ dense
-        rare = places[~often]
+        rare, held, of = places[~often], weight[~often].astype(np.float32), query[~often]
         size = self.edges[rare + 1] - self.edges[rare]
-        spot = _spans(self.edges[rare], size)
-        cell = np.repeat(query[~often] * sums.shape[1], size) + self.example[spot]
-        sums += np.bincount(cell, np.repeat(weight[~often], size) * self.weight[spot], minlength=sums.size).reshape(sums.shape)
+        cut = np.searchsorted(of, np.arange(0, n + LISTED, LISTED))
+        for k in range(len(cut) - 1):
+            part = slice(cut[k], cut[k + 1])
+            spot = _spans(self.edges[rare[part]], size[part])
+            cell = np.repeat(of[part] * sums.shape[1], size[part]) + self.example[spot]
+            np.add.at(sums.reshape(-1), cell, np.repeat(held[part], size[part]) * self.weight[spot])
         if skip is not None:
             sums[np.arange(n), skip] = 0
         peaks = sums.reshape(n, -1, BLOCK).max(axis=2)
         floor = np.partition(peaks, -K, axis=1)[:, -K] if peaks.shape[1] >= K else np.zeros(n)
-        found, best = np.nonzero((sums > 0) & (sums >= floor[:, None] - SLACK))
+        # only blocks whose maximum reaches the floor are looked into
+        text, block = np.nonzero((peaks > 0) & (peaks >= floor[:, None] - SLACK))
+        inside = sums.reshape(n, -1, BLOCK)[text, block]
+        row, place = np.nonzero((inside > 0) & (inside >= floor[text, None] - SLACK))
+        found, best = text[row], block[row] * BLOCK + place
         cut = np.searchsorted(found, np.arange(n + 1))
         vector = np.zeros(len(self.vocabulary))
         for k in range(n):
