@@ -76,6 +76,108 @@ def test_merge_replaces_the_path_it_reads(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "annual")).columns == ["bldg_id", "weight", "out.x", "state", "upgrade"]
 
 
+def test_merge_rewrites_touched_partitions_only(spark, tmp_path):
+    path = tmp_path / "lake"
+    first = spark.createDataFrame([(1, "NY", 0), (2, "AL", 0)], "bldg_id long, state string, upgrade int")
+    merge.merge_partitions(first, str(path), ("state", "upgrade"))
+    before = {p.name: p.stat().st_mtime_ns for p in (path / "state=NY" / "upgrade=0").iterdir()}
+    merge.merge_partitions(spark.createDataFrame([(2, "AL", 0), (3, "AL", 0), (4, "TX", 4)], first.schema), str(path), ("state", "upgrade"))
+    assert {p.name: p.stat().st_mtime_ns for p in (path / "state=NY" / "upgrade=0").iterdir()} == before
+    assert sorted((r["bldg_id"], r["state"]) for r in spark.read.parquet(str(path)).collect()) == [(1, "NY"), (2, "AL"), (3, "AL"), (4, "TX")]
+    merge.merge_partitions(first.limit(0), str(path), ("state", "upgrade"))
+    assert spark.read.parquet(str(path)).count() == 4 and sorted(p.name for p in tmp_path.iterdir()) == ["lake"]
+
+
+def test_a_crash_while_swapping_loses_nothing(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/t.before-x")  # the old rows were moved aside, the new ones never came
+    assert merge.recover(spark, f"{tmp_path}/t") and spark.read.parquet(f"{tmp_path}/t").count() == 3
+    assert not merge.recover(spark, f"{tmp_path}/t") and not merge.recover(spark, f"{tmp_path}/other")
+    merge.replace_path(spark.read.parquet(f"{tmp_path}/t").where("id > 0"), f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_a_large_partition_is_written_by_several_tasks(spark, tmp_path):
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        rows = spark.range(0, 200_000, 1, 8).select("id", F.md5(F.col("id").cast("string")).alias("x"), F.when(F.col("id") % 100 > 0, "NY").otherwise("AL").alias("state"))
+        merge.write_partitioned(rows, str(tmp_path / "t"), ("state",), ("id",))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    files = {s: len(list((tmp_path / "t" / f"state={s}").glob("*.parquet"))) for s in ("NY", "AL")}
+    assert files["NY"] > 1 and files["AL"] <= files["NY"]
+    assert spark.read.parquet(str(tmp_path / "t")).distinct().count() == 200_000
+
+
+def test_steps_from_parts_are_those_from_readings(spark):
+    rows = [(b, f"2022-01-{d:02d} {h:02d}:{m:02d}:00", v, v, e) for b, d, h, m, v, e in [(1, 1, 0, 15, 1.0, "a"), (1, 1, 0, 30, None, None), (1, 1, 23, 45, 3.0, "b"), (1, 2, 0, 0, 5.0, "c"), (2, 31, 5, 0, None, "d"), (2, 31, 5, 15, None, "e")]]
+    df = spark.createDataFrame(rows, "bldg_id long, t string, s double, m double, f string").select("bldg_id", F.to_timestamp_ntz("t").alias("timestamp"), "s", "m", "f")
+    rules = {"s": "sum", "m": "mean", "f": "first"}
+    for step, out in timeagg.all_steps(df, rules, ("hourly", "daily", "monthly")).items():
+        want = timeagg.aggregate(df, rules, step)
+        assert sorted(map(tuple, out.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_the_load_curve_job_scans_its_readings_once(spark, tmp_path):
+    path = str(tmp_path / "in")
+    rows = spark.range(100).select(F.lit(1).alias("bldg_id"), F.expr("timestamp_ntz '2022-01-01 00:15:00' + make_dt_interval(0, 0, 15 * cast(id as int))").alias("timestamp"), F.lit(1.0).alias("x"), F.lit("NY").alias("state"), F.lit(0).alias("upgrade"))
+    rows.write.parquet(path)
+    reads = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: (reads.add(1), x)[1], "double")
+    counted = spark.read.parquet(path).withColumn("x", seen("x"))
+    ingest.load_curve_job(counted, {"x": "sum"}, str(tmp_path / "out"))
+    assert reads.value == 100
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["load_curve_daily", "load_curve_hourly", "load_curve_monthly"]
+    assert {r["x"] for r in spark.read.parquet(str(tmp_path / "out" / "load_curve_daily")).collect()} == {96.0, 4.0}
+
+
+def test_stations_are_parsed(spark):
+    from wattloom.sources.archives import first_station
+
+    assert first_station("<a><!-- <WeatherStation><Name>OLD</Name></WeatherStation> --><b:WeatherStation><b:Name> A &amp; B </b:Name></b:WeatherStation></a>") == "A & B"
+    assert first_station("<a><WeatherStation><x/></WeatherStation><WeatherStation><Name>N</Name></WeatherStation></a>") == "N"
+    assert [first_station(x) for x in (None, "", "<a>", "<a/>", "<WeatherStation><y><Name>deep</Name></y></WeatherStation>")] == [""] * 5
+
+
+def test_jobs_from_a_shell(spark, tmp_path):
+    from wattloom.cli import main
+
+    raw = spark.createDataFrame([(1, "New York", "c1", "p1"), (2, "TX", "c2", "p2")], "bldg_id long, `in.state` string, `in.county` string, `in.puma` string")
+    raw.write.parquet(f"{tmp_path}/land/2021/resstock_tmy3_release_1/metadata/metadata.parquet")
+    (tmp_path / "catalogue.json").write_text('{"res_2021_tmy3_1": {"upgrade_ids": ["0"], "available_data": ["metadata"]}, "res_2022_tmy3_1": {"upgrade_ids": ["0"], "available_data": []}}')
+    main(["index", f"{tmp_path}/land", f"{tmp_path}/catalogue.json", f"{tmp_path}/index"], spark)
+    assert sorted((r["bldg_id"], r["state"], r["product"]) for r in spark.read.parquet(f"{tmp_path}/index").collect()) == [(1, "NY", "resstock"), (2, "TX", "resstock")]
+    main(["buildings", f"{tmp_path}/index", "res_2021_tmy3_1", "NY"], spark)
+    trips = spark.createDataFrame([(1, 1, "res_2021_tmy3_1", "NY")], "bldg_id long, vehicle_id int, release string, state string")
+    trips.write.parquet(f"{tmp_path}/trips")
+    main(["trips", f"{tmp_path}/trips", f"{tmp_path}/out/trips"], spark)
+    assert spark.read.parquet(f"{tmp_path}/out/trips").count() == 1
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("in.xml", "<a><WeatherStation><Name>JFK</Name></WeatherStation></a>")
+    (tmp_path / "zips").mkdir()
+    (tmp_path / "zips" / "bldg0000001-up00.zip").write_bytes(data.getvalue())
+    main(["weather-map", f"{tmp_path}/zips", "res_2021_tmy3_1", f"{tmp_path}/map"], spark)
+    assert [r["weather_station_name"] for r in spark.read.parquet(f"{tmp_path}/map").collect()] == ["JFK"]
+    landed = spark.createDataFrame([(1, "NY", 0, 1.0)], "bldg_id long, state string, upgrade int, `out.kwh` double")
+    landed.write.parquet(f"{tmp_path}/landed")
+    for job in ("metadata", "annual"):
+        main([job, f"{tmp_path}/landed", f"{tmp_path}/lake/{job}"], spark)
+        assert spark.read.parquet(f"{tmp_path}/lake/{job}").count() == 1
+
+
+def test_vehicles_from_a_shell(spark, tmp_path):
+    from wattloom.cli import main
+
+    meta = [(i, 1.0, "urban" if i % 2 else "rural", "G3600001" if i % 2 else "G3600002", f"{i % 9}0000-{i % 9}9999", str(i % 4 + 1), "NY") for i in range(1, 30)]
+    spark.createDataFrame(meta, "bldg_id long, weight double, `in.puma_metro_status` string, `in.puma` string, `in.income` string, `in.occupants` string, `in.state` string").write.parquet(f"{tmp_path}/meta")
+    (tmp_path / "households.csv").write_text("PUMA,HINCP,NP,VEH,WGTP\n" + "".join(f"0000{i % 2 + 1},{i * 3000},{i % 4 + 1},{'b' if i % 9 == 0 else i % 3},1\n" for i in range(1, 40)))
+    (tmp_path / "trips.csv").write_text("VEHCASEID,CENSUS_D,HHFAMINC,HHSIZE,HHVEHCNT,TDWKND,STRTTIME,ENDTIME,TRPMILES,WTTRDFIN,URBRUR,VEHID\n" + "".join(f"v{i % 9},2,{i % 9 + 1},{i % 4 + 1},{i % 2 + 1},{i % 2 + 1},800,1700,{i}.5,1.0,1,1\n" for i in range(40)))
+    main(["vehicles", f"{tmp_path}/meta", f"{tmp_path}/households.csv", f"{tmp_path}/trips.csv", "NY", "res_2022_tmy3_1", f"{tmp_path}/out", "--start", "2022-01-01", "--end", "2022-01-07"], spark)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() > 20 and out.where("departure_hour not between 0 and 23").count() == 0
+
+
 def test_old_rows_win(spark):
     old, new = (spark.createDataFrame(r, "k int, v string") for r in ([(1, "old")], [(1, "new"), (2, "b"), (2, "a")]))
     assert sorted(map(tuple, merge.upsert_old_wins(old, new, ("k",), [F.col("v")]).collect())) == [(1, "old"), (2, "a")]

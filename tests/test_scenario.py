@@ -37,9 +37,28 @@ def test_invalid(bad, said):
 def test_uniform_adoption():
     got = uniform_adoption([4, 8], {4: 0.6, 8: 0.4}, [0.1, 0.3, 0.5])
     assert got == {4: pytest.approx([0.06, 0.18, 0.30]), 8: pytest.approx([0.04, 0.12, 0.20])}
-    for weights, path in (({4: 1.0}, [0.1]), ({4: 0.6, 8: 0.5}, [0.1]), ({4: 1.2, 8: -0.2}, [0.1]), ({4: 0.6, 8: 0.4}, []), ({4: 0.6, 8: 0.4}, [0.3, 0.1]), ({4: 0.6, 8: 0.4}, [1.3])):
-        with pytest.raises(errors.InvalidScenario):
-            uniform_adoption([4, 8], weights, path)
+
+
+@pytest.mark.parametrize(
+    ("upgrades", "weights", "path", "said"),
+    [
+        ([4, 8], {4: 0.7, 8: 0.4}, [0.1, 0.3], "must sum to 1.0"), ([4, 8], {4: -0.2, 8: 1.2}, [0.1, 0.3], r"must be in \[0, 1\]"),
+        ([4, 8], {4: 0.6, 8: 0.4}, [0.3, 0.2, 0.5], "must be non-decreasing"), ([4, 8], {4: 0.6, 9: 0.4}, [0.1, 0.3], "must match upgrade_ids"),
+        ([], {}, [0.1, 0.3], "cannot be empty"), ([4, 8], {4: 0.6, 8: 0.4}, [], "cannot be empty"), ([-1, 8], {-1: 0.6, 8: 0.4}, [0.1, 0.3], "non-negative integer"),
+    ],
+)
+def test_invalid_uniform_adoption(upgrades, weights, path, said):
+    with pytest.raises(errors.InvalidScenario, match=said):
+        uniform_adoption(upgrades, weights, path)
+
+
+def test_reader_needs_a_scenario():
+    with pytest.raises(ValueError, match="scenario parameter is required"):
+        ScenarioReader(None, None)
+    with pytest.raises(errors.InvalidScenario, match="must be non-decreasing"):
+        ScenarioReader(None, {4: [0.3, 0.2]})
+    with pytest.raises(ValueError, match="out of range"):
+        scenario.check_years([3], 3)
 
 
 @st.composite

@@ -26,13 +26,16 @@ def trips(spark):
 )
 def test_match_levels(spark, trips, income, occupants, n, level, candidates):
     b = spark.createDataFrame([("b", income, occupants, n)], "bldg_id string, income_bucket int, occupants int, vehicles int")
-    (row,) = vehicles.candidate_lists(b, trips).collect()
-    assert row["level"] == level and set(row["candidates"]) == candidates
+    levels = vehicles.match_levels(trips)
+    (row,) = vehicles.matched(b, levels).collect()
+    there = {r["hh_vehicle_id"] for r in levels.collect() if tuple(r)[:4] == tuple(row["match"])}
+    assert row["level"] == level and there == candidates and row["n_candidates"] == len(candidates)
 
 
 def test_profiles(spark, trips):
     b = spark.createDataFrame(BUILDINGS, "bldg_id string, income_bucket int, occupants int, vehicles int, metro string")
-    picked = vehicles.pick_k(vehicles.candidate_lists(b, trips), "candidates", "vehicles", 42)
+    levels = vehicles.match_levels(trips)
+    picked = vehicles.pick_vehicles(vehicles.matched(b, levels), levels, 42)
     got = {(r["bldg_id"], r["vehicle_id"]): r["hh_vehicle_id"] for r in picked.collect()}
     assert set(got) == {("b1", 1), ("b2", 1), ("b2", 2), ("b3", 1)} and {got["b2", 1], got["b2", 2]} == {"v2", "v3"}
     own = vehicles.vehicle_trips(picked, trips)
@@ -44,6 +47,16 @@ def test_profiles(spark, trips):
     assert vehicles.stream_schedules(own, date(2022, 1, 1), date(2022, 1, 7)).count() == days.count()
 
 
+def test_drawn_places_are_different_and_uniform(spark):
+    rows = spark.range(3000).select(vehicles.drawn_places(F.lit(5), F.lit(3), F.lit("s"), F.col("id").cast("string")).alias("p")).collect()
+    assert all(len(set(r["p"])) == 3 and set(r["p"]) <= {1, 2, 3, 4, 5} for r in rows)
+    for j in range(3):
+        counts = np.bincount([r["p"][j] for r in rows], minlength=6)[1:]
+        assert counts.min() > 480 and counts.max() < 720
+    few = spark.range(1).select(vehicles.drawn_places(F.lit(2), F.lit(3), F.lit("s")).alias("p"), vehicles.drawn_places(F.lit(0), F.lit(3), F.lit("s")).alias("q")).first()
+    assert sorted(few["p"]) == [1, 2] and few["q"] is None
+
+
 def test_schedule_of_a_seeded_stream():
     own = pd.DataFrame({"is_weekday": [True, False], "departure": [8, 10], "arrival": [17, 19], "miles_driven": [20.0, 25.0], "trip_weight": [1.0, 1.0]})
     got = vehicles.seeded_schedule(own, date(2022, 1, 1), date(2022, 1, 7), np.random.RandomState(42))

@@ -48,12 +48,24 @@ class TotalAboveOne(InvalidScenario):
     template = "Total adoption {total} in year {year} exceeds 1.0: {parts}"
 
 
-class InvalidWeights(InvalidScenario):
-    template = "Upgrade weights must name the same upgrades, be in [0, 1] and sum to 1.0; {detail}"
+class MissingScenario(InvalidScenario):
+    template = "A scenario parameter is required"
 
 
-class InvalidTrajectory(InvalidScenario):
-    template = "Adoption trajectory must be non-empty, in [0, 1] and non-decreasing; {detail}"
+class WeightsOfOthers(InvalidScenario):
+    template = "Weights must match upgrade_ids {upgrades}, got: {weights}"
+
+
+class WeightOutOfRange(InvalidScenario):
+    template = "Weights must be in [0, 1], got: {weights}"
+
+
+class WeightsSum(InvalidScenario):
+    template = "Weights must sum to 1.0, got: {weights}"
+
+
+class EmptyTrajectory(InvalidScenario):
+    template = "Adoption trajectory cannot be empty"
 
 
 class YearOutOfRange(WattloomError):
@@ -95,6 +107,10 @@ class NoBuildings(WattloomError):
     template = "No buildings to sample from"
 
 
+class UpgradesOfNoRelease(WattloomError):
+    template = "Buildings with upgrades that their release does not have: {found}"
+
+
 class UnavailableFileType(WattloomError):
     template = "Release {release} has no {file_type}"
 

@@ -108,19 +108,23 @@ def whole_target(fraction: float, total: int) -> int:
     return int(float(fraction) * total)
 
 
-def hash_uniform(*parts: Column | str) -> Column:
-    """[0, 1) from the hash of the parts, alike in every run."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
+def md5_uniform(*parts: Column) -> Column:
+    """[0, 1) from the first 48 bits of the md5 of the parts, as text with colons between: alike in every run and engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def hash_normal(mean: Column, sigma: Column, *parts: Column | str) -> Column:
+def hash_uniform(*parts: Column) -> Column:
+    return md5_uniform(*[p.cast("string") for p in parts])
+
+
+def hash_normal(mean: Column, sigma: Column, *parts: Column) -> Column:
     """A normal draw by Box and Muller from two hashes of the parts."""
     u = 1 - hash_uniform(F.lit(1), *parts)
     v = hash_uniform(F.lit(2), *parts)
     return mean + sigma * F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
 
 
-def hash_hour_offset(*parts: Column | str) -> Column:
+def hash_hour_offset(*parts: Column) -> Column:
     """-2 to 2 with chances .05, .10, .70, .10 and .05."""
     u = hash_uniform(*parts)
     return F.when(u < 0.05, -2).when(u < 0.15, -1).when(u < 0.85, 0).when(u < 0.95, 1).otherwise(2)

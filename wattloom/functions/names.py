@@ -115,6 +115,33 @@ def building_of_file(file: Column) -> Column:
     return F.nullif(F.regexp_extract(file, r"^(\d+)-", 1), F.lit("")).cast("long")
 
 
+def words(c: Column) -> Column:
+    """The parts between runs of spaces, without empty ones."""
+    return F.filter(F.split(F.trim(c), " +"), lambda w: w != "")
+
+
+def is_s3_path(c: Column) -> Column:
+    return c.rlike("^s3[an]?://[^/]+")
+
+
+def as_json(*columns: str) -> Column:
+    """The named columns as one JSON object."""
+    return F.to_json(F.struct(*[col(c) for c in columns]))
+
+
+def trimmed_lower(c: Column) -> Column:
+    return F.lower(F.trim(c))
+
+
+def trimmed_upper(c: Column) -> Column:
+    return F.upper(F.trim(c))
+
+
+def is_known(c: Column, known) -> Column:
+    """Whether a name is one of the known ones (products, weathers, versions, years, file types or states)."""
+    return F.coalesce(c.isin(*known), F.lit(False))
+
+
 def s3_path(url: Column) -> Column:
     """An s3a path for a bucket's https address; other text stays."""
     return F.regexp_replace(url, r"^https://([^./]+)\.s3(?:[.-][a-z0-9-]+)?\.amazonaws\.com/", "s3a://$1/")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.errors import UnknownAggregation, UnruledColumns
-from wattloom.functions.energy import bucket, bucket_text, calendar_parts, interval_start
+from wattloom.functions.energy import UNITS, bucket, bucket_text, calendar_parts, interval_start
 from wattloom.functions.names import col, quoted
 
 RULES = ("sum", "mean", "first")
@@ -61,6 +61,39 @@ def aggregate_by_text(df: DataFrame, rules: Mapping[str, str], step: str, keys:
     return grouped.agg(F.min(interval_start(col(ts))).alias(ts), *rolled).drop("__bucket")
 
 
-def all_steps(df: DataFrame, rules: Mapping[str, str], steps: tuple[str, ...], **options) -> dict[str, DataFrame]:
-    """Several steps from the same readings; each is taken from the readings, as a mean of means would differ."""
-    return {step: aggregate(df, rules, step, **options) for step in steps}
+def hourly_parts(df: DataFrame, rules: Mapping[str, str], keys: tuple[str, ...] = ("bldg_id",), ts: str = "timestamp", tie: tuple[str, ...] = ()) -> DataFrame:
+    """What coarser steps need of each hour: sums and counts of numbers, and the earliest row's values with its stamp."""
+    order = F.struct(col(ts), *[col(c) for c in tie])
+    grouped = df.withColumn("__bucket", bucket(col(ts), "hourly")).groupBy(*[quoted(k) for k in keys], "__bucket")
+    parts = []
+    for name, rule in check_rules(rules).items():
+        if name in df.columns and name not in keys:
+            c = col(name)
+            if rule == "first":
+                parts.append(F.min_by(F.struct(order.alias("order"), c.alias("value")), order).alias(name))
+            else:
+                parts.append(F.struct(F.sum(c).alias("sum"), F.count(c).alias("n")).alias(name))
+    return grouped.agg(*parts).withColumnRenamed("__bucket", ts)
+
+
+def from_parts(parts: DataFrame, rules: Mapping[str, str], step: str, keys: tuple[str, ...] = ("bldg_id",), ts: str = "timestamp") -> DataFrame:
+    """The roll-up of ``aggregate`` from ``hourly_parts``: sums of sums, means by sums and counts, the earliest of each."""
+    grouped = parts.withColumn("__bucket", F.date_trunc(UNITS[step], col(ts)).cast("timestamp_ntz")).groupBy(*[quoted(k) for k in keys], "__bucket")
+    out = []
+    for name, rule in rules.items():
+        if name in parts.columns and name not in keys:
+            c = col(name)
+            if rule == "first":
+                out.append(F.min_by(c["value"], c["order"]).alias(name))
+            elif rule == "sum":
+                out.append(F.coalesce(F.sum(c["sum"]), F.lit(0).cast("double")).alias(name))
+            else:
+                out.append((F.sum(c["sum"]) / F.nullif(F.sum(c["n"]), F.lit(0))).alias(name))
+    rolled = grouped.agg(*out).withColumnRenamed("__bucket", ts)
+    return rolled.withColumns(calendar_parts(col(ts), step))
+
+
+def all_steps(df: DataFrame, rules: Mapping[str, str], steps: tuple[str, ...], keys: tuple[str, ...] = ("bldg_id",), ts: str = "timestamp", tie: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Several steps from the same readings by way of their hourly parts, which a caller may write once."""
+    parts = hourly_parts(df, rules, keys, ts, tie)
+    return {step: from_parts(parts, rules, step, keys, ts) for step in steps}

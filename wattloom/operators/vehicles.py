@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wattloom.errors import InvalidDates, UnseenLabels
-from wattloom.functions.energy import at_most, hash_hour_offset, hash_normal, hour_of, is_weekday, within_day
+from wattloom.functions.energy import at_most, hash_hour_offset, hash_normal, hour_of, is_weekday, md5_uniform, within_day
 from wattloom.operators.checks import drop_nulls, require_no_nulls
 
 WEEKDAY_CODE, WEEKEND_CODE = 2, 1
@@ -97,15 +97,31 @@ class OwnershipModel:
 # --- which: hierarchical matching ----------------------------------------------------------------------------------
 
 
+#: Match levels from the finest, with the columns that are compared.
+LEVELS = {"exact": ("income_bucket", "occupants", "vehicles"), "income_occupants": ("income_bucket", "occupants"), "income_only": ("income_bucket",)}
+KEY = ("level", "income_bucket", "occupants", "vehicles")
+
+
 def match_levels(trips: DataFrame) -> DataFrame:
-    """Surveyed vehicles by (income_bucket, occupants, vehicles) and its prefixes, as sorted lists with their level."""
-    trips.createOrReplaceTempView("__trips")
-    grouped = trips.sparkSession.sql("""
-        select income_bucket, occupants, vehicles, sort_array(collect_set(hh_vehicle_id)) as candidates,
-               case grouping_id(income_bucket, occupants, vehicles) when 0 then 'exact' when 1 then 'income_occupants' else 'income_only' end as level
-        from __trips group by grouping sets ((income_bucket, occupants, vehicles), (income_bucket, occupants), (income_bucket))
-    """)
-    return grouped
+    """Surveyed vehicles as candidates of each level: level, its columns (the others null), hh_vehicle_id and its place.
+
+    Places number a key's vehicles from 1 in the order of their md5. They are counted within the 256 ranges of the
+    hash's first two digits and shifted by the ranges before, so that no key is numbered in one task.
+    """
+    names = LEVELS["exact"]
+    each = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), *[(F.col(c) if c in used else F.lit(None).cast(trips.schema[c].dataType)).alias(c) for c in names]) for level, used in LEVELS.items()]))
+    rows = trips.select(*names, "hh_vehicle_id").distinct().select("hh_vehicle_id", each.alias("x")).select("hh_vehicle_id", "x.*").distinct()
+    rows = rows.withColumn("h", F.md5("hh_vehicle_id")).withColumn("range", F.substring("h", 1, 2))
+    before = F.sum("n").over(Window.partitionBy(*KEY).orderBy("range")) - F.col("n")
+    shifts = rows.groupBy(*KEY, "range").agg(F.count("*").alias("n")).select(F.struct(*KEY, "range").alias("k"), before.alias("before"))
+    own = rows.withColumn("place", F.row_number().over(Window.partitionBy(*KEY, "range").orderBy("h", "hh_vehicle_id")))
+    joined = own.join(shifts, F.struct(*KEY, "range").eqNullSafe(F.col("k")))
+    return joined.select(*KEY, "hh_vehicle_id", (F.col("place") + F.col("before")).alias("place"))
+
+
+def level_sizes(levels: DataFrame) -> DataFrame:
+    """How many candidates each key of each level has, with the least and greatest id; a few rows, one a key."""
+    return levels.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("hh_vehicle_id").alias("first_id"), F.max("hh_vehicle_id").alias("last_id"))
 
 
 def closest_bucket(wanted: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -115,30 +131,48 @@ def closest_bucket(wanted: DataFrame, buckets: DataFrame) -> DataFrame:
     return own.join(F.broadcast(there)).groupBy("income_bucket").agg(near.alias("near"))
 
 
-def candidate_lists(buildings: DataFrame, trips: DataFrame, capped: int = 2) -> DataFrame:
-    """Each building with vehicles, its match level and candidates.
+def matched(buildings: DataFrame, levels: DataFrame) -> DataFrame:
+    """Each building with vehicles, ``match`` (level and columns of its candidates' key) and how many there are.
 
     The finest level with at least as many candidates as vehicles wins; the closest income bucket is the last resort.
+    Only sizes are joined, so a building never carries its candidates.
     """
-    levels = match_levels(trips.withColumn("vehicles", at_most(F.col("vehicles"), capped))).persist()
-    by = {k: levels.where(F.col("level") == k) for k in ("exact", "income_occupants", "income_only")}
-    b = buildings.where("vehicles > 0")
-    b = b.join(by["exact"].select("income_bucket", "occupants", "vehicles", F.col("candidates").alias("c1")), ["income_bucket", "occupants", "vehicles"], "left")
-    b = b.join(by["income_occupants"].select("income_bucket", "occupants", F.col("candidates").alias("c2")), ["income_bucket", "occupants"], "left")
-    b = b.join(by["income_only"].select("income_bucket", F.col("candidates").alias("c3")), "income_bucket", "left")
-    near = closest_bucket(buildings, by["income_only"]).join(by["income_only"].select(F.col("income_bucket").alias("near"), F.col("candidates").alias("c4")), "near").select("income_bucket", "c4")
-    b = b.join(near, "income_bucket", "left")
-    enough = lambda c: F.coalesce(F.size(c) >= F.col("vehicles"), F.lit(False))
-    level = F.when(enough("c1"), "exact").when(enough("c2"), "income_occupants").when(enough("c3"), "income_only").otherwise("closest_income")
-    chosen = F.when(enough("c1"), F.col("c1")).when(enough("c2"), F.col("c2")).when(enough("c3"), F.col("c3")).otherwise(F.col("c4"))
-    return b.withColumns({"level": level, "candidates": chosen}).drop("c1", "c2", "c3", "c4")
-
-
-def pick_k(df: DataFrame, candidates: str, k: str, seed: int, key: str = "bldg_id") -> DataFrame:
-    """Rows of ``df`` once for each of k candidates (all, if fewer): those of least md5 of seed, key and candidate."""
-    order = F.array_sort(F.transform(candidates, lambda c: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), c.cast("string"))).alias("h"), c.alias("c"))))
-    picked = F.slice(order, F.lit(1), F.greatest(F.col(k).cast("int"), F.lit(0)))
-    return df.select(*[c for c in df.columns if c != candidates], F.posexplode(picked).alias("__n", "__pick")).withColumns({"vehicle_id": F.col("__n") + 1, "hh_vehicle_id": F.col("__pick.c")}).drop("__n", "__pick")
+    sizes = level_sizes(levels)
+    own = buildings.where("vehicles > 0")
+    for k, (level, used) in enumerate(LEVELS.items()):
+        size = sizes.where(F.col("level") == level).select(*used, F.col("n").alias(f"__n{k}"))
+        own = own.join(F.broadcast(size), list(used), "left")  # as many rows as there are codes
+    widest = sizes.where("level = 'income_only'")
+    near = closest_bucket(buildings, widest).join(F.broadcast(widest.select(F.col("income_bucket").alias("near"), F.col("n").alias("__n3"))), "near")
+    own = own.join(F.broadcast(near), "income_bucket", "left")
+    types = {c: levels.schema[c].dataType for c in LEVELS["exact"]}
+
+    def key(level: str, income: str) -> F.Column:
+        return F.struct(F.lit(level).alias("level"), *[(F.col(income if c == "income_bucket" else c) if c in LEVELS[level] else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+
+    match, level, n = key("income_only", "near"), F.lit("closest_income"), F.coalesce("__n3", F.lit(0))
+    for k, name in reversed(list(enumerate(LEVELS))):
+        enough = F.coalesce(F.col(f"__n{k}") >= F.col("vehicles"), F.lit(False))
+        match, level, n = F.when(enough, key(name, "income_bucket")).otherwise(match), F.when(enough, name).otherwise(level), F.when(enough, F.col(f"__n{k}")).otherwise(n)
+    kept = [c for c in buildings.columns if c not in ("level", "match", "n_candidates")]
+    return own.select(*kept, level.alias("level"), match.alias("match"), n.alias("n_candidates"))
+
+
+def drawn_places(n: F.Column, k: F.Column, *seed: F.Column) -> F.Column:
+    """k different places of 1 to n in the order drawn (all, if there are fewer): each is uniform over those left."""
+    draw = lambda j: F.floor(md5_uniform(*seed, j.cast("string")) * (n - j)).cast("long")
+    step = lambda acc, j: F.array_append(acc, F.aggregate(F.array_sort(acc), draw(j), lambda at, had: at + F.when(at >= had, 1).otherwise(0)))
+    k = F.least(k.cast("long"), n.cast("long"))
+    return F.when(k > 0, F.transform(F.aggregate(F.sequence(F.lit(0).cast("long"), k - 1), F.array().cast("array<bigint>"), step), lambda at: at + 1))
+
+
+def pick_vehicles(matches: DataFrame, levels: DataFrame, seed: int, key: str = "bldg_id") -> DataFrame:
+    """A row for each vehicle of each building, with the surveyed vehicle drawn for it: an equi-join on key and place."""
+    places = drawn_places(F.col("n_candidates"), F.col("vehicles"), F.lit(str(seed)), F.col(key).cast("string"))
+    wanted = matches.select("*", F.posexplode(places).alias("__n", "__place")).withColumn("vehicle_id", F.col("__n") + 1)
+    there = levels.select(F.struct(*KEY).alias("__key"), F.col("place").alias("__at"), "hh_vehicle_id")
+    both = wanted.join(there, F.col("match").eqNullSafe(F.col("__key")) & (F.col("__place") == F.col("__at")))
+    return both.drop("match", "__n", "__place", "__key", "__at")
 
 
 def vehicle_trips(picked: DataFrame, trips: DataFrame) -> DataFrame:
@@ -215,5 +249,6 @@ def stream_schedules(trips: DataFrame, start: date, end: date, seed: int = 42) -
 def trip_schedules(buildings: DataFrame, households: DataFrame, trips: DataFrame, config: VehicleConfig) -> DataFrame:
     """The whole way: vehicles by the model, profiles by matching, schedules by the calendar."""
     counted = OwnershipModel(households, config.max_vehicles).predict(buildings)
-    picked = pick_k(candidate_lists(counted, trips, config.max_vehicles), "candidates", "vehicles", config.seed)
+    levels = match_levels(trips.withColumn("vehicles", at_most(F.col("vehicles"), config.max_vehicles)))
+    picked = pick_vehicles(matched(counted, levels), levels, config.seed)
     return schedules(vehicle_trips(picked, trips), config.start, config.end, config.seed)

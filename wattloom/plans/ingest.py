@@ -6,6 +6,7 @@ are Spark's own, a lost task is run again, and files that cannot be read are ski
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Collection, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,33 +14,21 @@ from pyspark.sql import functions as F
 
 from wattloom.functions.names import col, state_code
 from wattloom.operators.checks import valid_ids
-from wattloom.operators.merge import keep_first, merge_distinct, replace_path, write_partitioned
+from wattloom.operators.merge import exists, keep_first, merge_partitions, replace_path, upsert_old_wins, write_partitioned
 from wattloom.operators.project import canonical_columns, compact_annual, compact_metadata, with_constants
-from wattloom.operators.timeagg import all_steps
+from wattloom.operators.timeagg import from_parts, hourly_parts
 from wattloom.sources.archives import archives, station_of_archives
+from wattloom.plans.paths import source_glob
+from wattloom.sources.catalog import Catalogue
 from wattloom.sources.lake import union_of_schemas, with_ids
 
 PARTITIONS = ("state", "upgrade")
 INDEX_KEYS = ("product", "release_year", "weather_file", "release_version", "state")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
-def merge_into(df: DataFrame, target: str) -> None:
-    """Adds rows to a lake table that may exist and may have other columns; equal rows stay single."""
-    spark = df.sparkSession
-    if _exists(spark, target):
-        old = spark.read.option("mergeSchema", "true").parquet(target)
-        df = union_of_schemas([old, df]).distinct() if set(old.columns) != set(df.columns) else merge_distinct(old, df.select(old.columns))
-    replace_path(df, target, PARTITIONS)
-
-
 def metadata_job(landed: DataFrame, target: str, ids: DataFrame | Collection[int] | None = None) -> None:
-    """landed: raw metadata with ``state`` and ``upgrade``."""
-    merge_into(_with_partitions(compact_metadata, landed, ids), target)
+    """landed: raw metadata with ``state`` and ``upgrade``. Rows are added to a table that may have other columns."""
+    merge_partitions(_with_partitions(compact_metadata, landed, ids), target, PARTITIONS)
 
 
 def _with_partitions(compact, landed: DataFrame, ids) -> DataFrame:
@@ -49,13 +38,23 @@ def _with_partitions(compact, landed: DataFrame, ids) -> DataFrame:
 
 
 def annual_job(landed: DataFrame, target: str, ids: DataFrame | Collection[int] | None = None) -> None:
-    merge_into(_with_partitions(compact_annual, landed, ids), target)
+    merge_partitions(_with_partitions(compact_annual, landed, ids), target, PARTITIONS)
 
 
 def load_curve_job(readings: DataFrame, rules: Mapping[str, str], root: str, steps: tuple[str, ...] = ("hourly", "daily", "monthly")) -> None:
-    """Roll-ups of 15-minute readings, below ``<root>/load_curve_<step>``."""
-    for step, out in all_steps(readings, rules, steps, keys=("bldg_id", *PARTITIONS)).items():
-        write_partitioned(out, f"{root}/load_curve_{step}", PARTITIONS, ("bldg_id", "timestamp"))
+    """Roll-ups of 15-minute readings, below ``<root>/load_curve_<step>``.
+
+    The readings are scanned once, to hourly parts that are written; each step rolls those up.
+    """
+    spark, keys = readings.sparkSession, ("bldg_id", *PARTITIONS)
+    staged = f"{root.rstrip('/')}/_parts-{uuid.uuid4().hex}"
+    parts = hourly_parts(readings, rules, keys)
+    parts.write.parquet(staged)
+    written = spark.read.schema(parts.schema).parquet(staged)
+    for step in steps:
+        write_partitioned(from_parts(written, rules, step, keys), f"{root}/load_curve_{step}", PARTITIONS, ("bldg_id", "timestamp"))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def trips_job(landed: DataFrame, target: str, ids: DataFrame | Collection[int] | None = None) -> None:
@@ -65,10 +64,7 @@ def trips_job(landed: DataFrame, target: str, ids: DataFrame | Collection[int] |
         spark = landed.sparkSession
         wanted = ids if isinstance(ids, DataFrame) else spark.createDataFrame([(str(i),) for i in ids], "bldg_id string")
         own = own.join(wanted.select(F.col("bldg_id").cast("string").alias("bldg_id")).distinct(), "bldg_id", "left_semi")
-    spark = own.sparkSession
-    if _exists(spark, target):
-        own = merge_distinct(spark.read.parquet(target).select(own.columns), own)
-    replace_path(own, target, ("release", "state"))
+    merge_partitions(own, target, ("release", "state"))
 
 
 def building_index(raw: DataFrame, product: str, year: str, weather: str, version: str) -> DataFrame:
@@ -81,6 +77,47 @@ def building_index(raw: DataFrame, product: str, year: str, weather: str, versio
     return keep_first(df, ("bldg_id", *[k for k in INDEX_KEYS if k in df.columns]), order or [F.col("bldg_id")])
 
 
+def index_job(spark: SparkSession, landing: str, catalogue: Catalogue, target: str) -> DataFrame:
+    """The building index of all releases of the catalogue whose metadata files have landed, written by its five keys.
+
+    Each release's layout says where its baseline files are; a release without any is left out.
+    """
+    tables = []
+    for r in catalogue:
+        pattern = source_glob("metadata", r.key, r.parts, min(r.upgrades, default=0))
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{landing.rstrip('/')}/{pattern}")
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if pattern and fs.globStatus(where):
+            raw = spark.read.option("mergeSchema", "true").parquet(f"{landing.rstrip('/')}/{pattern}")
+            tables.append(building_index(raw, r.product, r.year, r.weather, r.version))
+    index = union_of_schemas(tables)
+    if index is None:
+        return spark.createDataFrame([], "bldg_id bigint, " + ", ".join(f"{k} string" for k in INDEX_KEYS))
+    write_building_index(index, target)
+    return spark.read.parquet(target)
+
+
+def crawl(spark: SparkSession, root: str, depth: int = 3) -> DataFrame:
+    """path and length of the entries of a source tree down to a depth, folders (length 0) and files; from listings alone."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = [(f.getPath().toString(), int(f.getLen())) for d in range(1, depth + 1) for f in fs.globStatus(hadoop(root.rstrip("/") + "/*" * d)) or []]
+    return spark.createDataFrame(rows, "path string, length bigint")
+
+
+def new_releases(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Releases of ``available_files`` that the catalogue table does not have."""
+    return found.join(known.select(F.col("key").alias("release")), "release", "left_anti")
+
+
+def write_weather_map(found: DataFrame, path: str) -> None:
+    """Adds to the weather map; a building that has a row keeps it."""
+    keys, order = ("product", "release_year", "weather_file", "release_version", "state"), [F.col("weather_station_name")]
+    if exists(found.sparkSession, path):
+        found = upsert_old_wins(found.sparkSession.read.parquet(path).select(found.columns), found, ("bldg_id", *keys), order)
+    replace_path(found, path, keys)
+
+
 def write_building_index(index: DataFrame, path: str) -> None:
     write_partitioned(index, path, INDEX_KEYS, ("county", "bldg_id"))
 

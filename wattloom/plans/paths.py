@@ -87,7 +87,8 @@ def with_source_path(buildings: DataFrame, file_type: str, column: str = "source
     fields["base"] = by_rules(BASE, fields)
     path = by_rules(RULES[file_type], fields)
     if "file_types" in buildings.columns:
-        path = F.when(F.array_contains("file_types", file_type), path)
+        needed = MODEL_TYPES if file_type in MODEL_TYPES else (file_type,)
+        path = F.when(F.size(F.array_except(F.array(*[F.lit(t) for t in needed]), "file_types")) == 0, path)
     return buildings.withColumn(column, path)
 
 
@@ -104,9 +105,45 @@ def lake_file(file_type: str) -> Column:
         return F.lit("trip_schedules.parquet")
     if file_type == "weather":
         return F.concat(F.col("station"), F.lit(".csv"))
+    if file_type == "load_curve_annual":  # the source's name, with upgrade00 for the baseline
+        return F.regexp_replace(F.element_at(F.split("source_path", "/"), -1), "_baseline_", "_upgrade00_")
     return F.concat(F.col("bldg_id").cast("string"), F.lit("-"), F.col("upgrade").cast("string"), F.lit(".parquet"))
 
 
+def lake_place(file_type: str) -> Column:
+    """The file's path below the lake's root: release, file type, state and upgrade folders, then ``lake_file``."""
+    folders = [F.col("release"), F.lit(file_type), F.concat(F.lit("state="), F.col("state"))]
+    if file_type != "trip_schedules":
+        folders.append(F.concat(F.lit("upgrade="), pad_left(F.col("upgrade"), 2)))
+    return F.concat(*[part for f in folders for part in (f, F.lit("/"))], lake_file(file_type))
+
+
+#: A building's model files need the release to offer all of these.
+MODEL_TYPES = ("hpxml", "schedule")
+
+
+def with_county(buildings: DataFrame, index: DataFrame) -> DataFrame:
+    """Adds ``county`` from the building index, by release and id; '' if the building is not in it."""
+    on = {"product": "product", "year": "release_year", "weather": "weather_file", "version": "release_version", "state": "state", "bldg_id": "bldg_id"}
+    own = index.select(*[F.col(v).alias(f"__{k}") for k, v in on.items()], F.col("county").alias("__county")).dropDuplicates([f"__{k}" for k in on])
+    cond = F.lit(True)
+    for k in on:
+        cond = cond & (F.col(k) == F.col(f"__{k}"))
+    joined = buildings.join(own, cond, "left")
+    return joined.withColumn("county", F.coalesce("__county", F.lit(""))).drop("__county", *[f"__{k}" for k in on])
+
+
+def source_glob(file_type: str, key: str, parts: tuple[str, str, str, str], upgrade: int = 0) -> str | None:
+    """A release's files of a type for all states and counties, as a path pattern; None if there are none."""
+    product, year, weather, version = parts
+    row = {"release": key, "product": product, "year": year, "weather": weather, "version": version}
+    fits = lambda wanted: all(row[k] in ((v,) if isinstance(v, str) else v) for k, v in wanted.items())
+    base = next(t for wanted, t in BASE if fits(wanted)).format(**row)
+    found = next((t for wanted, t in RULES[file_type] if fits(wanted)), None)
+    word = "baseline" if upgrade == 0 else f"upgrade{upgrade:02d}"
+    return found and found.format(base=base, word=word, upgrade=upgrade, upgrade2=f"{upgrade:02d}", state="*", county="*", bldg_id="*", model="*", station="*", suffix="*", suffix_lower="*", weather=weather)
+
+
 def with_station(buildings: DataFrame, stations: DataFrame) -> DataFrame:
     """Adds ``station`` from the weather map; null if the building is not in it."""
     on = {"product": "product", "year": "release_year", "weather": "weather_file", "version": "release_version", "bldg_id": "bldg_id"}

@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Collection, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wattloom.errors import (
-    EmptyScenario, FallingAdoption, FractionOutOfRange, InvalidTrajectory, InvalidUpgradeId, InvalidWeights, NoYears,
-    TotalAboveOne, UnequalYears, UpgradesNotFound, YearOutOfRange,
+    EmptyScenario, EmptyTrajectory, FallingAdoption, FractionOutOfRange, InvalidUpgradeId, MissingScenario, NoYears,
+    TotalAboveOne, UnequalYears, UpgradesNotFound, WeightOutOfRange, WeightsOfOthers, WeightsSum, YearOutOfRange,
 )
 from wattloom.functions.energy import whole_target
 from wattloom.operators.merge import write_partitioned
@@ -54,13 +54,17 @@ def validate(scenario: Scenario) -> int:
 
 def uniform_adoption(upgrades: Collection[int], weights: Mapping[int, float], trajectory: Sequence[float]) -> dict[int, list[float]]:
     """Each upgrade's share of the adoption of each year, by fixed weights."""
+    if not upgrades:
+        raise EmptyScenario()
     if set(weights) != set(upgrades):
-        raise InvalidWeights(detail=f"upgrades {sorted(upgrades)}, weights {dict(weights)}")
-    if any(not 0 <= w <= 1 for w in weights.values()) or abs(sum(weights.values()) - 1) > TOLERANCE:
-        raise InvalidWeights(detail=f"got {dict(weights)}")
-    falls = any(b < a for a, b in zip(trajectory, trajectory[1:], strict=False))
-    if not trajectory or any(not 0 <= t <= 1 for t in trajectory) or falls:
-        raise InvalidTrajectory(detail=f"got {list(trajectory)}")
+        raise WeightsOfOthers(upgrades=sorted(upgrades), weights=dict(weights))
+    if any(not 0 <= w <= 1 for w in weights.values()):
+        raise WeightOutOfRange(weights=dict(weights))
+    if abs(sum(weights.values()) - 1) > TOLERANCE:
+        raise WeightsSum(weights=dict(weights))
+    if not trajectory:
+        raise EmptyTrajectory()
+    validate({0: list(trajectory)})
     out = {u: [weights[u] * t for t in trajectory] for u in upgrades}
     validate(out)
     return out
@@ -141,7 +145,9 @@ def join_data(allocation: DataFrame, data: DataFrame, column: str = "bldg_id") -
 class ScenarioReader:
     """Reads and writes of a mix of upgrades over a lake."""
 
-    def __init__(self, lake: Lake, scenario: Scenario, name: str = "scenario", seed: int = 42) -> None:
+    def __init__(self, lake: Lake, scenario: Scenario | None, name: str = "scenario", seed: int = 42) -> None:
+        if scenario is None:
+            raise MissingScenario()
         self.n_years = validate(scenario)
         self.lake, self.scenario, self.name, self.seed = lake, scenario, name, seed
 
@@ -192,7 +198,12 @@ def wide_export(allocation: DataFrame, n_years: int, column: str = "bldg_id") ->
     return allocation.groupBy(column).agg(*years)
 
 
-def adoption_counts(allocation: DataFrame) -> DataFrame:
-    """Buildings and their share by year and upgrade."""
-    by = allocation.groupBy("year", "upgrade_id").agg(F.count("*").alias("n"))
-    return by.withColumn("fraction", F.col("n") / F.sum("n").over(Window.partitionBy("year")))
+def adoption_counts(allocation: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Buildings and their share by year and upgrade, within the groups of further columns such as the state."""
+    counts = allocation.groupBy(*by, "year", "upgrade_id").agg(F.count("*").alias("n"))
+    return counts.withColumn("fraction", F.col("n") / F.sum("n").over(Window.partitionBy(*by, "year")))
+
+
+def empty_allocation(spark: SparkSession) -> DataFrame:
+    """An allocation of no buildings."""
+    return spark.createDataFrame([], "year int, bldg_id bigint, upgrade_id int")

@@ -141,11 +141,10 @@ def dedup_keep_first(spark, sf_dir):
 
 
 @query("""
-    select k, v from (select c_custkey as k, c_acctbal as v from customer where c_custkey % 2 = 0) a
-    union all select s_suppkey, s_acctbal from supplier where s_suppkey not in (select c_custkey from customer where c_custkey % 2 = 0)""")
+    select s_suppkey as k, s_acctbal as v from supplier union all select c_custkey, c_acctbal from customer where c_custkey not in (select s_suppkey from supplier)""")
 def upsert_old_wins(spark, sf_dir):
-    old = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    new = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
+    old = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
+    new = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
     return merge.upsert_old_wins(old, new, ("k",), [F.col("v")])
 
 
@@ -197,6 +196,13 @@ def id_validity(spark, sf_dir):
     return checks.id_validity(table(spark, sf_dir, "customer"), "c_custkey")
 
 
+@query("select c_custkey as bldg_id, c_name from customer where c_custkey % 3 > 0")
+def valid_ids(spark, sf_dir):
+    """Ids as text, a third of them no numbers: those rows go."""
+    text = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("x"), F.col("c_custkey").cast("string"))).otherwise(F.col("c_custkey").cast("string"))
+    return checks.valid_ids(table(spark, sf_dir, "customer").select(text.alias("bldg_id"), "c_name"))
+
+
 @query("select count(*) as n_rows, count(distinct l_orderkey) as n_distinct, count(distinct l_orderkey) = count(*) as is_unique from lineitem")
 def uniqueness(spark, sf_dir):
     return checks.is_unique(table(spark, sf_dir, "lineitem"), "l_orderkey")
@@ -345,7 +351,7 @@ def weather_station_lookup(spark, sf_dir):
 
 @query("select page_id, url as station from pages")
 def xml_first_match(spark, sf_dir):
-    xml = F.concat(F.lit("<HPXML><h:WeatherStation id='1'><h:SystemIdentifier/><h:Name> "), F.col("url"), F.lit(" </h:Name></h:WeatherStation><WeatherStation><Name>other</Name></WeatherStation></HPXML>"))
+    xml = F.concat(F.lit("<HPXML><!-- <WeatherStation><Name>OLD</Name></WeatherStation> --><h:WeatherStation id='1'><h:SystemIdentifier/><h:Name> "), F.regexp_replace("url", "&", "&amp;"), F.lit(" </h:Name></h:WeatherStation><WeatherStation><Name>other</Name></WeatherStation></HPXML>"))
     return table(spark, sf_dir, "pages").select("page_id", station_name(xml).alias("station"))
 
 
@@ -367,8 +373,7 @@ _TRIPS = "(select concat('v', p_partkey) as hh_vehicle_id, cast(p_size % 9 + 1 a
         union all select income_bucket, occupants, null, 'income_occupants', hh_vehicle_id from {_TRIPS} t
         union all select income_bucket, null, null, 'income_only', hh_vehicle_id from {_TRIPS} t) x group by 1, 2, 3, 4""")
 def match_levels(spark, sf_dir):
-    m = vehicles.match_levels(_trips(spark, sf_dir))
-    return m.select("income_bucket", "occupants", "vehicles", "level", F.size("candidates").cast("bigint").alias("n"), F.col("candidates")[0].alias("first_id"), F.element_at("candidates", -1).alias("last_id"))
+    return vehicles.level_sizes(vehicles.match_levels(_trips(spark, sf_dir)))
 
 
 def _buildings(spark, sf_dir) -> DataFrame:
@@ -385,8 +390,8 @@ def _buildings(spark, sf_dir) -> DataFrame:
            case when a1 >= vehicles then a1 when a2 >= vehicles then a2 when a3 >= vehicles then a3 else (select n from n3 order by abs(n3.income_bucket - j.income_bucket), n3.income_bucket limit 1) end as n_candidates
     from j""")
 def match_cascade(spark, sf_dir):
-    m = vehicles.candidate_lists(_buildings(spark, sf_dir), _trips(spark, sf_dir))
-    return m.select("bldg_id", "vehicles", "level", F.size("candidates").cast("bigint").alias("n_candidates"))
+    m = vehicles.matched(_buildings(spark, sf_dir), vehicles.match_levels(_trips(spark, sf_dir)))
+    return m.select("bldg_id", "vehicles", "level", "n_candidates")
 
 
 @query("""
@@ -397,13 +402,25 @@ def closest_bucket(spark, sf_dir):
     return vehicles.closest_bucket(_buildings(spark, sf_dir), there)
 
 
-@query("""
-    select bldg_id, cast(n as int) as vehicle_id, hh_vehicle_id from (
-        select c_custkey as bldg_id, c_custkey % 3 as k, concat('v', x) as hh_vehicle_id, row_number() over (partition by c_custkey order by md5(concat('42:', c_custkey, ':v', x)), concat('v', x)) as n
-        from customer cross join (values (1), (2), (3), (4), (5)) v(x)) t where n <= k""")
+def _draw_sql(*parts: str) -> str:
+    """[0, 1) from the first 48 bits of an md5."""
+    return f"(concat('0x', substr(md5(concat_ws(':', {', '.join(parts)})), 1, 12))::bigint / 281474976710656.0::double)"
+
+
+@query(f"""
+    with b as (select c_custkey as bldg_id, cast(c_nationkey % 9 + 1 as int) as income_bucket, c_custkey % 3 as k from customer where c_custkey % 3 > 0),
+    t as (select income_bucket, hh_vehicle_id, row_number() over (partition by income_bucket order by md5(hh_vehicle_id), hh_vehicle_id) as place, count(*) over (partition by income_bucket) as n from (select distinct income_bucket, hh_vehicle_id from {_TRIPS} x) y),
+    s as (select distinct income_bucket, n from t),
+    d as (select bldg_id, b.income_bucket, k, n, cast(floor({_draw_sql("'42'", "bldg_id", "0")} * n) as bigint) as p1, cast(floor({_draw_sql("'42'", "bldg_id", "1")} * (n - 1)) as bigint) as r2 from b join s on s.income_bucket = b.income_bucket),
+    p as (select bldg_id, income_bucket, 1 as vehicle_id, p1 + 1 as place from d union all select bldg_id, income_bucket, 2, r2 + (r2 >= p1)::int + 1 from d where k > 1 and n > 1)
+    select p.bldg_id, p.vehicle_id, t.hh_vehicle_id from p join t on t.income_bucket = p.income_bucket and t.place = p.place""")
 def pick_k_vehicles(spark, sf_dir):
-    b = _buildings(spark, sf_dir).withColumn("candidates", F.array(*[F.lit(f"v{i}") for i in range(1, 6)]))
-    return vehicles.pick_k(b, "candidates", "vehicles", 42).select("bldg_id", "vehicle_id", "hh_vehicle_id")
+    """One or two vehicles of the building's income bucket, drawn without replacement."""
+    trips = _trips(spark, sf_dir).withColumns({"occupants": F.lit(0), "vehicles": F.lit(0)})
+    c = table(spark, sf_dir, "customer").where("c_custkey % 3 > 0")
+    b = c.select(F.col("c_custkey").alias("bldg_id"), (F.col("c_nationkey") % 9 + 1).cast("int").alias("income_bucket"), F.lit(-1).alias("occupants"), (F.col("c_custkey") % 3).cast("int").alias("vehicles"))
+    levels = vehicles.match_levels(trips)
+    return vehicles.pick_vehicles(vehicles.matched(b, levels), levels, 42).select("bldg_id", "vehicle_id", "hh_vehicle_id")
 
 
 @query("""
@@ -419,9 +436,21 @@ def _vehicle_trips(spark, sf_dir) -> DataFrame:
     return li.select(F.col("l_orderkey").cast("string").alias("bldg_id"), F.col("l_linenumber").alias("vehicle_id"), F.lit(1).alias("trip"), (F.col("l_partkey") % 2 == 0).alias("is_weekday"), (F.col("l_suppkey") % 12 + 6).cast("int").alias("departure"), (F.col("l_suppkey") % 12 + 10).cast("int").alias("arrival"), F.col("l_quantity").cast("double").alias("miles_driven"), F.lit(1.0).alias("trip_weight"))
 
 
-@query()
+def _offset_sql(number: int) -> str:
+    u = _draw_sql(f"'{number}'", *_TRIP)
+    return f"(case when {u} < 0.05 then -2 when {u} < 0.15 then -1 when {u} < 0.85 then 0 when {u} < 0.95 then 1 else 2 end)"
+
+
+_TRIP = ("'42'", "l_orderkey", "l_linenumber", "'1'", "strftime(d, '%Y-%m-%d %H:%M:%S')")
+
+
+@query(f"""
+    select cast(l_orderkey as varchar) as bldg_id, l_linenumber as vehicle_id, d::timestamp as date, greatest(0, least(23, l_suppkey % 12 + 6 + {_offset_sql(3)}))::int as departure_hour,
+           greatest(0, least(23, l_suppkey % 12 + 10 + {_offset_sql(4)}))::int as arrival_hour,
+           round(l_quantity::double + l_quantity::double * 0.1 * sqrt(-2 * ln(1 - {_draw_sql("'1'", *_TRIP)})) * cos(2 * pi() * {_draw_sql("'2'", *_TRIP)}), 6) as miles_driven
+    from lineitem cross join (select unnest(generate_series(date '2022-01-01', date '2022-01-07', interval 1 day)) as d) days where (l_partkey % 2 = 0) = (isodow(d) < 6)""")
 def trip_schedule_noise(spark, sf_dir):
-    return vehicles.schedules(_vehicle_trips(spark, sf_dir), date(2022, 1, 1), date(2022, 1, 7))
+    return vehicles.schedules(_vehicle_trips(spark, sf_dir), date(2022, 1, 1), date(2022, 1, 7)).withColumn("miles_driven", F.round("miles_driven", 6))
 
 
 @query()
@@ -434,35 +463,6 @@ def vehicle_model(spark, sf_dir):
 # --- catalogue, work lists, profiles, streams ----------------------------------------------------------------------
 
 
-def _catalogue(spark, sf_dir) -> DataFrame:
-    """Nations as releases: a key, and the regions' names as what they offer."""
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    offers = r.agg(F.sort_array(F.collect_list("r_name")).alias("all"))
-    return n.join(F.broadcast(offers)).select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("year"), F.slice("all", F.lit(1), F.col("n_regionkey") % 3 + 1).alias("file_types"))
-
-
-@query("""
-    select n_name as key, cast(n_regionkey as varchar) as year from nation
-    where n_regionkey in (1, 2, 4) and (select r_name from (select r_name, row_number() over (order by r_name) as k from region) r where k = 2) in
-          (select r_name from (select r_name, row_number() over (order by r_name) as k from region) r where k <= n_regionkey % 3 + 1)""")
-def release_filter(spark, sf_dir):
-    second = table(spark, sf_dir, "region").agg(F.sort_array(F.collect_list("r_name"))[1].alias("need"))
-    c = _catalogue(spark, sf_dir).where(F.col("year").isin("1", "2", "4")).join(F.broadcast(second))
-    return c.where(F.size(F.array_except(F.array("need"), "file_types")) == 0).select("key", "year")
-
-
-@query("select distinct r_name as file_type from region r join (select max(n_regionkey % 3 + 1) as k from nation) m on true where (select count(*) from region x where x.r_name <= r.r_name) <= m.k")
-def release_file_types(spark, sf_dir):
-    return _catalogue(spark, sf_dir).select(F.explode("file_types").alias("file_type")).distinct()
-
-
-@query("select n_name as key, p_size as upgrade, p_type as description from nation cross join (values (1), (2), (3)) v(p_size) left join (select 1 as s, 'walls' as p_type union all select 3, 'roof') d on d.s = v.p_size")
-def upgrade_descriptions(spark, sf_dir):
-    told = spark.createDataFrame([(1, "walls"), (3, "roof")], "upgrade int, description string")
-    c = table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.explode(F.array(*[F.lit(u) for u in (1, 2, 3)])).alias("upgrade"))
-    return c.join(F.broadcast(told), "upgrade", "left").select("key", "upgrade", "description")
-
-
 @query("""
     select c_nationkey as source_path, count(distinct c_mktsegment) as n_targets, count(distinct c_custkey) as n_buildings from customer group by 1""")
 def work_by_source(spark, sf_dir):
@@ -473,15 +473,6 @@ def work_by_source(spark, sf_dir):
     return work(b).select("source_path", F.size("targets").cast("bigint").alias("n_targets"), count.alias("n_buildings"))
 
 
-@query("""
-    select c_nationkey as state, c_custkey as bldg_id, u as upgrade
-    from (select *, row_number() over (partition by c_nationkey order by c_custkey) as n from customer where c_nationkey in (1, 5)) t cross join (values (0), (4)) v(u) where n <= 3""")
-def building_groups(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("state"), F.col("c_custkey").alias("bldg_id"))
-    first = [c.where(F.col("state") == s).orderBy("bldg_id").limit(3) for s in (1, 5)]
-    return lake.union_of_schemas(first).join(F.broadcast(spark.createDataFrame([(0,), (4,)], "upgrade int"))).select("state", "bldg_id", "upgrade")
-
-
 @query("""
     select event_type, count(value) as n, round(sum(value), 4) as total, round(avg(value), 6) as mean, min(value) as least, max(value) as greatest,
            round(sum(value) / (select sum(value) from events), 6) as share from events group by 1""")
@@ -516,7 +507,17 @@ def hourly_load_stream(spark, sf_dir):
     return rolled.select("bldg_id", "timestamp", F.round("value", 4).alias("value_sum"), F.round("value_mean", 4).alias("value_mean"))
 
 
-@query()
+@query(f"""select c_custkey, case when {_draw_sql("'42'", "c_custkey")} < 0.8 then 'train' else 'test' end as part from customer""")
 def train_test_split(spark, sf_dir):
     train, test = lake.split_by_hash(table(spark, sf_dir, "customer"), 0.8, 42, "c_custkey")
     return train.select("c_custkey", F.lit("train").alias("part")).unionByName(test.select("c_custkey", F.lit("test").alias("part")))
+
+
+def _add_lake_queries() -> None:
+    from wattloom import queries_lake
+
+    QUERIES.update(queries_lake.QUERIES)
+    ORACLE_SQL.update(queries_lake.ORACLE_SQL)
+
+
+_add_lake_queries()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,11 +37,58 @@ def members(zips: DataFrame, suffix: str, containing: str = "") -> DataFrame:
     return zips.select("path", "content").mapInPandas(first, "path string, member string, text string")
 
 
+def first_station(xml: str | None) -> str:
+    """The Name in the first WeatherStation element, in reading order, that has one; '' without one or for broken XML.
+
+    Prefixes are left aside, whether they are declared or not.
+    """
+    path, text, found = [], [], []
+
+    def start(tag: str, _: dict) -> None:
+        path.append(tag.rpartition(":")[2])
+        text.clear()
+
+    def end(_: str) -> None:
+        if path[-2:] == ["WeatherStation", "Name"]:
+            found.append("".join(text).strip())
+        path.pop()
+
+    parser = expat.ParserCreate("utf-8")
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text.append
+    try:
+        parser.Parse((xml or "").encode(), True)
+    except expat.ExpatError:
+        return ""
+    return next(filter(None, found), "")
+
+
 def station_name(xml: Column) -> Column:
-    """The Name inside the first WeatherStation element in reading order; '' if there is none."""
-    station = F.regexp_extract(xml, r"(?s)<(?:\w+:)?WeatherStation\b[^>]*>(.*?)</(?:\w+:)?WeatherStation>", 1)
-    name = F.regexp_extract(station, r"(?s)<(?:\w+:)?Name\b[^>]*>\s*(.*?)\s*</(?:\w+:)?Name>", 1)
-    return F.coalesce(name, F.lit(""))
+    """``first_station`` of a column of XML texts: a parse, so comments and entities are what they are in XML."""
+
+    @F.pandas_udf("string")
+    def parse(texts: pd.Series) -> pd.Series:
+        return texts.map(first_station, na_action=None)
+
+    return parse(xml)
+
+
+def content_types(zips: DataFrame) -> DataFrame:
+    """path and the file types that an archive's members stand for: a model (.xml) and a schedule (.csv)."""
+
+    def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for content in frame["content"]:
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        names = [n.lower() for n in z.namelist()]
+                except (zipfile.BadZipFile, OSError):
+                    names = []
+                kinds = [("hpxml", any(n.endswith(".xml") for n in names)), ("schedule", any("schedule" in n and n.endswith(".csv") for n in names))]
+                found.append([k for k, there in kinds if there])
+            yield pd.DataFrame({"path": frame["path"], "file_types": found})
+
+    return zips.select("path", "content").mapInPandas(probe, "path string, file_types array<string>")
 
 
 def station_of_archives(zips: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.errors import MoreThanOneRelease, NoReleasesLeft, UnknownName
+from wattloom.errors import MoreThanOneRelease, NoReleasesLeft, UnknownName, UpgradesOfNoRelease
 from wattloom.functions.names import FILE_TYPES, PRODUCTS, STATES, VERSIONS, WEATHERS, YEARS
 
 SCHEMA = "key string, product string, year string, weather string, version string, upgrades array<int>, file_types array<string>, trip_states array<string>, weather_states array<string>"
@@ -116,6 +116,60 @@ def upgrade_table(catalogue: Catalogue, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(r.key, u, d) for r in catalogue for u, d in r.upgrades.items()], "key string, upgrade int, description string")
 
 
+def as_json(catalogue: Catalogue) -> str:
+    """The text of the releases file, as ``Catalogue.load`` reads it."""
+    rows = {r.key: {"product": r.product, "release_year": r.year, "weather": r.weather, "release_number": r.version, "upgrade_ids": [str(u) for u in sorted(r.upgrades)], "available_data": sorted(r.file_types), "trip_schedule_states": sorted(r.trip_states), "weather_map_available_states": sorted(r.weather_states)} for r in catalogue}
+    return json.dumps(rows, indent=2)
+
+
+def upsert(old: Catalogue, found: Collection[Release]) -> Catalogue:
+    """Releases of ``old`` and those found beside them. A known release keeps its upgrades; states are united."""
+    rows = {r.key: r for r in old}
+    for r in found:
+        had = rows.get(r.key)
+        if had is None:
+            rows[r.key] = r
+        else:
+            rows[r.key] = Release(had.key, had.upgrades, had.file_types, had.trip_states | r.trip_states, had.weather_states | r.weather_states)
+    return Catalogue(rows.values())
+
+
+def from_table(rows: DataFrame) -> list[Release]:
+    """Releases of a table as ``as_table`` gives, or of ``plans.ingest.available_files``: a row a release."""
+    out = []
+    for r in (row.asDict() for row in rows.collect()):
+        parse_key(r.get("key") or r["release"])
+        out.append(Release(r.get("key") or r["release"], dict.fromkeys(r["upgrades"] or ()), frozenset(r["file_types"] or ()), frozenset(r.get("trip_states") or ()), frozenset(r.get("weather_states") or ())))
+    return out
+
+
+def with_weather(buildings: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Buildings (release, state) whose state has weather files in their release, and the others."""
+    states = catalogue.select(F.col("key").alias("release"), F.explode("weather_states").alias("state"))
+    return buildings.join(F.broadcast(states), ["release", "state"], "left_semi"), buildings.join(F.broadcast(states), ["release", "state"], "left_anti")
+
+
+def unknown_upgrades(buildings: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Buildings (release, upgrade) with an upgrade that their release does not have."""
+    there = catalogue.select(F.col("key").alias("release"), F.explode("upgrades").alias("upgrade"))
+    return buildings.join(F.broadcast(there), ["release", "upgrade"], "left_anti")  # releases times upgrades
+
+
+def require_upgrades(buildings: DataFrame, catalogue: DataFrame, show: int = 10) -> DataFrame:
+    if bad := unknown_upgrades(buildings, catalogue).limit(show).collect():
+        raise UpgradesOfNoRelease(found=[(r["release"], r["upgrade"]) for r in bad])
+    return buildings
+
+
+def key_grid(spark: SparkSession, **values: Collection) -> DataFrame:
+    """All combinations of a few values of each name."""
+    out = None
+    for name, own in values.items():
+        one = spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in own])).alias(name))
+        out = one if out is None else out.crossJoin(F.broadcast(one))
+    return out
+
+
 def releases_with_trips(catalogue: DataFrame, trips: DataFrame) -> DataFrame:
     """Catalogue rows with the states that trip schedules exist for; trips: release and state."""
     states = trips.groupBy("release").agg(F.sort_array(F.collect_set("state")).alias("found_states"))

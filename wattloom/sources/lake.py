@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from wattloom.errors import BaselineNotFound, DataNotFound, InvalidPath, NoBuildings, UpgradesNotFound, UpgradesNotInRelease
+from wattloom.functions.energy import md5_uniform
 from wattloom.functions.names import LAKE_PATH, building_of_file, path_part
 from wattloom.sources.catalog import Release, check_states
 
@@ -173,6 +174,16 @@ class Lake:
         return files.select("upgrade", "state", building_of_file(F.col("file")).alias("bldg_id")).where("bldg_id is not null")
 
 
+    def row_counts(self, file_type: str) -> DataFrame:
+        """Rows by state and upgrade; Parquet footers have them, so no column is read."""
+        return self._scan(file_type).groupBy("state", "upgrade").agg(F.count("*").alias("n_rows"))
+
+
+def facets(files: DataFrame) -> DataFrame:
+    """One row: the distinct releases, file types, states and upgrades of a manifest, each in order."""
+    return files.agg(*[F.sort_array(F.collect_set(c)).alias(c + "s") for c in ("release", "file_type", "state", "upgrade")])
+
+
 def list_buildings(index: DataFrame, release: Release, state: str, limit: int | None = None) -> DataFrame:
     """Ids (and counties) of the building index for a release and state; a limit takes the least ids."""
     own = index.where((F.col("product") == release.product) & (F.col("release_year") == release.year) & (F.col("weather_file") == release.weather) & (F.col("release_version") == release.version) & (F.col("state") == state))
@@ -187,14 +198,14 @@ def missing_ids(wanted: DataFrame, there: DataFrame, column: str = "bldg_id") ->
 def building_groups(index: DataFrame, release: Release, states: Collection[str], upgrades: Collection[int], limit: int | None = None) -> DataFrame:
     """Buildings of each wanted state with each wanted upgrade; a limit takes each state's least ids."""
     spark = index.sparkSession
-    own = union_of_schemas([list_buildings(index, release, s, limit).withColumn("state", F.lit(s)) for s in check_states(states)])
+    own = union_of_schemas([list_buildings(index, release, s, limit).withColumn("state", F.lit(s)) for s in check_states(states)]).distinct()
     wanted = spark.createDataFrame([(int(u),) for u in upgrades], "upgrade int")
     return own.join(F.broadcast(wanted))  # a few upgrades
 
 
 def split_by_hash(df: DataFrame, share: float, seed: int, column: str = "bldg_id") -> tuple[DataFrame, DataFrame]:
-    """Two parts by the hash of an id: about ``share`` of the ids first. Alike in every run and for every partitioning."""
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(column)), 11) / F.lit(float(1 << 53))
+    """Two parts by the md5 of seed and id: about ``share`` of the ids first. Alike in every run and for every partitioning."""
+    u = md5_uniform(F.lit(str(seed)), F.col(column).cast("string"))
     return df.where(u < share), df.where(u >= share)
 
 

@@ -60,5 +60,12 @@ def ev_buildings(metadata: DataFrame, state: str) -> DataFrame:
     return df.withColumns({"income_bucket": income_bucket(F.col("income")).cast("short"), "puma": puma_suffix(F.col("puma"))})
 
 
+def load_inputs(spark: SparkSession, metadata: str, households: str, trips: str, state: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Buildings, households and trips of a state from the three survey files."""
+    raw = spark.read.option("mergeSchema", "true").parquet(metadata)
+    own = load_households(spark, households, metro_puma_map(raw))
+    return ev_buildings(raw, state), own, load_trips(spark, trips, state)
+
+
 def capped_vehicles(df: DataFrame, most: int = 2) -> DataFrame:
     return df.withColumn("vehicles", at_most(F.col("vehicles"), most))

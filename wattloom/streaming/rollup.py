@@ -13,13 +13,22 @@ from wattloom.functions.energy import interval_start
 from wattloom.functions.names import col, quoted
 from wattloom.operators.timeagg import check_rules, rule_column
 
+#: Sliding windows of a stream have one length; a month, which has not, is the key of its days' first instant.
 WINDOWS = {"hourly": "1 hour", "daily": "1 day"}
 
 
 def rollup_stream(readings: DataFrame, rules: Mapping[str, str], step: str, keys: tuple[str, ...] = ("bldg_id",), ts: str = "timestamp", late: str = "1 hour") -> DataFrame:
-    """As the batch roll-up, for append mode: a bucket is final when the watermark passes its end."""
+    """As the batch roll-up, for append mode: a bucket is final when the watermark passes its end.
+
+    Months have no window of one length, so monthly buckets never become final and need update mode (``run_to_end``).
+    """
     started = readings.withColumn("__start", interval_start(col(ts)).cast("timestamp")).withWatermark("__start", late)
-    grouped = started.groupBy(F.window("__start", WINDOWS[step]).alias("__w"), *[quoted(k) for k in keys])
+    if step == "monthly":
+        month = F.date_trunc("month", "__start")
+        window = F.struct(month.alias("start"), F.add_months(month, 1).cast("timestamp").alias("end")).alias("__w")
+    else:
+        window = F.window("__start", WINDOWS[step]).alias("__w")
+    grouped = started.groupBy(window, *[quoted(k) for k in keys])
     out = grouped.agg(*[rule_column(n, r, F.struct(col(ts))) for n, r in check_rules(rules).items() if n in readings.columns and n not in keys])
     return out.select(*[quoted(k) for k in keys], F.col("__w.start").cast("timestamp_ntz").alias(ts), *[quoted(n) for n in out.columns if n not in ("__w", *keys)])
 
