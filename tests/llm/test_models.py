@@ -147,12 +147,13 @@ def tokens_of(text):
     return [*[w for w in re.split("[\x20\x09-\x0d]+", (text or "").translate(LOWER)) if w], None]
 
 
-@pytest.fixture(params=[lm.HOT, 50])
-def few_hot(request, monkeypatch):
-    monkeypatch.setattr(lm.hot_count, "__defaults__", (request.param,))
+def lm_query(spark, hot, hot_pairs):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = lm.fit(docs.where(lm.crc_mod("doc_id", 10) != 0), hot)
+    return lm.score_texts(docs, model, hot_pairs), model
 
 
-def test_base_scores(spark, few_hot):
+def test_base_scores(spark):
     docs = {r["doc_id"]: tokens_of(r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     counts = Counter(t for i, own in docs.items() if not held_out(i, 10, 0) for t in own)
     n, v = counts.total(), len(counts)
@@ -166,29 +167,84 @@ def test_base_scores(spark, few_hot):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_predictive_probabilities_sum_to_one(spark):
-    """Over all known tokens and one unknown, after every context of the model and after any other."""
+@pytest.mark.parametrize(("hot", "hot_pairs"), [(lm.HOT, lm.HOT_PAIRS), (50, 20)])
+def test_scores_are_those_of_the_tables(spark, hot, hot_pairs):
+    """Counts are exact, whatever is broadcast; each score is the sum over a text's pairs, worked out pair by pair."""
+    scored, model = lm_query(spark, hot, hot_pairs)
+    docs = {r["doc_id"]: tokens_of(r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    code_of = lambda t: int(model.codes(np.array([lm.END if t is None else hash_word(t)]))[0])
+    codes = {t: code_of(t) for t in {t for own in docs.values() for t in own}}
+    pairs = Counter((codes[u], codes[w]) for i, own in docs.items() if not held_out(i, 10, 0) for u, w in zip([None, *own[:-1]], own, strict=True))
+    got = {(r["u"], r["w"]): (r["n"], r["kept"]) for r in model.multi.collect()} | {(r["u"], r["w"]): (1, [1] * model.samples) for r in model.single.collect()}
+    assert {k: n for k, (n, _) in got.items()} == pairs and all(1 <= t <= n for n, kept in got.values() for t in kept)
+    table = {r["k"]: r for r in model.table.collect()}
+    for code, c in Counter(w for own in (k for k in pairs.elements()) for w in own[1:]).items():
+        assert table[code]["c"] == c
+
+    def chance(u, w):
+        total = 0.0
+        for k in range(model.samples):
+            p = table[w][f"p{k}"] if w in table else model.spare[k]
+            total += (table[u][f"b{k}"] if u in table else 1.0) * p
+            if (u, w) in got:
+                n, kept = got[u, w]
+                total += (n - model.discount * kept[k]) * table[u][f"inv{k}"]
+        return total / model.samples
+
+    for r in scored.where("doc_id % 7 = 0").collect():
+        own = [codes[t] for t in docs[r["doc_id"]]]
+        want = sum(math.log10(chance(u, w)) for u, w in zip([codes[None], *own[:-1]], own, strict=True))
+        assert r["score"] == pytest.approx(want, rel=1e-9, abs=1e-6)
+
+
+@pytest.mark.parametrize("hot", [lm.HOT, 2])
+def test_predictive_probabilities_sum_to_one(spark, hot):
+    """Over all known tokens and one unknown, after every context and after a token that was never seen."""
     train = spark.createDataFrame([("a b a c a b d",), ("b a b a e",), (None,), ("A b",)], "text string")
-    model = lm.fit(train)
-    words, firsts = ["a", "b", "c", "d", "e", "never"], ("a", "b", "c", "never")
+    model = lm.fit(train, hot)
     assert model.n_tokens == 18 and model.n_known == 6
-    texts = [f"{first} {w}" for first in firsts for w in words] + list(firsts)
+    words, firsts = ["a", "b", "c", "d", "e", "never"], ("a", "b", "c", "never")
+    texts = [f"{first} {w}" for first in firsts for w in words] + [*words, ""]
     pairs = spark.createDataFrame([(t, t) for t in texts], "text string, t string")
     got = {r["t"]: r["score"] for r in lm.score_texts(pairs, model).collect()}
-    end = next(r for r in model.table.collect() if r["w"] == lm.END)
-    places = {int(w): k for k, w in enumerate(model.known)}
+    table = {r["k"]: r for r in model.table.collect()}
+    end = int(model.codes(np.array([lm.END]))[0])
+    ends = {(r["u"], end): [1] * model.samples for r in model.single.where(F.col("w") == end).collect()} | {(r["u"], end): (r["n"], r["kept"]) for r in model.multi.where(F.col("w") == end).collect()}
 
     def after(word):
-        """log10 P(end | word), from the model's table."""
-        if (k := places.get(hash_word(word))) is None:
-            return math.log10(np.mean(end["p"]))
-        own = end["x"][end["ctx"].index(k)] if k in end["ctx"] else 0.0
-        return math.log10(np.mean(np.array(end["p"]) * model.back_off[:, k]) + own)
+        """P(end | word), from the tables."""
+        u, total = int(model.codes(np.array([hash_word(word)]))[0]), 0.0
+        for k in range(model.samples):
+            total += (table[u][f"b{k}"] if u in table else 1.0) * table[end][f"p{k}"]
+            if (u, end) in ends:
+                n, kept = ends[u, end] if isinstance(ends[u, end], tuple) else (1, ends[u, end])
+                total += (n - model.discount * kept[k]) * table[u][f"inv{k}"]
+        return total / model.samples
 
     for first in firsts:
-        start = got[first] - after(first)  # log10 P(first | start)
-        total = sum(10 ** (got[f"{first} {w}"] - start - after(w)) for w in words) + 10 ** after(first)
-        assert total == pytest.approx(1.0, abs=1e-6)
+        start = 10 ** got[first] / after(first)  # P(first | start)
+        assert sum(10 ** got[f"{first} {w}"] / start / after(w) for w in words) + after(first) == pytest.approx(1.0, abs=1e-6)
+
+
+def test_held_out_perplexity(spark):
+    """Far below the unigram's, and below that of the model without any context but the parent."""
+    scored, model = lm_query(spark, lm.HOT, lm.HOT_PAIRS)
+    n, base, own = scored.where(lm.crc_mod("doc_id", 10) == 0).agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score")).first()
+    assert 10 ** (-own / n) < 0.2 * 10 ** (-base / n)
+
+
+def test_strengths_follow_the_seating():
+    """Many tables ask for a larger strength than few, and the auxiliaries' sums are those of plain draws."""
+    level = lm.Level(0.5, 2.0)
+    customers, tables = np.array([1, 10, 100, 7]), np.array([1, 4, 30, 7])
+    rng, log_x, y = np.random.default_rng(1), [], []
+    for _ in range(4000):
+        log_x.append(np.log(rng.beta(3.0, customers[1:] - 1)).sum())
+        y.append(sum((rng.random(t - 1) < 2.0 / (2.0 + 0.5 * np.arange(1, t))).sum() for t in tables[1:]))
+    got = np.array([lm.auxiliaries(customers, tables, level, s) for s in range(4000)]).mean(axis=0)
+    assert got[0] == pytest.approx(np.mean(log_x), rel=0.03) and got[1] == pytest.approx(np.mean(y), rel=0.02) and got[2] == pytest.approx(np.var(y), rel=0.1)
+    few, many = (np.mean([lm.drawn_strength(level, *lm.auxiliaries(np.full(300, 20), np.full(300, t), level, s), s) for s in range(20)]) for t in (2, 15))
+    assert few < many and lm.auxiliaries(np.array([1]), np.array([1]), level, 0) == (0.0, 0.0, 0.0)
 
 
 def test_seats_follow_the_process():

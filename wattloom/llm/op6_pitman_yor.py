@@ -1,26 +1,31 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
-Restaurants. The tokens that follow one of the CONTEXTS most frequent tokens sit in that context's restaurant; all these
-restaurants share one parent, whose own customers are the tables of its children and the tokens with other contexts; its
-base is uniform over the known tokens and one unknown. Discounts come from the counts of counts.
-
-Counts are those of all training texts. A row of the word table is a token with its counts by context, so each row holds
-all seats of its dish. A Gibbs sweep seats every dish's customers again, one after the other, by the Chinese restaurant
-process, given the parent's probabilities and the totals of the sweep before; rows are independent in a sweep, and
-totals are summed after it (customers past the 64th of a dish sit down in doubling batches). After BURN_IN sweeps the
-predictive probabilities of SAMPLES sweeps are averaged.
-
-Scores. The HOT most frequent tokens are broadcast, a bounded table that covers most of any text; the other tokens of a
-text join the word table by a shuffle. A score is the sum of log10 probabilities of the text's tokens, its end included,
-given the token before; perplexity is 10 ** (-score / n_tokens).
+Restaurants. Every token that was seen before another one is a context with a restaurant of its own, in which the tokens
+that follow it sit; there are as many restaurants as the corpus asks for. All share one parent, whose customers are the
+tables of its children; its base is uniform over the known tokens and one unknown.
+
+Fit. Counts of (context, token) pairs are exact sums over all training texts. A Gibbs sweep seats each pair's customers
+again, one after the other, by the Chinese restaurant process, given the parent's probabilities and the restaurants'
+tables of the sweep before; a pair seen once has one table in any seating, so sweeps only read the others. Then the
+parent's customers are seated again, and the strengths of both levels are drawn from their posterior by auxiliary variables
+(discounts are the counts-of-counts estimates of each level). Pairs do not on each other within a sweep, and totals are summed after it. Customers past the 64th of a dish sit down in
+doubling batches with the chance at the middle of the batch. After BURN_IN sweeps the predictive probabilities of SAMPLES
+sweeps are averaged.
+
+Scores. A score is the sum of log10 probabilities of the text's tokens, its end included, given the token before;
+perplexity is 10 ** (-score / n_tokens). The HOT most frequent tokens have short codes, and they and the HOT_PAIRS most
+frequent pairs of them go to all tasks: tables of a fixed size, whatever the corpus. All other pairs of a text, once each,
+join the pairs' probabilities by a shuffle; those that were never seen get the parent's share.
 
 Null texts are empty: one end token. Rows without an id count as held out. Repeated rows train once each and have scores
-of their own. Tokens are told by a 64-bit hash. An empty table gives an empty result.
+of their own. Texts of any length are read whole, a slice's pairs at a time. Ties in frequency only decide which tokens
+are broadcast. Tokens are told by a 64-bit hash. An empty table gives an empty result; columns of other names are never read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +35,13 @@ from pyspark.sql import functions as F
 
 from wattloom.llm.common import crc_mod, materialise, mix, read, slices_of, word_hashes, word_spans
 
-CONTEXTS, HOT = 64, 200_000
-BURN_IN, SAMPLES = 1, 2
-STRENGTH = 1.0
+HOT, HOT_PAIRS = 200_000, 500_000
+BURN_IN, SAMPLES = 2, 2
 #: A task flushes its counts when it holds so many.
 HELD = 1_000_000
 
 _U = np.uint64
+_STEP = _U(0x9E3779B97F4A7C15)
 END = int(mix(np.array([0xE5D], _U)).view(np.int64)[0])
 
 
@@ -51,80 +56,77 @@ def tokens(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return row, out
 
 
-def contexts_of(token: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """The place in ``known`` (sorted) of the token before each, -1 if it isn't there; a text begins after an end."""
-    before = np.concatenate([np.array([END]), token[:-1]])
-    place = np.minimum(np.searchsorted(known, before), max(len(known) - 1, 0))
-    return np.where(known[place] == before, place, -1).astype(np.int8) if len(known) else np.full(len(token), -1, np.int8)
+def pair_keys(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each pair."""
+    return mix(mix(context.view(_U) + _STEP) * _STEP + token.view(_U))
 
 
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of counts by (token, context)."""
-    token = np.concatenate([k[0] for k in keys])
-    context = np.concatenate([k[1] for k in keys])
-    count = np.concatenate(counts)
-    order = np.lexsort((context, token))
-    token, context, count = token[order], context[order], count[order]
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (context[1:] != context[:-1])
-    at = np.flatnonzero(new)
-    return token[at], context[at], np.add.reduceat(count, at) if len(at) else count
+class Codes:
+    """Frequent tokens by their rank, others by their hash."""
 
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        order = np.lexsort((hashes, -counts))
+        self.counts = counts[order]
+        by_hash = np.argsort(hashes[order])
+        self.hashes, self.ranks = hashes[order][by_hash], by_hash
 
-def frequent_tokens(train: DataFrame, most: int = CONTEXTS) -> np.ndarray:
-    """Sorted hashes of the tokens that are most frequent over all training texts.
+    def __call__(self, token: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return token
+        place = np.minimum(np.searchsorted(self.hashes, token), len(self.hashes) - 1)
+        return np.where(self.hashes[place] == token, self.ranks[place], token)
 
-    Each task counts all of its tokens and passes on those with a share of 1/4096 or more, so any token with such a share
-    of the corpus is passed on where it is common.
-    """
+    def is_hot(self, code: np.ndarray) -> np.ndarray:
+        return (code >= 0) & (code < len(self.hashes))
+
+    def pairs(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, context, token) as codes; a text begins after an end."""
+        row, token = tokens(raw, bounds)
+        code = self(token)
+        end = self(np.array([END]))
+        return row, np.concatenate([end, code[:-1]]), code
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, total = [], [], 0
-        for batch in batches:
-            for _, _, raw, bounds in slices_of(batch.column(0)):
-                token, n = np.unique(tokens(raw, bounds)[1], return_counts=True)
-                total += int(n.sum())
-                keys.append((token, np.zeros(len(token), np.int8)))
-                counts.append(n)
-                if sum(map(len, counts)) > HELD:
-                    token, context, n = _merge(keys, counts)
-                    some = n * 65536 >= total  # far below the share that is passed on
-                    keys, counts = [(token[some], context[some])], [n[some]]
-        if keys:
-            token, _, n = _merge(keys, counts)
-            some = n * 4096 >= total
-            yield pa.RecordBatch.from_arrays([pa.array(token[some]), pa.array(n[some])], names=["w", "c"])
 
-    found = train.select("text").mapInArrow(count, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
-    return np.array(sorted(r["w"] for r in found.orderBy(F.desc("c"), "w").limit(most).collect()), np.int64)
+def _held(keys: list[np.ndarray], rows: list[tuple[np.ndarray, ...]], counts: list[np.ndarray]) -> tuple:
+    """Sums of counts by key, and one of each key's rows."""
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
+    first = np.empty(len(key), np.int64)
+    first[at] = np.arange(len(at))
+    return key, tuple(np.concatenate(x)[first] for x in zip(*rows, strict=True)), n
 
 
-def word_table(train: DataFrame, known: np.ndarray) -> DataFrame:
-    """w, c (all its customers), own (those without a context of ``known``), ctx and n (arrays: its counts by context)."""
+def counted(train: DataFrame, of, names: list[str]) -> DataFrame:
+    """Sums over all texts of what ``of`` (bytes, offsets to key and columns) lists; summed in tasks first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [], []
+        keys, rows, counts = [], [], []
 
-        def flush():
-            token, context, n = _merge(keys, counts)
-            keys.clear()
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(context), pa.array(n)], names=["w", "k", "n"])
+        def flush() -> pa.RecordBatch:
+            _, columns, n = _held(keys, rows, counts)
+            for x in (keys, rows, counts):
+                x.clear()
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n)], names=[*names, "n"])
 
         for batch in batches:
             for _, _, raw, bounds in slices_of(batch.column(0)):
-                token = tokens(raw, bounds)[1]
-                token, context, n = _merge([(token, contexts_of(token, known))], [np.ones(len(token), np.int64)])
-                keys.append((token, context))
+                key, columns = of(raw, bounds)
+                key, at, n = np.unique(key, return_index=True, return_counts=True)
+                keys.append(key)
+                rows.append(tuple(c[at] for c in columns))
                 counts.append(n)
                 if sum(map(len, counts)) > HELD:
                     yield flush()
         if keys:
             yield flush()
 
-    pairs = train.select("text").mapInArrow(count, "w bigint, k tinyint, n bigint").repartition("w").groupBy("w", "k").agg(F.sum("n").alias("n"))
-    by_word = pairs.groupBy("w").agg(F.sum("n").alias("c"), F.sum(F.when(F.col("k") < 0, F.col("n")).otherwise(0)).alias("own"), F.sort_array(F.collect_list(F.when(F.col("k") >= 0, F.struct("k", "n")))).alias("x"))
-    return by_word.select("w", "c", "own", F.col("x.k").alias("ctx"), F.col("x.n").alias("n"))
+    listed = train.select("text").mapInArrow(count, ", ".join(f"{c} bigint" for c in (*names, "n")))
+    return listed.groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def _words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray]]:
+    token = tokens(raw, bounds)[1]
+    return token, (token,)
 
 
 def uniform(*parts: np.ndarray | int) -> np.ndarray:
@@ -149,102 +151,181 @@ def seat(key: np.ndarray, customers: np.ndarray, fresh: np.ndarray, discount: fl
     return np.minimum(tables, np.maximum(customers, 0))
 
 
-class Totals:
-    """What a sweep needs of all others: discounts, and each restaurant's customers and tables."""
+def discount_of(once: int, twice: int) -> float:
+    """The counts-of-counts estimate."""
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+
+
+@dataclass
+class Level:
+    """A level's discount and strength, its customers and tables."""
+
+    discount: float
+    strength: float = 1.0
+    customers: float = 0.0
+    tables: float = 0.0
+
 
-    def __init__(self, n_known: int, discount: float, root_discount: float, customers: np.ndarray, tables: np.ndarray, root_customers: float, root_tables: float) -> None:
-        self.base = 1.0 / (n_known + 1)
-        self.discount, self.root_discount = discount, root_discount
-        self.customers, self.tables = customers, tables
-        self.root_customers, self.root_tables = root_customers, root_tables
+def drawn_strength(level: Level, log_x: float, mean_y: float, var_y: float, seed: int) -> float:
+    """A strength from its posterior under a Gamma(1, 1) prior, given the sums over restaurants of log x, x ~ Beta(strength + 1,
+    customers - 1), and the mean and variance of the sum of y_i ~ Bernoulli(strength / (strength + discount i))."""
+    rng = np.random.default_rng(seed)
+    y = max(0.0, mean_y + np.sqrt(var_y) * rng.standard_normal())
+    return float(np.clip(rng.gamma(1.0 + y) / (1.0 - log_x), 1e-3, 1e3))
 
-    def root_chance(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        spare = (STRENGTH + self.root_discount * self.root_tables) * self.base
-        return (np.maximum(customers - self.root_discount * tables, 0) + spare) / (STRENGTH + self.root_customers)
 
-    def back_off(self) -> np.ndarray:
-        """Each context's weight of its parent."""
-        return (STRENGTH + self.discount * self.tables) / (STRENGTH + self.customers)
+def auxiliaries(customers: np.ndarray, tables: np.ndarray, level: Level, seed: int) -> tuple[float, float, float]:
+    """Sums of log x, and of the mean and variance of y, over restaurants of two customers or more."""
+    use = customers > 1
+    c, t = customers[use].astype(float), tables[use].astype(np.int64)
+    if not len(c):
+        return 0.0, 0.0, 0.0
+    rng = np.random.default_rng(seed)
+    log_x = np.log(np.maximum(rng.beta(level.strength + 1, c - 1), 1e-300)).sum()
+    known = np.arange(1, min(int(t.max()), 1 << 16) + 1)
+    p = level.strength / (level.strength + level.discount * known)
+    mean, var = (np.concatenate([[0.0], np.cumsum(x)]) for x in (p, p * (1 - p)))
+    last = np.minimum(t - 1, len(known))
+    beyond = np.where(t - 1 > last, np.log((level.strength + level.discount * (t - 1.0)) / (level.strength + level.discount * last)), 0.0) * level.strength / level.discount
+    return float(log_x), float((mean[last] + beyond).sum()), float((var[last] + beyond).sum())
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    offsets = np.asarray(column.offsets)
-    return np.asarray(column.values)[offsets[0] : offsets[-1]], offsets - offsets[0]
+def token_table(pairs: DataFrame) -> DataFrame:
+    """k, c (its count as a token), cu and tu (customers and tables of its restaurant), rc (its customers at the parent);
+    pairs: u, w, n, t."""
+    side = F.explode(F.array(F.struct(F.col("w").alias("k"), F.col("n").alias("c"), F.lit(0).cast("long").alias("cu"), F.lit(0).cast("long").alias("tu"), F.col("t").alias("rc")), F.struct(F.col("u").alias("k"), F.lit(0).cast("long").alias("c"), F.col("n").alias("cu"), F.col("t").alias("tu"), F.lit(0).cast("long").alias("rc"))))
+    return pairs.select(side.alias("x")).select("x.*").groupBy("k").agg(*[F.sum(c).alias(c) for c in ("c", "cu", "tu", "rc")])
 
 
-def sweep_words(words: DataFrame, totals: Totals, sweep: int) -> DataFrame:
-    """The word table with the tables of a new sweep: t (array, by context) and root_t."""
-    shared = words.sparkSession.sparkContext.broadcast(totals)
+def seat_parent(table: DataFrame, root: Level, lower: Level, base: float, sweep: int) -> DataFrame:
+    """``table`` with rt, the tables of each token at the parent, and each batch's sums for the lower level's strength."""
+    fresh = (root.strength + root.discount * root.tables) * base
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
-            w, direct = np.asarray(batch.column(0)), np.asarray(batch.column(2))
-            ctx, offsets = _lists(batch.column(3))
-            n, _ = _lists(batch.column(4))
-            t, _ = _lists(batch.column(5))
-            row = np.repeat(np.arange(len(w)), np.diff(offsets))
-            root = own.root_chance(direct + np.bincount(row, t, len(w)), np.asarray(batch.column(6)))
-            fresh = (STRENGTH + own.discount * own.tables[ctx]) * root[row]
-            t = seat(w[row] + ctx, n, fresh, own.discount, sweep)
-            below = direct + np.bincount(row, t, len(w)).astype(np.int64)
-            root_t = seat(w, below, np.full(len(w), (STRENGTH + own.root_discount * own.root_tables) * own.base), own.root_discount, sweep)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(t)), pa.array(root_t)], names=batch.schema.names)
-
-    return words.mapInArrow(again, "w bigint, c bigint, own bigint, ctx array<tinyint>, n array<bigint>, t array<bigint>, root_t bigint")
-
-
-def _totals(words: DataFrame, n_known: int, discount: float, root_discount: float, n_contexts: int) -> Totals:
-    by_context = words.select(F.explode(F.arrays_zip("ctx", "n", "t")).alias("x")).groupBy("x.ctx").agg(F.sum("x.n").alias("n"), F.sum("x.t").alias("t"))
-    customers, tables = np.zeros(max(n_contexts, 1)), np.zeros(max(n_contexts, 1))
-    for r in by_context.collect():  # a row a context
-        customers[r["ctx"]], tables[r["ctx"]] = r["n"], r["t"]
-    own, root = words.agg(F.sum("own"), F.sum("root_t")).first()
-    return Totals(n_known, discount, root_discount, customers, tables, float(own or 0) + tables.sum(), float(root or 0))
+            k, _, cu, tu, rc = (np.asarray(c) for c in batch.columns)
+            rt = seat(k, rc, np.full(len(k), fresh), root.discount, sweep)
+            sums = np.zeros((3, len(k)))
+            if len(k):
+                sums[:, 0] = auxiliaries(cu, tu, lower, int(mix(k[:1].view(_U) + _U(sweep))[0]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rt), *map(pa.array, sums)], names=["k", "c", "cu", "tu", "rc", "rt", "log_x", "mean_y", "var_y"])
 
+    return table.select("k", "c", "cu", "tu", "rc").mapInArrow(again, "k bigint, c bigint, cu bigint, tu bigint, rc bigint, rt bigint, log_x double, mean_y double, var_y double")
 
+
+def seat_pairs(pairs: DataFrame, lower: Level, sweep: int) -> DataFrame:
+    """``pairs`` (u, w, n, kept, tu, p) with t of a new sweep; kept: the tables of the samples so far."""
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, w, n, _, tu, p = batch.columns
+            u, w, n, tu, p = (np.asarray(c) for c in (u, w, n, tu, p))
+            t = seat(pair_keys(u, w).view(np.int64), n, (lower.strength + lower.discount * tu) * p, lower.discount, sweep)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(t)], names=["u", "w", "n", "kept", "t"])
+
+    return pairs.select("u", "w", "n", "kept", "tu", "p").mapInArrow(again, "u bigint, w bigint, n bigint, kept array<bigint>, t bigint")
+
+
+@dataclass
 class Model:
-    """The averaged predictive probabilities: a table by token, and what the tokens that are not in it get."""
+    """Codes, the pairs (u, w, n, kept: tables by sample; single pairs: null), and the token table with, by sample, each
+    token's share of the parent ``p`` and each context's weight of it ``b`` and strength-weighted customers ``inv``."""
+
+    codes: Codes
+    single: DataFrame
+    multi: DataFrame
+    table: DataFrame
+    n_tokens: int
+    n_known: int
+    discount: float
+    spare: np.ndarray
 
-    def __init__(self, words: DataFrame, table: DataFrame, known: np.ndarray, n_tokens: int, n_known: int, root_unknown: np.ndarray, back_off: np.ndarray) -> None:
-        self.words, self.table, self.known = words, table, known
-        self.n_tokens, self.n_known = n_tokens, n_known
-        self.root_unknown, self.back_off = root_unknown, back_off  # (SAMPLES), (SAMPLES, contexts)
+    @property
+    def samples(self) -> int:
+        return len(self.spare)
 
 
-def fit(train: DataFrame) -> Model:
+def with_both(pairs: DataFrame, table: DataFrame, n_hot: int, at_u: list[str], at_w: list[str]) -> DataFrame:
+    """``pairs`` with some columns of the token table for their context and their token.
+
+    Pairs of frequent tokens, the most of them, meet the table's HOT rows in place; only the others are shuffled.
+    """
+    own, small = table.select("k", *dict.fromkeys([*at_u, *at_w])), F.broadcast
+    both = hot_code("u", n_hot) & hot_code("w", n_hot)
+    of_u = own.select(F.col("k").alias("u"), *[F.col(c).alias(f"u_{c}") for c in at_u])
+    of_w = own.select(F.col("k").alias("w"), *[F.col(c).alias(f"w_{c}") for c in at_w])
+    hot_u, hot_w = of_u.where(hot_code("u", n_hot)), of_w.where(hot_code("w", n_hot))
+    first = pairs.where(both).join(small(hot_u), "u").join(small(hot_w), "w")  # at most HOT rows each
+    rest = pairs.where(~both).join(of_u, "u", "left").join(of_w, "w", "left")
+    return first.unionByName(rest)
+
+
+def hot_code(column: str, n_hot: int):
+    return F.col(column).between(0, n_hot - 1)
+
+
+def fit(train: DataFrame, hot: int = HOT, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
     """train: the training texts, in column ``text``."""
-    known = frequent_tokens(train)
-    words = materialise(word_table(train, known))
+    spark = train.sparkSession
+    words = materialise(counted(train, _words, ["w"]).withColumnRenamed("n", "c"))
     n_tokens, n_known = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    once = words.select(F.explode("n").alias("n")).agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    customers = F.col("own") + F.size("ctx")
-    root_once = words.agg(F.count_if(customers == 1), F.count_if(customers == 2)).first()
-    discount, root_discount = (min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5 for a, b in (once, root_once))
-    state = words.select("w", "c", "own", "ctx", "n", F.transform("n", lambda _: F.lit(1).cast("long")).alias("t"), F.lit(1).cast("long").alias("root_t"))
-    totals = _totals(state, n_known, discount, root_discount, len(known))
-    samples = []
-    for sweep in range(BURN_IN + SAMPLES):
-        state = materialise(sweep_words(state, totals, sweep))
-        totals = _totals(state, n_known, discount, root_discount, len(known))
-        if sweep >= BURN_IN:
-            samples.append((state, totals))
-    table = None
-    for k, (state, totals) in enumerate(samples):
-        # what a dish has of its own in each restaurant, and its root probability
-        scale = F.array(*[F.lit(float(1 / (STRENGTH + c))) for c in totals.customers])
-        extra = F.transform(F.arrays_zip("ctx", "n", "t"), lambda x: F.greatest(x["n"] - totals.discount * x["t"], F.lit(0.0)) * F.get(scale, x["ctx"].cast("int")) / len(samples))
-        below = F.col("own") + F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x)
-        spare = (STRENGTH + totals.root_discount * totals.root_tables) * totals.base
-        root = (F.greatest(below - totals.root_discount * F.col("root_t"), F.lit(0.0)) + spare) / (STRENGTH + totals.root_customers)
-        own = state.select("w", "c", "ctx", root.alias(f"p{k}"), extra.alias(f"x{k}"))
-        table = own if table is None else table.join(own.drop("c", "ctx"), "w")
-    add = F.col("x0")
-    for k in range(1, len(samples)):
-        add = F.zip_with(add, f"x{k}", lambda a, b: a + b)
-    table = materialise(table.select("w", "c", F.array(*[f"p{k}" for k in range(len(samples))]).alias("p"), "ctx", add.alias("x")))
-    spares = np.array([(STRENGTH + t.root_discount * t.root_tables) * t.base / (STRENGTH + t.root_customers) for _, t in samples])
-    return Model(words, table, known, n_tokens, n_known, spares, np.stack([t.back_off() for _, t in samples]))
+    frequent = words.where(F.col("c") >= hot_count(words, hot)).toArrow()
+    codes = Codes(*(np.asarray(frequent.column(c).combine_chunks(), dtype=np.int64) for c in ("w", "c")))
+    n_hot, shared = len(codes.hashes), spark.sparkContext.broadcast(codes)
+
+    def of(raw: np.ndarray, bounds: np.ndarray):
+        _, u, w = shared.value.pairs(raw, bounds)
+        return pair_keys(u, w), (u, w)
+
+    pairs = materialise(counted(train, of, ["u", "w"]))
+    single = pairs.where("n = 1")
+    once, twice = pairs.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    lower = Level(discount_of(once, twice))
+    one = F.lit(1).cast("long")
+    fixed = materialise(token_table(single.select("u", "w", "n", one.alias("t"))))  # what single pairs add
+    state = pairs.where("n > 1").select("u", "w", "n", F.array().cast("array<bigint>").alias("kept"), one.alias("t"))
+    base, root = 1.0 / (n_known + 1), None
+    table, spare = None, []
+    for sweep in range(burn_in + samples + 1):
+        joined = fixed.unionByName(token_table(state))
+        own = joined.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("c", "cu", "tu", "rc")])
+        if root is None:
+            own = materialise(own)
+            once, twice = own.agg(F.count_if(F.col("rc") == 1), F.count_if(F.col("rc") == 2)).first()
+            root = Level(discount_of(once, twice), 1.0, 0.0, float(n_known))
+        seated = materialise(seat_parent(own, root, lower, base, sweep))
+        sums = seated.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("rc", "rt", "log_x", "mean_y", "var_y")]).first()
+        root.customers, root.tables = float(sums[0]), float(sums[1])
+        lower.strength = drawn_strength(lower, *map(float, sums[2:]), seed=2 * sweep)
+        root.strength = drawn_strength(root, *auxiliaries(np.array([root.customers]), np.array([root.tables]), root, 2 * sweep + 1), seed=2 * sweep + 1)
+        whole = root.strength + root.customers
+        rest = (root.strength + root.discount * root.tables) * base / whole
+        share = F.greatest(F.col("rc") - root.discount * F.col("rt"), F.lit(0.0)) / whole + rest
+        inv = 1.0 / (lower.strength + F.col("cu"))
+        probable = seated.select("k", "c", "cu", "tu", share.alias("p"), ((lower.strength + lower.discount * F.col("tu")) * inv).alias("b"), inv.alias("inv"))
+        if sweep > burn_in:  # a sample: its pairs' tables are in ``state``
+            k = len(spare)
+            spare.append(rest)
+            state = state.withColumn("kept", F.array_append("kept", F.col("t")))
+            kept = probable.select("k", "c", *[F.col(c).alias(f"{c}{k}") for c in ("p", "b", "inv")])
+            table = kept if table is None else table.join(kept.drop("c"), "k")
+        if sweep < burn_in + samples:
+            met = with_both(state.drop("t"), probable, n_hot, ["tu"], ["p"])
+            met = met.select("u", "w", "n", "kept", F.col("u_tu").alias("tu"), F.col("w_p").alias("p"))
+            state = materialise(seat_pairs(met, lower, sweep))
+    return Model(codes, single.select("u", "w"), materialise(state.drop("t")), materialise(table), n_tokens, n_known, lower.discount, np.array(spare))
+
+
+def pair_chances(model: Model, pairs: DataFrame) -> DataFrame:
+    """u, w, lp (log10 of the averaged probability) and c (the token's count, null for a frequent one); pairs: u, w, n, kept."""
+    names = [f"{c}{k}" for c in ("b", "inv") for k in range(model.samples)]
+    met = with_both(pairs, model.table, len(model.codes.hashes), names, ["c", *[f"p{k}" for k in range(model.samples)]])
+    chance = F.lit(0.0)
+    for k in range(model.samples):
+        tables = F.coalesce(F.get("kept", F.lit(k)), F.lit(1).cast("long"))
+        chance = chance + (F.col("n") - model.discount * tables) * F.col(f"u_inv{k}") + F.col(f"u_b{k}") * F.col(f"w_p{k}")
+    c = F.when(~hot_code("w", len(model.codes.hashes)), F.col("w_c"))
+    return met.select("u", "w", F.log10(chance / model.samples).alias("lp"), c.alias("c"))
 
 
 def hot_count(table: DataFrame, most: int = HOT) -> int:
@@ -263,67 +344,64 @@ def hot_count(table: DataFrame, most: int = HOT) -> int:
     return least
 
 
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """key, the other columns of ``docs`` but text, n_tokens, n_known, base_score and score; docs: text and narrow columns."""
+def score_texts(docs: DataFrame, model: Model, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    """The columns of ``docs`` but text, n_tokens, n_known, base_score and score; docs: text and narrow columns."""
     spark = docs.sparkSession
     others = [c for c in docs.columns if c != "text"]
-    hot = model.table.where(F.col("c") >= hot_count(model.table)).toArrow().sort_by("w").combine_chunks()
-    w, c = (np.asarray(hot.column(x)) for x in ("w", "c"))
-    p = np.asarray(hot.column("p").combine_chunks().flatten(), float).reshape(len(w), len(model.root_unknown))
-    ctx, offsets = _lists(hot.column("ctx").combine_chunks()) if len(w) else (np.zeros(0, np.int8), np.zeros(1, np.int64))
-    extra, _ = _lists(hot.column("x").combine_chunks()) if len(w) else (np.zeros(0), None)
-    # sorted keys of (hot token, context), for lookups
-    keys = np.repeat(np.arange(len(w)), np.diff(offsets)) * 128 + ctx
-    shared = spark.sparkContext.broadcast((w, c, p, keys, extra, model.known, model.back_off))
+    n_hot = len(model.codes.hashes)
+    single = model.single.select("u", "w", F.lit(1).cast("long").alias("n"), F.lit(None).cast("array<bigint>").alias("kept"))
+    often = hot_code("u", n_hot) & hot_code("w", n_hot) & (F.col("n") >= hot_count(model.multi.select(F.col("n").alias("c")), hot_pairs))
+    frequent = pair_chances(model, model.multi.where(often)).toArrow()
+    key = pair_keys(*(np.asarray(frequent.column(c).combine_chunks(), dtype=np.int64) for c in ("u", "w")))
+    order = np.argsort(key)
+    chances = np.asarray(frequent.column("lp").combine_chunks(), dtype=float)
+    shared = spark.sparkContext.broadcast((model.codes, key[order], chances[order]))
     base_of, base_all = 0.1, model.n_tokens + 0.1 * (model.n_known + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, c, p, keys, extra, known, back_off = shared.value
+        codes, keys, chances = shared.value
         task, counter = TaskContext.get().partitionId() << 40, 0
+        hot_base = np.log10((codes.counts + base_of) / base_all)
         for batch in batches:
             for i, j, raw, bounds in slices_of(batch.column(len(others))):
-                row, token = tokens(raw, bounds)
-                context = contexts_of(token, known)
-                place = np.minimum(np.searchsorted(w, token), max(len(w) - 1, 0))
-                is_hot = w[place] == token if len(w) else np.zeros(len(token), bool)
-                at, k, r = place[is_hot], context[is_hot], row[is_hot]
-                chance = p[at].mean(axis=1) if len(w) else np.zeros(0)
-                inside = k >= 0
-                chance[inside] = (p[at[inside]] * back_off[:, k[inside]].T).mean(axis=1)
-                key = at[inside] * 128 + k[inside]
-                spot = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-                seen = keys[spot] == key if len(keys) else np.zeros(len(key), bool)
-                chance[inside] += np.where(seen, extra[spot] if len(extra) else 0.0, 0.0)
-                base = np.bincount(r, np.log10((c[at] + base_of) / base_all), j - i).astype(float)  # of no rows it is whole
-                total = np.bincount(r, np.log10(chance), j - i).astype(float)
-                n_known, n = np.bincount(r, minlength=j - i), np.bincount(row, minlength=j - i)
-                rare = ~is_hot
-                pair = np.lexsort((context[rare], token[rare], row[rare]))
-                rr, rt, rk = row[rare][pair], token[rare][pair], context[rare][pair]
-                new = np.ones(len(rr), bool)
-                new[1:] = (rr[1:] != rr[:-1]) | (rt[1:] != rt[:-1]) | (rk[1:] != rk[:-1])
+                row, u, w = codes.pairs(raw, bounds)
+                hot = codes.is_hot(w)
+                n, n_known = np.bincount(row, minlength=j - i), np.bincount(row[hot], minlength=j - i)
+                base = np.bincount(row[hot], hot_base[w[hot]], j - i).astype(float)  # of no rows it is whole
+                key = pair_keys(u, w)
+                place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                there = keys[place] == key if len(keys) else np.zeros(len(key), bool)
+                total = np.bincount(row[there], chances[place[there]], j - i).astype(float)
+                left = np.flatnonzero(~there)
+                left = left[np.lexsort((key[left], row[left]))]
+                new = np.ones(len(left), bool)
+                new[1:] = (row[left][1:] != row[left][:-1]) | (key[left][1:] != key[left][:-1])
                 first = np.flatnonzero(new)
-                structs = pa.StructArray.from_arrays([pa.array(rt[first]), pa.array(rk[first]), pa.array(np.diff(np.append(first, len(rr))), pa.int64())], names=["w", "k", "n"])
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rr[first], np.arange(j - i + 1)), pa.int32()), structs)
+                at = left[first]
+                times = np.diff(np.append(first, len(left)))
+                structs = pa.StructArray.from_arrays([pa.array(u[at]), pa.array(w[at]), pa.array(times, pa.int64())], names=["u", "w", "m"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[at], np.arange(j - i + 1)), pa.int32()), structs)
                 ids = pa.array(task + counter + np.arange(j - i))
                 counter += j - i
-                yield pa.RecordBatch.from_arrays([ids, *[x.slice(i, j - i) for x in batch.columns[:-1]], pa.array(n), pa.array(n_known), pa.array(base), pa.array(total), lists], names=["key", *others, "n_tokens", "hot_known", "hot_base", "hot_score", "rare"])
+                yield pa.RecordBatch.from_arrays([ids, *[x.slice(i, j - i) for x in batch.columns[:-1]], pa.array(n), pa.array(n_known), pa.array(base), pa.array(total), lists], names=["__key", *others, "n_tokens", "hot_known", "hot_base", "hot_score", "rest"])
 
-    schema = "key bigint, " + "".join(f"`{x}` {t}, " for x, t in docs.select(*others).dtypes)
-    schema += "n_tokens bigint, hot_known bigint, hot_base double, hot_score double, rare array<struct<w:bigint,k:tinyint,n:bigint>>"
+    schema = "__key bigint, " + "".join(f"`{x}` {t}, " for x, t in docs.select(*others).dtypes)
+    schema += "n_tokens bigint, hot_known bigint, hot_base double, hot_score double, rest array<struct<u:bigint,w:bigint,m:bigint>>"
     parts = materialise(docs.select(*others, "text").mapInArrow(score, schema))  # keys are fixed by writing them
-    rare = parts.select("key", F.explode("rare").alias("x")).select("key", "x.*")
-    joined = rare.join(model.table, "w", "left")
-    samples = range(len(model.root_unknown))
-    weights = F.array(*[F.array(*[F.lit(float(b)) for b in model.back_off[s]]) for s in samples])
+    rest = parts.select("__key", F.explode("rest").alias("x")).select("__key", "x.*")
+    seen = pair_chances(model, single.unionByName(model.multi.where(~often)))
+    found = rest.join(seen, ["u", "w"])
+    # pairs that were never seen: the parent's share, by the context's weight of it if it has a restaurant
+    unseen = with_both(rest.join(seen, ["u", "w"], "left_anti"), model.table, n_hot, [f"b{k}" for k in range(model.samples)], ["c", *[f"p{k}" for k in range(model.samples)]])
     chance = F.lit(0.0)
-    for s in samples:
-        root = F.coalesce(F.col("p")[s], F.lit(float(model.root_unknown[s])))
-        chance = chance + root * F.when(F.col("k") >= 0, F.get(F.get(weights, F.lit(s)), F.col("k").cast("int"))).otherwise(1.0) / len(model.root_unknown)
-    chance = chance + F.when(F.col("k") >= 0, F.coalesce(F.get("x", (F.array_position("ctx", F.col("k")) - 1).cast("int")), F.lit(0.0))).otherwise(0.0)
-    base = F.log10((F.coalesce("c", F.lit(0)) + base_of) / base_all)
-    sums = joined.groupBy("key").agg(F.sum(F.col("n") * base).alias("base"), F.sum(F.col("n") * F.log10(chance)).alias("total"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"))
-    both = parts.drop("rare").join(sums, "key", "left")
+    for k in range(model.samples):
+        chance = chance + F.coalesce(F.col(f"u_b{k}"), F.lit(1.0)) * F.coalesce(F.col(f"w_p{k}"), F.lit(float(model.spare[k])))
+    c = F.when(~hot_code("w", n_hot), F.coalesce("w_c", F.lit(0).cast("long")))
+    unseen = unseen.select("__key", "m", F.log10(chance / model.samples).alias("lp"), c.alias("c"))
+    every = found.select("__key", "m", "lp", "c").unionByName(unseen)
+    base = F.when(F.col("c").isNotNull(), F.log10((F.col("c") + base_of) / base_all)).otherwise(0.0)
+    sums = every.groupBy("__key").agg(F.sum(F.col("m") * base).alias("base"), F.sum(F.col("m") * F.col("lp")).alias("total"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("known"))
+    both = parts.drop("rest").join(sums, "__key", "left")
     return both.select(
         *others, "n_tokens", (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         (F.col("hot_base") + F.coalesce("base", F.lit(0.0))).alias("base_score"), (F.col("hot_score") + F.coalesce("total", F.lit(0.0))).alias("score"),
