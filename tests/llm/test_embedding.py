@@ -60,16 +60,25 @@ def test_repeated_rows_and_an_empty_table(spark):
     assert dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_bounds_hold():
-    rng = np.random.default_rng(0)
-    a, b = rng.standard_normal((200, 24)), rng.standard_normal((200, 24))
-    b[:50] = a[:50] + rng.standard_normal((50, 24)) * 0.1
-    code, factor = dedup.encode(a)
-    turned = dedup.unit_rows(b) @ dedup.rotation(24).T
-    estimate, upper = dedup.estimates(code, factor, turned)
+@pytest.mark.parametrize("dim", [3, 24, 64, 130])
+def test_codes_decide_as_the_exact_product_does(dim):
+    """No pair at 0.98 or above is dropped by bits or estimates, which are unbiased, and few others are computed."""
+    rng = np.random.default_rng(dim)
+    a = rng.standard_normal((300, dim))
+    b = np.concatenate([a[:150] + rng.standard_normal((150, dim)) * 0.2 * np.abs(a[:150]).mean(), rng.standard_normal((200, dim))])
+    left, right = ((v, *dedup.encode(v)) for v in (a, b))
     true = dedup.unit_rows(a) @ dedup.unit_rows(b).T
-    assert (upper >= true - 1e-12).all()
-    assert abs((estimate - true).mean()) < 0.01 and np.abs(estimate - true).mean() < 0.15
+    i, j, n = dedup.links_between(left, right, False, 0.98)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*np.nonzero(true >= 0.98), strict=True)) and len(i) > 20
+    assert n <= (true >= 0.98).sum() + true.size * (0.3 if dim < 10 else 0.01)
+    bits = np.unpackbits(left[1], axis=1, count=dim)[:, None, :] != np.unpackbits(right[1], axis=1, count=dim)[None, :, :]
+    assert (dedup.differing_bits(left[1], right[1]) == bits.sum(axis=2)).all()
+    x, y = (k.ravel() for k in np.indices(true.shape))
+    turned = dedup.unit_rows(b) @ dedup.rotation(dim).T
+    off = dedup.estimates(dedup.signs_of(left[1], dim)[x], left[2][x], turned[y]).reshape(true.shape) - true
+    assert abs(off.mean()) < 0.02
+    above = true >= 0.98
+    assert ((off + true)[above] >= np.broadcast_to(dedup.least_estimate(left[2], dim, 0.98)[:, None], true.shape)[above]).all()
 
 
 def exact(rows, k=10):

@@ -5,20 +5,24 @@ rows. Points of a large label are dealt to cells around pivots; two cells are co
 both radii, leaves room for a pair (on the unit sphere a cosine of 0.98 is a distance of 0.2), which is exact. Cells are
 cut in blocks of about BLOCK points, and each two blocks meet in a task of their own.
 
-Each unit vector o is turned by a random rotation once and stored as the signs of its coordinates, a unit vector c once
-scaled, with the correction factor f = <c, o>. For another vector q, <c, q> / f estimates <o, q> without bias. The
-confidence bound is the one that holds with certainty, cos(angle(c, q) - angle(c, o)): with codes of so few dimensions it
-is also narrower near 0.98 than an interval of some standard deviations. Pairs whose bound, from either side, stays
-below 0.98 are dropped and the others computed exactly. A task returns a count for each point and edges that join what
-is linked, not pairs.
+Each unit vector o is turned by a random rotation once and stored as the signs of its coordinates, one bit each (a unit
+vector c once scaled), with the correction factor f = <c, o>. In a tile, codes meet by popcounts first: the bits of two
+vectors at cosine s differ with chance arccos(s) / pi each, so pairs with more differing bits than a pair at 0.98 has with
+probability above CHANCE are dropped. For the others <c, q> / f estimates <o, q> without bias; at cosine s it is off by
+sqrt(1 - s^2) sqrt(1 - f^2) / f times a coordinate of a random unit vector, which DEVIATIONS standard deviations bound
+(with up to DEVIATIONS^2 dimensions the bound is certain). Pairs whose estimate, from either side, is below what 0.98
+allows are dropped, and the remaining ones are computed exactly. A task returns a count for each point and edges that join
+what is linked, not pairs.
 
 Null, zero, not finite or unlabelled vectors link with nothing: n_links 0, component_id their own id. Vectors of
-different lengths do not link. Rows without an id take no part either. Repeated rows are vectors of their own. An empty table gives an empty result.
+different lengths do not link. Rows without an id take no part either. Repeated rows are vectors of their own; rows of one id
+with different vectors each have a row in the result. An empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,7 @@ from wattloom.llm.common import materialise, read
 from wattloom.llm.components import connected_components
 
 SIMILARITY = 0.98
+CHANCE, DEVIATIONS = 1e-10, 6.5
 BLOCK, CELL, MAX_PIVOTS = 512, 4096, 1024
 SEED = 11
 
@@ -42,6 +47,7 @@ def split_usable(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, vectors.where(~use).select("vec_id")
 
 
+@cache
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
     """A random orthogonal matrix, the same in every task."""
     q, r = np.linalg.qr(np.random.default_rng(seed + dim).standard_normal((dim, dim)))
@@ -59,12 +65,40 @@ def encode(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(turned >= 0, axis=1), np.abs(turned).sum(axis=1) / math.sqrt(v.shape[1])
 
 
-def estimates(code: np.ndarray, factor: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unbiased estimates of <o, q> from each o's code and factor for each turned unit q, and certain upper bounds."""
-    signs = (np.unpackbits(code, axis=1, count=other.shape[1]) * 2.0 - 1.0) / math.sqrt(other.shape[1])
-    near = np.clip(signs @ other.T, -1.0, 1.0)
-    f = np.minimum(factor, 1.0)[:, None]
-    return near / f, f * near + np.sqrt(1 - f * f) * np.sqrt(1 - near * near)
+def differing_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(rows of a, rows of b): how many bits of two codes differ."""
+    a, b = (np.pad(x, ((0, 0), (0, -x.shape[1] % 8))).view(np.uint64) for x in (np.ascontiguousarray(a), np.ascontiguousarray(b)))
+    out = np.bitwise_count(a[:, :1] ^ b[:, 0])
+    for k in range(1, a.shape[1]):
+        out = out.astype(np.uint16) + np.bitwise_count(a[:, k, None] ^ b[:, k])
+    return out
+
+
+@cache
+def most_differing(dim: int, similarity: float, chance: float = CHANCE) -> int:
+    """The least number of bits that codes of a pair at ``similarity`` differ in more of with no more than ``chance``."""
+    p, tail = math.acos(similarity) / math.pi, 0.0
+    for h in range(dim, -1, -1):
+        log_pmf = math.lgamma(dim + 1) - math.lgamma(h + 1) - math.lgamma(dim - h + 1) + h * math.log(p) + (dim - h) * math.log1p(-p)
+        tail += math.exp(log_pmf)
+        if tail > chance:
+            return h
+    return dim
+
+
+def signs_of(code: np.ndarray, dim: int) -> np.ndarray:
+    return np.unpackbits(code, axis=1, count=dim).astype(np.float32) * 2 - 1
+
+
+def estimates(signs: np.ndarray, factor: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Unbiased estimates of <o, q> for pairs: each o's signs and factor, and the turned unit q."""
+    return np.einsum("ij,ij->i", signs, other) / (math.sqrt(other.shape[1]) * factor)
+
+
+def least_estimate(factor: np.ndarray, dim: int, similarity: float) -> np.ndarray:
+    """What the estimate of a pair at ``similarity`` or above does not fall below, with confidence DEVIATIONS."""
+    off = np.sqrt(np.maximum(1 - factor**2, 0)) / factor * math.sqrt(1 - similarity**2)
+    return similarity - off * min(1.0, DEVIATIONS / math.sqrt(max(dim - 1, 1))) - 1e-5  # estimates are in single precision
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -76,13 +110,23 @@ def links_between(left: tuple, right: tuple, same: bool, similarity: float) -> t
 
     A block is its vectors, codes and factors.
     """
-    turn = rotation(left[0].shape[1])
-    a, b = unit_rows(left[0]) @ turn.T, unit_rows(right[0]) @ turn.T
-    least = similarity - 1e-9  # room for rounding in the bounds
-    maybe = (estimates(*left[1:], b)[1] >= least) & (estimates(*right[1:], a)[1].T >= least)
+    dim = left[0].shape[1]
+    maybe = differing_bits(left[1], right[1]) <= most_differing(dim, similarity)
     if same:
         maybe = np.triu(maybe, 1)
-    i, j = np.nonzero(maybe)
+    i, j = np.divmod(np.flatnonzero(maybe), maybe.shape[1])
+    turn = rotation(dim)
+    a, b = ((unit_rows(x[0]) @ turn.T).astype(np.float32) for x in (left, right))
+    signs = [signs_of(x[1], dim) for x in (left, right)]
+    least_a, least_b = (least_estimate(x[2], dim, similarity) for x in (left, right))
+    kept = []
+    for k in range(0, len(i), 50_000):
+        x, y = i[k : k + 50_000], j[k : k + 50_000]
+        near = estimates(signs[0][x], left[2][x], b[y]) >= least_a[x]
+        x, y = x[near], y[near]
+        near = estimates(signs[1][y], right[2][y], a[x]) >= least_b[y]
+        kept.append((x[near], y[near]))
+    i, j = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (i, j)
     linked = np.concatenate([cosine(left[0][i[k : k + 100_000]], right[0][j[k : k + 100_000]]) >= similarity for k in range(0, len(i), 100_000)] or [np.zeros(0, bool)])
     return i[linked], j[linked], len(i)
 
