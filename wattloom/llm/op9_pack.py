@@ -8,10 +8,11 @@ ranks within each length to the places of the patterns. Nothing that grows with
 Plan: best fit by descending length is the first incumbent. Unless it meets the bound ceil(total / capacity), a
 depth-first search completes bins around the largest open length with undominated fillings, uses a completion as often
 as the counts allow, and turns back when the waste so far rules out one sequence less than the incumbent. It ends at
-the bound or after SEARCH_NODES steps.
+the bound or after SEARCH_NODES steps, each a length that is tried or a bin that is completed; that is the only limit.
 
 A null text is an empty one: one piece that holds the end id. Repeated rows are packed once each. An empty table gives
-an empty result. Whole texts are tokenised, whatever their length.
+an empty result. Whole texts are tokenised, whatever their length; ties between pieces of one length go by id, piece and
+checksum. Columns other than doc_id and text are never read.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import json
 import os
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -205,59 +207,74 @@ class BinCompletion:
         self.counts = Counter(counts)
         self.least = -(-self.total // capacity)
 
-    def fillings(self, room: int, own: int, width: int = 6) -> list[tuple[int, ...]]:
-        """Undominated fillings of ``room`` beside one bin's largest length ``own``, least waste first."""
+    def _step(self) -> bool:
+        self.nodes -= 1
+        return self.nodes >= 0
+
+    def _exact(self, sizes: list[int], sums: list[int], left: Counter, k: int, target: int) -> Iterator[tuple[int, ...]]:
+        """Every choice from sizes[k:], as often as there are, that adds up to ``target``; larger lengths first."""
+        if not target:
+            yield ()
+            return
+        for at in range(max(k, bisect_left(sizes, -target, key=lambda x: -x)), len(sizes)):
+            if not sums[at] >> target & 1 or not self._step():
+                return  # sums[at]: what sizes[at:] can add up to
+            size = sizes[at]
+            if left[size] > 0 and sums[at] >> (target - size) & 1:
+                left[size] -= 1
+                for rest in self._exact(sizes, sums, left, at, target - size):
+                    yield (size, *rest)
+                left[size] += 1
+
+    def fillings(self, room: int, own: int) -> Iterator[tuple[int, ...]]:
+        """The undominated fillings of ``room`` beside one bin's largest length ``own``, least waste first.
+
+        One filling dominates another if the other's lengths can be parted over its own: whatever holds it holds the
+        other, too, so a bin with the dominating one is never worse.
+        """
         left = self.counts.copy()
         left[own] -= 1
         if left[room] > 0:  # one length that fits exactly dominates all others
-            return [(room,)]
+            yield (room,)
+            return
         sizes = [s for s in self.sizes if s <= room and left[s] > 0]
-        found = {}
-        for first in sizes[: 4 * width]:
-            take, rest = [first], room - first
-            left[first] -= 1
-            for s in sizes:
-                if rest and left[rest] > 0:
-                    s = rest
-                while s <= rest and left[s] > 0:
-                    take.append(s)
-                    left[s] -= 1
-                    rest -= s
-                if not rest:
-                    break
-            for s in take:
-                left[s] += 1
-            found[tuple(sorted(take, reverse=True))] = rest
-        return sorted(found, key=lambda f: (found[f], tuple(-s for s in f)))[:width] or [()]
+        sums, mask = [1] * (len(sizes) + 1), (1 << (room + 1)) - 1
+        for k in range(len(sizes) - 1, -1, -1):
+            sums[k], step = sums[k + 1], sizes[k]
+            while step <= room:
+                sums[k] |= sums[k] << step & mask
+                step *= 2
+        found: list[tuple[int, ...]] = []
+        for waste in range(room + 1):
+            for filling in self._exact(sizes, sums, left, 0, room - waste):
+                used = Counter(filling)
+                better = waste and any(left[t] > used[t] for s in {0, *filling} for t in range(s + 1, s + waste + 1))
+                if not better and not any(parted(filling, other) for other in found):
+                    found.append(filling)
+                    yield filling
+            if self.nodes <= 0:
+                break
+        if not found:
+            yield ()
 
     def search(self, incumbent: Plan) -> Plan:
         best, bins = incumbent, sum(n for _, n in incumbent)
-        stack: list[tuple[list, tuple[int, ...] | None, int, int]] = []
+        stack: list[tuple[Iterator, tuple[int, ...], int, int]] = []
         waste = used = 0
-        self.sizes = sorted((s for s, n in self.counts.items() if n), reverse=True)
-        choices = None
-        while bins > self.least and self.nodes:
-            self.nodes -= 1
-            while self.sizes and not self.counts[self.sizes[0]]:
-                self.sizes.pop(0)
+        self.sizes = sorted((s for s, n in self.counts.items() if n > 0), reverse=True)
+        choices: Iterator | None = None
+        while bins > self.least and self._step():
             if choices is None:
                 if not self.sizes:  # everything is placed, in fewer bins
-                    best, bins = [(held, n) for _, held, n, _ in stack], used
+                    best, bins, choices = [(held, n) for _, held, n, _ in stack], used, iter(())
                 else:
                     own = self.sizes[0]
-                    choices = [(own, *f) for f in self.fillings(self.capacity - own, own)]
+                    choices = self._completions(own)
             allowed = (bins - 1) * self.capacity - self.total  # waste of a plan with one bin less
-            while choices:
-                held = choices.pop(0)
-                need = Counter(held)
-                times = min(self.counts[s] // n for s, n in need.items())
+            for held, times in choices:
                 lost = (self.capacity - sum(held)) * times
                 if waste + lost <= allowed:
                     break
-                if times > 1 and waste + lost // times <= allowed:  # as often as the waste allows
-                    times = (allowed - waste) // (lost // times)
-                    lost = (self.capacity - sum(held)) * times
-                    break
             else:
                 if not stack:
                     break
@@ -271,11 +288,39 @@ class BinCompletion:
             choices = None
         return best
 
+    def _completions(self, own: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        """Bins around the largest length with how often each is used: as often as there are lengths, then less often."""
+        for filling in self.fillings(self.capacity - own, own):
+            held = (own, *filling)
+            most = min(self.counts[s] // n for s, n in Counter(held).items())
+            times = most
+            while times:
+                yield held, times
+                times //= 2
+
     def _put(self, held: tuple[int, ...], times: int) -> None:
         for s in held:
             self.counts[s] += times
-        if times > 0:
-            self.sizes = sorted((s for s, n in self.counts.items() if n > 0), reverse=True)
+        self.sizes = sorted((s for s, n in self.counts.items() if n > 0), reverse=True)
+
+
+def parted(filling: tuple[int, ...], other: tuple[int, ...]) -> bool:
+    """Whether the lengths of ``filling`` can be parted over those of ``other`` without exceeding any."""
+    if len(other) > len(filling) or sum(filling) > sum(other):
+        return False
+    order = sorted(filling, reverse=True)
+
+    def place(k: int, rooms: tuple[int, ...]) -> bool:
+        if k == len(order):
+            return True
+        for room in sorted(set(rooms)):
+            if room >= order[k]:
+                at = rooms.index(room)
+                if place(k + 1, (*rooms[:at], room - order[k], *rooms[at + 1 :])):
+                    return True
+        return False
+
+    return place(0, tuple(other))
 
 
 def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> Plan:
@@ -310,7 +355,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     shared = spark.sparkContext.broadcast(places(plan_patterns(counts, capacity, nodes)))
 
     # ranks within a length, dealt over salts so that no length is in one task
-    salts = min(1024, max(16, -(-max(counts.values(), default=1) // 100_000)))
+    salts = max(16, -(-max(counts.values(), default=1) // 100_000))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     per_salt = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
