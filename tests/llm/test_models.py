@@ -148,9 +148,19 @@ def tokens_of(text):
 
 
 def lm_query(spark, hot, hot_pairs):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    model = lm.fit(docs.where(lm.crc_mod("doc_id", 10) != 0), hot)
-    return lm.score_texts(docs, model, hot_pairs), model
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", (lm.crc_mod("doc_id", 10) != 0).alias("trained"))
+    model = lm.fit(docs.where("trained"), hot)
+    return lm.score_texts(docs, model, hot_pairs, "trained"), model
+
+
+def test_scores_do_not_depend_on_what_is_known_of_the_texts(spark):
+    """A text that was trained on has the same score when that is not told, and with filters that hold everything."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").select("doc_id", "text", (F.col("doc_id") < 50).alias("trained"))
+    model = lm.fit(docs.where("trained"), 100)
+    told = {r["doc_id"]: (r["score"], r["base_score"]) for r in lm.score_texts(docs, model, 50, "trained").collect()}
+    plain = {r["doc_id"]: (r["score"], r["base_score"]) for r in lm.score_texts(docs, model, 10).collect()}
+    assert len(told) == docs.count() and all(plain[i] == pytest.approx(told[i], rel=1e-9) for i in told)
+    assert lm.may_hold(np.full(8, 2**64 - 1, np.uint64), np.arange(5, dtype=np.uint64)).all()
 
 
 def test_base_scores(spark):
@@ -178,8 +188,8 @@ def test_scores_are_those_of_the_tables(spark, hot, hot_pairs):
     got = {(r["u"], r["w"]): (r["n"], r["kept"]) for r in model.multi.collect()} | {(r["u"], r["w"]): (1, [1] * model.samples) for r in model.single.collect()}
     assert {k: n for k, (n, _) in got.items()} == pairs and all(1 <= t <= n for n, kept in got.values() for t in kept)
     table = {r["k"]: r for r in model.table.collect()}
-    for code, c in Counter(w for own in (k for k in pairs.elements()) for w in own[1:]).items():
-        assert table[code]["c"] == c
+    for side in (0, 1):  # a token is as often a context as it is a token
+        assert {k: r["c"] for k, r in table.items()} == Counter(own[side] for own in pairs.elements())
 
     def chance(u, w):
         total = 0.0

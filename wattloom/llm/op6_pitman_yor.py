@@ -13,9 +13,11 @@ doubling batches with the chance at the middle of the batch. After BURN_IN sweep
 sweeps are averaged.
 
 Scores. A score is the sum of log10 probabilities of the text's tokens, its end included, given the token before;
-perplexity is 10 ** (-score / n_tokens). The HOT most frequent tokens have short codes, and they and the HOT_PAIRS most
-frequent pairs of them go to all tasks: tables of a fixed size, whatever the corpus. All other pairs of a text, once each,
-join the pairs' probabilities by a shuffle; those that were never seen get the parent's share.
+perplexity is 10 ** (-score / n_tokens). The HOT most frequent tokens have short codes; their shares, the HOT_PAIRS most
+frequent pairs of them and a filter of FILTER words of bits over all repeated pairs go to all tasks: tables of a fixed size,
+whatever the corpus. In a text that was trained on, a pair that is not repeated was seen once, here, so only repeated pairs
+and rare tokens of it are shuffled, once each. (A full filter only means that more pairs are.) In other texts such a pair was
+seen once or never; the pairs seen once that may be among theirs are picked by a second filter and joined.
 
 Null texts are empty: one end token. Rows without an id count as held out. Repeated rows train once each and have scores
 of their own. Texts of any length are read whole, a slice's pairs at a time. Ties in frequency only decide which tokens
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 
 from wattloom.llm.common import crc_mod, materialise, mix, read, slices_of, word_hashes, word_spans
 
-HOT, HOT_PAIRS = 200_000, 500_000
-BURN_IN, SAMPLES = 2, 2
+HOT, HOT_PAIRS, FILTER = 200_000, 500_000, 1 << 21
+BURN_IN, SAMPLES = 1, 2
 #: A task flushes its counts when it holds so many.
 HELD = 1_000_000
 
@@ -190,27 +192,31 @@ def auxiliaries(customers: np.ndarray, tables: np.ndarray, level: Level, seed: i
     return float(log_x), float((mean[last] + beyond).sum()), float((var[last] + beyond).sum())
 
 
-def token_table(pairs: DataFrame) -> DataFrame:
-    """k, c (its count as a token), cu and tu (customers and tables of its restaurant), rc (its customers at the parent);
-    pairs: u, w, n, t."""
-    side = F.explode(F.array(F.struct(F.col("w").alias("k"), F.col("n").alias("c"), F.lit(0).cast("long").alias("cu"), F.lit(0).cast("long").alias("tu"), F.col("t").alias("rc")), F.struct(F.col("u").alias("k"), F.lit(0).cast("long").alias("c"), F.col("n").alias("cu"), F.col("t").alias("tu"), F.lit(0).cast("long").alias("rc"))))
-    return pairs.select(side.alias("x")).select("x.*").groupBy("k").agg(*[F.sum(c).alias(c) for c in ("c", "cu", "tu", "rc")])
+def less_tables(state: DataFrame) -> DataFrame:
+    """k, du and dw: how many tables fewer than customers the repeated pairs of k have, as a context and as a token.
+
+    Every occurrence of a token is one customer of a restaurant and a context once (a text begins after an end), and a
+    pair seen once has as many tables as customers. So a token's count less these are its tables and parent's customers.
+    """
+    less, none = F.col("n") - F.col("t"), F.lit(0).cast("long")
+    side = F.explode(F.array(F.struct(F.col("u").alias("k"), less.alias("du"), none.alias("dw")), F.struct(F.col("w").alias("k"), none.alias("du"), less.alias("dw"))))
+    return state.select(side.alias("x")).select("x.*").groupBy("k").agg(F.sum("du").alias("du"), F.sum("dw").alias("dw"))
 
 
 def seat_parent(table: DataFrame, root: Level, lower: Level, base: float, sweep: int) -> DataFrame:
-    """``table`` with rt, the tables of each token at the parent, and each batch's sums for the lower level's strength."""
+    """``table`` (k, c, tu, rc) with rt, the tables of each token at the parent, and sums for the lower level's strength."""
     fresh = (root.strength + root.discount * root.tables) * base
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, _, cu, tu, rc = (np.asarray(c) for c in batch.columns)
+            k, c, tu, rc = (np.asarray(x) for x in batch.columns)
             rt = seat(k, rc, np.full(len(k), fresh), root.discount, sweep)
             sums = np.zeros((3, len(k)))
             if len(k):
-                sums[:, 0] = auxiliaries(cu, tu, lower, int(mix(k[:1].view(_U) + _U(sweep))[0]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rt), *map(pa.array, sums)], names=["k", "c", "cu", "tu", "rc", "rt", "log_x", "mean_y", "var_y"])
+                sums[:, 0] = auxiliaries(c, tu, lower, int(mix(k[:1].view(_U) + _U(sweep))[0]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rt), *map(pa.array, sums)], names=["k", "c", "tu", "rc", "rt", "log_x", "mean_y", "var_y"])
 
-    return table.select("k", "c", "cu", "tu", "rc").mapInArrow(again, "k bigint, c bigint, cu bigint, tu bigint, rc bigint, rt bigint, log_x double, mean_y double, var_y double")
+    return table.select("k", "c", "tu", "rc").mapInArrow(again, "k bigint, c bigint, tu bigint, rc bigint, rt bigint, log_x double, mean_y double, var_y double")
 
 
 def seat_pairs(pairs: DataFrame, lower: Level, sweep: int) -> DataFrame:
@@ -228,8 +234,8 @@ def seat_pairs(pairs: DataFrame, lower: Level, sweep: int) -> DataFrame:
 
 @dataclass
 class Model:
-    """Codes, the pairs (u, w, n, kept: tables by sample; single pairs: null), and the token table with, by sample, each
-    token's share of the parent ``p`` and each context's weight of it ``b`` and strength-weighted customers ``inv``."""
+    """Codes; the pairs seen once (u, w) and more often (u, w, n, kept: tables by sample); and the token table k, c with, by
+    sample, each token's share of the parent ``p``, and as a context its weight of it ``b`` and one over its customers ``inv``."""
 
     codes: Codes
     single: DataFrame
@@ -277,55 +283,98 @@ def fit(train: DataFrame, hot: int = HOT, burn_in: int = BURN_IN, samples: int =
         _, u, w = shared.value.pairs(raw, bounds)
         return pair_keys(u, w), (u, w)
 
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value(np.asarray(batch.column(0)))), batch.column(1)], names=["k", "c"])
+
     pairs = materialise(counted(train, of, ["u", "w"]))
-    single = pairs.where("n = 1")
     once, twice = pairs.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     lower = Level(discount_of(once, twice))
-    one = F.lit(1).cast("long")
-    fixed = materialise(token_table(single.select("u", "w", "n", one.alias("t"))))  # what single pairs add
-    state = pairs.where("n > 1").select("u", "w", "n", F.array().cast("array<bigint>").alias("kept"), one.alias("t"))
-    base, root = 1.0 / (n_known + 1), None
-    table, spare = None, []
+    none, one = F.array().cast("array<bigint>"), F.lit(1).cast("long")
+    state = materialise(pairs.where("n > 1").select("u", "w", "n", none.alias("kept"), one.alias("t")))
+    known = words.mapInArrow(coded, "k bigint, c bigint")
+    met = less_tables(state).select("k")
+    some = materialise(known.join(met, "k", "left_semi"))  # tokens of repeated pairs: those whose seats change by sweep
+    others = materialise(known.join(met, "k", "left_anti").select("k", "c", F.col("c").alias("tu"), F.col("c").alias("rc")))
+    base, root, drawn = 1.0 / (n_known + 1), None, []
     for sweep in range(burn_in + samples + 1):
-        joined = fixed.unionByName(token_table(state))
-        own = joined.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("c", "cu", "tu", "rc")])
+        own = some.join(less_tables(state), "k").select("k", "c", (F.col("c") - F.col("du")).alias("tu"), (F.col("c") - F.col("dw")).alias("rc"))
         if root is None:
-            own = materialise(own)
-            once, twice = own.agg(F.count_if(F.col("rc") == 1), F.count_if(F.col("rc") == 2)).first()
+            once, twice = own.unionByName(others).agg(F.count_if(F.col("rc") == 1), F.count_if(F.col("rc") == 2)).first()
             root = Level(discount_of(once, twice), 1.0, 0.0, float(n_known))
+        used = Level(**vars(root))
         seated = materialise(seat_parent(own, root, lower, base, sweep))
-        sums = seated.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("rc", "rt", "log_x", "mean_y", "var_y")]).first()
+        sums = seated.unionByName(seat_parent(others, root, lower, base, sweep)).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("rc", "rt", "log_x", "mean_y", "var_y")]).first()
         root.customers, root.tables = float(sums[0]), float(sums[1])
         lower.strength = drawn_strength(lower, *map(float, sums[2:]), seed=2 * sweep)
         root.strength = drawn_strength(root, *auxiliaries(np.array([root.customers]), np.array([root.tables]), root, 2 * sweep + 1), seed=2 * sweep + 1)
-        whole = root.strength + root.customers
-        rest = (root.strength + root.discount * root.tables) * base / whole
-        share = F.greatest(F.col("rc") - root.discount * F.col("rt"), F.lit(0.0)) / whole + rest
-        inv = 1.0 / (lower.strength + F.col("cu"))
-        probable = seated.select("k", "c", "cu", "tu", share.alias("p"), ((lower.strength + lower.discount * F.col("tu")) * inv).alias("b"), inv.alias("inv"))
+        now = Level(**vars(root)), Level(**vars(lower))
         if sweep > burn_in:  # a sample: its pairs' tables are in ``state``
-            k = len(spare)
-            spare.append(rest)
+            drawn.append((seated, used, sweep, now))
             state = state.withColumn("kept", F.array_append("kept", F.col("t")))
-            kept = probable.select("k", "c", *[F.col(c).alias(f"{c}{k}") for c in ("p", "b", "inv")])
-            table = kept if table is None else table.join(kept.drop("c"), "k")
         if sweep < burn_in + samples:
-            met = with_both(state.drop("t"), probable, n_hot, ["tu"], ["p"])
-            met = met.select("u", "w", "n", "kept", F.col("u_tu").alias("tu"), F.col("w_p").alias("p"))
-            state = materialise(seat_pairs(met, lower, sweep))
-    return Model(codes, single.select("u", "w"), materialise(state.drop("t")), materialise(table), n_tokens, n_known, lower.discount, np.array(spare))
+            joined = with_both(state.drop("t"), shares(seated, *now, base), n_hot, ["tu"], ["p"])
+            joined = joined.select("u", "w", "n", "kept", F.col("u_tu").alias("tu"), F.col("w_p").alias("p"))
+            state = materialise(seat_pairs(joined, lower, sweep))
+    table = None
+    for k, (seated, used, sweep, now) in enumerate(drawn):
+        whole = seated.unionByName(seat_parent(others, used, now[1], base, sweep))
+        kept = shares(whole, *now, base).select("k", "c", *[F.col(c).alias(f"{c}{k}") for c in ("p", "b", "inv")])
+        table = kept if table is None else table.join(kept.drop("c"), "k")
+    spare = np.array([parent_spare(r, base) for _, _, _, (r, _) in drawn])
+    return Model(codes, pairs.where("n = 1").select("u", "w"), materialise(state.drop("t")), materialise(table), n_tokens, n_known, lower.discount, spare)
 
 
-def pair_chances(model: Model, pairs: DataFrame) -> DataFrame:
-    """u, w, lp (log10 of the averaged probability) and c (the token's count, null for a frequent one); pairs: u, w, n, kept."""
-    names = [f"{c}{k}" for c in ("b", "inv") for k in range(model.samples)]
-    met = with_both(pairs, model.table, len(model.codes.hashes), names, ["c", *[f"p{k}" for k in range(model.samples)]])
-    chance = F.lit(0.0)
-    for k in range(model.samples):
-        tables = F.coalesce(F.get("kept", F.lit(k)), F.lit(1).cast("long"))
-        chance = chance + (F.col("n") - model.discount * tables) * F.col(f"u_inv{k}") + F.col(f"u_b{k}") * F.col(f"w_p{k}")
-    c = F.when(~hot_code("w", len(model.codes.hashes)), F.col("w_c"))
-    return met.select("u", "w", F.log10(chance / model.samples).alias("lp"), c.alias("c"))
+def parent_spare(root: Level, base: float) -> float:
+    """The parent's share of a token that was never seen."""
+    return (root.strength + root.discount * root.tables) * base / (root.strength + root.customers)
+
+
+def shares(seated: DataFrame, root: Level, lower: Level, base: float) -> DataFrame:
+    p = F.greatest(F.col("rc") - root.discount * F.col("rt"), F.lit(0.0)) / (root.strength + root.customers) + parent_spare(root, base)
+    inv = 1.0 / (lower.strength + F.col("c"))
+    return seated.select("k", "c", "tu", p.alias("p"), ((lower.strength + lower.discount * F.col("tu")) * inv).alias("b"), inv.alias("inv"))
+
+
+# --- filters of pairs -----------------------------------------------------------------------------------------------
+
+
+def filter_bits(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of each key and its three bits in it."""
+    bits = np.zeros(len(key), _U)
+    for shift in (0, 6, 12):
+        bits |= _U(1) << (key >> _U(shift) & _U(63))
+    return (key >> _U(20)) % _U(size), bits
+
+
+def filter_of(pairs: DataFrame, size: int = FILTER) -> np.ndarray:
+    """A filter of ``size`` 64-bit words that holds all pairs (u, w); bits are put together by a shuffle."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, own = filter_bits(pair_keys(np.asarray(batch.column(0)), np.asarray(batch.column(1))), size)
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(own.view(np.int64))], names=["word", "bits"])
+
+    got = pairs.select("u", "w").mapInArrow(bits, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[np.asarray(got.column("word").combine_chunks())] = np.asarray(got.column("bits").combine_chunks())
+    return out.view(_U)
+
+
+def may_hold(words: np.ndarray, key: np.ndarray) -> np.ndarray:
+    word, bits = filter_bits(key, len(words))
+    return words[word] & bits == bits
+
+
+def filtered(pairs: DataFrame, words: np.ndarray) -> DataFrame:
+    """The pairs (u, w) that a filter may hold."""
+    shared = pairs.sparkSession.sparkContext.broadcast(words)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(shared.value, pair_keys(np.asarray(batch.column(0)), np.asarray(batch.column(1))))))
+
+    return pairs.select("u", "w").mapInArrow(keep, "u bigint, w bigint")
 
 
 def hot_count(table: DataFrame, most: int = HOT) -> int:
@@ -344,26 +393,39 @@ def hot_count(table: DataFrame, most: int = HOT) -> int:
     return least
 
 
-def score_texts(docs: DataFrame, model: Model, hot_pairs: int = HOT_PAIRS) -> DataFrame:
-    """The columns of ``docs`` but text, n_tokens, n_known, base_score and score; docs: text and narrow columns."""
+def _columns(table: pa.Table, names: list[str], kind=float) -> list[np.ndarray]:
+    return [np.asarray(table.column(c).combine_chunks(), dtype=kind) for c in names]
+
+
+def score_texts(docs: DataFrame, model: Model, hot_pairs: int = HOT_PAIRS, trained: str | None = None) -> DataFrame:
+    """The columns of ``docs`` but text, n_tokens, n_known, base_score and score; docs: text and narrow columns.
+
+    ``trained`` names a column that tells which texts the model was fitted on; without it none counts as such, which
+    costs more and gives the same scores.
+    """
     spark = docs.sparkSession
     others = [c for c in docs.columns if c != "text"]
-    n_hot = len(model.codes.hashes)
-    single = model.single.select("u", "w", F.lit(1).cast("long").alias("n"), F.lit(None).cast("array<bigint>").alias("kept"))
+    n_hot, samples, discount = len(model.codes.hashes), range(model.samples), model.discount
+    by_sample = lambda name: [f"{name}{k}" for k in samples]
+    hot = model.table.where(hot_code("k", n_hot)).toArrow().sort_by("k")
+    shares_of = {name: np.array(_columns(hot, by_sample(name))) for name in ("p", "b", "inv")}  # (samples, HOT)
     often = hot_code("u", n_hot) & hot_code("w", n_hot) & (F.col("n") >= hot_count(model.multi.select(F.col("n").alias("c")), hot_pairs))
-    frequent = pair_chances(model, model.multi.where(often)).toArrow()
-    key = pair_keys(*(np.asarray(frequent.column(c).combine_chunks(), dtype=np.int64) for c in ("u", "w")))
+    frequent = model.multi.where(often).toArrow()
+    u, w, n = _columns(frequent, ["u", "w", "n"], np.int64)
+    kept = np.asarray(frequent.column("kept").combine_chunks().flatten(), float).reshape(len(u), model.samples).T
+    chance = ((n - discount * kept) * shares_of["inv"][:, u] + shares_of["b"][:, u] * shares_of["p"][:, w]).mean(axis=0)
+    key = pair_keys(u, w)
     order = np.argsort(key)
-    chances = np.asarray(frequent.column("lp").combine_chunks(), dtype=float)
-    shared = spark.sparkContext.broadcast((model.codes, key[order], chances[order]))
+    rest_of = model.multi.where(~often)
+    shared = spark.sparkContext.broadcast((model.codes, shares_of, key[order], np.log10(chance[order]), filter_of(rest_of)))
     base_of, base_all = 0.1, model.n_tokens + 0.1 * (model.n_known + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, keys, chances = shared.value
+        codes, own, keys, chances, repeated = shared.value
         task, counter = TaskContext.get().partitionId() << 40, 0
         hot_base = np.log10((codes.counts + base_of) / base_all)
         for batch in batches:
-            for i, j, raw, bounds in slices_of(batch.column(len(others))):
+            for i, j, raw, bounds in slices_of(batch.column(len(others) + 1)):
                 row, u, w = codes.pairs(raw, bounds)
                 hot = codes.is_hot(w)
                 n, n_known = np.bincount(row, minlength=j - i), np.bincount(row[hot], minlength=j - i)
@@ -372,6 +434,14 @@ def score_texts(docs: DataFrame, model: Model, hot_pairs: int = HOT_PAIRS) -> Da
                 place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
                 there = keys[place] == key if len(keys) else np.zeros(len(key), bool)
                 total = np.bincount(row[there], chances[place[there]], j - i).astype(float)
+                # seen once, in this very text
+                own_row = np.asarray(batch.column(len(others)).slice(i, j - i).to_numpy(zero_copy_only=False), dtype=bool)
+                alone = np.flatnonzero(~there & hot & codes.is_hot(u) & own_row[row])
+                alone = alone[~may_hold(repeated, key[alone])]
+                x, y = u[alone], w[alone]
+                once = ((1 - discount) * own["inv"][:, x] + own["b"][:, x] * own["p"][:, y]).mean(axis=0)
+                total += np.bincount(row[alone], np.log10(once), j - i)
+                there[alone] = True
                 left = np.flatnonzero(~there)
                 left = left[np.lexsort((key[left], row[left]))]
                 new = np.ones(len(left), bool)
@@ -383,25 +453,28 @@ def score_texts(docs: DataFrame, model: Model, hot_pairs: int = HOT_PAIRS) -> Da
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[at], np.arange(j - i + 1)), pa.int32()), structs)
                 ids = pa.array(task + counter + np.arange(j - i))
                 counter += j - i
-                yield pa.RecordBatch.from_arrays([ids, *[x.slice(i, j - i) for x in batch.columns[:-1]], pa.array(n), pa.array(n_known), pa.array(base), pa.array(total), lists], names=["__key", *others, "n_tokens", "hot_known", "hot_base", "hot_score", "rest"])
+                yield pa.RecordBatch.from_arrays([ids, *[c.slice(i, j - i) for c in batch.columns[:-1]], pa.array(n), pa.array(n_known), pa.array(base), pa.array(total), lists], names=["__key", *others, "__trained", "n_tokens", "hot_known", "hot_base", "hot_score", "rest"])
 
-    schema = "__key bigint, " + "".join(f"`{x}` {t}, " for x, t in docs.select(*others).dtypes)
+    schema = "__key bigint, " + "".join(f"`{x}` {t}, " for x, t in docs.select(*others).dtypes) + "__trained boolean, "
     schema += "n_tokens bigint, hot_known bigint, hot_base double, hot_score double, rest array<struct<u:bigint,w:bigint,m:bigint>>"
-    parts = materialise(docs.select(*others, "text").mapInArrow(score, schema))  # keys are fixed by writing them
-    rest = parts.select("__key", F.explode("rest").alias("x")).select("__key", "x.*")
-    seen = pair_chances(model, single.unionByName(model.multi.where(~often)))
-    found = rest.join(seen, ["u", "w"])
-    # pairs that were never seen: the parent's share, by the context's weight of it if it has a restaurant
-    unseen = with_both(rest.join(seen, ["u", "w"], "left_anti"), model.table, n_hot, [f"b{k}" for k in range(model.samples)], ["c", *[f"p{k}" for k in range(model.samples)]])
+    told = F.coalesce(F.col(trained), F.lit(False)) if trained else F.lit(False)
+    parts = materialise(docs.select(*others, told.alias("__trained"), "text").mapInArrow(score, schema))  # keys are fixed by writing them
+    asked = parts.select("__key", "__trained", F.explode("rest").alias("x")).select("__key", "__trained", "x.*")
+    once = filtered(model.single, filter_of(asked.where("not __trained")))
+    seen = rest_of.unionByName(once.select("u", "w", F.lit(1).cast("long").alias("n"), F.lit(None).cast("array<bigint>").alias("kept")))
+    found = asked.join(seen, ["u", "w"], "left")
+    # of a text that was trained on, a pair that is not repeated was seen once
+    found = found.withColumn("n", F.coalesce("n", F.when(F.col("__trained"), 1).otherwise(0)))
+    met = with_both(found, model.table, n_hot, [*by_sample("b"), *by_sample("inv")], ["c", *by_sample("p")])
     chance = F.lit(0.0)
-    for k in range(model.samples):
-        chance = chance + F.coalesce(F.col(f"u_b{k}"), F.lit(1.0)) * F.coalesce(F.col(f"w_p{k}"), F.lit(float(model.spare[k])))
-    c = F.when(~hot_code("w", n_hot), F.coalesce("w_c", F.lit(0).cast("long")))
-    unseen = unseen.select("__key", "m", F.log10(chance / model.samples).alias("lp"), c.alias("c"))
-    every = found.select("__key", "m", "lp", "c").unionByName(unseen)
-    base = F.when(F.col("c").isNotNull(), F.log10((F.col("c") + base_of) / base_all)).otherwise(0.0)
-    sums = every.groupBy("__key").agg(F.sum(F.col("m") * base).alias("base"), F.sum(F.col("m") * F.col("lp")).alias("total"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("known"))
-    both = parts.drop("rest").join(sums, "__key", "left")
+    for k in samples:
+        tables = F.coalesce(F.get("kept", F.lit(k)), F.lit(1).cast("long"))
+        own = F.when(F.col("n") > 0, (F.col("n") - discount * tables) * F.col(f"u_inv{k}")).otherwise(0.0)
+        chance = chance + own + F.coalesce(F.col(f"u_b{k}"), F.lit(1.0)) * F.coalesce(F.col(f"w_p{k}"), F.lit(float(model.spare[k])))
+    c = F.when(~hot_code("w", n_hot), F.coalesce("w_c", F.lit(0).cast("long")))  # frequent tokens are counted above
+    base = F.when(c.isNotNull(), F.log10((c + base_of) / base_all)).otherwise(0.0)
+    sums = met.groupBy("__key").agg(F.sum(F.col("m") * base).alias("base"), F.sum(F.col("m") * F.log10(chance / model.samples)).alias("total"), F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("known"))
+    both = parts.drop("rest", "__trained").join(sums, "__key", "left")
     return both.select(
         *others, "n_tokens", (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         (F.col("hot_base") + F.coalesce("base", F.lit(0.0))).alias("base_score"), (F.col("hot_score") + F.coalesce("total", F.lit(0.0))).alias("score"),
@@ -411,7 +484,7 @@ def score_texts(docs: DataFrame, model: Model, hot_pairs: int = HOT_PAIRS) -> Da
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     held_out = F.coalesce(crc_mod("doc_id", 10) == 0, F.lit(True))
-    docs = read(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
-    model = fit(docs.where(~F.col("held_out")))
-    scored = score_texts(docs, model)
+    docs = read(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), (~held_out).alias("trained"), "text")
+    model = fit(docs.where("trained"))
+    scored = score_texts(docs, model, trained="trained")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
