@@ -7,7 +7,8 @@
 5. best-fit packing: pieces of at most 2048 tokens are placed in sequences.
 
 All stages but the last return the columns of ``documents``. Rows without an id: the language stage keeps them if their
-language can be told, near-dedup keeps each of them, and the later stages treat them as documents of their own.
+language can be told, near-dedup keeps each of them, and the later stages treat them as documents of their own. Rows that
+share an id are told apart by their text, so none is lost to another's id.
 """
 
 from __future__ import annotations
@@ -72,7 +73,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over ``documents``; the session's batch size is what it was afterwards."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        docs = read(spark, sf_dir, "documents")
+        for _, stage in STAGES[:-1]:
+            docs = materialise(stage(spark, docs, sf_dir))
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
