@@ -64,6 +64,29 @@ def test_rules_come_from_paths():
     assert got == [(("n_words", "<=", 2.5),), (("n_words", "<=", 2.5), ("n_bytes", ">", 7.0)), (("n_words", "<=", 2.5), ("n_bytes", "<=", 7.0))]
 
 
+def test_compiled_rules_score_as_rules_by_hand(spark):
+    """The ensemble's column expression against its rules, applied one by one to each row's statistics."""
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").where("doc_id % 3 = 0")
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet").select("doc_id", F.col("quality").cast("double").alias("label"))
+    measured = quality.with_statistics(docs).cache()
+    ensemble = quality.fit(measured.join(labels, "doc_id").where("label is not null").drop("doc_id"))
+    assert 3 < len(ensemble.rules) and any(len(r.conditions) > 1 for r, _ in ensemble.rules)
+    for row in measured.withColumn("got", ensemble.score()).limit(400).collect():
+        total = ensemble.base
+        for rule, weight in ensemble.rules:
+            total += weight * all((row[name] <= value) if sign == "<=" else (row[name] > value) for name, sign, value in rule.conditions)
+        assert row["got"] == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-9)
+
+
+def test_queries_of_empty_tables(spark, tmp_path):
+    from wattloom.llm.queries import QUERIES
+
+    for name in ("documents", "labels", "embeddings"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == 0, name
+
+
 def test_quality_without_labels_and_rows(spark, odd_documents):
     for labels, want in (([], 0.5), ([1.0, 1.0], 0.999)):
         rows = spark.createDataFrame([(*[0.0] * len(quality.STATISTICS), y) for y in labels], ", ".join(f"{s} double" for s in quality.STATISTICS) + ", label double")
@@ -103,6 +126,29 @@ def test_nearest_are_exact(monkeypatch):
         assert best.tolist() == want and score == pytest.approx(all_[want])
 
 
+def test_neighbours_of_documents_are_exact(spark):
+    """The evidence of whole documents against TF-IDF cosines to every example, term by term."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    index = toxic.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"), F.lit(True))
+    terms = lambda t: Counter(hash_word(w.lower() if w.isascii() else w.translate(LOWER)) for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", t or ""))
+    idf = dict(zip(index.vocabulary.tolist(), index.idf.tolist(), strict=True))
+
+    def vector(text):
+        v = {k: (1 + math.log(n)) * idf[k] for k, n in terms(text).items() if k in idf}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {k: x / size for k, x in v.items()} if size else {}
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    examples = {int(i): vector(texts[int(i)]) for i in index.ids}
+    got = {r["doc_id"]: r["evidence"] for r in toxic.score_toxicity(docs.where("doc_id % 29 = 0"), index).collect()}
+    assert len(got) > 20
+    for i, evidence in got.items():
+        own = vector(texts[i])
+        cosines = {e: sum(x * v.get(k, 0.0) for k, x in own.items()) for e, v in examples.items()}
+        best = sorted((c for c in cosines.values() if c > 0), reverse=True)[:3]
+        assert [cosines[e] for e in evidence] == pytest.approx(best, abs=1e-5)
+
+
 def test_calibrated_scores_rise_with_votes():
     index, *_ = index_of(np.random.default_rng(5), 300, 30)
     at, share = index.steps

@@ -39,25 +39,39 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
 
 
+def with_sums_before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with the sums of all rows before each in a total order, without any task that sees them all.
+
+    Rows are dealt to ranges of the order; sums are taken within a range and shifted by those of the ranges before.
+    """
+    ranged = materialise(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    per_part = ranged.groupBy("part").agg(*[F.sum(c).alias(f"{n}_all") for n, c in sums.items()])  # as many rows as partitions
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = per_part.select("part", *[F.coalesce(F.sum(f"{n}_all").over(ahead), F.lit(0)).alias(f"{n}_shift") for n in sums])
+    own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    met = ranged.withColumns({n: F.coalesce(F.sum(c).over(own), F.lit(0)) for n, c in sums.items()}).join(F.broadcast(shifts), "part")
+    return met.withColumns({n: F.col(n) + F.col(f"{n}_shift") for n in sums}).drop("part", *[f"{n}_shift" for n in sums])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """source, source_size, n_docs and target; one row a source, so the windows below see no documents.
+    """source, source_size, n_docs and target; one row a source.
 
     Handing the excess over until no source is above its limit fills all sources to a level: the words a unit of weight
     gets. In the order of limit over weight, the sources before the level are full and the others share what is left.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    name = F.col("source").asc_nulls_last()
+    placed = with_sums_before(by_source, [name], {"place": F.lit(1)})
     table = F.array(*[F.lit(float(w)) for w in weights])
+    weighed = placed.withColumn("weight", F.get(table, F.pmod("place", F.lit(len(weights))).cast("int")))
     limit = F.lit(float(most)) * F.col("source_size")
-    ranked = by_source.withColumn("weight", F.get(table, F.pmod(place, F.lit(len(weights))).cast("int"))).withColumn("limit", limit)
-    order = Window.orderBy((F.col("limit") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    left = F.lit(float(share)) * F.sum("source_size").over(whole) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
-    level = left / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    ranked = ranked.withColumn("level", level).withColumn("full", F.col("limit") <= F.col("level") * F.col("weight"))
+    ranked = materialise(with_sums_before(weighed.withColumn("limit", limit), [(F.col("limit") / F.col("weight")).asc(), name], {"limits": F.col("limit"), "weights": F.col("weight")}))
+    all_words, all_weights = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    level = (F.lit(float(share) * all_words) - F.col("limits")) / (F.lit(float(all_weights)) - F.col("weights"))
+    full = F.col("limit") <= level * F.col("weight")
     # the level of the first source that stays below its limit holds for all after it
-    final = F.min(F.when(~F.col("full"), F.struct(F.col("limit") / F.col("weight"), F.col("level")))).over(whole)["level"]
-    target = F.when(F.col("full"), F.col("limit")).otherwise(final * F.col("weight"))
+    final = ranked.agg(F.min(F.when(~full, F.struct(F.col("limit") / F.col("weight"), level.alias("level"))))).first()[0]
+    target = F.when(full, F.col("limit")).otherwise(F.lit(final["level"] if final else None).cast("double") * F.col("weight"))
     return ranked.select("source", "source_size", "n_docs", target.alias("target"))
 
 

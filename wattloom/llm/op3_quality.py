@@ -5,7 +5,8 @@ gives tree paths; each path of one condition or more is a rule, a conjunction of
 regression over the rules keeps a few of them. Rules and weights become one Spark column expression that scores every row.
 
 SAMPLE labelled rows, those of least hash, bound what is fitted on. Nulls count as empty texts, which have a score like
-any other text. If no row is labelled, or all are alike, the score is that label's share (0.5 without labels). Labels
+any other text; texts of any length are measured whole. Scores depend on the text alone, so ties and repeated rows are
+scored alike; other columns are never read, whatever their names. If no row is labelled, or all are alike, the score is that label's share (0.5 without labels). Labels
 without a document are ignored; repeated rows get equal scores; an empty table gives an empty result.
 """
 

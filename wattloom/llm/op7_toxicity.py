@@ -15,6 +15,7 @@ examples come along as evidence.
 EXAMPLES labelled rows of least hash bound the index, nothing bounds its vocabulary or the texts; queries are whole texts
 of all rows. Nulls count as empty texts. Ties between examples go to the smaller doc_id. Without usable labels every
 score is 0. Labels without a document are ignored; repeated rows get equal scores; an empty table gives an empty result.
+Columns other than doc_id and text are never read, whatever their names.
 """
 
 from __future__ import annotations
