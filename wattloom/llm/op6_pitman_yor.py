@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import crc_mod, materialise, mix, read, slices_of, word_hashes, word_spans
+from wattloom.llm.common import crc_mod, delete_dir, materialise, mix, read, shared_dir, slices_of, word_hashes, word_spans
 
 HOT, HOT_PAIRS, FILTER = 200_000, 500_000, 1 << 21
 BURN_IN, SAMPLES = 1, 2
@@ -270,10 +270,30 @@ def hot_code(column: str, n_hot: int):
     return F.col(column).between(0, n_hot - 1)
 
 
+class Tables:
+    """Tables of the shared folder by name; one that takes another's name replaces it, and the other is deleted."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        path = shared_dir(self.spark)
+        out = materialise(df, path)
+        self.drop(name)
+        self.paths[name] = path
+        return out
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if path := self.paths.pop(name, None):
+                delete_dir(self.spark, path)
+
+
 def fit(train: DataFrame, hot: int = HOT, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
     """train: the training texts, in column ``text``."""
     spark = train.sparkSession
-    words = materialise(counted(train, _words, ["w"]).withColumnRenamed("n", "c"))
+    tables = Tables(spark)
+    words = tables.put("words", counted(train, _words, ["w"]).withColumnRenamed("n", "c"))
     n_tokens, n_known = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     frequent = words.where(F.col("c") >= hot_count(words, hot)).toArrow()
     codes = Codes(*(np.asarray(frequent.column(c).combine_chunks(), dtype=np.int64) for c in ("w", "c")))
@@ -291,11 +311,12 @@ def fit(train: DataFrame, hot: int = HOT, burn_in: int = BURN_IN, samples: int =
     once, twice = pairs.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     lower = Level(discount_of(once, twice))
     none, one = F.array().cast("array<bigint>"), F.lit(1).cast("long")
-    state = materialise(pairs.where("n > 1").select("u", "w", "n", none.alias("kept"), one.alias("t")))
+    state = tables.put("state", pairs.where("n > 1").select("u", "w", "n", none.alias("kept"), one.alias("t")))
     known = words.mapInArrow(coded, "k bigint, c bigint")
     met = less_tables(state).select("k")
-    some = materialise(known.join(met, "k", "left_semi"))  # tokens of repeated pairs: those whose seats change by sweep
-    others = materialise(known.join(met, "k", "left_anti").select("k", "c", F.col("c").alias("tu"), F.col("c").alias("rc")))
+    some = tables.put("some", known.join(met, "k", "left_semi"))  # tokens of repeated pairs: those whose seats change by sweep
+    others = tables.put("others", known.join(met, "k", "left_anti").select("k", "c")).select("k", "c", F.col("c").alias("tu"), F.col("c").alias("rc"))
+    tables.drop("words")
     base, root, drawn = 1.0 / (n_known + 1), None, []
     for sweep in range(burn_in + samples + 1):
         own = some.join(less_tables(state), "k").select("k", "c", (F.col("c") - F.col("du")).alias("tu"), (F.col("c") - F.col("dw")).alias("rc"))
@@ -303,7 +324,7 @@ def fit(train: DataFrame, hot: int = HOT, burn_in: int = BURN_IN, samples: int =
             once, twice = own.unionByName(others).agg(F.count_if(F.col("rc") == 1), F.count_if(F.col("rc") == 2)).first()
             root = Level(discount_of(once, twice), 1.0, 0.0, float(n_known))
         used = Level(**vars(root))
-        seated = materialise(seat_parent(own, root, lower, base, sweep))
+        seated = tables.put(f"seated{max(sweep - burn_in, 0)}", seat_parent(own, root, lower, base, sweep))
         sums = seated.unionByName(seat_parent(others, root, lower, base, sweep)).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("rc", "rt", "log_x", "mean_y", "var_y")]).first()
         root.customers, root.tables = float(sums[0]), float(sums[1])
         lower.strength = drawn_strength(lower, *map(float, sums[2:]), seed=2 * sweep)
@@ -315,14 +336,16 @@ def fit(train: DataFrame, hot: int = HOT, burn_in: int = BURN_IN, samples: int =
         if sweep < burn_in + samples:
             joined = with_both(state.drop("t"), shares(seated, *now, base), n_hot, ["tu"], ["p"])
             joined = joined.select("u", "w", "n", "kept", F.col("u_tu").alias("tu"), F.col("w_p").alias("p"))
-            state = materialise(seat_pairs(joined, lower, sweep))
+            state = tables.put("state", seat_pairs(joined, lower, sweep))
     table = None
     for k, (seated, used, sweep, now) in enumerate(drawn):
         whole = seated.unionByName(seat_parent(others, used, now[1], base, sweep))
         kept = shares(whole, *now, base).select("k", "c", *[F.col(c).alias(f"{c}{k}") for c in ("p", "b", "inv")])
         table = kept if table is None else table.join(kept.drop("c"), "k")
     spare = np.array([parent_spare(r, base) for _, _, _, (r, _) in drawn])
-    return Model(codes, pairs.where("n = 1").select("u", "w"), materialise(state.drop("t")), materialise(table), n_tokens, n_known, lower.discount, spare)
+    multi, table = materialise(state.drop("t")), materialise(table)
+    tables.drop(*list(tables.paths))
+    return Model(codes, pairs.where("n = 1").select("u", "w"), multi, table, n_tokens, n_known, lower.discount, spare)
 
 
 def parent_spare(root: Level, base: float) -> float:
