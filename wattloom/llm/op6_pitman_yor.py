@@ -270,6 +270,12 @@ def hot_code(column: str, n_hot: int):
     return F.col(column).between(0, n_hot - 1)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now: its cleaner acts when the driver's JVM collects garbage,
+    which it may not do for half an hour. What they led to is written, so no later stage reads them."""
+    spark.sparkContext._jvm.System.gc()
+
+
 class Tables:
     """Tables of the shared folder by name; one that takes another's name replaces it, and the other is deleted."""
 
@@ -281,6 +287,7 @@ class Tables:
         out = materialise(df, path)
         self.drop(name)
         self.paths[name] = path
+        forget_shuffles(self.spark)
         return out
 
     def drop(self, *names: str) -> None:
@@ -308,6 +315,7 @@ def fit(train: DataFrame, hot: int = HOT, burn_in: int = BURN_IN, samples: int =
             yield pa.RecordBatch.from_arrays([pa.array(shared.value(np.asarray(batch.column(0)))), batch.column(1)], names=["k", "c"])
 
     pairs = materialise(counted(train, of, ["u", "w"]))
+    forget_shuffles(spark)
     once, twice = pairs.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     lower = Level(discount_of(once, twice))
     none, one = F.array().cast("array<bigint>"), F.lit(1).cast("long")
@@ -482,6 +490,7 @@ def score_texts(docs: DataFrame, model: Model, hot_pairs: int = HOT_PAIRS, train
     schema += "n_tokens bigint, hot_known bigint, hot_base double, hot_score double, rest array<struct<u:bigint,w:bigint,m:bigint>>"
     told = F.coalesce(F.col(trained), F.lit(False)) if trained else F.lit(False)
     parts = materialise(docs.select(*others, told.alias("__trained"), "text").mapInArrow(score, schema))  # keys are fixed by writing them
+    forget_shuffles(spark)
     asked = parts.select("__key", "__trained", F.explode("rest").alias("x")).select("__key", "__trained", "x.*")
     once = filtered(model.single, filter_of(asked.where("not __trained")))
     seen = rest_of.unionByName(once.select("u", "w", F.lit(1).cast("long").alias("n"), F.lit(None).cast("array<bigint>").alias("kept")))
