@@ -25,6 +25,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -259,32 +260,36 @@ class BinCompletion:
 
     def search(self, incumbent: Plan) -> Plan:
         best, bins = incumbent, sum(n for _, n in incumbent)
-        stack: list[tuple[Iterator, tuple[int, ...], int, int]] = []
+        # a level keeps how many completions it has tried, not the enumeration, whose tables would add up over the levels
+        stack: list[tuple[int, tuple[int, ...], int, int]] = []
         waste = used = 0
         self.sizes = sorted((s for s, n in self.counts.items() if n > 0), reverse=True)
         choices: Iterator | None = None
+        tried = 0
         while bins > self.least and self._step():
             if choices is None:
                 if not self.sizes:  # everything is placed, in fewer bins
                     best, bins, choices = [(held, n) for _, held, n, _ in stack], used, iter(())
                 else:
                     own = self.sizes[0]
-                    choices = self._completions(own)
+                    choices, tried = self._completions(own), 0
             allowed = (bins - 1) * self.capacity - self.total  # waste of a plan with one bin less
             for held, times in choices:
+                tried += 1
                 lost = (self.capacity - sum(held)) * times
                 if waste + lost <= allowed:
                     break
             else:
                 if not stack:
                     break
-                choices, held, times, lost = stack.pop()
+                tried, held, times, lost = stack.pop()
                 self._put(held, times)
+                choices = islice(self._completions(held[0]), tried, None)
                 waste, used = waste - lost, used - times
                 continue
             self._put(held, -times)
             waste, used = waste + lost, used + times
-            stack.append((choices, held, times, lost))
+            stack.append((tried, held, times, lost))
             choices = None
         return best
 
