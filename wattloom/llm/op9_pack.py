@@ -17,7 +17,6 @@ checksum. Columns other than doc_id and text are never read.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import zlib
