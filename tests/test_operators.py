@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from wattloom import errors
 from wattloom.operators import checks, merge, project, timeagg
 from wattloom.plans import ingest
-from wattloom.sources.archives import station_of_archives
 from wattloom.sources.catalog import Catalogue, parse_key, upgrade_table
 from wattloom.streaming.rollup import rollup_stream
 

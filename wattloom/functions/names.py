@@ -17,32 +17,30 @@ FILE_TYPES = (
 
 # States and the District by census division.
 CENSUS_DIVISIONS = {
-    1: "CT ME MA NH RI VT",
-    2: "NJ NY PA",
-    3: "IL IN MI OH WI",
-    4: "IA KS MN MO NE ND SD",
-    5: "DE DC FL GA MD NC SC VA WV",
-    6: "AL KY MS TN",
-    7: "AR LA OK TX",
-    8: "AZ CO ID MT NV NM UT WY",
-    9: "AK CA HI OR WA",
+    1: ("CT", "ME", "MA", "NH", "RI", "VT"),
+    2: ("NJ", "NY", "PA"),
+    3: ("IL", "IN", "MI", "OH", "WI"),
+    4: ("IA", "KS", "MN", "MO", "NE", "ND", "SD"),
+    5: ("DE", "DC", "FL", "GA", "MD", "NC", "SC", "VA", "WV"),
+    6: ("AL", "KY", "MS", "TN"),
+    7: ("AR", "LA", "OK", "TX"),
+    8: ("AZ", "CO", "ID", "MT", "NV", "NM", "UT", "WY"),
+    9: ("AK", "CA", "HI", "OR", "WA"),
 }
-STATES = tuple(sorted(s for states in CENSUS_DIVISIONS.values() for s in states.split() if s not in ("AK", "DC")))
-# Full names of the states, in the order of STATES.
-STATE_NAMES = dict(
-    zip(
-        STATES,
-        (
-            "Alabama", "Arkansas", "Arizona", "California", "Colorado", "Connecticut", "Delaware", "Florida", "Georgia", "Hawaii",
-            "Iowa", "Idaho", "Illinois", "Indiana", "Kansas", "Kentucky", "Louisiana", "Massachusetts", "Maryland", "Maine",
-            "Michigan", "Minnesota", "Missouri", "Mississippi", "Montana", "North Carolina", "North Dakota", "Nebraska",
-            "New Hampshire", "New Jersey", "New Mexico", "Nevada", "New York", "Ohio", "Oklahoma", "Oregon", "Pennsylvania",
-            "Rhode Island", "South Carolina", "South Dakota", "Tennessee", "Texas", "Utah", "Virginia", "Vermont", "Washington",
-            "Wisconsin", "West Virginia", "Wyoming",
-        ),
-        strict=True,
-    )
-)
+# The states that data sets have, with their full names.
+STATE_NAMES = {
+    "AL": "Alabama", "AZ": "Arizona", "AR": "Arkansas", "CA": "California", "CO": "Colorado",
+    "CT": "Connecticut", "DE": "Delaware", "FL": "Florida", "GA": "Georgia", "HI": "Hawaii",
+    "ID": "Idaho", "IL": "Illinois", "IN": "Indiana", "IA": "Iowa", "KS": "Kansas",
+    "KY": "Kentucky", "LA": "Louisiana", "ME": "Maine", "MD": "Maryland", "MA": "Massachusetts",
+    "MI": "Michigan", "MN": "Minnesota", "MS": "Mississippi", "MO": "Missouri", "MT": "Montana",
+    "NE": "Nebraska", "NV": "Nevada", "NH": "New Hampshire", "NJ": "New Jersey", "NM": "New Mexico",
+    "NY": "New York", "NC": "North Carolina", "ND": "North Dakota", "OH": "Ohio", "OK": "Oklahoma",
+    "OR": "Oregon", "PA": "Pennsylvania", "RI": "Rhode Island", "SC": "South Carolina", "SD": "South Dakota",
+    "TN": "Tennessee", "TX": "Texas", "UT": "Utah", "VT": "Vermont", "VA": "Virginia",
+    "WA": "Washington", "WV": "West Virginia", "WI": "Wisconsin", "WY": "Wyoming",
+}
+STATES = tuple(sorted(STATE_NAMES))
 
 LAKE_PATH = r"([^/]+)/([^/]+)/state=([^/]+)/upgrade=(\d+)/([^/]+)$"
 
@@ -85,7 +83,7 @@ def state_code(c: Column) -> Column:
 
 
 def census_division(c: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for n, states in CENSUS_DIVISIONS.items() for s in states.split() for x in (s, n)])
+    table = F.create_map(*[F.lit(x) for n, states in CENSUS_DIVISIONS.items() for s in states for x in (s, n)])
     return table[c]
 
 
