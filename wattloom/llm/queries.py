@@ -14,8 +14,9 @@ from wattloom.llm.op5_secrets import op5_secret_scan
 from wattloom.llm.op6_pitman_yor import op6_lm_score
 from wattloom.llm.op7_toxicity import op7_toxicity
 from wattloom.llm.op8_language import op8_language_id
-from wattloom.llm.op10_mix import op10_source_mix
 from wattloom.llm.op9_pack import op9_best_fit_packing
+from wattloom.llm.op10_mix import op10_source_mix
+from wattloom.llm.op11_negatives import op11_hard_negatives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_source_mix": op10_source_mix,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 _NAMES = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_key", "apikey"))
@@ -68,6 +70,14 @@ def _secrets_sql() -> str:
 
 #: Searches, scores, draws and plans are beyond SQL; tests hold them against brute force and held-out labels.
 ORACLE_SQL: dict[str, str] = {
+    "op11_hard_negatives": """
+    with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+        where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+    s as (select a.vec_id as anchor_id, c.vec_id as cand_id, a.label = c.label as same, list_dot_product(a.e, c.e)::bigint as score from v a join v c on a.vec_id % 50 = 0 and a.vec_id <> c.vec_id and len(a.e) = len(c.e)),
+    p as (select anchor_id, cand_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, cand_id) <= 5),
+    n as (select p.anchor_id, positive_id, positive_score, cand_id as negative_id, score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by score desc, cand_id)::int as rank
+        from p join s on s.anchor_id = p.anchor_id and not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+    select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3""",
     "op5_secret_scan": _secrets_sql(),
     "op1_minhash_dedup": r"""
     with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
