@@ -86,6 +86,12 @@ def slices_of(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32  # A-Z to a-z, nothing else
+
+
+def fold(raw: np.ndarray) -> np.ndarray:
+    return _FOLD[raw]
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 

@@ -17,6 +17,7 @@ from wattloom.llm.op8_language import op8_language_id
 from wattloom.llm.op9_pack import op9_best_fit_packing
 from wattloom.llm.op10_mix import op10_source_mix
 from wattloom.llm.op11_negatives import op11_hard_negatives
+from wattloom.llm.op12_phrases import op12_phrases
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_source_mix": op10_source_mix,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_phrases": op12_phrases,
 }
 
 _NAMES = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_key", "apikey"))
@@ -70,6 +72,20 @@ def _secrets_sql() -> str:
 
 #: Searches, scores, draws and plans are beyond SQL; tests hold them against brute force and held-out labels.
 ORACLE_SQL: dict[str, str] = {
+    "op12_phrases": r"""
+    with pieces as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+    words as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from pieces),
+    n as (select lang, sum(len(ws))::bigint as n from words group by 1),
+    grams as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as phrase from words cross join range(1, 6) as r(k) where len(ws) >= k),
+    f as (select lang, k, phrase, count(*) as f from grams group by all having count(*) >= 100),
+    c as (select *, string_split(phrase, ' ') as ws from f where k > 1),
+    cuts as (select c.lang, c.phrase, c.f as a, j, l.f as l, r.f as r, (1000::hugeint * c.f * n.n) // (l.f::hugeint * r.f) as score
+        from c cross join range(1, 5) as x(j) join n on n.lang = c.lang
+        join f l on l.lang = c.lang and l.phrase = array_to_string(c.ws[:j], ' ') join f r on r.lang = c.lang and r.phrase = array_to_string(c.ws[j + 1:], ' ') where j < c.k),
+    least as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+    free as (select * from least where not exists (select 1 from c where c.lang = least.lang and c.f >= least.a and c.phrase <> least.phrase and contains(' ' || c.phrase || ' ', ' ' || least.phrase || ' '))),
+    ranked as (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from free join n using (lang))
+    select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked where rank <= 2000""",
     "op11_hard_negatives": """
     with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
         where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
