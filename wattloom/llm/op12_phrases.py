@@ -234,13 +234,13 @@ def named_words(docs: DataFrame, words: DataFrame, n: int, most: int) -> DataFra
         shared = spark.sparkContext.broadcast(numbers)
         return docs.mapInArrow(lambda batches: sequences(batches, shared.value), SEQUENCE)
     slices = materialise(docs.mapInArrow(coded, "chunk long, lang string, words array<string>, ids binary"))
-    needs = slices.select("chunk", "lang", F.posexplode("words").alias("place", "word")).join(words, ["lang", "word"]).select("chunk", "place", "id")
+    needs = slices.select("chunk", "lang", F.posexplode("words").alias("place", "word")).join(words, ["lang", "word"]).select(F.col("chunk").alias("of"), "place", "id")
 
     def name(own: pa.Table, found: pa.Table) -> pa.Table:
         ((chunk, places),) = ids_in(own.to_batches())
         return _named(chunk, places, int(places.max(initial=-1)) + 1, found)
 
-    return slices.select("chunk", "ids").groupBy("chunk").cogroup(needs.groupBy("chunk")).applyInArrow(name, SEQUENCE)
+    return slices.select("chunk", "ids").groupBy("chunk").cogroup(needs.groupBy("of")).applyInArrow(name, SEQUENCE)
 
 
 def _named(chunk: int, places: np.ndarray, size: int, found: pa.Table) -> pa.Table:
@@ -274,8 +274,8 @@ def named_pairs(sequence: DataFrame, pairs: DataFrame, n: int, most: int) -> Dat
         keys, places = np.unique(pair_keys(ids), return_inverse=True)
         return _named(chunk, places, len(keys), found)
 
-    needs = sequence.mapInArrow(distinct, "chunk long, place int, left int, right int").join(pairs, ["left", "right"]).select("chunk", "place", "id")
-    return sequence.groupBy("chunk").cogroup(needs.groupBy("chunk")).applyInArrow(name, SEQUENCE)
+    needs = sequence.mapInArrow(distinct, "chunk long, place int, left int, right int").join(pairs, ["left", "right"]).select(F.col("chunk").alias("of"), "place", "id")
+    return sequence.groupBy("chunk").cogroup(needs.groupBy("of")).applyInArrow(name, SEQUENCE)
 
 
 def levels_of(docs: DataFrame, least: int, longest: int, max_words: int, max_pairs: int) -> tuple[DataFrame, list[DataFrame]]:

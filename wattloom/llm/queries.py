@@ -18,6 +18,7 @@ from wattloom.llm.op9_pack import op9_best_fit_packing
 from wattloom.llm.op10_mix import op10_source_mix
 from wattloom.llm.op11_negatives import op11_hard_negatives
 from wattloom.llm.op12_phrases import op12_phrases
+from wattloom.llm.op13_archives import op13_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mix": op10_source_mix,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_phrases": op12_phrases,
+    "op13_archives": op13_archives,
 }
 
 _NAMES = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_key", "apikey"))
@@ -72,6 +74,11 @@ def _secrets_sql() -> str:
 
 #: Searches, scores, draws and plans are beyond SQL; tests hold them against brute force and held-out labels.
 ORACLE_SQL: dict[str, str] = {
+    "op13_archives": """
+    with p as (select page_id, coalesce(html, '') as html from pages),
+    f as (select page_id, strlen(html) as payload_bytes, sha256(html) as payload_digest, min(page_id) over (partition by html) as first from p)
+    select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+        case when payload_bytes >= 100 and page_id <> first then first end as refers_to from f""",
     "op12_phrases": r"""
     with pieces as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
     words as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from pieces),
