@@ -195,7 +195,7 @@ def read_warc(data: bytes) -> Iterator[tuple[bytes, bytes]]:
 
 def write_archives(archives: DataFrame, path: str, line_end: str) -> None:
     """One compressed file for each row of ``archive`` (binary); ``line_end`` is what ends it and is not in the value."""
-    archives.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", line_end).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+    archives.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", line_end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
