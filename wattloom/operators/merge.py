@@ -1,8 +1,8 @@
-"""Merges, duplicates and replacing files that are being read."""
+"""Merges, duplicates and replacing tables that are being read."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wattloom.functions.names import col, quoted
+from wattloom.sources.table import Files, Table, merged_rows, write_partitioned
+
+__all__ = ["exists", "keep_first", "least_per_group", "merge_distinct", "merge_partitions", "replace_path", "union_relaxed", "upsert_old_wins", "write_partitioned"]
 
 
 def union_relaxed(*frames: DataFrame) -> DataFrame:
@@ -38,78 +41,16 @@ def least_per_group(df: DataFrame, group: tuple[str, ...], value: str) -> DataFr
     return df.groupBy(*[quoted(g) for g in group]).agg(F.min(col(value)).alias(value))
 
 
-def _files(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def exists(spark: SparkSession, path: str) -> bool:
-    where, fs = _files(spark, path)
-    return fs.exists(where)
-
-
-def swap(spark: SparkSession, staged: str, path: str) -> None:
-    """Puts the folder ``staged`` in the place of ``path``. What was there is moved aside first and deleted last, so a
-    crash at any step leaves the old rows, the new ones or both in a folder."""
-    new, fs = _files(spark, staged)
-    old, aside = _files(spark, path)[0], _files(spark, f"{path.rstrip('/')}.before-{uuid.uuid4().hex}")[0]
-    had = fs.exists(old)
-    if had and not fs.rename(old, aside):
-        raise OSError(f"could not move {path} aside")
-    fs.mkdirs(old.getParent())
-    if not fs.rename(new, old):
-        if had:
-            fs.rename(aside, old)
-        raise OSError(f"could not rename {staged} to {path}")
-    if had:
-        fs.delete(aside, True)
-
-
-def recover(spark: SparkSession, path: str) -> bool:
-    """After a crash inside ``swap``: puts back what was moved aside if nothing is in its place."""
-    where, fs = _files(spark, path)
-    left = [] if fs.exists(where) else fs.globStatus(_files(spark, f"{path.rstrip('/')}.before-*")[0]) or []
-    return bool(left) and fs.rename(left[0].getPath(), where)
+    return Files(spark, path).exists()
 
 
 def replace_path(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Overwrites a path that ``df`` may be reading: written beside it first, then swapped."""
-    staged = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
-    write_partitioned(df, staged, partition_by)
-    swap(df.sparkSession, staged, path)
+    """Overwrites a table that ``df`` may be reading, in one step: readers of its log see the old rows or the new ones."""
+    Table(df.sparkSession, path, partition_by).replace(df)
 
 
-def merge_partitions(new: DataFrame, path: str, partition_by: tuple[str, ...]) -> None:
+def merge_partitions(new: DataFrame, path: str, partition_by: tuple[str, ...], pads: Mapping[str, int] | None = None, order: tuple[str, ...] = (), mark: tuple[str, int] | None = None) -> bool:
     """Adds rows to a partitioned table, equal ones once. Only the partitions that ``new`` has rows of are read and
-    rewritten; columns may differ between partitions, so the table is read with ``mergeSchema``."""
-    spark = new.sparkSession
-    touched = new.select(*[quoted(c) for c in partition_by]).distinct().collect()  # a row a partition
-    for values in touched:
-        recover(spark, _partition(path, partition_by, values))
-    if not exists(spark, path):
-        write_partitioned(new.distinct(), path, partition_by)
-        return
-    if not touched:
-        return
-    old = spark.read.option("mergeSchema", "true").parquet(path)
-    pick = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [col(c).eqNullSafe(F.lit(v)) for c, v in zip(partition_by, values, strict=True)]) for values in touched])
-    staged = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
-    write_partitioned(old.where(pick).unionByName(new, allowMissingColumns=True).distinct(), staged, partition_by)
-    for values in touched:
-        swap(spark, _partition(staged, partition_by, values), _partition(path, partition_by, values))
-    where, fs = _files(spark, staged)
-    fs.delete(where, True)
-
-
-def _partition(path: str, names: tuple[str, ...], values) -> str:
-    parts = ["__HIVE_DEFAULT_PARTITION__" if v is None else str(v) for v in values]
-    return "/".join([path.rstrip("/"), *[f"{n}={p}" for n, p in zip(names, parts, strict=True)]])
-
-
-def write_partitioned(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), order: tuple[str, ...] = (), mode: str = "overwrite") -> None:
-    """Hive partitions, rows sorted within files. Rows are brought together by partition and rebalanced: a partition
-    with many rows is split over as many tasks as the advisory size asks for, and small ones share a task."""
-    out = df.hint("rebalance", *[col(c) for c in partition_by]) if partition_by else df
-    if partition_by or order:
-        out = out.sortWithinPartitions(*[quoted(c) for c in (*partition_by, *order)])
-    out.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    rewritten; columns may differ between partitions. ``Table`` says how partition values are compared, and what a mark is."""
+    return Table(new.sparkSession, path, partition_by, pads, order).merge(new, merged_rows, mark)

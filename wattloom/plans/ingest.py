@@ -6,6 +6,7 @@ are Spark's own, a lost task is run again, and files that cannot be read are ski
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Collection, Mapping
 
@@ -14,21 +15,24 @@ from pyspark.sql import functions as F
 
 from wattloom.functions.names import col, state_code
 from wattloom.operators.checks import valid_ids
-from wattloom.operators.merge import exists, keep_first, merge_partitions, replace_path, upsert_old_wins, write_partitioned
+from wattloom.operators.merge import keep_first, merge_partitions, upsert_old_wins
 from wattloom.operators.project import canonical_columns, compact_annual, compact_metadata, with_constants
 from wattloom.operators.timeagg import from_parts, hourly_parts
 from wattloom.sources.archives import archives, station_of_archives
 from wattloom.plans.paths import source_glob
 from wattloom.sources.catalog import Catalogue
-from wattloom.sources.lake import union_of_schemas, with_ids
+from wattloom.sources.lake import PADS, PARTITIONS, with_ids
+from wattloom.sources.table import Files, Table, new_rows, replacing
 
-PARTITIONS = ("state", "upgrade")
 INDEX_KEYS = ("product", "release_year", "weather_file", "release_version", "state")
 
 
-def metadata_job(landed: DataFrame, target: str, ids: DataFrame | Collection[int] | None = None) -> None:
-    """landed: raw metadata with ``state`` and ``upgrade``. Rows are added to a table that may have other columns."""
-    merge_partitions(_with_partitions(compact_metadata, landed, ids), target, PARTITIONS)
+def metadata_job(landed: DataFrame, target: str, ids: DataFrame | Collection[int] | None = None, mark: tuple[str, int] | None = None) -> bool:
+    """landed: raw metadata with ``state`` and ``upgrade``. Rows are added to a table that may have other columns.
+
+    mark: a name and number of the input; False, and nothing is added, if the table has had it.
+    """
+    return merge_partitions(_with_partitions(compact_metadata, landed, ids), target, PARTITIONS, PADS, ("bldg_id",), mark)
 
 
 def _with_partitions(compact, landed: DataFrame, ids) -> DataFrame:
@@ -37,14 +41,15 @@ def _with_partitions(compact, landed: DataFrame, ids) -> DataFrame:
     return own.select(*[col(c) for c in dict.fromkeys([*kept, *PARTITIONS])])
 
 
-def annual_job(landed: DataFrame, target: str, ids: DataFrame | Collection[int] | None = None) -> None:
-    merge_partitions(_with_partitions(compact_annual, landed, ids), target, PARTITIONS)
+def annual_job(landed: DataFrame, target: str, ids: DataFrame | Collection[int] | None = None, mark: tuple[str, int] | None = None) -> bool:
+    return merge_partitions(_with_partitions(compact_annual, landed, ids), target, PARTITIONS, PADS, ("bldg_id",), mark)
 
 
-def load_curve_job(readings: DataFrame, rules: Mapping[str, str], root: str, steps: tuple[str, ...] = ("hourly", "daily", "monthly")) -> None:
+def load_curve_job(readings: DataFrame, rules: Mapping[str, str], root: str, steps: tuple[str, ...] = ("hourly", "daily", "monthly"), mark: tuple[str, int] | None = None) -> None:
     """Roll-ups of 15-minute readings, below ``<root>/load_curve_<step>``.
 
-    The readings are scanned once, to hourly parts that are written; each step rolls those up.
+    The readings are scanned once, to hourly parts that are written; each step rolls those up. A building's rows replace
+    those that its partition had of it, so readings that come again change nothing; other buildings stay.
     """
     spark, keys = readings.sparkSession, ("bldg_id", *PARTITIONS)
     staged = f"{root.rstrip('/')}/_parts-{uuid.uuid4().hex}"
@@ -52,19 +57,19 @@ def load_curve_job(readings: DataFrame, rules: Mapping[str, str], root: str, ste
     parts.write.parquet(staged)
     written = spark.read.schema(parts.schema).parquet(staged)
     for step in steps:
-        write_partitioned(from_parts(written, rules, step, keys), f"{root}/load_curve_{step}", PARTITIONS, ("bldg_id", "timestamp"))
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        table = Table(spark, f"{root}/load_curve_{step}", PARTITIONS, PADS, ("bldg_id", "timestamp"))
+        table.merge(from_parts(written, rules, step, keys), replacing(*keys), mark, written)
+    Files(spark, staged).delete("")
 
 
-def trips_job(landed: DataFrame, target: str, ids: DataFrame | Collection[int] | None = None) -> None:
+def trips_job(landed: DataFrame, target: str, ids: DataFrame | Collection[int] | None = None, mark: tuple[str, int] | None = None) -> bool:
     """Trip schedules by release and state; ids are text there. A second run adds trips and keeps all of a building's."""
     own = landed.withColumn("bldg_id", F.col("bldg_id").cast("string"))
     if ids is not None:
         spark = landed.sparkSession
         wanted = ids if isinstance(ids, DataFrame) else spark.createDataFrame([(str(i),) for i in ids], "bldg_id string")
         own = own.join(wanted.select(F.col("bldg_id").cast("string").alias("bldg_id")).distinct(), "bldg_id", "left_semi")
-    merge_partitions(own, target, ("release", "state"))
+    return merge_partitions(own, target, ("release", "state"), mark=mark)
 
 
 def building_index(raw: DataFrame, product: str, year: str, weather: str, version: str) -> DataFrame:
@@ -80,21 +85,29 @@ def building_index(raw: DataFrame, product: str, year: str, weather: str, versio
 def index_job(spark: SparkSession, landing: str, catalogue: Catalogue, target: str) -> DataFrame:
     """The building index of all releases of the catalogue whose metadata files have landed, written by its five keys.
 
-    Each release's layout says where its baseline files are; a release without any is left out.
+    Each release's layout says where its baseline files are; a release without any is left out. A release goes in by a
+    change of its own that marks its files as done, so a job that is run again, after a crash or as more has landed,
+    does the releases that are open and those whose files have changed.
     """
-    tables = []
+    table = Table(spark, target, INDEX_KEYS, order=("county", "bldg_id"))
     for r in catalogue:
         pattern = source_glob("metadata", r.key, r.parts, min(r.upgrades, default=0))
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{landing.rstrip('/')}/{pattern}")
-        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if pattern and fs.globStatus(where):
+        if not pattern or not (found := listed(spark, f"{landing.rstrip('/')}/{pattern}")):
+            continue
+        mark = f"{r.key}:{hashlib.sha256(repr(found).encode()).hexdigest()}"
+        if table.done(mark) < 0:
             raw = spark.read.option("mergeSchema", "true").parquet(f"{landing.rstrip('/')}/{pattern}")
-            tables.append(building_index(raw, r.product, r.year, r.weather, r.version))
-    index = union_of_schemas(tables)
-    if index is None:
-        return spark.createDataFrame([], "bldg_id bigint, " + ", ".join(f"{k} string" for k in INDEX_KEYS))
-    write_building_index(index, target)
-    return spark.read.parquet(target)
+            table.merge(building_index(raw, r.product, r.year, r.weather, r.version), new_rows, (mark, 0))
+    if table.version().files:
+        return table.read()
+    return spark.createDataFrame([], "bldg_id bigint, " + ", ".join(f"{k} string" for k in INDEX_KEYS))
+
+
+def listed(spark: SparkSession, pattern: str) -> list[tuple[str, int, int]]:
+    """Path, length and time of what a pattern matches."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.globStatus(where) or [])
 
 
 def crawl(spark: SparkSession, root: str, depth: int = 3) -> DataFrame:
@@ -111,15 +124,18 @@ def new_releases(found: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def write_weather_map(found: DataFrame, path: str) -> None:
-    """Adds to the weather map; a building that has a row keeps it."""
-    keys, order = ("product", "release_year", "weather_file", "release_version", "state"), [F.col("weather_station_name")]
-    if exists(found.sparkSession, path):
-        found = upsert_old_wins(found.sparkSession.read.parquet(path).select(found.columns), found, ("bldg_id", *keys), order)
-    replace_path(found, path, keys)
+    """Adds to the weather map; a building that has a row keeps it. Only the releases and states of ``found`` are rewritten."""
+    order = [F.col("weather_station_name")]
+
+    def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
+        return upsert_old_wins(old.select(new.columns), new, ("bldg_id", *INDEX_KEYS), order)
+
+    Table(found.sparkSession, path, INDEX_KEYS).merge(found, upsert)
 
 
 def write_building_index(index: DataFrame, path: str) -> None:
-    write_partitioned(index, path, INDEX_KEYS, ("county", "bldg_id"))
+    """The index in place of what was there."""
+    Table(index.sparkSession, path, INDEX_KEYS, order=("county", "bldg_id")).replace(index)
 
 
 def weather_map(spark: SparkSession, landing: str, keys: Mapping[str, str]) -> DataFrame:
@@ -159,6 +175,10 @@ def work_by_source(buildings: DataFrame, source: str = "source_path", target: st
     return inner.groupBy(source).agg(F.sort_array(F.collect_list(F.struct(target, "bldg_ids"))).alias("targets"))
 
 
-def append_batch(trips: DataFrame, path: str, release: str) -> None:
-    """Adds a batch of trip schedules as files of its own below release and state."""
-    write_partitioned(with_constants(trips, release=release), path, ("release", "state"), ("bldg_id", "vehicle_id", "date"), mode="append")
+def append_batch(trips: DataFrame, path: str, release: str, batch: int | None = None) -> bool:
+    """Adds a batch of trip schedules as files of its own below release and state.
+
+    batch: a number that grows from batch to batch of a release; one that has gone in does not go in again.
+    """
+    table = Table(trips.sparkSession, path, ("release", "state"), order=("bldg_id", "vehicle_id", "date"))
+    return table.append(with_constants(trips, release=release), None if batch is None else (release, batch))

@@ -19,8 +19,8 @@ from wattloom.errors import (
     TotalAboveOne, UnequalYears, UpgradesNotFound, WeightOutOfRange, WeightsOfOthers, WeightsSum, YearOutOfRange,
 )
 from wattloom.functions.energy import whole_target
-from wattloom.operators.merge import write_partitioned
 from wattloom.sources.lake import Lake, seeded_order
+from wattloom.sources.table import Table, new_rows
 
 TOLERANCE = 1e-6
 Scenario = Mapping[int, Sequence[float]]
@@ -183,14 +183,17 @@ class ScenarioReader:
         return path or f"{self.lake.root}/{self.lake.release}/mixed_upgrade/{self.name}"
 
     def save(self, file_type: str, path: str | None = None, years: Collection[int] | None = None) -> str:
-        """All years in one job, below ``<root>/<file_type>/year=Y``; a folder of its own for each file type."""
+        """The years in one job and one change, below ``<root>/<file_type>/year=Y``; other years stay. A folder of its own for
+        each file type."""
         target = f"{self.root(path)}/{file_type}"
-        write_partitioned(self.read(file_type, years), target, ("year",), ("bldg_id",))
+        wanted = self.lake.spark.createDataFrame([(y,) for y in check_years(years, self.n_years)], "year int")
+        Table(self.lake.spark, target, ("year",), order=("bldg_id",)).merge(self.read(file_type, years), new_rows, partitions=wanted)
         return target
 
     def export_wide(self, path: str) -> None:
-        """One CSV row a building: bldg_id, year_0, year_1, ..., by id."""
-        wide_export(self.allocation(), self.n_years).orderBy("bldg_id").coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+        """One CSV row a building: bldg_id, year_0, year_1, ..., by id. Part files are ranges of ids in the order of their names,
+        so no task sorts all buildings; small exports are one file."""
+        wide_export(self.allocation(), self.n_years).orderBy("bldg_id").write.mode("overwrite").option("header", "true").csv(path)
 
 
 def wide_export(allocation: DataFrame, n_years: int, column: str = "bldg_id") -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Collection, Iterable
+from fnmatch import fnmatch
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +18,12 @@ from wattloom.errors import BaselineNotFound, DataNotFound, InvalidPath, NoBuild
 from wattloom.functions.energy import md5_uniform
 from wattloom.functions.names import LAKE_PATH, building_of_file, path_part
 from wattloom.sources.catalog import Release, check_states
+from wattloom.sources.table import Table
 
 #: Metadata files of each variant, as a path pattern; the jobs here write the standard one as part files.
-METADATA_FILES = {"standard": "{metadata.parquet,part-*.parquet}", "sb": "metadata-sb.parquet"}
+METADATA_FILES = {"standard": ("metadata.parquet", "part-*.parquet"), "sb": ("metadata-sb.parquet",)}
+#: The partitions of all tables of the lake, and the digits of their folders.
+PARTITIONS, PADS = ("state", "upgrade"), {"upgrade": 2}
 #: Up to so many ids are sent to all tasks; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -91,23 +95,42 @@ class Lake:
         self.metadata_file = METADATA_FILES[metadata_variant]
 
     def _scan(self, file_type: str) -> DataFrame:
-        path = f"{self.root}/{self.release}/{file_type}"
-        reader = self.spark.read.option("basePath", path)
-        if file_type == "metadata":  # columns differ by upgrade, and variants share folders
-            reader = reader.option("mergeSchema", "true").option("pathGlobFilter", self.metadata_file)
-        try:
-            df = reader.parquet(path)
-        except AnalysisException as e:
-            raise DataNotFound(file_type=file_type, path=path) from e
+        df = self._rows(file_type)
         df = df.withColumn("upgrade", F.col("upgrade").cast("long"))
         return df if self.states is None else df.where(F.col("state").isin(*self.states))
 
+    def _table(self, file_type: str) -> Table:
+        return Table(self.spark, f"{self.root}/{self.release}/{file_type}", PARTITIONS, PADS)
+
+    def _rows(self, file_type: str) -> DataFrame:
+        """The live rows: of the files that the table's log names, or of all files where it has none."""
+        table, metadata = self._table(file_type), file_type == "metadata"  # variants of metadata share folders
+        if table.versions():
+            version = table.version()
+            if not self._own_files(version.files, file_type):
+                raise DataNotFound(file_type=file_type, path=table.path)
+            return table.read(version, self.metadata_file if metadata else None)
+        reader = self.spark.read.option("basePath", table.path)
+        if metadata:  # columns differ by upgrade
+            reader = reader.option("mergeSchema", "true").option("pathGlobFilter", "{" + ",".join(self.metadata_file) + "}")
+        try:
+            return reader.parquet(table.path)
+        except AnalysisException as e:
+            raise DataNotFound(file_type=file_type, path=table.path) from e
+
+    def _own_files(self, files: Iterable[str], file_type: str) -> list[str]:
+        return [f for f in files if file_type != "metadata" or any(fnmatch(f.rpartition("/")[2], n) for n in self.metadata_file)]
+
     def partitions(self, file_type: str) -> list[tuple[str, int]]:
-        """(state, upgrade) of the chosen states on disk, from folder names alone: no file is opened."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        pattern = f"{self.root}/{self.release}/{file_type}/state=*/upgrade=*" + (f"/{self.metadata_file}" if file_type == "metadata" else "")
-        fs = hadoop(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        found = [str(f.getPath().toString()) for f in fs.globStatus(hadoop(pattern)) or []]
+        """(state, upgrade) of the chosen states on disk, from the table's log or folder names alone: no file is opened."""
+        table = self._table(file_type)
+        if table.versions():
+            found = ["/" + f for f in self._own_files(table.version().files, file_type)]
+        else:
+            hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+            pattern = f"{table.path}/state=*/upgrade=*" + ("/{" + ",".join(self.metadata_file) + "}" if file_type == "metadata" else "")
+            fs = hadoop(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            found = [str(f.getPath().toString()) for f in fs.globStatus(hadoop(pattern)) or []]
         parts = {(m[1], int(m[2])) for p in found if (m := re.search(r"/state=([^/]+)/upgrade=(\d+)(?:/|$)", p))}
         return sorted(p for p in parts if self.states is None or p[0] in self.states)
 
@@ -169,10 +192,19 @@ class Lake:
         return ids
 
     def buildings_on_disk(self, file_type: str) -> DataFrame:
-        """upgrade, state and bldg_id of the files there are."""
-        files = matching(manifest(self.spark, f"{self.root}/{self.release}"), file_type=file_type, state=self.states)
-        return files.select("upgrade", "state", building_of_file(F.col("file")).alias("bldg_id")).where("bldg_id is not null")
-
+        """upgrade, state and bldg_id that there is data of.
+
+        A file named after its building says so by its name and is not opened; of the others, such as those that the jobs
+        here write, the column bldg_id is read and no other.
+        """
+        rows, name = self._rows(file_type), F.col("_metadata.file_name")
+        if self.states is not None:
+            rows = rows.where(F.col("state").isin(*self.states))
+        place = (F.col("upgrade").cast("long").alias("upgrade"), "state")
+        read = rows.where(building_of_file(name).isNull())
+        read = read.select(*place, F.col("bldg_id").cast("long").alias("bldg_id")) if "bldg_id" in rows.columns else read.select(*place, F.lit(None).cast("long").alias("bldg_id"))
+        named = rows.where(building_of_file(name).isNotNull()).select(*place, building_of_file(name).cast("long").alias("bldg_id"))
+        return read.unionByName(named).where("bldg_id is not null").distinct()
 
     def row_counts(self, file_type: str) -> DataFrame:
         """Rows by state and upgrade; Parquet footers have them, so no column is read."""
