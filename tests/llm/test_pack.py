@@ -2,13 +2,15 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
 
-from wattloom.llm.op9_pack import BinCompletion, best_fit, default_tokenizer, op9_best_fit_packing, pack, plan_patterns, word_ids
+from wattloom.llm.op9_pack import BinCompletion, best_fit, default_tokenizer, least_bins, op9_best_fit_packing, pack, plan_patterns, word_ids
 
 SF = "/root/testdata/sf0.01"
 
@@ -115,6 +117,65 @@ def test_search_beats_best_fit_where_it_wastes():
     assert Counter({s: sum(n * held.count(s) for held, n in better) for s in counts}) == Counter(counts)
 
 
+HARD = {
+    "5 and 2": {5: 1_000_000, 2: 3_000_000}, "700, 5 and 2": {700: 5000, 5: 100_000, 2: 50_000}, "60 to 380 by 20": {k: 1 for k in range(60, 381, 20)},
+    "600 to 1097 by 7": {k: 3 for k in range(600, 1098, 7)}, "thirds": {683: 999, 684: 1000, 1365: 100}, "all": {k: k % 97 + 1 for k in range(1, 2049)}, "one length": {3: 10**7},
+}
+
+
+@pytest.mark.parametrize("counts", HARD.values(), ids=HARD)
+def test_the_search_ends_for_any_histogram(counts):
+    began = time.time()
+    plan = plan_patterns(counts)
+    assert time.time() - began < 60
+    used = Counter()
+    for held, n in plan:
+        assert sum(held) <= 2048
+        for s, k in Counter(held).items():
+            used[s] += n * k
+    assert used == Counter(counts)
+    assert least_bins(counts, 2048) <= sum(n for _, n in plan) <= sum(n for _, n in best_fit(counts, 2048))
+
+
+def test_bounds_that_are_met():
+    assert sum(n for _, n in plan_patterns(HARD["5 and 2"])) == math.ceil(11_000_000 / 2048) < sum(n for _, n in best_fit(HARD["5 and 2"], 2048))
+    assert least_bins(HARD["thirds"], 2048) == 1050 == sum(n for _, n in plan_patterns(HARD["thirds"]))
+    rng = random.Random(3)
+    for _ in range(200):
+        items = [rng.randint(1, 20) for _ in range(rng.randint(1, 8))]
+        assert least_bins(dict(Counter(items)), 20) <= fewest(sorted(items, reverse=True), 20)
+
+
+def test_a_missed_bound_is_told(caplog):
+    plan_patterns({k: k % 9 + 1 for k in range(500, 1100)}, nodes=500)
+    assert "the bound is" in caplog.text
+
+
+def test_fillings_are_all_undominated_ones():
+    """Against all multisets: every filling has one that is listed and holds it, and none is listed twice."""
+    rng = random.Random(11)
+    for _ in range(60):
+        counts = dict(Counter(rng.randint(1, 12) for _ in range(rng.randint(2, 9))))
+        search = BinCompletion(counts, 20)
+        search.sizes = sorted(counts, reverse=True)
+        own = search.sizes[0]
+        listed = list(search.fillings(20 - own, own))
+        assert len(set(listed)) == len(listed)
+        left = Counter(counts)
+        left[own] -= 1
+        items = sorted(left.elements(), reverse=True)
+        every = {c for k in range(len(items) + 1) for c in combinations(items, k) if sum(c) <= 20 - own}
+        for filling in every:
+            assert any(covers(best, filling) for best in listed), (counts, filling, listed)
+
+
+def covers(best, filling):
+    """Whether the lengths of ``filling`` fit into those of ``best``, by trying all ways."""
+    if not filling:
+        return True
+    return any(best[i] >= filling[0] and covers((*best[:i], best[i] - filling[0], *best[i + 1 :]), filling[1:]) for i in range(len(best)))
+
+
 @pytest.mark.parametrize("counts", [{2048: 5}, {1: 10_000}, {2047: 3, 1: 3}, {1025: 7}, {}])
 def test_plain_cases(counts):
     total = sum(k * n for k, n in counts.items())

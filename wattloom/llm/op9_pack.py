@@ -5,10 +5,11 @@ fits together depends on lengths alone, and there are at most as many lengths as
 counts lengths, the driver plans patterns (some lengths that share a sequence, and how often), and a last job deals
 ranks within each length to the places of the patterns. Nothing that grows with the documents goes through the driver.
 
-Plan: best fit by descending length is the first incumbent. Unless it meets the bound ceil(total / capacity), a
+Plan: best fit by descending length is the first incumbent. Unless it meets a lower bound (``least_bins``), a
 depth-first search completes bins around the largest open length with undominated fillings, uses a completion as often
 as the counts allow, and turns back when the waste so far rules out one sequence less than the incumbent. It ends at
-the bound or after SEARCH_NODES steps, each a length that is tried or a bin that is completed; that is the only limit.
+the bound or after SEARCH_NODES steps, to which all of its work is charged; where that leaves the bound unproven, a
+warning says so. Dominance is told within PARTED_STEPS; a filling beyond that is kept, which costs time and no quality.
 
 A null text is an empty one: one piece that holds the end id. Repeated rows are packed once each. An empty table gives
 an empty result. Whole texts are tokenised, whatever their length; ties between pieces of one length go by id, piece and
@@ -17,10 +18,11 @@ checksum. Columns other than doc_id and text are never read.
 
 from __future__ import annotations
 
+import logging
 import os
 import re
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -36,9 +38,10 @@ from pyspark.sql.window import Window
 from wattloom.llm.common import byte_buffer, materialise, read, row_slices
 
 CAPACITY, END_ID = 2048, 0
-SEARCH_NODES = 20_000
+SEARCH_NODES = 200_000
 #: Distinct words whose ids a task remembers at once; beyond it goes on with those it met again.
 REMEMBERED = 800_000
+log = logging.getLogger(__name__)
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 # --- ids -----------------------------------------------------------------------------------------------------------
@@ -198,39 +201,89 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return [(held, n) for bins in by_room.values() for held, n in bins.items() if n]
 
 
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound of the bins: ceil(total / capacity), and the same for lengths that dual feasible functions make of them.
+
+    The k-th function counts a length by the whole number of (k + 1)-th parts of a bin that it fills, each worth a k-th
+    of a bin: of what exceeds a (k + 1)-th part, no bin holds more than k. Exact (k + 1)-ths count as they are.
+    """
+    best = -(-sum(x * n for x, n in counts.items()) // capacity)
+    for k in range(1, 101):
+        worth = sum(n * (x * k if (k + 1) * x % capacity == 0 else (k + 1) * x // capacity * capacity) for x, n in counts.items())
+        best = max(best, -(-worth // (k * capacity)))
+    return best
+
+
 class BinCompletion:
-    """Depth-first search for a plan with fewer bins than the incumbent."""
+    """Depth-first search for a plan with fewer bins than the incumbent.
+
+    All work is charged to ``nodes``: lengths and copies that are tried, tables that are built, comparisons between
+    fillings. A node is some microseconds, so the search ends in time whatever the histogram.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int, nodes: int = SEARCH_NODES) -> None:
         self.capacity, self.nodes = capacity, nodes
         self.total = sum(length * n for length, n in counts.items())
         self.counts = Counter(counts)
-        self.least = -(-self.total // capacity)
+        self.least = least_bins(counts, capacity)
 
-    def _step(self) -> bool:
-        self.nodes -= 1
+    def _step(self, cost: int = 1) -> bool:
+        self.nodes -= cost
         return self.nodes >= 0
 
-    def _exact(self, sizes: list[int], sums: list[int], left: Counter, k: int, target: int) -> Iterator[tuple[int, ...]]:
-        """Every choice from sizes[k:], as often as there are, that adds up to ``target``; larger lengths first."""
+    def _exact(self, sizes: list[int], sums: list[int], left: Counter, target: int) -> Iterator[tuple[int, ...]]:
+        """Every choice from ``sizes``, as often as there are, that adds up to ``target``; larger lengths and more copies first.
+
+        A level is a length with its copies, so that many short lengths are one level, not hundreds.
+        """
         if not target:
             yield ()
             return
-        for at in range(max(k, bisect_left(sizes, -target, key=lambda x: -x)), len(sizes)):
-            if not sums[at] >> target & 1 or not self._step():
-                return  # sums[at]: what sizes[at:] can add up to
-            size = sizes[at]
-            if left[size] > 0 and sums[at] >> (target - size) & 1:
-                left[size] -= 1
-                for rest in self._exact(sizes, sums, left, at, target - size):
-                    yield (size, *rest)
-                left[size] += 1
+        levels: list[tuple[int, int]] = []
+        at, rest, copies = 0, target, None  # copies: the most that the next try at ``at`` may take
+        while True:
+            if copies is None:
+                at = max(at, bisect_left(sizes, -rest, key=lambda x: -x))
+                if at < len(sizes) and sums[at] >> rest & 1:  # sums[at]: what sizes[at:] can add up to
+                    copies = min(left[sizes[at]], rest // sizes[at])
+            if copies is not None:
+                while copies and not sums[at + 1] >> (rest - copies * sizes[at]) & 1:
+                    copies -= 1
+                    self.nodes -= 1
+                if not self._step():
+                    return
+                if not copies:
+                    at, copies = at + 1, None
+                    continue
+                levels.append((at, copies))
+                rest -= copies * sizes[at]
+                if rest:
+                    at, copies = at + 1, None
+                    continue
+                yield tuple(sizes[i] for i, n in levels for _ in range(n))
+            if not levels or not self._step():
+                return
+            at, copies = levels.pop()
+            rest += copies * sizes[at]
+            copies -= 1
+
+    def _improvable(self, filling: tuple[int, ...], waste: int, rising: list[int], left: Counter) -> bool:
+        """Whether a length of the filling, or nothing, could be a longer one that fits into the waste and is there."""
+        used = Counter(filling)
+        for s in {0, *used}:
+            at = bisect_right(rising, s)
+            while at < len(rising) and rising[at] <= s + waste:
+                self.nodes -= 1
+                if left[rising[at]] > used[rising[at]]:
+                    return True
+                at += 1
+        return False
 
     def fillings(self, room: int, own: int) -> Iterator[tuple[int, ...]]:
         """The undominated fillings of ``room`` beside one bin's largest length ``own``, least waste first.
 
         One filling dominates another if the other's lengths can be parted over its own: whatever holds it holds the
-        other, too, so a bin with the dominating one is never worse.
+        other, too, so a bin with the dominating one is never worse. Where that takes long to tell, the filling stays.
         """
         left = self.counts.copy()
         left[own] -= 1
@@ -238,25 +291,36 @@ class BinCompletion:
             yield (room,)
             return
         sizes = [s for s in self.sizes if s <= room and left[s] > 0]
+        self.nodes -= len(sizes) // 2 + len(left) // 16
         sums, mask = [1] * (len(sizes) + 1), (1 << (room + 1)) - 1
         for k in range(len(sizes) - 1, -1, -1):
-            sums[k], step = sums[k + 1], sizes[k]
-            while step <= room:
+            sums[k], step, copies = sums[k + 1], sizes[k], left[sizes[k]]
+            while step <= room and copies > 0:  # 1, 2, 4, ... copies, which add up to no more than twice as many as there are
                 sums[k] |= sums[k] << step & mask
-                step *= 2
+                step, copies = step * 2, copies // 2
+        rising = sizes[::-1]
         found: list[tuple[int, ...]] = []
         for waste in range(room + 1):
-            for filling in self._exact(sizes, sums, left, 0, room - waste):
-                used = Counter(filling)
-                better = waste and any(left[t] > used[t] for s in {0, *filling} for t in range(s + 1, s + waste + 1))
-                if not better and not any(parted(filling, other) for other in found):
-                    found.append(filling)
-                    yield filling
+            if not sums[0] >> (room - waste) & 1:
+                continue
+            for filling in self._exact(sizes, sums, left, room - waste):
+                if waste and self._improvable(filling, waste, rising, left) or self._dominated(filling, found):
+                    continue
+                found.append(filling)
+                yield filling
             if self.nodes <= 0:
                 break
         if not found:
             yield ()
 
+    def _dominated(self, filling: tuple[int, ...], found: list[tuple[int, ...]]) -> bool:
+        for other in found:
+            told, steps = parted(filling, other)
+            self.nodes -= 1 + steps
+            if told or self.nodes <= 0:
+                return told
+        return False
+
     def search(self, incumbent: Plan) -> Plan:
         best, bins = incumbent, sum(n for _, n in incumbent)
         # a level keeps how many completions it has tried, not the enumeration, whose tables would add up over the levels
@@ -303,33 +367,50 @@ class BinCompletion:
                 times //= 2
 
     def _put(self, held: tuple[int, ...], times: int) -> None:
+        self.nodes -= (len(held) + len(self.counts)) // 16
         for s in held:
             self.counts[s] += times
         self.sizes = sorted((s for s, n in self.counts.items() if n > 0), reverse=True)
 
 
-def parted(filling: tuple[int, ...], other: tuple[int, ...]) -> bool:
-    """Whether the lengths of ``filling`` can be parted over those of ``other`` without exceeding any."""
-    if len(other) > len(filling) or sum(filling) > sum(other):
-        return False
-    order = sorted(filling, reverse=True)
+#: Parting more lengths than this, or in more steps, is not tried.
+PARTED_LENGTHS, PARTED_STEPS = 24, 100
+
+
+def parted(filling: tuple[int, ...], other: tuple[int, ...]) -> tuple[bool, int]:
+    """Whether the lengths of ``filling`` can be parted over those of ``other`` without exceeding any, and the steps it took.
+
+    False if that is not so, or not found within the limits.
+    """
+    if not len(other) <= len(filling) <= PARTED_LENGTHS or sum(filling) > sum(other):
+        return False, 0
+    order, steps = sorted(filling, reverse=True), 0
 
     def place(k: int, rooms: tuple[int, ...]) -> bool:
+        nonlocal steps
         if k == len(order):
             return True
         for room in sorted(set(rooms)):
             if room >= order[k]:
+                steps += 1
                 at = rooms.index(room)
+                if steps > PARTED_STEPS:
+                    return False
                 if place(k + 1, (*rooms[:at], room - order[k], *rooms[at + 1 :])):
                     return True
         return False
 
-    return place(0, tuple(other))
+    return place(0, tuple(other)), steps
 
 
 def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> Plan:
-    incumbent = best_fit(counts, capacity)
-    return BinCompletion(counts, capacity, nodes).search(incumbent)
+    """The best plan found; a warning is logged if it has more bins than the bound and the search could not end."""
+    search = BinCompletion(counts, capacity, nodes)
+    plan = search.search(best_fit(counts, capacity))
+    bins = sum(n for _, n in plan)
+    if bins > search.least and search.nodes <= 0:
+        log.warning("packing: %d sequences, the bound is %d, and the search ended after %d steps", bins, search.least, nodes)
+    return plan
 
 
 # --- placing -------------------------------------------------------------------------------------------------------
