@@ -41,6 +41,7 @@ def compare(spark, con, query, sql: str, sf_dir: str) -> str | None:
         return f"columns {sorted(df.columns)} and {sorted(names)}"
     a, b = rows(df.columns, df.collect()), rows(names, result.fetchall())
     if a != b:
-        only_a, only_b = [x for x in a if x not in set(b)][:3], [x for x in b if x not in set(a)][:3]
+        in_a, in_b = set(a), set(b)
+        only_a, only_b = [x for x in a if x not in in_b][:3], [x for x in b if x not in in_a][:3]
         return f"{len(a)} and {len(b)} rows; only in Spark {only_a}; only in SQL {only_b}"
     return None

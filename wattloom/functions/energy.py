@@ -117,14 +117,31 @@ def hash_uniform(*parts: Column) -> Column:
     return md5_uniform(*[p.cast("string") for p in parts])
 
 
-def hash_normal(mean: Column, sigma: Column, *parts: Column) -> Column:
-    """A normal draw by Box and Muller from two hashes of the parts."""
-    u = 1 - hash_uniform(F.lit(1), *parts)
-    v = hash_uniform(F.lit(2), *parts)
-    return mean + sigma * F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
+#: Draws that one hash is good for, of 24 bits each.
+DRAWS = 5
 
 
-def hash_hour_offset(*parts: Column) -> Column:
+def draws_of(*parts: Column) -> Column:
+    """The hash of the parts, as text with colons between, that ``draw`` takes its numbers from."""
+    return F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+
+
+def draw(hash_: Column, number: int) -> Column:
+    """[0, 1) from 24 bits of a hash; number: 0 to DRAWS - 1. Keep the hash in a column of its own, or it is made anew for each."""
+    return F.conv(F.substring(hash_, 1 + 6 * number, 6), 16, 10).cast("double") / F.lit(float(1 << 24))
+
+
+def normal(mean: Column, sigma: Column, u: Column, v: Column) -> Column:
+    """A normal draw by Box and Muller from two uniform ones."""
+    return mean + sigma * F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.pi() * v)
+
+
+def hour_offset(u: Column) -> Column:
     """-2 to 2 with chances .05, .10, .70, .10 and .05."""
-    u = hash_uniform(*parts)
     return F.when(u < 0.05, -2).when(u < 0.15, -1).when(u < 0.85, 0).when(u < 0.95, 1).otherwise(2)
+
+
+def draw_key(weight: Column, u: Column) -> Column:
+    """Rows in rising order of this key are drawn without replacement, each next with a chance in proportion to its weight among
+    those left (exponential waiting times). Null, and so last, without a positive weight."""
+    return F.when(weight > 0, -F.log(1 - u) / weight)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wattloom.errors import InvalidDates, UnseenLabels
-from wattloom.functions.energy import at_most, hash_hour_offset, hash_normal, hour_of, is_weekday, md5_uniform, within_day
+from wattloom.functions.energy import at_most, draw, draw_key, draws_of, hour_of, hour_offset, is_weekday, md5_uniform, normal, within_day
 from wattloom.operators.checks import drop_nulls, require_no_nulls
 
 WEEKDAY_CODE, WEEKEND_CODE = 2, 1
@@ -195,15 +195,26 @@ def expand_calendar(trips: DataFrame, start: date, end: date) -> DataFrame:
     return trips.join(F.broadcast(calendar(trips.sparkSession, start, end)), "is_weekday")
 
 
-def schedules(trips: DataFrame, start: date, end: date, seed: int = 42) -> DataFrame:
-    """Trips with hourly offsets and varied miles, all drawn by hashes: no task order matters and no row needs Python."""
-    key = [F.lit(seed), F.col("bldg_id").cast("string"), F.col("vehicle_id"), F.col("trip"), F.col("date").cast("string")]
-    days = expand_calendar(trips, start, end)
-    return days.select(
+def schedules(trips: DataFrame, start: date, end: date, seed: int = 42, most: int | None = None) -> DataFrame:
+    """Trips with hourly offsets and varied miles, in the order drawn, all from hashes: no task order matters and no row needs Python.
+
+    A vehicle's trips of a day are drawn without replacement by ``trip_weight``; ``place`` is a trip's place in that order, and
+    ``most`` keeps the first so many. Trips without a positive weight come last, and equal ones go by their number.
+    A hash is made once a row and gives all of its numbers. Rows are dealt by vehicle before days multiply them.
+    """
+    dealt = trips.repartition("bldg_id", "vehicle_id")
+    days = expand_calendar(dealt, start, end).withColumn("__h", draws_of(F.lit(seed), F.col("bldg_id"), F.col("vehicle_id"), F.col("trip"), F.date_format("date", "yyyy-MM-dd")))
+    drawn = days.withColumns({f"__u{k}": draw(F.col("__h"), k) for k in range(5)})
+    order = Window.partitionBy("bldg_id", "vehicle_id", "date").orderBy(draw_key(F.col("trip_weight"), F.col("__u4")).asc_nulls_last(), "trip")
+    placed = drawn.withColumn("place", F.row_number().over(order))
+    if most is not None:
+        placed = placed.where(F.col("place") <= most)
+    return placed.select(
         "bldg_id", "vehicle_id", "date",
-        within_day(F.col("departure") + hash_hour_offset(F.lit(3), *key)).cast("int").alias("departure_hour"),
-        within_day(F.col("arrival") + hash_hour_offset(F.lit(4), *key)).cast("int").alias("arrival_hour"),
-        hash_normal(F.col("miles_driven"), F.col("miles_driven") * 0.1, *key).alias("miles_driven"),
+        within_day(F.col("departure") + hour_offset(F.col("__u2"))).cast("int").alias("departure_hour"),
+        within_day(F.col("arrival") + hour_offset(F.col("__u3"))).cast("int").alias("arrival_hour"),
+        normal(F.col("miles_driven"), F.col("miles_driven") * 0.1, F.col("__u0"), F.col("__u1")).alias("miles_driven"),
+        "place",
     )
 
 

@@ -12,8 +12,9 @@ from collections.abc import Collection, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from wattloom.functions.names import col, state_code
+from wattloom.functions.names import col, quoted, state_code
 from wattloom.operators.checks import valid_ids
 from wattloom.operators.merge import keep_first, merge_partitions, upsert_old_wins
 from wattloom.operators.project import canonical_columns, compact_annual, compact_metadata, with_constants
@@ -110,14 +111,6 @@ def listed(spark: SparkSession, pattern: str) -> list[tuple[str, int, int]]:
     return sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.globStatus(where) or [])
 
 
-def crawl(spark: SparkSession, root: str, depth: int = 3) -> DataFrame:
-    """path and length of the entries of a source tree down to a depth, folders (length 0) and files; from listings alone."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows = [(f.getPath().toString(), int(f.getLen())) for d in range(1, depth + 1) for f in fs.globStatus(hadoop(root.rstrip("/") + "/*" * d)) or []]
-    return spark.createDataFrame(rows, "path string, length bigint")
-
-
 def new_releases(found: DataFrame, known: DataFrame) -> DataFrame:
     """Releases of ``available_files`` that the catalogue table does not have."""
     return found.join(known.select(F.col("key").alias("release")), "release", "left_anti")
@@ -160,19 +153,20 @@ def available_files(paths: DataFrame) -> DataFrame:
 
 
 def files_by_upgrade(paths: DataFrame) -> DataFrame:
-    """Paths gathered by the upgrade in their name; 'baseline' is 0."""
+    """(upgrade, path) of the paths that name an upgrade; 'baseline' is 0. A row a path, so no row grows with a tree."""
     n = F.regexp_extract("path", r"upgrade_?=?0*(\d+)", 1)
     upgrade = F.when(F.col("path").contains("baseline"), 0).when(n != "", n.cast("int"))
-    return paths.withColumn("upgrade", upgrade).where("upgrade is not null").groupBy("upgrade").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return paths.select(upgrade.alias("upgrade"), "path").where("upgrade is not null")
 
 
-def work_by_source(buildings: DataFrame, source: str = "source_path", target: str = "target_path") -> DataFrame:
-    """One row a source file: the files that it feeds, each with its buildings. A source is then read once for all of them.
+def work_by_source(buildings: DataFrame, source: str = "source_path", target: str = "target_path", most: int = 10_000) -> DataFrame:
+    """Units of work: a source file, a file that it feeds, and buildings of that, in order and at most ``most`` a row.
 
-    Buildings of a target are collected, so a target should hold a file's worth of them.
+    Units of a source share its key, so a job joins them to the source, which is read once for all of them.
     """
-    inner = buildings.groupBy(source, target).agg(F.sort_array(F.collect_set("bldg_id")).alias("bldg_ids"))
-    return inner.groupBy(source).agg(F.sort_array(F.collect_list(F.struct(target, "bldg_ids"))).alias("targets"))
+    keys = [quoted(source), quoted(target)]
+    numbered = buildings.select(*keys, "bldg_id").distinct().withColumn("__part", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("bldg_id")) - 1) / most))
+    return numbered.groupBy(*keys, "__part").agg(F.sort_array(F.collect_list("bldg_id")).alias("bldg_ids")).drop("__part")  # at most ``most`` a row
 
 
 def append_batch(trips: DataFrame, path: str, release: str, batch: int | None = None) -> bool:

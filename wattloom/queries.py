@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -267,10 +268,17 @@ def scenario_export_wide(spark, sf_dir):
     return scenario.wide_export(_allocation(spark, sf_dir), 3, "c_custkey")
 
 
-@query("select y as year, u as upgrade_id, w * t as fraction from (values (0, 0.1::double), (1, 0.3::double), (2, 0.5::double)) a(y, t) cross join (values (4, 0.6::double), (8, 0.4::double)) b(u, w)")
+@query("""
+    with w as (select row_number() over (order by c_mktsegment) * 4 as u, count(*) / (select count(*) from customer) as w from customer group by c_mktsegment),
+         t as (select y, sum(n) over (order by y) / (select count(*) from orders) as t from (select year(o_orderdate) - (select min(year(o_orderdate)) from orders) as y, count(*) as n from orders group by 1) o)
+    select y::int as year, u::int as upgrade_id, round(w * t, 9) as fraction from w cross join t""")
 def uniform_adoption(spark, sf_dir):
-    shares = scenario.uniform_adoption([4, 8], {4: 0.6, 8: 0.4}, [0.1, 0.3, 0.5])
-    return spark.createDataFrame([(y, u, f) for u, fs in shares.items() for y, f in enumerate(fs)], "year int, upgrade_id int, fraction double")
+    """Upgrades weighed by the customers of each segment, adopted as orders came in over the years."""
+    by = table(spark, sf_dir, "customer").groupBy("c_mktsegment").count().orderBy("c_mktsegment").collect()  # a row a segment
+    years = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y")).count().orderBy("y").collect()  # a row a year
+    n, total, sums = sum(r["count"] for r in by), sum(r["count"] for r in years), accumulate(r["count"] for r in years)
+    shares = scenario.uniform_adoption([4 * k for k in range(1, len(by) + 1)], {4 * k: r["count"] / n for k, r in enumerate(by, 1)}, [s / total for s in sums])
+    return spark.createDataFrame([(y, u, round(f, 9)) for u, fs in shares.items() for y, f in enumerate(fs)], "year int, upgrade_id int, fraction double")
 
 
 # --- scalar functions ----------------------------------------------------------------------------------------------
@@ -436,21 +444,38 @@ def _vehicle_trips(spark, sf_dir) -> DataFrame:
     return li.select(F.col("l_orderkey").cast("string").alias("bldg_id"), F.col("l_linenumber").alias("vehicle_id"), F.lit(1).alias("trip"), (F.col("l_partkey") % 2 == 0).alias("is_weekday"), (F.col("l_suppkey") % 12 + 6).cast("int").alias("departure"), (F.col("l_suppkey") % 12 + 10).cast("int").alias("arrival"), F.col("l_quantity").cast("double").alias("miles_driven"), F.lit(1.0).alias("trip_weight"))
 
 
+def _number_sql(number: int) -> str:
+    """[0, 1) from 24 bits of the row's hash h."""
+    return f"(concat('0x', substr(h, {1 + 6 * number}, 6))::bigint / 16777216.0::double)"
+
+
 def _offset_sql(number: int) -> str:
-    u = _draw_sql(f"'{number}'", *_TRIP)
+    u = _number_sql(number)
     return f"(case when {u} < 0.05 then -2 when {u} < 0.15 then -1 when {u} < 0.85 then 0 when {u} < 0.95 then 1 else 2 end)"
 
 
-_TRIP = ("'42'", "l_orderkey", "l_linenumber", "'1'", "strftime(d, '%Y-%m-%d %H:%M:%S')")
+_WEEK = "(select unnest(generate_series(date '2022-01-01', date '2022-01-07', interval 1 day)) as d) days"
 
 
 @query(f"""
-    select cast(l_orderkey as varchar) as bldg_id, l_linenumber as vehicle_id, d::timestamp as date, greatest(0, least(23, l_suppkey % 12 + 6 + {_offset_sql(3)}))::int as departure_hour,
-           greatest(0, least(23, l_suppkey % 12 + 10 + {_offset_sql(4)}))::int as arrival_hour,
-           round(l_quantity::double + l_quantity::double * 0.1 * sqrt(-2 * ln(1 - {_draw_sql("'1'", *_TRIP)})) * cos(2 * pi() * {_draw_sql("'2'", *_TRIP)}), 6) as miles_driven
-    from lineitem cross join (select unnest(generate_series(date '2022-01-01', date '2022-01-07', interval 1 day)) as d) days where (l_partkey % 2 = 0) = (isodow(d) < 6)""")
+    with r as (select *, md5(concat_ws(':', '42', l_orderkey, l_linenumber, '1', strftime(d, '%Y-%m-%d'))) as h from lineitem cross join {_WEEK} where (l_partkey % 2 = 0) = (isodow(d) < 6))
+    select cast(l_orderkey as varchar) as bldg_id, l_linenumber as vehicle_id, d::timestamp as date, greatest(0, least(23, l_suppkey % 12 + 6 + {_offset_sql(2)}))::int as departure_hour,
+           greatest(0, least(23, l_suppkey % 12 + 10 + {_offset_sql(3)}))::int as arrival_hour,
+           round(l_quantity::double + l_quantity::double * 0.1 * sqrt(-2 * ln(1 - {_number_sql(0)})) * cos(2 * pi() * {_number_sql(1)}), 6) as miles_driven
+    from r""")
 def trip_schedule_noise(spark, sf_dir):
-    return vehicles.schedules(_vehicle_trips(spark, sf_dir), date(2022, 1, 1), date(2022, 1, 7)).withColumn("miles_driven", F.round("miles_driven", 6))
+    return vehicles.schedules(_vehicle_trips(spark, sf_dir), date(2022, 1, 1), date(2022, 1, 7)).drop("place").withColumn("miles_driven", F.round("miles_driven", 6))
+
+
+@query(f"""
+    with r as (select *, l_partkey % 4 * l_quantity::double as w, md5(concat_ws(':', '42', l_orderkey, '1', l_linenumber, strftime(d, '%Y-%m-%d'))) as h from lineitem cross join {_WEEK} where (l_orderkey % 2 = 0) = (isodow(d) < 6)),
+    p as (select *, row_number() over (partition by l_orderkey, d order by case when w > 0 then -ln(1 - {_number_sql(4)}) / w end nulls last, l_linenumber) as place from r)
+    select l_orderkey as bldg_id, d::timestamp as date, place::int as place, greatest(0, least(23, l_linenumber + {_offset_sql(2)}))::int as departure_hour from p where place <= 3""")
+def weighted_trip_order(spark, sf_dir):
+    """Orders as vehicles, their items as trips weighed by quantity (every fourth part has none): the first three drawn of each day."""
+    li = table(spark, sf_dir, "lineitem")
+    trips = li.select(F.col("l_orderkey").alias("bldg_id"), F.lit(1).alias("vehicle_id"), F.col("l_linenumber").alias("trip"), (F.col("l_orderkey") % 2 == 0).alias("is_weekday"), F.col("l_linenumber").alias("departure"), F.lit(12).alias("arrival"), F.lit(1.0).alias("miles_driven"), (F.col("l_partkey") % 4 * F.col("l_quantity").cast("double")).alias("trip_weight"))
+    return vehicles.schedules(trips, date(2022, 1, 1), date(2022, 1, 7), most=3).select("bldg_id", "date", "place", "departure_hour")
 
 
 @query()
@@ -469,8 +494,7 @@ def work_by_source(spark, sf_dir):
     from wattloom.plans.ingest import work_by_source as work
 
     b = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("source_path"), F.col("c_mktsegment").alias("target_path"), F.col("c_custkey").alias("bldg_id"))
-    count = F.aggregate("targets", F.lit(0).cast("bigint"), lambda a, t: a + F.size(t["bldg_ids"]))
-    return work(b).select("source_path", F.size("targets").cast("bigint").alias("n_targets"), count.alias("n_buildings"))
+    return work(b, most=7).groupBy("source_path").agg(F.countDistinct("target_path").alias("n_targets"), F.sum(F.size("bldg_ids")).alias("n_buildings"))
 
 
 @query("""

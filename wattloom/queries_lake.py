@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import io
 import json
-import tempfile
-import uuid
 import zipfile
 
 import pandas as pd
@@ -20,7 +18,8 @@ from pyspark.sql import functions as F
 from wattloom.functions import energy, names
 from wattloom.operators import checks, merge, timeagg, vehicles
 from wattloom.plans import ingest, paths, scenario
-from wattloom.sources import archives, catalog, lake, surveys
+from wattloom.sources import archives, catalog, lake, listing, surveys
+from wattloom.sources.shared import shared_dir as fresh
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,6 +27,8 @@ RELEASE = "res_2022_tmy3_1"
 SHARES = {4: [0.06, 0.18, 0.30], 8: [0.04, 0.12, 0.20]}
 STATES = names.STATES[:25]
 CHOSEN = (STATES[1], STATES[3], STATES[22])
+#: States whose readings have all upgrades, as a scenario needs.
+MIXED = ("AZ", "CO", "GA")
 
 
 def query(sql: str | None = None):
@@ -44,17 +45,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = f"file://{tempfile.gettempdir()}/wattloom-checkpoints"
-    return f"{root}/{uuid.uuid4().hex}"
-
-
-# --- the lake ------------------------------------------------------------------------------------------------------
-
 _STATES_SQL = "(values " + ", ".join(f"({n}, '{s}')" for n, s in enumerate(STATES)) + ") st(k, state)"
 _META = f"""
     with m as (select c_custkey as bldg_id, state, u as upgrade, c_acctbal, c_mktsegment, c_custkey * 0.5 as weight from customer join {_STATES_SQL} on k = c_nationkey cross join (values (0), (4), (8)) v(u)
@@ -217,7 +207,7 @@ def rules_from_csv(spark, sf_dir):
 # --- scenarios over the lake ---------------------------------------------------------------------------------------
 
 _ALLOCATION = _META + f""",
-    b as (select distinct bldg_id, state from m where upgrade = 0 and state in {_CHOSEN_SQL}),
+    b as (select distinct bldg_id, state from m where upgrade = 0 and state in {MIXED}),
     r as (select bldg_id, row_number() over (order by md5(concat('42:', bldg_id)), bldg_id) - 1 as rn from b),
     sc(y, u, f, o) as (values (0, 4, cast(0.06 as double), 0), (0, 8, cast(0.04 as double), 1), (1, 4, cast(0.18 as double), 2),
                               (1, 8, cast(0.12 as double), 3), (2, 4, cast(0.30 as double), 4), (2, 8, cast(0.20 as double), 5)),
@@ -230,19 +220,12 @@ _ALLOCATION = _META + f""",
 
 
 def _reader(spark, sf_dir) -> scenario.ScenarioReader:
-    return scenario.ScenarioReader(lake.Lake(spark, make_lake(spark, sf_dir, True), RELEASE, CHOSEN[:2] + CHOSEN[2:]), SHARES)
+    return scenario.ScenarioReader(lake.Lake(spark, make_lake(spark, sf_dir, True), RELEASE, MIXED), SHARES)
 
 
 @query(_ALLOCATION + "select year, al.bldg_id, upgrade_id, o_orderkey, o_totalprice from al join curve on curve.bldg_id = al.bldg_id and curve.upgrade = al.upgrade_id where year in (0, 2)")
 def scenario_reader(spark, sf_dir):
-    reader = _reader(spark, sf_dir)
-    return _read_some(reader, "load_curve_annual", [2, 0])
-
-
-def _read_some(reader: scenario.ScenarioReader, file_type: str, years) -> DataFrame:
-    """A read whose files of upgrade 8 may lack in a state: what is missing is told by ``missing``, not an error here."""
-    data = reader.lake._scan(file_type).where(F.col("upgrade").isin(*reader.upgrades))
-    return scenario.join_data(reader.allocation(years), data).select("year", "bldg_id", F.col("upgrade_id").cast("int").alias("upgrade_id"), "o_orderkey", "o_totalprice")
+    return _reader(spark, sf_dir).read("load_curve_annual", [2, 0]).select("year", "bldg_id", F.col("upgrade_id").cast("int").alias("upgrade_id"), "o_orderkey", "o_totalprice")
 
 
 @query(_ALLOCATION + "select year, al.bldg_id, upgrade_id, weight from al join m on m.bldg_id = al.bldg_id and m.upgrade = al.upgrade_id")
@@ -262,18 +245,18 @@ def scenario_csv(spark, sf_dir):
 @query(_ALLOCATION + "select state, year, upgrade_id, count(*) as n, round(count(*) / sum(count(*)) over (partition by state, year), 6) as fraction from al join b using (bldg_id) group by 1, 2, 3")
 def scenario_counts_by_state(spark, sf_dir):
     reader = _reader(spark, sf_dir)
-    states = reader.lake._scan("metadata").where("upgrade = 0").select("bldg_id", "state").distinct()
+    states = reader.lake.metadata([0]).select("bldg_id", "state").distinct()
     return scenario.adoption_counts(reader.allocation().join(states, "bldg_id"), ("state",)).withColumn("fraction", F.round("fraction", 6))
 
 
-@query(_ALLOCATION + "select distinct al.bldg_id, upgrade_id from al where not exists (select 1 from m where m.bldg_id = al.bldg_id and m.upgrade = al.upgrade_id)")
+_MISSING = "select distinct '{0}' as file_type, al.bldg_id, upgrade_id from al where not exists (select 1 from {1} x where x.bldg_id = al.bldg_id and x.upgrade = al.upgrade_id)"
+
+
+@query(_ALLOCATION + _MISSING.format("metadata", "m") + " union all " + _MISSING.format("load_curve_annual", "curve"))
 def scenario_missing(spark, sf_dir):
-    """Pairs of the mix without a file; here a building's file is named by its id and upgrade."""
+    """Pairs of the mix without data, in part files that the jobs wrote and that are named after no building."""
     reader = _reader(spark, sf_dir)
-    there = reader.lake._scan("metadata").select("bldg_id", F.col("upgrade").alias("upgrade_id"))
-    files = there.select(F.concat(F.col("bldg_id").cast("string"), F.lit("-"), F.col("upgrade_id").cast("string"), F.lit(".parquet")).alias("file"), "upgrade_id")
-    named = files.select(names.building_of_file(F.col("file")).alias("bldg_id"), "upgrade_id")
-    return reader.allocation().select("bldg_id", "upgrade_id").distinct().join(named, ["bldg_id", "upgrade_id"], "left_anti")
+    return lake.union_of_schemas([reader.missing(t).select(F.lit(t).alias("file_type"), "bldg_id", F.col("upgrade_id").cast("int").alias("upgrade_id")) for t in ("metadata", "load_curve_annual")])
 
 
 # --- the building index, work lists and paths ----------------------------------------------------------------------
@@ -371,7 +354,7 @@ def files_by_upgrade(spark, sf_dir):
     u = F.col("c_custkey") % 5
     file = F.when(u == 0, "baseline.parquet").otherwise(F.concat(F.lit("upgrade0"), u.cast("string"), F.lit(".parquet")))
     p = table(spark, sf_dir, "customer").select(F.concat_ws("/", F.lit("m"), F.col("c_custkey").cast("string"), file).alias("path"))
-    return ingest.files_by_upgrade(p).select("upgrade", F.size("paths").cast("bigint").alias("n"), F.col("paths")[0].alias("first_path"))
+    return ingest.files_by_upgrade(p).groupBy("upgrade").agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
 
 
 @query("select r_name as entry, 1 as depth from region union all select concat(r_name, '/part=', n_nationkey), 2 from region join nation on n_regionkey = r_regionkey")
@@ -381,7 +364,7 @@ def crawl_tree(spark, sf_dir):
     r = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("folder"))
     rows = table(spark, sf_dir, "nation").join(r, "n_regionkey").select("folder", F.col("n_nationkey").alias("part"), "n_name")
     merge.write_partitioned(rows, root, ("folder", "part"))
-    found = ingest.crawl(spark, root, 2).where("path like '%folder=%'")
+    found = listing.crawl(spark, root, 2).where("path like '%folder=%'")
     entry = F.regexp_replace(F.regexp_extract("path", r"folder=(.*)$", 1), "%20", " ")
     return found.select(entry.alias("entry"), (F.size(F.split(entry, "/"))).alias("depth"))
 

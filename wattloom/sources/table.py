@@ -207,10 +207,10 @@ class Table:
             return self.spark.createDataFrame([], columns)
         parts = {f.name for f in columns.fields} & set(self._partition_names(version))
         texts = StructType([StructField(f.name, StringType() if f.name in parts else f.dataType) for f in columns.fields])
-        df = self.spark.read.schema(texts).option("basePath", self.path).parquet(*[self._uri(f) for f in files])
+        df = self.spark.read.schema(texts).option("basePath", self.path).parquet(*[self.uri(f) for f in files])
         return df.select(*[col(f.name).cast(f.dataType).alias(f.name) if f.name in parts else col(f.name) for f in columns.fields])
 
-    def _uri(self, file: str) -> str:
+    def uri(self, file: str) -> str:
         return re.sub(r"([{}\[\]*?\\])", r"\\\1", f"{self.path}/{file}")  # paths are patterns to Spark
 
     def _partition_names(self, version: Version) -> tuple[str, ...]:
@@ -220,7 +220,7 @@ class Table:
         """The columns of a folder without a log: those of any file, partition columns as whole numbers or text."""
         if not files:
             return StructType()
-        found = self.spark.read.option("mergeSchema", "true").option("basePath", self.path).parquet(*[self._uri(f) for f in files]).schema
+        found = self.spark.read.option("mergeSchema", "true").option("basePath", self.path).parquet(*[self.uri(f) for f in files]).schema
         names = self._partition_names(Version(-1, tuple(files)))
         whole = self._whole([folder_values(f, names) for f in files], names)
         return StructType([StructField(f.name, (LongType() if f.name in whole else StringType()) if f.name in names else f.dataType) for f in found.fields])

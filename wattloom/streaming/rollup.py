@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from wattloom.functions.energy import interval_start
 from wattloom.functions.names import col, quoted
 from wattloom.operators.timeagg import check_rules, rule_column
+from wattloom.sources.shared import shared_dir
 
 #: Sliding windows of a stream have one length; a month, which has not, is the key of its days' first instant.
 WINDOWS = {"hourly": "1 hour", "daily": "1 day"}
@@ -40,12 +39,7 @@ def run_to_end(rolled: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     ``local[...]`` session uses a local one. A bucket that is still open when the source ends is written too.
     """
     spark = rolled.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = f"file://{tempfile.gettempdir()}/wattloom-checkpoints"
-    where = f"{root}/{uuid.uuid4().hex}"
+    where = shared_dir(spark)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{where}/table/__batch={number}")  # a batch that runs again replaces its rows
