@@ -81,7 +81,7 @@ def test_compiled_rules_score_as_rules_by_hand(spark):
 def test_queries_of_empty_tables(spark, tmp_path):
     from wattloom.llm.queries import QUERIES
 
-    for name in ("documents", "labels", "embeddings"):
+    for name in ("documents", "labels", "embeddings", "pages"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, query in QUERIES.items():
         assert query(spark, str(tmp_path)).count() == 0, name
@@ -149,6 +149,40 @@ def test_neighbours_of_documents_are_exact(spark):
         assert [cosines[e] for e in evidence] == pytest.approx(best, abs=1e-5)
 
 
+def test_best_split_of_votes():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        votes, labels = rng.integers(0, 5, 12) / 4, rng.integers(0, 2, 12)
+        votes[rng.random(12) < 0.2] = np.nan
+        known = np.nan_to_num(votes, nan=-1)
+        assert toxic.best_split(votes, labels) == max(int(((known >= t) == labels).sum()) for t in [*known, 9])
+
+
+def test_the_factor_is_chosen_on_examples(spark):
+    """Topics rule the plain cosine; a few words tell toxic texts, whichever the topic."""
+    rng = np.random.default_rng(1)
+    rows, labels, tf = [], rng.integers(0, 2, 600), []
+    for i in range(600):
+        topic = int(rng.integers(0, 20))
+        own = {10 + topic * 5 + k: 1 for k in range(5)} | ({int(rng.integers(0, 4)): 1} if labels[i] else {})
+        rows += [(i, t) for t in sorted(own)]
+        tf += [1.0] * len(own)
+    entries = np.array(rows)
+    examples = toxic.Examples(np.arange(600), labels, np.arange(110), entries[:, 0].astype(np.int32), entries[:, 1].astype(np.int32), np.array(tf, np.float32))
+    mixed = examples.shuffled()
+    assert sorted(mixed.ids) == list(range(600)) and all(set(mixed.places[mixed.rows == k]) == set(examples.places[examples.rows == mixed.ids[k]]) for k in range(0, 600, 37))
+    assert toxic.chosen_factor(spark, examples) in toxic.FACTORS
+    assert toxic.chosen_factor(spark, toxic.Examples(examples.ids, np.zeros(600, np.int64), examples.vocabulary, examples.rows, examples.places, examples.tf)) == 1.0
+
+
+def test_entries_bound_the_index_by_whole_rows(spark, monkeypatch):
+    counted = spark.createDataFrame([(i, 0, list(range(i % 5 + 1)), [1] * (i % 5 + 1)) for i in range(50)], "doc_id long, label int, term array<bigint>, tf array<int>")
+    assert toxic.bounded(counted).count() == 50
+    monkeypatch.setattr(toxic, "MAX_ENTRIES", 40)
+    kept = toxic.bounded(counted).collect()
+    assert 30 <= sum(len(r["term"]) for r in kept) <= 40 and all(len(r["term"]) == r["doc_id"] % 5 + 1 for r in kept)
+
+
 def test_calibrated_scores_rise_with_votes():
     index, *_ = index_of(np.random.default_rng(5), 300, 30)
     at, share = index.steps

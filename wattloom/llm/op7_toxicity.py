@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples.
 
 Labelled texts of a bounded sample become TF-IDF vectors over all of their terms. Terms that tell toxic texts (a
-likelihood-ratio test against chance, on texts that are not copies of each other) weigh TELLING times as much, as topics
-would rule the cosine otherwise; every other term keeps its idf. The COMMON most frequent terms are rows of a dense
+likelihood-ratio test against chance, on texts that are not copies of each other) may weigh some times as much, as topics
+can rule the cosine otherwise; every other term keeps its idf. How much is chosen among FACTORS on examples alone: terms and
+neighbours come from one part of them, and the factor whose votes tell the labels of another part best is taken. The COMMON most frequent terms are rows of a dense
 matrix, the others are inverted lists, and both are added up for a batch of texts at once. The K-th largest of the
 maxima of blocks of consecutive examples is a floor of the K-th best cosine; examples at the floor or above are summed
 again in double precision, so the K nearest are exact.
@@ -12,7 +13,7 @@ Spark job over the examples), by the rising step function that fits best (isoton
 of the examples has no neighbours and gets the share of toxic labels among examples without a telling term. The nearest
 examples come along as evidence.
 
-EXAMPLES labelled rows of least hash bound the index, nothing bounds its vocabulary or the texts; queries are whole texts
+EXAMPLES labelled rows of least hash and MAX_ENTRIES entries bound the index, nothing bounds the texts; queries are whole texts
 of all rows. Nulls count as empty texts. Ties between examples go to the smaller doc_id. Without usable labels every
 score is 0. Labels without a document are ignored; repeated rows get equal scores; an empty table gives an empty result.
 Columns other than doc_id and text are never read, whatever their names.
@@ -21,6 +22,7 @@ Columns other than doc_id and text are never read, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
@@ -28,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import ALPHANUMERIC, crc_mod, labelled_sample, read, slices_of, word_hashes, word_spans
+from wattloom.llm.common import ALPHANUMERIC, crc_mod, labelled_sample, materialise, mix, read, slices_of, word_hashes, word_spans
 
 EXAMPLES, COMMON = 24_000, 512
 #: A term tells toxic texts if so many texts have it, with so large a statistic, and toxic texts so much oftener.
 LEAST_TEXTS, LEAST_EVIDENCE, LEAST_LIFT = 5, 20.0, 3.0
-TELLING = 4.0
+#: What telling terms may weigh more by; the fit chooses, on a fold of at most CHOICE examples that neither the terms nor the neighbours come from.
+FACTORS, CHOICE = (1.0, 2.0, 4.0, 8.0), (4_000, 1_000)
+#: Entries (a term of an example) of the index; examples of least hash are kept until they have so many, always whole texts.
+MAX_ENTRIES = 20_000_000
 K, BLOCK, EVIDENCE = 15, 128, 3
 #: Texts whose dense parts are added up at once, and whose lists are; sums are in single precision, off by far less than SLACK.
 BATCH, LISTED, SLACK = 256, 8, 1e-5
@@ -218,10 +223,90 @@ class BlockMaxIndex:
         return np.array(at), np.maximum.accumulate(np.array(share)) if share else np.array([])
 
 
+@dataclass
+class Examples:
+    """Labelled texts by term: ids, labels, and entries (row, place in the vocabulary, count) by row."""
+
+    ids: np.ndarray
+    labels: np.ndarray
+    vocabulary: np.ndarray
+    rows: np.ndarray
+    places: np.ndarray
+    tf: np.ndarray
+
+    def part(self, lo: int, hi: int) -> Examples:
+        span = slice(*np.searchsorted(self.rows, [lo, hi]))
+        return Examples(self.ids[lo:hi], self.labels[lo:hi], self.vocabulary, self.rows[span] - lo, self.places[span], self.tf[span])
+
+    def shuffled(self) -> Examples:
+        """The same in an order by hash: ids may rise with time or source."""
+        order = np.argsort(mix(self.ids.astype(np.uint64)), kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        rows = back[self.rows]
+        at = np.argsort(rows, kind="stable")
+        return Examples(self.ids[order], self.labels[order], self.vocabulary, rows[at].astype(np.int32), self.places[at], self.tf[at])
+
+    def index(self, factor: float) -> BlockMaxIndex:
+        n, n_toxic = len(self.ids), int(self.labels.sum())
+        df, toxic = (np.bincount(x, minlength=len(self.vocabulary)) for x in (self.places, self.places[self.labels[self.rows] == 1]))
+        telling = telling_terms(toxic, df, n_toxic, n - n_toxic)
+        told = np.zeros(n, bool)
+        told[self.rows[telling[self.places]]] = True
+        idf = (np.log((1 + n) / (1 + df)) + 1) * np.where(telling, factor, 1.0)
+        return BlockMaxIndex(self.vocabulary, idf, self.ids, self.labels, self.rows, self.places, self.tf, (int(self.labels[~told].sum()), int((~told).sum())), telling)
+
+
+def best_split(votes: np.ndarray, labels: np.ndarray) -> int:
+    """The most labels that one threshold of the votes tells; texts without a vote count as clean."""
+    order = np.argsort(-np.nan_to_num(votes, nan=-1.0), kind="stable")
+    vote, toxic = np.nan_to_num(votes, nan=-1.0)[order], labels[order]
+    right = np.concatenate([[0], np.cumsum(np.where(toxic == 1, 1, -1))]) + int((labels == 0).sum())
+    ends = np.concatenate([[True], vote[1:] != vote[:-1], [True]]) if len(vote) else np.array([True])
+    return int(right[ends].max())
+
+
+def chosen_factor(spark: SparkSession, examples: Examples) -> float:
+    """The factor whose votes tell the labels of the choice's second part best; the least of equals."""
+    mixed = examples.shuffled()
+    cut = min(CHOICE[0], len(mixed.ids) * 4 // 5)
+    learn, ask = mixed.part(0, cut), mixed.part(cut, min(cut + CHOICE[1], len(mixed.ids)))
+    if not 0 < learn.labels.sum() < len(learn.labels) or not len(ask.labels):
+        return 1.0
+    right = []
+    edges = np.searchsorted(ask.rows, np.arange(len(ask.ids) + 1))
+    for factor in FACTORS:
+        shared = spark.sparkContext.broadcast((learn.index(factor), edges, ask.places, ask.tf))
+
+        def vote(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index, edges, places, tf = shared.value
+            for batch in batches:
+                k = np.asarray(batch.column(0))  # consecutive
+                if len(k):
+                    own, span = edges[k[0] : k[-1] + 2], slice(edges[k[0]], edges[k[-1] + 1])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v for v, _ in index.votes(own - own[0], places[span], tf[span].astype(float))], pa.float64())], names=["k", "vote"])
+
+        votes = spark.range(0, len(ask.ids), 1, 4).mapInArrow(vote, "k bigint, vote double").toArrow().sort_by("k")
+        right.append(best_split(votes.column("vote").to_numpy(), ask.labels))
+        shared.unpersist()
+    return FACTORS[int(np.argmax(right))]
+
+
+def bounded(counted: DataFrame) -> DataFrame:
+    """The examples of least hash that have MAX_ENTRIES entries together."""
+    rows = materialise(counted.withColumn("h", F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string"))))
+    sizes = rows.select("h", "doc_id", F.size("term").alias("n")).orderBy("h", "doc_id").collect()  # at most EXAMPLES rows
+    total = np.cumsum([r["n"] for r in sizes])
+    if len(total) and total[-1] > MAX_ENTRIES:
+        last = sizes[max(0, int(np.searchsorted(total, MAX_ENTRIES, side="right")) - 1)]
+        rows = rows.where((F.col("h") < last["h"]) | ((F.col("h") == last["h"]) & (F.col("doc_id") <= last["doc_id"])))
+    return rows.drop("h")
+
+
 def fit(docs: DataFrame, labels: DataFrame, may_learn) -> BlockMaxIndex | None:
-    """The index of the bounded sample, built on the driver; its calibration is a job over the examples."""
+    """The index of the bounded sample, built on the driver; the choice of the factor and the calibration are jobs over the examples."""
     spark = docs.sparkSession
-    got = example_terms(labelled_sample(docs, labels, "toxic", may_learn, EXAMPLES)).toArrow().sort_by("doc_id").combine_chunks()
+    got = bounded(example_terms(labelled_sample(docs, labels, "toxic", may_learn, EXAMPLES))).toArrow().sort_by("doc_id").combine_chunks()
     own = got.column("label").to_numpy().astype(np.int64)
     n, n_toxic = len(own), int(own.sum())
     if not 0 < n_toxic < n:
@@ -230,14 +315,9 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn) -> BlockMaxIndex | None:
     rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(np.asarray(lists.offsets)))
     term, tf = lists.flatten().to_numpy(), got.column("tf").combine_chunks().flatten().to_numpy()
     vocabulary = np.unique(term)
-    places = np.searchsorted(vocabulary, term).astype(np.int32)
+    examples = Examples(ids, own, vocabulary, rows, np.searchsorted(vocabulary, term).astype(np.int32), tf.astype(np.float32))
     del got, lists, term
-    df, toxic = (np.bincount(x, minlength=len(vocabulary)) for x in (places, places[own[rows] == 1]))
-    telling = telling_terms(toxic, df, n_toxic, n - n_toxic)
-    idf = (np.log((1 + n) / (1 + df)) + 1) * np.where(telling, TELLING, 1.0)
-    told = np.zeros(n, bool)
-    told[rows[telling[places]]] = True
-    index = BlockMaxIndex(vocabulary, idf, ids, own, rows, places, tf.astype(np.float32), (int(own[~told].sum()), int((~told).sum())), telling)
+    index = examples.index(chosen_factor(spark, examples))
     shared = index.shared = spark.sparkContext.broadcast(index)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
