@@ -1,5 +1,7 @@
 """Embedding near-dedup and neighbour search against brute force."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +49,30 @@ def test_links(spark, monkeypatch, cell):
     assert got == {i: (links[i], parts[i]) for i in links}
 
 
+def test_many_labels_share_few_pivots(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "CELL", 4)
+    monkeypatch.setattr(dedup, "MAX_PIVOTS", 6)
+    rng = np.random.default_rng(8)
+    rows = []
+    for label in range(30):
+        centre = rng.standard_normal(8)
+        rows += [(label * 100 + k, (centre + 0.05 * rng.standard_normal(8)).tolist() if k < 6 else rng.standard_normal(8).tolist(), label) for k in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    points = df.select(F.col("vec_id").alias("point"), "label", F.lit(8).alias("dim"), F.col("embedding").alias("v"))
+    cells, _ = dedup.to_cells(points)
+    assert cells.count() == len(rows) and cells.select("cell").distinct().count() <= 30 + 2 * 6
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in dedup.near_duplicates(df).collect()}
+    v = {i: np.array(x) / np.linalg.norm(x) for i, x, _ in rows}
+    for i, _, label in rows:
+        near = [j for j, _, other in rows if other == label and j != i and v[i] @ v[j] >= 0.98]
+        assert got[i][0] == len(near)
+
+
+def test_cosines_of_very_large_and_small_vectors():
+    a, b = np.array([[1e200, 1e198], [3e-200, 0.0], [1.0, 2.0]]), np.array([[1e200, 0.0], [4e-200, 1e-210], [2.0, 4.0]])
+    assert dedup.cosine(a, b) == pytest.approx([1 / math.sqrt(1.0001), 1.0, 1.0], rel=1e-12)
+
+
 def test_embeddings_table(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     links, parts = brute_links([(r["vec_id"], r["embedding"], r["label"]) for r in df.collect()])

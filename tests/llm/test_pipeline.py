@@ -49,6 +49,13 @@ def test_short_texts_of_any_language_stay(spark):
     assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()} == {*range(60), 100, 101}
 
 
+def test_columns_named_as_results_stay(spark):
+    rows = [(i, "the quick brown fox jumps over the lazy dog and runs along the river", "en", "KEEP", 7.5) for i in range(4)] + [(9, "!!", "en", "GONE", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, Lang_pred string, lang_score double")
+    out = corpus_pipeline.language_id(spark, docs, SF)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(rows[:4])
+
+
 def test_one_of_each_class_stays(stages):
     before, after = rows_of(stages[1][1]), rows_of(stages[1][2])
     classes = classes_of([(i, r["text"]) for i, r in before.items()])

@@ -45,6 +45,14 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have in any case: ``name``, or that with underscores before it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the value as text, modulo ``modulus``; null stays null."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))

@@ -102,6 +102,8 @@ def least_estimate(factor: np.ndarray, dim: int, similarity: float) -> np.ndarra
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows, each scaled by a power of two first: squares neither overflow nor vanish, and other results stay as they are."""
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) for x in (a, b))
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
@@ -178,11 +180,14 @@ def to_cells(points: DataFrame) -> tuple[DataFrame, list[tuple[int, int]]]:
     cell_of_label = F.xxhash64(F.lit(SEED), "label", "dim")
     if not sizes:
         return points.withColumn("cell", cell_of_label).withColumn("block", _block()), []
+    # one pass for the pivots of all labels: points whose hash is in the label's share, which add up to MAX_PIVOTS about;
+    # labels that are too many for a pivot each stay in blocks
     scale = min(1.0, MAX_PIVOTS / sum(-(-n // CELL) for *_, n in sizes))
-    wanted = {(label, dim): max(1, int(scale * -(-n // CELL))) for label, dim, n in sizes}
-    parts = []
-    for (label, dim), k in wanted.items():
-        parts += points.where((F.col("label") == label) & (F.col("dim") == dim)).orderBy(F.xxhash64(F.lit(SEED), "point")).limit(k).select("label", "dim", "v").collect()
+    shares = [(label, dim, scale * -(-n // CELL) / n) for label, dim, n in sizes]
+    table = points.sparkSession.createDataFrame(shares, ", ".join(f"{c} {t}" for c, t in points.dtypes if c in ("label", "dim")) + ", share double")
+    place = F.pmod(F.xxhash64(F.lit(SEED), "point"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    near = points.join(table, ["label", "dim"]).where(place < F.col("share")).select("label", "dim", "v", place.alias("at"))
+    parts = near.orderBy("at").limit(2 * MAX_PIVOTS).collect()
     by_group: dict[tuple, list] = {}
     for r in parts:
         by_group.setdefault((r["label"], r["dim"]), []).append(r["v"])

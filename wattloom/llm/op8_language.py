@@ -233,26 +233,28 @@ def letters_of(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[keep], total[bounds]
 
 
-def identify(docs: DataFrame, sample: list[tuple[str, str]], text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score`` added; columns of those names are replaced."""
-    docs = docs.drop("lang_pred", "lang_score")
+def identify(docs: DataFrame, sample: list[tuple[str, str]], text: str = "text", names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with the language and its score added under two names, which ``docs`` may not have."""
+    if clash := {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has columns {sorted(clash)}; choose other names")
+    pred, score_name = names
     place = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(Model(sample))  # some 10 MB a language, as LANGUAGE_CHARS bounds it
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        names = np.array([*model.languages, UNKNOWN], dtype=object)
+        languages = np.array([*model.languages, UNKNOWN], dtype=object)
         for batch in batches:
             column = batch.column(place)
             has_letter = np.array(pa.compute.match_substring_regex(pa.compute.fill_null(column, ""), r"\pL"), dtype=bool)
-            best, score = np.full(len(column), len(names) - 1), np.zeros(len(column))
+            best, score = np.full(len(column), len(languages) - 1), np.zeros(len(column))
             if model.languages:
                 for i, j, raw, bounds in slices_of(column):
                     best[i:j], score[i:j] = model.predict(raw, bounds)
-            best[~has_letter], score[~has_letter] = len(names) - 1, 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "lang_score"])
+            best[~has_letter], score[~has_letter] = len(languages) - 1, 0.0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages[best], pa.string()), pa.array(score)], names=[*batch.schema.names, pred, score_name])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score_name, T.DoubleType())])
     return docs.mapInArrow(predict, schema)
 
 
