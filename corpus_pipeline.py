@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import crc_mod, materialise, read
+from wattloom.llm.common import crc_mod, free_name, materialise, read
 from wattloom.llm.op1_minhash import deduplicate
 from wattloom.llm.op5_secrets import redact
 from wattloom.llm.op8_language import UNKNOWN, identify, training_sample
@@ -36,8 +36,8 @@ def _bound_batches(spark: SparkSession) -> None:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _bound_batches(spark)
     sample = training_sample(docs, F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(False)))
-    told = identify(docs, sample).where(F.col("lang_pred") != UNKNOWN)
-    return told.select(docs.columns)
+    pred, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
+    return identify(docs, sample, names=(pred, score)).where(F.col(pred) != UNKNOWN).drop(pred, score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
