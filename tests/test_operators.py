@@ -56,6 +56,33 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     assert str(row["timestamp"]) == "2025-01-01 00:00:00" and row["out.a.energy..kwh"] == 4.0
 
 
+def test_a_run_to_the_end_counts_rows_that_come_out_of_order(spark, tmp_path):
+    from wattloom.streaming.rollup import run_to_end
+
+    for k, day in enumerate((20, 3, 11)):  # a file a batch, the later days first
+        spark.sql(f"select bigint(1) bldg_id, timestamp_ntz '2022-01-{day:02d} 00:15:00' timestamp, double({day}) kwh").coalesce(1).write.parquet(f"{tmp_path}/{k}")
+    stream = spark.readStream.schema("bldg_id long, timestamp timestamp_ntz, kwh double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path))
+    out = run_to_end(rollup_stream(stream, {"kwh": "sum"}, "daily", late=None), ("bldg_id", "timestamp"))
+    assert sorted((r["timestamp"].day, r["kwh"]) for r in out.collect()) == [(3, 3.0), (11, 11.0), (20, 20.0)]
+
+
+def test_ids_bound_the_scan(spark, tmp_path):
+    from wattloom.sources import lake
+
+    spark.range(5000).select(F.col("id").alias("bldg_id"), F.lit(1).alias("x")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+
+    def pushed(out):
+        return out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+
+    few = lake.with_ids(df, [7, 3, 4990])
+    assert sorted(r["bldg_id"] for r in few.collect()) == [3, 7, 4990] and "In(bldg_id" in pushed(few)
+    many = lake.with_ids(df, range(100, 1100, 2))
+    assert many.count() == 500 and "GreaterThanOrEqual(bldg_id,100)" in pushed(many) and "LessThanOrEqual(bldg_id,1098)" in pushed(many)
+    assert lake.with_ids(df, []).count() == 0 and lake.with_ids(df, None).count() == 5000
+    assert lake.with_ids(df, spark.range(3).select(F.col("id").alias("bldg_id"))).count() == 3
+
+
 def test_projections(spark):
     df = spark.createDataFrame([(1, 0, 1.0, 2.0, 3.0, "m", "c", "s")], "bldg_id long, upgrade int, weight double, `in.sqft` double, `out.kwh` double, `upgrade.name` string, `in.county` string, other string")
     assert project.compact_metadata(df).columns == ["bldg_id", "upgrade", "weight", "in.sqft", "upgrade.name", "in.county"]

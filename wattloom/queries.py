@@ -527,7 +527,7 @@ def hourly_load_stream(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     own = stream.select(F.col("user_id").alias("bldg_id"), F.col("ts").alias("timestamp"), "value", F.col("value").alias("value_mean"))
-    rolled = run_to_end(rollup_stream(own, {"value": "sum", "value_mean": "mean"}, "hourly"), ("bldg_id", "timestamp"))
+    rolled = run_to_end(rollup_stream(own, {"value": "sum", "value_mean": "mean"}, "hourly", late=None), ("bldg_id", "timestamp"))
     return rolled.select("bldg_id", "timestamp", F.round("value", 4).alias("value_sum"), F.round("value_mean", 4).alias("value_mean"))
 
 

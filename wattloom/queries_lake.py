@@ -623,5 +623,5 @@ def monthly_load_stream(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     own = stream.select(F.col("user_id").alias("bldg_id"), F.col("ts").alias("timestamp"), "value", F.col("value").isNotNull().cast("double").alias("n"))
-    rolled = run_to_end(rollup_stream(own, {"value": "sum", "n": "sum"}, "monthly"), ("bldg_id", "timestamp"))
+    rolled = run_to_end(rollup_stream(own, {"value": "sum", "n": "sum"}, "monthly", late=None), ("bldg_id", "timestamp"))
     return rolled.select("bldg_id", "timestamp", F.round("value", 4).alias("value_sum"), F.col("n").cast("bigint").alias("n"))

@@ -26,6 +26,8 @@ METADATA_FILES = {"standard": ("metadata.parquet", "part-*.parquet"), "sb": ("me
 PARTITIONS, PADS = ("state", "upgrade"), {"upgrade": 2}
 #: Up to so many ids are sent to all tasks; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
+#: Up to so many are a filter of the scan.
+MAX_FILTER_IDS = 200
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -63,14 +65,23 @@ def union_of_schemas(frames: Iterable[DataFrame]) -> DataFrame:
 
 
 def with_ids(df: DataFrame, ids: DataFrame | Collection[int] | None, column: str = "bldg_id") -> DataFrame:
-    """Rows of the given buildings. ids: None for all, a collection, or a table with the column."""
+    """Rows of the given buildings. ids: None for all, a collection, or a table with the column.
+
+    A collection also bounds the scan: a few ids are a filter that Parquet's statistics answer, more are one on their least and
+    greatest, and the jobs here sort files by building, so most row groups without a wanted one are skipped.
+    """
     if ids is None:
         return df
-    if not isinstance(ids, DataFrame):
-        n = len(ids)
-        ids = df.sparkSession.createDataFrame([(int(i),) for i in ids], f"{column} bigint")
-        ids = F.broadcast(ids) if n <= MAX_BROADCAST_IDS else ids
-    return df.join(ids.select(column).distinct(), column, "left_semi")
+    if isinstance(ids, DataFrame):
+        return df.join(ids.select(column).distinct(), column, "left_semi")
+    wanted = sorted({int(i) for i in ids})
+    if not wanted:
+        return df.where(F.lit(False))
+    if len(wanted) <= MAX_FILTER_IDS:
+        return df.where(F.col(column).isin(*wanted))
+    table = df.sparkSession.createDataFrame([(i,) for i in wanted], f"{column} bigint")
+    table = F.broadcast(table) if len(wanted) <= MAX_BROADCAST_IDS else table
+    return df.where(F.col(column).between(wanted[0], wanted[-1])).join(table, column, "left_semi")
 
 
 def seeded_order(seed: int, column: str = "bldg_id"):

@@ -16,12 +16,15 @@ from wattloom.sources.shared import shared_dir
 WINDOWS = {"hourly": "1 hour", "daily": "1 day"}
 
 
-def rollup_stream(readings: DataFrame, rules: Mapping[str, str], step: str, keys: tuple[str, ...] = ("bldg_id",), ts: str = "timestamp", late: str = "1 hour") -> DataFrame:
+def rollup_stream(readings: DataFrame, rules: Mapping[str, str], step: str, keys: tuple[str, ...] = ("bldg_id",), ts: str = "timestamp", late: str | None = "1 hour") -> DataFrame:
     """As the batch roll-up, for append mode: a bucket is final when the watermark passes its end.
 
+    late: how far the watermark stays behind; None for none, so that rows count however late they come and no bucket is ever final.
     Months have no window of one length, so monthly buckets never become final and need update mode (``run_to_end``).
     """
-    started = readings.withColumn("__start", interval_start(col(ts)).cast("timestamp")).withWatermark("__start", late)
+    started = readings.withColumn("__start", interval_start(col(ts)).cast("timestamp"))
+    if late is not None:
+        started = started.withWatermark("__start", late)
     if step == "monthly":
         month = F.date_trunc("month", "__start")
         window = F.struct(month.alias("start"), F.add_months(month, 1).cast("timestamp").alias("end")).alias("__w")
@@ -33,7 +36,8 @@ def rollup_stream(readings: DataFrame, rules: Mapping[str, str], step: str, keys
 
 
 def run_to_end(rolled: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """The roll-up of all that the source holds: tasks write each batch's changed rows, the last of each key counts.
+    """The roll-up of what the source holds: all of it, in whatever order files come, if ``rolled`` has no watermark
+    (``late=None``; its state then grows with the buckets); with one, rows that it has passed are left out. Tasks write each batch's changed rows, the last of each key counts.
 
     The table and the stream's state are in a fresh folder below ``spark.checkpoint.dir``; where that is unset, a
     ``local[...]`` session uses a local one. A bucket that is still open when the source ends is written too.
