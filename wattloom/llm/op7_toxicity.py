@@ -234,18 +234,17 @@ class Examples:
     places: np.ndarray
     tf: np.ndarray
 
-    def part(self, lo: int, hi: int) -> Examples:
-        span = slice(*np.searchsorted(self.rows, [lo, hi]))
-        return Examples(self.ids[lo:hi], self.labels[lo:hi], self.vocabulary, self.rows[span] - lo, self.places[span], self.tf[span])
-
-    def shuffled(self) -> Examples:
-        """The same in an order by hash: ids may rise with time or source."""
-        order = np.argsort(mix(self.ids.astype(np.uint64)), kind="stable")
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        rows = back[self.rows]
-        at = np.argsort(rows, kind="stable")
-        return Examples(self.ids[order], self.labels[order], self.vocabulary, rows[at].astype(np.int32), self.places[at], self.tf[at])
+    def take(self, which: np.ndarray) -> Examples:
+        """Some of the examples, in the order given."""
+        edges = np.searchsorted(self.rows, np.arange(len(self.ids) + 1))
+        size = edges[which + 1] - edges[which]
+        spot = _spans(edges[which], size)
+        rows = np.repeat(np.arange(len(which), dtype=np.int32), size)
+        return Examples(self.ids[which], self.labels[which], self.vocabulary, rows, self.places[spot], self.tf[spot])
+
+    def of_terms(self, used: np.ndarray) -> Examples:
+        """The same over a part of the vocabulary, which has all of their terms."""
+        return Examples(self.ids, self.labels, self.vocabulary[used], self.rows, np.searchsorted(used, self.places).astype(np.int32), self.tf)
 
     def index(self, factor: float) -> BlockMaxIndex:
         n, n_toxic = len(self.ids), int(self.labels.sum())
@@ -268,9 +267,11 @@ def best_split(votes: np.ndarray, labels: np.ndarray) -> int:
 
 def chosen_factor(spark: SparkSession, examples: Examples) -> float:
     """The factor whose votes tell the labels of the choice's second part best; the least of equals."""
-    mixed = examples.shuffled()
-    cut = min(CHOICE[0], len(mixed.ids) * 4 // 5)
-    learn, ask = mixed.part(0, cut), mixed.part(cut, min(cut + CHOICE[1], len(mixed.ids)))
+    order = np.argsort(mix(examples.ids.astype(np.uint64)), kind="stable")  # by hash: ids may rise with time or source
+    cut = min(CHOICE[0], len(order) * 4 // 5)
+    learn, ask = examples.take(order[:cut]), examples.take(order[cut : cut + CHOICE[1]])
+    used = np.unique(np.concatenate([learn.places, ask.places]))
+    learn, ask = learn.of_terms(used), ask.of_terms(used)
     if not 0 < learn.labels.sum() < len(learn.labels) or not len(ask.labels):
         return 1.0
     right = []
@@ -288,7 +289,7 @@ def chosen_factor(spark: SparkSession, examples: Examples) -> float:
 
         votes = spark.range(0, len(ask.ids), 1, 4).mapInArrow(vote, "k bigint, vote double").toArrow().sort_by("k")
         right.append(best_split(votes.column("vote").to_numpy(), ask.labels))
-        shared.unpersist()
+        shared.destroy()
     return FACTORS[int(np.argmax(right))]
 
 
@@ -316,8 +317,9 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn) -> BlockMaxIndex | None:
     term, tf = lists.flatten().to_numpy(), got.column("tf").combine_chunks().flatten().to_numpy()
     vocabulary = np.unique(term)
     examples = Examples(ids, own, vocabulary, rows, np.searchsorted(vocabulary, term).astype(np.int32), tf.astype(np.float32))
-    del got, lists, term
+    del got, lists, term, rows, tf, vocabulary
     index = examples.index(chosen_factor(spark, examples))
+    del examples
     shared = index.shared = spark.sparkContext.broadcast(index)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
