@@ -457,9 +457,11 @@ def catalogue_upsert(spark, sf_dir):
     return back.as_table(spark).select("key", F.size("upgrades").cast("bigint").alias("n_upgrades"), F.array_join("trip_states", ",").alias("trip_states"))
 
 
-@query("select p, y, w, u from (values ('resstock'), ('comstock')) a(p) cross join (values ('2021'), ('2022'), ('2024')) b(y) cross join (values ('tmy3'), ('amy2018')) c(w) cross join (values (0), (4)) d(u)")
+@query("select p, y, w, u from (select distinct r_name as p from region) a cross join (select distinct c_mktsegment as y from customer) b cross join (select distinct o_orderpriority as w from orders) c cross join (select distinct l_linenumber::int as u from lineitem) d")
 def key_grid(spark, sf_dir):
-    return catalog.key_grid(spark, p=["resstock", "comstock"], y=["2021", "2022", "2024"], w=["tmy3", "amy2018"], u=[0, 4])
+    """Every combination of the values of four columns, a few each."""
+    values = {n: sorted(r[0] for r in table(spark, sf_dir, t).select(c).distinct().collect()) for n, t, c in (("p", "region", "r_name"), ("y", "customer", "c_mktsegment"), ("w", "orders", "o_orderpriority"), ("u", "lineitem", "l_linenumber"))}
+    return catalog.key_grid(spark, **values).withColumn("u", F.col("u").cast("int"))
 
 
 # --- names ---------------------------------------------------------------------------------------------------------
