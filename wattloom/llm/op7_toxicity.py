@@ -99,10 +99,13 @@ class BlockMaxIndex:
         the examples' entries by example; ids ascend. n_empty: toxic and all examples without a telling term."""
         self.vocabulary, self.idf, self.ids, self.labels = vocabulary, idf, ids, labels
         self.terms = vocabulary if telling is None else vocabulary[telling]
-        weight = (1 + np.log(tf)) * idf[places]
-        weight /= np.sqrt(np.bincount(rows, weight**2, minlength=len(ids)))[rows]
-        self.own, self.place, self.own_weight = np.searchsorted(rows, np.arange(len(ids) + 1)), places.astype(np.int32), weight.astype(np.float32)
-        self.own_tf = tf.astype(np.int32)
+        self.own, self.place, self.own_tf = np.searchsorted(rows, np.arange(len(ids) + 1)), places.astype(np.int32, copy=False), tf.astype(np.int32)
+        self.own_weight = np.empty(len(places), np.float32)
+        for lo in range(0, len(ids), 1024):  # some examples at a time: the driver holds little beside the index
+            hi = min(lo + 1024, len(ids))
+            span = slice(self.own[lo], self.own[hi])
+            weight = (1 + np.log(tf[span])) * idf[places[span]]
+            self.own_weight[span] = weight / np.sqrt(np.bincount(rows[span] - lo, weight**2, minlength=hi - lo))[rows[span] - lo]
         toxic, every = n_empty
         self.empty_score = toxic / every if every else float(labels.mean()) if len(labels) else 0.0
         self.shared = None
@@ -307,7 +310,7 @@ def bounded(counted: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, may_learn) -> BlockMaxIndex | None:
     """The index of the bounded sample, built on the driver; the choice of the factor and the calibration are jobs over the examples."""
     spark = docs.sparkSession
-    got = bounded(example_terms(labelled_sample(docs, labels, "toxic", may_learn, EXAMPLES))).toArrow().sort_by("doc_id").combine_chunks()
+    got = bounded(example_terms(labelled_sample(docs, labels, "toxic", may_learn, EXAMPLES))).orderBy("doc_id").toArrow().combine_chunks()
     own = got.column("label").to_numpy().astype(np.int64)
     n, n_toxic = len(own), int(own.sum())
     if not 0 < n_toxic < n:
@@ -316,8 +319,11 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn) -> BlockMaxIndex | None:
     rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(np.asarray(lists.offsets)))
     term, tf = lists.flatten().to_numpy(), got.column("tf").combine_chunks().flatten().to_numpy()
     vocabulary = np.unique(term)
-    examples = Examples(ids, own, vocabulary, rows, np.searchsorted(vocabulary, term).astype(np.int32), tf.astype(np.float32))
-    del got, lists, term, rows, tf, vocabulary
+    places = np.empty(len(term), np.int32)
+    for k in range(0, len(term), 1 << 20):
+        places[k : k + (1 << 20)] = np.searchsorted(vocabulary, term[k : k + (1 << 20)])
+    examples = Examples(ids, own, vocabulary, rows, places, tf.astype(np.float32))
+    del got, lists, term, rows, tf, vocabulary, places
     index = examples.index(chosen_factor(spark, examples))
     del examples
     shared = index.shared = spark.sparkContext.broadcast(index)
