@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from wattloom.operators.timeagg import load_rules
 from wattloom.operators.vehicles import VehicleConfig, trip_schedules
 from wattloom.plans.ingest import annual_job, append_batch, index_job, load_curve_job, metadata_job, trips_job, weather_map, write_weather_map
+from wattloom.plans.release import release_job
 from wattloom.plans.scenario import ScenarioReader
 from wattloom.sources.lake import Lake, list_buildings
-from wattloom.sources.catalog import Catalogue, parse_key
+from wattloom.sources.catalog import Catalogue, Release, parse_key
 from wattloom.sources.surveys import load_inputs
 
 
@@ -52,6 +53,13 @@ def parser() -> argparse.ArgumentParser:
     scenario.add_argument("--seed", type=int, default=42)
     scenario.add_argument("--save", nargs="*", default=[], metavar="FILE_TYPE")
     scenario.add_argument("--export")
+    release = jobs.add_parser("release", help="file types of a release from the landing folder to the lake")
+    for name in ("landing", "release", "root", "buildings"):
+        release.add_argument(name)
+    release.add_argument("file_types", nargs="+")
+    release.add_argument("--rules", help="CSV of roll-ups")
+    release.add_argument("--fields", type=json.loads, help='JSON, as {"area": ["Building/Size/Area", "double"]}')
+    release.add_argument("--columns", type=json.loads, help='JSON, as {"heating": "double"}')
     buildings = jobs.add_parser("buildings")
     buildings.add_argument("index")
     buildings.add_argument("release")
@@ -76,6 +84,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             reader.save(file_type)
         if own.export:
             reader.export_wide(own.export)
+    elif own.job == "release":
+        rules = load_rules(spark, own.rules) if own.rules else None
+        print(*release_job(spark, own.landing, Release(own.release, {}), own.root, spark.read.parquet(own.buildings), own.file_types, rules, own.fields, own.columns))
     elif own.job == "index":
         index_job(spark, own.landing, Catalogue.load(_text(spark, own.catalogue)), own.target)
     elif own.job == "weather-map":

@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from wattloom.functions import energy, names
 from wattloom.operators import checks, merge, timeagg, vehicles
-from wattloom.plans import ingest, paths, scenario
-from wattloom.sources import archives, catalog, lake, listing, surveys
+from wattloom.plans import ingest, paths, release, scenario
+from wattloom.sources import archives, catalog, lake, listing, models, surveys
 from wattloom.sources.shared import shared_dir as fresh
 
 QUERIES: dict = {}
@@ -333,6 +334,21 @@ def source_paths_by_type(spark, sf_dir):
     return own.select("c_custkey", F.col("model_path").alias("model"), F.col("weather_path").alias("weather"), F.col("curve_path").alias("curve"), F.col("annual_path").alias("annual"))
 
 
+_WEATHERS = [(p, y, w) for y in ("2021", "2022", "2023", "2024", "2025") for p in ("resstock", "comstock") for w in ("tmy3", "amy2018", "amy2012")]
+
+
+@query("""
+    with c as (select c_custkey, c_mktsegment as station, c_custkey % 30 // 6 + 2021 as year, case when c_custkey % 6 < 3 then 'resstock' else 'comstock' end as product, c_custkey % 3 as w from customer),
+    d as (select *, case w when 0 then 'tmy3' when 1 then 'amy2018' else 'amy2012' end as weather, case w when 0 then case when year = 2021 then 'tmy3' else 'TMY3' end when 1 then '2018' else '2012' end as suffix from c)
+    select c_custkey, concat(year, '/', product, '_', weather, '_release_1/weather/', case when year = 2022 or (year = 2024 and not (product = 'comstock' and w = 1)) then 'state=NY' else weather end, '/', station, '_', suffix, '.csv') as weather_path from d""")
+def weather_paths(spark, sf_dir):
+    """All cases of the layouts: five years, two products, three weathers; the upgrade plays no part."""
+    k = (F.col("c_custkey") % 30).cast("int")
+    pick = lambda i: F.get(F.array(*[F.lit(v[i]) for v in _WEATHERS]), k)
+    own = table(spark, sf_dir, "customer").select("c_custkey", F.lit("any").alias("release"), pick(0).alias("product"), pick(1).alias("year"), pick(2).alias("weather"), F.lit("1").alias("version"), F.lit("NY").alias("state"), F.lit(0).alias("upgrade"), F.col("c_custkey").alias("bldg_id"), F.col("c_mktsegment").alias("station"))
+    return paths.with_source_path(own, "weather", "weather_path").select("c_custkey", "weather_path")
+
+
 @query("""
     select release, string_agg(distinct file_type, ',' order by file_type) as file_types, string_agg(distinct upgrade, ',' order by upgrade) as upgrades from (
         select concat('res_2022_tmy3_', n_regionkey % 2 + 1) as release, case when n_nationkey % 2 = 0 then 'metadata' else 'weather' end as file_type, 0 as upgrade from nation
@@ -579,6 +595,53 @@ def weather_map_upsert(spark, sf_dir):
     return spark.read.parquet(path).select("bldg_id", "weather_station_name", "state")
 
 
+def _model_zips(spark, sf_dir) -> DataFrame:
+    """Pages as model archives: the size of the html is the area, the address a fuel after an empty one; lines are ids times hours.
+
+    Of five archives one is broken, and one has XML that does not end.
+    """
+
+    def pack(frames):
+        for frame in frames:
+            out = []
+            for page, html, url in zip(frame["page_id"], frame["html"], frame["url"], strict=True):
+                data = io.BytesIO()
+                fuel = "" if pd.isna(url) else f"<System><Fuel>{escape(url)}</Fuel></System>"
+                xml = f"<h:HPXML xmlns:h='http://h'><h:Building><Size><Area unit='b'>{'none' if pd.isna(html) else len(html)}</Area></Size><System><Fuel/></System>{fuel}</h:Building></h:HPXML>"
+                with zipfile.ZipFile(data, "w") as z:
+                    z.writestr("in.xml", xml[:-9] if page % 5 == 1 else xml)
+                    z.writestr("in.schedules.csv", "hour,heat,note\n" + "".join(f'{h},{page * h},"a, b"\n' for h in range(page % 4)))
+                out.append(b"broken" if page % 5 == 0 else data.getvalue())
+            yield pd.DataFrame({"path": [f"/m/bldg{p:07d}-up04.zip" for p in frame["page_id"]], "content": out})
+
+    return table(spark, sf_dir, "pages").select("page_id", "html", "url").mapInPandas(pack, "path string, content binary")
+
+
+@query("""
+    select page_id as bldg_id, 4 as upgrade, page_id % 5 > 1 as parsed, case when page_id % 5 > 1 then length(html) end as area, case when page_id % 5 > 1 then nullif(trim(url), '') end as fuel from pages""")
+def model_rows(spark, sf_dir):
+    own = models.models(_model_zips(spark, sf_dir), {"area": ("Building/Size/Area", "long"), "fuel": ("Building/System/Fuel", "string")})
+    return models.with_building(own).select("bldg_id", "upgrade", "parsed", "area", "fuel")
+
+
+@query("""
+    select page_id as bldg_id, h as line, cast(page_id * h as double) as heat from pages join (values (0), (1), (2)) v(h) on h < page_id % 4 where page_id % 5 > 0""")
+def schedule_rows(spark, sf_dir):
+    own = models.schedules(_model_zips(spark, sf_dir), {"heat": "double"})
+    return models.with_building(own).select("bldg_id", "line", "heat")
+
+
+@query(_META + "select bldg_id, state, upgrade, weight, c_acctbal as balance from m where upgrade <> 8 or bldg_id % 2 = 0")
+def release_ingest(spark, sf_dir):
+    """Metadata of a release that lies in the landing folder as at the source, a file an upgrade; of upgrade 8 the even ids are wanted."""
+    base, raw = fresh(spark), raw_metadata(spark, sf_dir)
+    for upgrade, word in ((0, "baseline"), (4, "upgrade04"), (8, "upgrade08")):
+        raw.where(F.col("upgrade") == upgrade).write.parquet(f"{base}/2024/resstock_dataset_2024.1/resstock_tmy3/metadata/{word}.parquet")
+    own = catalog.Release("res_2024_tmy3_1", {0: None, 4: None, 8: None})
+    release.release_job(spark, base, own, f"{base}/lake", raw.where("upgrade <> 8 or bldg_id % 2 = 0"), ["metadata"])
+    return lake.Lake(spark, f"{base}/lake", own).metadata().select("bldg_id", "state", F.col("upgrade").cast("int").alias("upgrade"), "weight", names.col("in.balance").alias("balance"))
+
+
 # --- vehicles and checks -------------------------------------------------------------------------------------------
 
 

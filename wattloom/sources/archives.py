@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.parsers import expat
 
@@ -12,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: What reading a damaged archive, or one that is null or encrypted, may raise.
+UNREADABLE = (zipfile.BadZipFile, zlib.error, OSError, EOFError, RuntimeError, TypeError)
+
+
 def archives(spark: SparkSession, path: str) -> DataFrame:
     """path and content of each archive; a file is a row, and files are spread over tasks."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
@@ -29,7 +34,7 @@ def members(zips: DataFrame, suffix: str, containing: str = "") -> DataFrame:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         name = next((n for n in z.namelist() if n.lower().endswith(suffix) and containing in n.lower()), None)
                         text = z.read(name).decode("utf-8", "replace") if name else None
-                except (zipfile.BadZipFile, OSError, RuntimeError):
+                except UNREADABLE:
                     name = None
                 rows.append((path, name, text))
             yield pd.DataFrame(rows, columns=["path", "member", "text"])
@@ -82,7 +87,7 @@ def content_types(zips: DataFrame) -> DataFrame:
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         names = [n.lower() for n in z.namelist()]
-                except (zipfile.BadZipFile, OSError):
+                except UNREADABLE:
                     names = []
                 kinds = [("hpxml", any(n.endswith(".xml") for n in names)), ("schedule", any("schedule" in n and n.endswith(".csv") for n in names))]
                 found.append([k for k, there in kinds if there])
