@@ -364,3 +364,24 @@ def test_lm_of_odd_rows(spark, odd_documents):
     rows = lm.score_texts(odd_documents.select("doc_id", "text"), empty).collect()
     assert len(rows) == odd_documents.count() and all(r["n_known"] == 0 for r in rows)
     assert lm.score_texts(odd_documents.limit(0).select("doc_id", "text"), model).count() == 0
+
+
+def test_blocks_below_the_floor_are_skipped(monkeypatch):
+    """Copies of a few texts, with terms that all share: the K nearest are exact, and most of the frequent lists is not looked at."""
+    monkeypatch.setattr(toxic, "LEAD", 20)
+    rng = np.random.default_rng(5)
+    kinds = [np.unique(np.concatenate([np.arange(70), 70 + rng.integers(0, 400, 30)])) for _ in range(40)]
+    own = [kinds[i % 40] for i in range(1200)]
+    rows, places = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
+    tf = rng.integers(1, 9, len(rows)).astype(float)
+    index = toxic.BlockMaxIndex(np.arange(470), np.concatenate([np.full(70, 0.3), np.full(400, 3.0)]), np.arange(1200) * 2, rng.integers(0, 2, 1200), rows, places, tf, (1, 20))
+    vectors = np.zeros((1200, 470))
+    vectors[rows, places] = index.own_weight
+    for k in range(0, 1200, 37):
+        span = slice(index.own[k], index.own[k + 1])
+        best, score = index.nearest(places[span], index.own_weight[span].astype(float))
+        every = vectors @ vectors[k]
+        want = sorted(np.flatnonzero(every > 0), key=lambda e: (-round(every[e], 12), e))[: toxic.K]
+        assert best.tolist() == want and score == pytest.approx(every[want])
+    assert 0 < index.looked[0] < index.looked[1] / 2
+    assert sorted(toxic.alike(vectors, np.arange(1195))) == list(range(1195))

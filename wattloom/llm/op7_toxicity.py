@@ -3,10 +3,13 @@
 Labelled texts of a bounded sample become TF-IDF vectors over all of their terms. Terms that tell toxic texts (a
 likelihood-ratio test against chance, on texts that are not copies of each other) may weigh some times as much, as topics
 can rule the cosine otherwise; every other term keeps its idf. How much is chosen among FACTORS on examples alone: terms and
-neighbours come from one part of them, and the factor whose votes tell the labels of another part best is taken. The COMMON most frequent terms are rows of a dense
-matrix, the others are inverted lists, and both are added up for a batch of texts at once. The K-th largest of the
-maxima of blocks of consecutive examples is a floor of the K-th best cosine; examples at the floor or above are summed
-again in double precision, so the K nearest are exact.
+neighbours come from one part of them, and the factor whose votes tell the labels of another part best is taken. The lists of
+the FREQUENT most frequent terms, which have most of the postings, are cut into blocks of BLOCK examples that are alike in
+those terms, and the largest weight of each block is stored. The next terms up to COMMON are rows of a dense matrix, the
+others are whole inverted lists; both are added up for a batch of texts at once. Those sums and the blocks' maxima bound
+each cosine from above. The K-th best cosine among the examples of the LEAD blocks of largest bound is a floor of the K-th best of all, blocks
+whose bounds stay below it are skipped, and examples at the floor or above are summed again in double precision, so the K
+nearest are exact.
 
 Neighbours vote, each by its cosine; votes are calibrated on the examples themselves, each left out of its own vote (a
 Spark job over the examples), by the rising step function that fits best (isotonic regression). A text without any term
@@ -32,14 +35,16 @@ from pyspark.sql import functions as F
 
 from wattloom.llm.common import ALPHANUMERIC, crc_mod, labelled_sample, materialise, mix, read, slices_of, word_hashes, word_spans
 
-EXAMPLES, COMMON = 24_000, 512
+EXAMPLES, COMMON, FREQUENT = 24_000, 512, 64
 #: A term tells toxic texts if so many texts have it, with so large a statistic, and toxic texts so much oftener.
 LEAST_TEXTS, LEAST_EVIDENCE, LEAST_LIFT = 5, 20.0, 3.0
 #: What telling terms may weigh more by; the fit chooses, on a fold of at most CHOICE examples that neither the terms nor the neighbours come from.
 FACTORS, CHOICE = (1.0, 2.0, 4.0, 8.0), (4_000, 1_000)
 #: Entries (a term of an example) of the index; examples of least hash are kept until they have so many, always whole texts.
 MAX_ENTRIES = 20_000_000
-K, BLOCK, EVIDENCE = 15, 128, 3
+K, BLOCK, EVIDENCE = 15, 8, 3
+#: Blocks of largest bound whose examples give the floor.
+LEAD = 192
 #: Texts whose dense parts are added up at once, and whose lists are; sums are in single precision, off by far less than SLACK.
 BATCH, LISTED, SLACK = 256, 8, 1e-5
 
@@ -55,6 +60,20 @@ def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
+def alike(rows: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The rows by number, those that are alike close to each other: by halves along the axis of greatest variance, and
+    halves of those, down to a few blocks. Halves are whole blocks."""
+    if len(of) <= BLOCK:
+        return of
+    apart = rows[of] - rows[of].mean(axis=0)
+    axis = np.linalg.eigh(apart.T @ apart)[1][:, -1]
+    order = of[np.argsort(apart @ axis, kind="stable")]
+    if len(of) <= 8 * BLOCK:
+        return order
+    half = (-(-len(of) // BLOCK) + 1) // 2 * BLOCK
+    return np.concatenate([alike(rows, order[:half]), alike(rows, order[half:])])
+
+
 def example_terms(sample: DataFrame) -> DataFrame:
     """doc_id, label and the arrays term and tf of each sampled text that has a term; the distinct texts only."""
 
@@ -92,7 +111,7 @@ def telling_terms(a: np.ndarray, df: np.ndarray, n_toxic: int, n_clean: int) ->
 class BlockMaxIndex:
     """Examples' TF-IDF vectors, by example and by term."""
 
-    n_blocks = 1  # a term's list is in one piece
+    n_blocks = 1  # pieces of a term's list in ``edges``; the maxima are of ``frequent``
 
     def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, places: np.ndarray, tf: np.ndarray, n_empty: tuple[int, int], telling: np.ndarray | None = None) -> None:
         """vocabulary: sorted hashes, ``telling`` marks those that tell toxic texts (without it, all); rows, places, tf:
@@ -109,10 +128,11 @@ class BlockMaxIndex:
         toxic, every = n_empty
         self.empty_score = toxic / every if every else float(labels.mean()) if len(labels) else 0.0
         self.shared = None
+        self.looked = np.zeros(2, np.int64)  # places in lists of frequent terms: looked at, and all of the texts asked about
 
     def __getstate__(self) -> dict:
         """What a task can't make of the rest."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("shared", "steps", "lists", "common")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("shared", "steps", "lists", "common", "frequent")}
 
     @cached_property
     def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,48 +154,81 @@ class BlockMaxIndex:
         return self.lists[2]
 
     @cached_property
-    def common(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each term's row of the dense matrix (-1: it has none) and the matrix, padded to whole blocks of examples."""
-        df = np.diff(self.edges)
-        chosen = np.argsort(-df, kind="stable")[:COMMON]
+    def ranked(self) -> np.ndarray:
+        """The COMMON most frequent terms."""
+        return np.argsort(-np.diff(self.edges), kind="stable")[:COMMON]
+
+    def _matrix(self, terms: np.ndarray, column: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each term's row of a dense matrix (-1: it has none) and the matrix of their weights, with each example's column."""
         row = np.full(len(self.vocabulary), -1, np.int32)
-        row[chosen] = np.arange(len(chosen))
-        dense = np.zeros((len(chosen), -(-len(self.ids) // BLOCK) * BLOCK), np.float32)
-        for k, c in enumerate(chosen):
+        row[terms] = np.arange(len(terms))
+        dense = np.zeros((len(terms), width), np.float32)
+        for k, c in enumerate(terms):
             span = slice(self.edges[c], self.edges[c + 1])
-            dense[k, self.example[span]] = self.weight[span]
+            dense[k, column[self.example[span]]] = self.weight[span]
         return row, dense
 
+    @cached_property
+    def frequent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The frequent terms' rows, the example of each slot, each example's slot, the terms' weights by slot and their maxima
+        by block. A block is BLOCK examples that are alike; of n blocks, b has the slots b, b + n, b + 2n and so on."""
+        n = len(self.ids)
+        row, dense = self._matrix(self.ranked[:FREQUENT], np.arange(n), n)
+        order, width = alike(dense.T, np.arange(n)), -(-n // BLOCK)
+        slot, example_of = np.empty(n, np.int64), np.full(width * BLOCK, -1)
+        slot[order] = np.arange(n) % BLOCK * width + np.arange(n) // BLOCK
+        example_of[slot] = np.arange(n)
+        by_slot = np.zeros((width * BLOCK, len(dense)), np.float32)
+        by_slot[slot] = dense.T
+        return row, example_of, slot, by_slot, by_slot.reshape(BLOCK, width, -1).max(axis=0).T.copy()
+
+    @cached_property
+    def common(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and weights by slot of the common terms that are not among the frequent ones."""
+        _, _, slot, by_slot, _ = self.frequent
+        return self._matrix(self.ranked[FREQUENT:], slot, len(by_slot))
+
     def nearest_of(self, edges: np.ndarray, places: np.ndarray, weight: np.ndarray, skip: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """``nearest`` of each of a few vectors, whose entries lie between ``edges``."""
         n = len(edges) - 1
+        frequent, example_of, slot_of, by_slot, maxima = self.frequent
         row, dense = self.common
-        query, at = np.repeat(np.arange(n), np.diff(edges)), row[places]
-        often = at >= 0
-        first = np.zeros((n, len(dense)), np.float32)
+        query, at, top = np.repeat(np.arange(n), np.diff(edges)), row[places], frequent[places]
+        first, often = np.zeros((n, len(dense)), np.float32), at >= 0
         first[query[often], at[often]] = weight[often]
+        asked, told = np.zeros((n, len(maxima)), np.float32), top >= 0
+        asked[query[told], top[told]] = weight[told]
         sums = first @ dense
-        rare, held, of = places[~often], weight[~often].astype(np.float32), query[~often]
+        other = ~often & ~told
+        rare, held, of = places[other], weight[other].astype(np.float32), query[other]
         size = self.edges[rare + 1] - self.edges[rare]
         cut = np.searchsorted(of, np.arange(0, n + LISTED, LISTED))
         for k in range(len(cut) - 1):
             part = slice(cut[k], cut[k + 1])
             spot = _spans(self.edges[rare[part]], size[part])
-            cell = np.repeat(of[part] * sums.shape[1], size[part]) + self.example[spot]
+            cell = np.repeat(of[part] * sums.shape[1], size[part]) + slot_of[self.example[spot]]
             np.add.at(sums.reshape(-1), cell, np.repeat(held[part], size[part]) * self.weight[spot])
         if skip is not None:
-            sums[np.arange(n), skip] = 0
-        peaks = sums.reshape(n, -1, BLOCK).max(axis=2)
-        floor = np.partition(peaks, -K, axis=1)[:, -K] if peaks.shape[1] >= K else np.zeros(n)
-        # only blocks whose maximum reaches the floor are looked into
-        text, block = np.nonzero((peaks > 0) & (peaks >= floor[:, None] - SLACK))
-        inside = sums.reshape(n, -1, BLOCK)[text, block]
-        row, place = np.nonzero((inside > 0) & (inside >= floor[text, None] - SLACK))
-        found, best = text[row], block[row] * BLOCK + place
-        cut = np.searchsorted(found, np.arange(n + 1))
-        vector = np.zeros(len(self.vocabulary))
+            sums[np.arange(n), slot_of[skip]] = -4  # more than a cosine can mend
+        blocks, bounds = sums.reshape(n, BLOCK, -1), asked @ maxima
+        peaks = blocks.max(axis=1) + bounds
+        width, vector = maxima.shape[1], np.zeros(len(self.vocabulary))
         for k in range(n):
-            own, span = best[cut[k] : cut[k + 1]], slice(edges[k], edges[k + 1])
+            peak, floor = peaks[k], 0.0
+            if len(peak) > LEAD:
+                lead = np.argpartition(peak, -LEAD)[-LEAD:]
+                lead += blocks[k][:, lead].argmax(axis=0) * width
+                floor = max(0.0, np.partition(sums[k, lead] + by_slot[lead] @ asked[k], -K)[-K] - SLACK)
+            # only blocks whose bound reaches the floor are looked into
+            block = np.flatnonzero((peak > 0) & (peak >= floor))
+            place, which = np.nonzero(blocks[k][:, block] + bounds[k, block] >= floor)
+            own = block[which] + place * width
+            score = sums[k, own] + by_slot[own] @ asked[k]
+            self.looked += np.array([len(own), len(peak) * BLOCK]) * np.count_nonzero(asked[k])
+            if len(own) > K:
+                floor = max(floor, np.partition(score, -K)[-K] - SLACK)
+            own = example_of[own[(score > 0) & (score >= floor)]]
+            span = slice(edges[k], edges[k + 1])
             vector[places[span]] = weight[span]
             size = self.own[own + 1] - self.own[own]
             spot = _spans(self.own[own], size)
