@@ -138,6 +138,15 @@ def test_recall(spark, monkeypatch, block):
     assert all(s == pytest.approx(true[q, i], abs=1e-12) for q, own in got.items() for i, s in own)
 
 
+def test_recall_of_queries_that_lie_elsewhere_than_most_rows(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((150, 32))
+    rows = [(i, (centres[i % 150] + 0.02 * rng.standard_normal(32) if i % 100 else rng.standard_normal(32)).astype("float32").tolist(), 0) for i in range(1, 3001)]
+    want, got = exact(rows), search(spark.createDataFrame(rows, SCHEMA))
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.95 * sum(map(len, want.values()))
+
+
 def test_repeated_query_rows_are_one_query(spark):
     rng = np.random.default_rng(9)
     rows = [(i, rng.standard_normal(8).astype("float32").tolist(), 0) for i in range(1, 60)] + [(100, [1.0] * 8, 0)] * 2 + [(100, [-1.0] * 8, 0)] + [(7, [1.0] * 8, 0)] * 2

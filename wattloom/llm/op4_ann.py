@@ -3,13 +3,16 @@
 Fit: coarse centroids and the codebooks of the residuals come from at most FIT_ROWS vectors of least hash, by Lloyd's
 algorithm on the driver; list count and codebooks are bounded, so the model can be broadcast. Every vector is indexed.
 
-How many lists a query probes is measured on the sample: as many as it takes for TUNED_RECALL of the true neighbours of
-some sampled queries, by brute force, to be in probed lists. Vectors without clusters need more than half of the lists.
+How many lists a query probes is measured: TUNING_QUERIES of the queries themselves meet all rows in one scan, and as
+many lists are probed as it takes for TUNED_RECALL of their true neighbours to be in them. (Sampled rows in place of queries
+tell nothing about queries that lie elsewhere than most rows.) Vectors without clusters need more than half of the lists.
 
 Search: a query probes so many nearest lists, and further ones until they hold enough candidates. Lists are cut in
 blocks, queries of a list in chunks, so a list that holds a third of all vectors is spread over tasks. In a task, each
-query's table of squared distances from its residual to the code words adds up to a distance per candidate; the RERANK
-least (with all ties) are computed exactly, in double precision, and the k nearest go on to a window over the query.
+query's table of squared distances from its residual to the code words adds up to a distance per candidate. The true distance
+differs from it by at most the candidate's own coding error, so whatever these bounds keep out of a block's k nearest is
+dropped and no true one with it; the others are computed exactly, in double precision, and the k nearest go on to a
+window over the query.
 
 Null, zero or not finite vectors, rows without an id, and vectors of another length than the most common one take no
 part. Ties go to the smaller id; repeated rows are candidates of their own, and a query meets all rows but those with
@@ -30,7 +33,7 @@ from pyspark.sql.window import Window
 
 from wattloom.llm.common import materialise, read
 
-K, RERANK, TUNED_RECALL, TUNING_QUERIES = 10, 80, 0.97, 256
+K, TUNED_RECALL, TUNING_QUERIES = 10, 0.99, 256
 FIT_ROWS, MAX_LISTS, SUBSPACE, WORDS = 20_000, 4096, 4, 256
 BLOCK, CHUNK = 512, 2048
 SEED = 5
@@ -65,8 +68,10 @@ def lloyd(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Coarse centroids (lists, dim) and code words (subspaces, WORDS, SUBSPACE); short dimensions are padded by 0."""
+    """The centre of all, coarse centroids (lists, dim) less it and code words (subspaces, WORDS, SUBSPACE); short dimensions
+    are padded by 0."""
 
+    centre: np.ndarray
     coarse: np.ndarray
     words: np.ndarray
 
@@ -82,12 +87,18 @@ class Index:
 
     def assign(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """List and code of each vector."""
+        v = v - self.centre
         near = squared(v, self.coarse).argmin(axis=1)
         return near, self.tables(v - self.coarse[near]).argmin(axis=2).astype(np.uint8)
 
+    def nearest_lists(self, q: np.ndarray) -> np.ndarray:
+        return squared(q - self.centre, self.coarse).argsort(axis=1, kind="stable")
+
 
 def fit(sample: np.ndarray, n: int) -> Index:
     """An index for n vectors from a bounded sample of them."""
+    centre = sample.mean(axis=0)
+    sample = sample - centre
     coarse = lloyd(sample, int(np.clip(round(np.sqrt(n) / 2), 1, MAX_LISTS)))
     residual = sample - coarse[squared(sample, coarse).argmin(axis=1)]
     n_parts = -(-sample.shape[1] // SUBSPACE)
@@ -97,35 +108,69 @@ def fit(sample: np.ndarray, n: int) -> Index:
         own = lloyd(padded[:, s], WORDS)
         words[s, : len(own)] = own
         words[s, len(own) :] = own[0]
-    return Index(coarse, words)
+    return Index(centre, coarse, words)
+
 
+def true_lists(index: Index, indexed: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """(query place, list) of the true k nearest others of a few queries, by one scan of all rows."""
+    shared = indexed.sparkSession.sparkContext.broadcast((index.centre, ids, q - index.centre))
 
-def probes_needed(index: Index, sample: np.ndarray, k: int, recall: float = TUNED_RECALL) -> int:
-    """The least number of nearest lists that hold ``recall`` of the true k nearest of sampled queries in the sample."""
-    queries = sample[:TUNING_QUERIES]
-    distance = squared(queries, sample)
-    distance[np.arange(len(queries)), np.arange(len(queries))] = np.inf
-    k = min(k, len(sample) - 1)
-    if k < 1:
+    def scan(batches):
+        centre, own_ids, own = shared.value
+        best, lists = np.full((len(own), 1), np.inf), np.zeros((len(own), 1), np.int64)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                distance = squared(own, _matrix(part.column(1), part.num_rows) - centre)
+                distance[own_ids[:, None] == np.asarray(part.column(0))[None, :]] = np.inf
+                best = np.concatenate([best, distance], axis=1)
+                lists = np.concatenate([lists, np.broadcast_to(np.asarray(part.column(2)), distance.shape)], axis=1)
+                least = np.argpartition(best, k - 1, axis=1)[:, :k] if best.shape[1] > k else np.tile(np.arange(best.shape[1]), (len(own), 1))
+                best, lists = np.take_along_axis(best, least, axis=1), np.take_along_axis(lists, least, axis=1)
+        place, at = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(lists[place, at]), pa.array(best[place, at])], names=["place", "list", "distance"])
+
+    near = indexed.select("vec_id", "v", "list").mapInArrow(scan, "place bigint, list bigint, distance double")
+    first = F.row_number().over(Window.partitionBy("place").orderBy("distance"))
+    return [(r["place"], r["list"]) for r in near.withColumn("n", first).where(F.col("n") <= k).collect()]  # k a query
+
+
+def probes_needed(index: Index, q: np.ndarray, true: list[tuple[int, int]], recall: float = TUNED_RECALL) -> int:
+    """The least number of nearest lists that hold ``recall`` of the queries' true neighbours."""
+    if not true:
         return 1
-    true = np.argpartition(distance, k - 1, axis=1)[:, :k]
-    place = squared(queries, index.coarse).argsort(axis=1, kind="stable").argsort(axis=1)
-    own = squared(sample, index.coarse).argmin(axis=1)
-    needed = np.sort(np.take_along_axis(place, own[true], axis=1), axis=None)
+    place, own = np.array(true).T
+    needed = np.sort(index.nearest_lists(q).argsort(axis=1)[place, own])
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
 
 
-def search_block(index: Index, own_list: int, ids: np.ndarray, v: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, rerank: int):
+def search_block(index: Index, own_list: int, ids: np.ndarray, v: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int):
     """(query place, candidate place, distance) of each query's k nearest of a block."""
-    found = []
+    found, origin = [], index.centre + index.coarse[own_list]
+    own = v - origin
+    coded = index.words[np.arange(codes.shape[1]), codes].reshape(len(own), -1)
+    error = np.sqrt(((index.parts(own).reshape(len(own), -1) - coded) ** 2).sum(axis=1))
+    size = (own**2).sum(axis=1).max(initial=0.0)
+    reach = np.sqrt(size) + error.max(initial=0.0)
     for i in range(0, len(q), 64):
-        tables = index.tables(q[i : i + 64] - index.coarse[own_list])
+        some = q[i : i + 64] - origin
+        tables = index.tables(some)
         rough = np.zeros((len(tables), len(ids)))
         for s in range(codes.shape[1]):
             rough += tables[:, s, :][:, codes[:, s]]
-        rough[query_ids[i : i + 64, None] == ids[None, :]] = np.inf
-        cutoff = np.partition(rough, rerank - 1, axis=1)[:, rerank - 1] if len(ids) > rerank else np.full(len(tables), np.finfo(float).max)
-        n, near = np.nonzero((rough <= cutoff[:, None]) & np.isfinite(rough))
+        rough = np.sqrt(rough)
+        same = query_ids[i : i + 64, None] == ids[None, :]
+        rough[same] = np.inf
+        far = np.sqrt((some**2).sum(axis=1))
+        most = np.partition(rough + error, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(some), np.inf)
+        keep = (rough - error <= (most + 1e-7 * (far + reach))[:, None]) & ~same  # sums of squares are rounded
+        left = np.flatnonzero(keep.any(axis=0))
+        plain = squared(some, own[left])
+        plain[~keep[:, left]] = np.inf
+        cutoff = np.partition(plain, k - 1, axis=1)[:, k - 1] if len(left) > k else np.full(len(some), np.inf)
+        rounded = 1e-12 * (far**2 + size) + 1e-14 * np.abs(q[i : i + 64]).max(axis=1) * (far + reach)
+        n, near = np.nonzero((plain <= (cutoff + rounded)[:, None]) & keep[:, left])
+        near = left[near]
         exact = np.sqrt(((v[near] - q[i + n]) ** 2).sum(axis=1))
         order = np.lexsort((ids[near], exact, n))
         n, near, exact = n[order], near[order], exact[order]
@@ -143,7 +188,7 @@ def _codes(column, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(n, -1)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = K, probes: int | None = None, rerank: int = RERANK) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = K, probes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score (the distance) of each query's k nearest others."""
     spark = vectors.sparkSession
     good = usable(vectors)
@@ -155,7 +200,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, probes: int | None
     sample = good.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(FIT_ROWS).select("v").toPandas()
     sample = np.stack(sample["v"].to_numpy())
     index = spark.sparkContext.broadcast(fit(sample, n))
-    probes = probes or probes_needed(index.value, sample, k)
 
     def encode(batches):
         model = index.value
@@ -170,12 +214,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, probes: int | None
     for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect():  # at most MAX_LISTS rows
         sizes[r["list"]] = r["n"]
     shared_sizes = spark.sparkContext.broadcast(sizes)
+    if not probes:
+        some = indexed.where(is_query).orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id", "row").limit(TUNING_QUERIES).select("vec_id", "v").toArrow()
+        some_ids, some_q = np.asarray(some.column("vec_id").combine_chunks()), _matrix(some.column("v"), some.num_rows) if some.num_rows else np.zeros((0, dim))
+        probes = probes_needed(index.value, some_q, true_lists(index.value, indexed, some_ids, some_q, k) if some.num_rows else [])
 
     def probe(batches):
         model, own_sizes = index.value, shared_sizes.value
         for batch in batches:
             q = _matrix(batch.column(1), batch.num_rows) if batch.num_rows else np.zeros((0, dim))
-            order = squared(q, model.coarse).argsort(axis=1, kind="stable")
+            order = model.nearest_lists(q)
             enough = np.maximum(probes, (np.cumsum(own_sizes[order], axis=1) < 2 * k + 2).sum(axis=1) + 1)
             lists = [row[:m] for row, m in zip(order, enough, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int64()))], names=["query_id", "q", "lists"])
@@ -197,7 +245,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, probes: int | None
             return pa.table({"query_id": empty, "row": pa.array([], pa.int64()), "vec_id": empty, "score": pa.array([], pa.float64())})
         ids, v = np.asarray(block.column("vec_id")), _matrix(block.column("v"), block.num_rows)
         q_ids, q = np.asarray(asked.column("query_id")), _matrix(asked.column("q"), asked.num_rows)
-        place, near, exact = search_block(index.value, block.column("list")[0].as_py(), ids, v, _codes(block.column("code"), len(ids)), q_ids, q, k, rerank)
+        place, near, exact = search_block(index.value, block.column("list")[0].as_py(), ids, v, _codes(block.column("code"), len(ids)), q_ids, q, k)
         return pa.table({"query_id": q_ids[place], "row": np.asarray(block.column("row"))[near], "vec_id": ids[near], "score": exact})
 
     keys = ("list", "block", "chunk")
