@@ -202,6 +202,16 @@ def test_vehicles_from_a_shell(spark, tmp_path):
     assert out.count() > 20 and out.where("departure_hour not between 0 and 23").count() == 0
 
 
+@pytest.mark.parametrize("order", ["l_quantity", "-l_quantity"])
+def test_the_first_item_is_the_same_however_rows_come_in(spark, tmp_path, order):
+    from wattloom.queries import dedup_keep_first
+
+    rows = [(k, n, 7, float(q)) for k in range(20) for n in (1, 2) for q in (5, 10)]
+    items = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double")
+    items.coalesce(1).sortWithinPartitions(F.expr(order)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(map(tuple, dedup_keep_first(spark, str(tmp_path)).collect())) == [(k, 1, 7, 10.0) for k in range(20)]
+
+
 def test_old_rows_win(spark):
     old, new = (spark.createDataFrame(r, "k int, v string") for r in ([(1, "old")], [(1, "new"), (2, "b"), (2, "a")]))
     assert sorted(map(tuple, merge.upsert_old_wins(old, new, ("k",), [F.col("v")]).collect())) == [(1, "old"), (2, "a")]

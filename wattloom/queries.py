@@ -138,7 +138,8 @@ def priority_columns(spark, sf_dir):
 @query("select l_orderkey, l_linenumber, l_partkey, l_quantity from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as n from lineitem) t where n = 1")
 def dedup_keep_first(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return merge.keep_first(li, ("l_orderkey",), [F.col("l_linenumber"), F.col("l_partkey")])
+    # the SQL leaves open which of two items alike in number and part comes first; here the larger, in every run
+    return merge.keep_first(li, ("l_orderkey",), [F.col("l_linenumber"), F.col("l_partkey"), F.desc("l_quantity")])
 
 
 @query("""
