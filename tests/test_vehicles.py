@@ -47,6 +47,14 @@ def test_profiles(spark, trips):
     assert vehicles.stream_schedules(own, date(2022, 1, 1), date(2022, 1, 7)).count() == days.count()
 
 
+def test_tasks_grow_with_the_trips(spark, monkeypatch):
+    monkeypatch.setattr(vehicles, "TASK_ROWS", 1000, raising=False)
+    trips = spark.range(3000).selectExpr("id div 3 as bldg_id", "1 as vehicle_id", "int(id % 3) as trip", "true as is_weekday", "8 as departure", "9 as arrival", "1.0D as miles_driven", "1.0D as trip_weight")
+    days = vehicles.schedules(trips, date(2022, 1, 3), date(2022, 1, 7), most=2)
+    assert days.rdd.getNumPartitions() == 15 and days.count() == 10_000
+    assert max(len(rows) for rows in days.select("bldg_id").rdd.glom().collect()) < 1200
+
+
 def test_drawn_places_are_different_and_uniform(spark):
     rows = spark.range(3000).select(vehicles.drawn_places(F.lit(5), F.lit(3), F.lit("s"), F.col("id").cast("string")).alias("p")).collect()
     assert all(len(set(r["p"])) == 3 and set(r["p"]) <= {1, 2, 3, 4, 5} for r in rows)

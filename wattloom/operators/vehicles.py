@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from wattloom.errors import InvalidDates, UnseenLabels
 from wattloom.functions.energy import at_most, draw, draw_key, draws_of, hour_of, hour_offset, is_weekday, md5_uniform, normal, within_day
 from wattloom.operators.checks import drop_nulls, require_no_nulls
+from wattloom.sources.shared import materialise
 
 WEEKDAY_CODE, WEEKEND_CODE = 2, 1
 FEATURES = ("income", "occupants", "metro")
@@ -195,21 +196,33 @@ def expand_calendar(trips: DataFrame, start: date, end: date) -> DataFrame:
     return trips.join(F.broadcast(calendar(trips.sparkSession, start, end)), "is_weekday")
 
 
+#: Trips times days that a task of ``schedules`` sorts.
+TASK_ROWS = 1_000_000
+
+
+def schedule_tasks(trips: DataFrame, start: date, end: date) -> int:
+    """How many tasks the trips of all days are dealt to; counting is a job of its own, over Parquet one of its footers."""
+    return max(trips.sparkSession.sparkContext.defaultParallelism, -(-trips.count() * ((end - start).days + 1) // TASK_ROWS))
+
+
 def schedules(trips: DataFrame, start: date, end: date, seed: int = 42, most: int | None = None) -> DataFrame:
     """Trips with hourly offsets and varied miles, in the order drawn, all from hashes: no task order matters and no row needs Python.
 
     A vehicle's trips of a day are drawn without replacement by ``trip_weight``; ``place`` is a trip's place in that order, and
     ``most`` keeps the first so many. Trips without a positive weight come last, and equal ones go by their number.
-    A hash is made once a row and gives all of its numbers. Rows are dealt by vehicle before days multiply them.
+    A hash is made once a row and gives all of its numbers. Rows are dealt by vehicle before days multiply them, to as many
+    tasks as the count of trips asks for, and are sorted without their numbers, so a task's memory does not grow with the trips.
     """
-    dealt = trips.repartition("bldg_id", "vehicle_id")
+    # dealt by a hash of its own: a constant id would drop out of the window's columns, which then asks for another shuffle
+    dealt = trips.withColumn("__own", F.xxhash64("bldg_id", "vehicle_id")).repartition(schedule_tasks(trips, start, end), "__own")
     days = expand_calendar(dealt, start, end).withColumn("__h", draws_of(F.lit(seed), F.col("bldg_id"), F.col("vehicle_id"), F.col("trip"), F.date_format("date", "yyyy-MM-dd")))
-    drawn = days.withColumns({f"__u{k}": draw(F.col("__h"), k) for k in range(5)})
-    order = Window.partitionBy("bldg_id", "vehicle_id", "date").orderBy(draw_key(F.col("trip_weight"), F.col("__u4")).asc_nulls_last(), "trip")
-    placed = drawn.withColumn("place", F.row_number().over(order))
+    days = days.withColumn("__key", draw_key(F.col("trip_weight"), draw(F.col("__h"), 4)))
+    order = Window.partitionBy("__own", "bldg_id", "vehicle_id", "date").orderBy(F.col("__key").asc_nulls_last(), "trip")
+    placed = days.withColumn("place", F.row_number().over(order))
     if most is not None:
         placed = placed.where(F.col("place") <= most)
-    return placed.select(
+    drawn = placed.withColumns({f"__u{k}": draw(F.col("__h"), k) for k in range(4)})
+    return drawn.select(
         "bldg_id", "vehicle_id", "date",
         within_day(F.col("departure") + hour_offset(F.col("__u2"))).cast("int").alias("departure_hour"),
         within_day(F.col("arrival") + hour_offset(F.col("__u3"))).cast("int").alias("arrival_hour"),
@@ -262,4 +275,4 @@ def trip_schedules(buildings: DataFrame, households: DataFrame, trips: DataFrame
     counted = OwnershipModel(households, config.max_vehicles).predict(buildings)
     levels = match_levels(trips.withColumn("vehicles", at_most(F.col("vehicles"), config.max_vehicles)))
     picked = pick_vehicles(matched(counted, levels), levels, config.seed)
-    return schedules(vehicle_trips(picked, trips), config.start, config.end, config.seed)
+    return schedules(materialise(vehicle_trips(picked, trips)), config.start, config.end, config.seed)  # counted, then read
