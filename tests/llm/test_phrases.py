@@ -108,3 +108,10 @@ def test_words_of_pieces():
     words, begins = op.words_of(raw, bounds)
     assert words.to_pylist() == ["ab", "c", "de", "f", "g", "hÉ"]
     assert begins.tolist() == [True, False, True, False, True, False]
+
+
+def test_rows_of_numbers_are_small(spark):
+    text = " ".join(f"w{i % 50}" for i in range(200_000)) + "."
+    docs = spark.createDataFrame([("en", text[k : k + 20_000]) for k in range(0, len(text), 20_000)] * 2, "lang string, text string").coalesce(1)
+    sizes = docs.mapInArrow(lambda batches: op.sequences(batches, {"en": {f"w{i}": i for i in range(50)}}), op.SEQUENCE).selectExpr("length(ids) as n")
+    assert max(r["n"] for r in sizes.collect()) < 1 << 19

@@ -8,7 +8,7 @@ break. No phrase is frequent unless both parts are, so nothing is lost. A pair's
 comes before or after a cut is found by following the left or the right ones, and a phrase lies inside a longer one if
 it is parent of one (a phrase of two words more holds one of one word more that is at least as frequent).
 
-Counting: a task gathers the pairs of some millions of places, sorts and counts them, and sends each bucket (a hash of
+Counting: a task gathers the pairs of half a million places, sorts and counts them, and sends each bucket (a hash of
 the pair) one run of sorted, packed keys. Buckets grow in number with the corpus, so that a bucket's distinct pairs
 fit a task, and a pair adds one entry a run however often it occurs. Naming: up to MAX_WORDS words or MAX_PAIRS pairs
 are broadcast; more are joined with the distinct words or pairs of each slice of text (never with its places), which
@@ -39,7 +39,11 @@ LEAST, LONGEST, SUBSUMED, MOST = 100, 5, 100, 2000
 #: Frequent words and pairs up to these numbers are broadcast, as about 100 and 8 bytes each.
 MAX_WORDS, MAX_PAIRS = 500_000, 4_000_000
 #: Places of text whose pairs a task counts at once, and those a bucket is made for.
-RUN, BUCKET = 2_000_000, 4_000_000
+RUN, BUCKET = 500_000, 4_000_000
+#: Bytes of text at a time, whose words are one row of numbers: rows beyond half a megabyte cost the JVM's heap far more than their size.
+SLICE = 1 << 18
+#: Words that a task gathers before it adds up equal ones, and those it keeps after.
+GATHERED, KEPT = 400_000, 200_000
 BUCKETS = 64
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -68,12 +72,12 @@ def words_of(raw: np.ndarray, bounds: np.ndarray) -> tuple[pa.DictionaryArray, n
 
 
 def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.DictionaryArray, np.ndarray]]:
-    """Language, words and piece starts of slices of about a megabyte (lang and text are the first columns)."""
+    """Language, words and piece starts of slices of about SLICE bytes (lang and text are the first columns)."""
     for batch in batches:
         langs = pc.fill_null(batch.column(0).cast(pa.string()), "und").dictionary_encode()
         for k, lang in enumerate(langs.dictionary.to_pylist()):
             texts = batch.column(1).filter(pc.equal(langs.indices, k))
-            for _, _, raw, bounds in slices_of(texts):
+            for _, _, raw, bounds in slices_of(texts, SLICE):
                 words, begins = words_of(raw, bounds)
                 if len(words):
                     yield lang, words, begins
@@ -96,10 +100,10 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.bincount(words.indices, minlength=len(words.dictionary))
         held.setdefault(lang, []).append(pa.table({"word": words.dictionary, "n": pa.array(n, pa.int64())}))
         size += len(n)
-        if size > 1_000_000:
+        if size > GATHERED:
             held = {x: [merged(x)] for x in held}
             size = sum(len(t[0]) for t in held.values())
-            if size > 500_000:
+            if size > KEPT:
                 for x, tables in held.items():
                     yield from rows(x, tables[0])
                 held, size = {}, 0
@@ -169,7 +173,7 @@ def pair_keys(ids: np.ndarray) -> np.ndarray:
 
 
 def runs_of_pairs(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Sorted runs of the pairs of some millions of places, one a bucket."""
+    """Sorted runs of the pairs of RUN places, one a bucket."""
     codec, held, size = pa.Codec("zstd"), [], 0
 
     def run() -> pa.RecordBatch:
