@@ -366,6 +366,36 @@ def test_lm_of_odd_rows(spark, odd_documents):
     assert lm.score_texts(odd_documents.limit(0).select("doc_id", "text"), model).count() == 0
 
 
+def test_pairs_are_told_by_key_and_other():
+    """Every pair of frequent and rare tokens is of one kind, comes back whole, and packed runs add up."""
+    codes = lm.Codes(np.array([-7, 10**12, 3 * 10**15]), np.array([9, 8, 7]))
+    u, w = (x.ravel() for x in np.meshgrid([0, 1, 2, -10**17, 10**18], [0, 1, 2, -10**17, 10**18]))
+    seen = []
+    for kind, place, key, other in codes.kinds(u, w):
+        assert len(place) == {lm.FREQUENT: 9, lm.HALF: 12, lm.RARE: 4}[kind]
+        x, y = lm.pair_of(kind, key, np.zeros(len(key), np.int64) if other is None else other, len(codes))
+        assert (x == u[place]).all() and (y == w[place]).all()
+        seen += place.tolist()
+        got = lm.summed(np.tile(key, 3), None if other is None else np.tile(other, 3), None)
+        assert len(got[0]) == len(key) and (got[2] == 3).all()
+        assert (lm.unpacked_keys(lm.packed_keys(got[0]), len(key)) == got[0]).all()
+    assert sorted(seen) == list(range(25))
+
+
+def test_pairs_are_packed_by_bucket(spark, monkeypatch):
+    """A row a bucket and kind, not one a pair; the number of buckets changes no score."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").select("doc_id", "text", (F.col("doc_id") < 50).alias("trained"))
+    got = []
+    for size in (lm.BUCKET, 1 << 13):
+        monkeypatch.setattr(lm, "BUCKET", size)
+        model = lm.fit(docs.where("trained"))
+        rows, pairs = model.counts.agg(F.count("*"), F.sum("n")).first()
+        assert rows <= 6 * model.n_buckets < pairs / 10
+        got.append((model.n_buckets, {r["doc_id"]: r["score"] for r in lm.score_texts(docs, model, 50, "trained").collect()}))
+    (few, one), (many, other) = got
+    assert few < many and len(one) == docs.count() and all(other[i] == pytest.approx(x, rel=1e-9) for i, x in one.items())
+
+
 def test_blocks_below_the_floor_are_skipped(monkeypatch):
     """Copies of a few texts, with terms that all share: the K nearest are exact, and most of the frequent lists is not looked at."""
     monkeypatch.setattr(toxic, "LEAD", 20)
