@@ -2,10 +2,12 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -396,6 +398,34 @@ def test_pairs_are_packed_by_bucket(spark, monkeypatch):
     assert few < many and len(one) == docs.count() and all(other[i] == pytest.approx(x, rel=1e-9) for i, x in one.items())
 
 
+def test_counting_holds_little_beyond_its_places(monkeypatch):
+    """A task that counts pairs holds a few times the places that it has gathered, and lets go of what it has sorted."""
+
+    class Frame:
+        def __getattr__(self, name):
+            return lambda *a, **k: tasks.append(a[0]) or self if name.endswith("InArrow") else self
+
+    tasks, rng = [], np.random.default_rng(3)
+    monkeypatch.setattr(lm, "RUN", 1_000_000)
+    words = np.array([f"w{i}" for i in range(2000)])
+    texts = [" ".join(words[rng.integers(0, 2000, 400)]) for _ in range(6000)]
+    codes = lm.Codes(np.array([lm.END, *map(hash_word, words)]), np.ones(2001, np.int64))
+    lm.counted(Frame(), lambda raw, bounds: codes.kinds(*codes.pairs(raw, bounds)[1:]), 50)
+    lm.tokens(*next(lm.slices_of(pa.array(texts[:1])))[2:])  # makes tables that stay
+    batches = [pa.record_batch([pa.array(texts[i : i + 500])], names=["text"]) for i in range(0, 6000, 500)]
+    tracemalloc.start()
+    total = 0
+    try:
+        for out in tasks[0](iter(batches)):
+            for r in out.to_pylist():
+                total += int(lm.unpacked(r["counts"], r["n"], np.uint32).sum())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total == 6000 * 401
+    assert peak < 40 * lm.RUN  # 8 are the places themselves
+
+
 def test_blocks_below_the_floor_are_skipped(monkeypatch):
     """Copies of a few texts, with terms that all share: the K nearest are exact, and most of the frequent lists is not looked at."""
     monkeypatch.setattr(toxic, "LEAD", 20)

@@ -32,6 +32,7 @@ are broadcast. Tokens are told by a 64-bit hash. An empty table gives an empty r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,6 +49,9 @@ BURN_IN, SAMPLES = 1, 2
 #: Places of text that a task counts at once, pairs that it asks for at once, and bytes of text that a bucket is made for.
 RUN, ASKED, BUCKET = 3_000_000, 1_000_000, 1 << 22
 BUCKETS = 8
+#: Texts that go to a task at once, bytes of them that are worked on at once, rows that a task packs at once, and bytes of packed
+#: rows that a writer holds and a reader takes at once. Two tasks share an executor with the JVM, and their processes are reused.
+TEXTS, SLICE, PACKED, GROUP = 1000, 1 << 18, 500_000, 1 << 22
 #: Kinds of packed rows: pairs by how many of their tokens are frequent, and tokens.
 FREQUENT, HALF, RARE, WORD = range(4)
 #: Frequent tokens whose sums are a row.
@@ -148,15 +152,17 @@ def unpacked_keys(data: bytes, n: int) -> np.ndarray:
 
 
 def bucket_of(key: np.ndarray, n_buckets: int) -> np.ndarray:
-    return ((mix(key.view(_U) + _STEP) >> _U(40)) % _U(n_buckets)).astype(np.int32)
+    out = np.empty(len(key), np.int32)
+    for i in range(0, len(key), SLICE):
+        out[i : i + SLICE] = (mix(key[i : i + SLICE].view(_U) + _STEP) >> _U(40)) % _U(n_buckets)
+    return out
 
 
 def by_bucket(key: np.ndarray, n_buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order of the keys by bucket that keeps theirs within it, and (bucket, first, end) in that order."""
     bucket = bucket_of(key, n_buckets)
-    order = np.argsort(bucket, kind="stable")
-    names, at = np.unique(bucket[order], return_index=True)
-    return order, list(zip(names.tolist(), at.tolist(), [*at[1:].tolist(), len(key)], strict=True))
+    ends = np.cumsum(np.bincount(bucket, minlength=n_buckets)).tolist()
+    return np.argsort(bucket, kind="stable"), [(b, i, j) for b, (i, j) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if i < j]
 
 
 def in_order(key: np.ndarray, other: np.ndarray | None) -> np.ndarray:
@@ -164,12 +170,12 @@ def in_order(key: np.ndarray, other: np.ndarray | None) -> np.ndarray:
 
 
 def summed(key: np.ndarray, other: np.ndarray | None, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
-    """Distinct (key, other) in order, with the sums of n (how many, without it)."""
+    """Distinct (key, other) in order, with the sums of n (how many, without it). A key alone is sorted where it lies."""
     if other is None and n is None:
-        key, n = np.unique(key, return_counts=True)
-        return key, None, n
-    order = in_order(key, other)
-    key, other = key[order], None if other is None else other[order]
+        key.sort()
+    else:
+        order = in_order(key, other)
+        key, other = key[order], None if other is None else other[order]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     if other is not None:
@@ -179,6 +185,13 @@ def summed(key: np.ndarray, other: np.ndarray | None, n: np.ndarray | None) -> t
     return key[at], None if other is None else other[at], sums
 
 
+def gathered(parts: list[np.ndarray]) -> np.ndarray | None:
+    """The parts in one new array. The list is emptied, so that they go."""
+    out = np.concatenate(parts) if parts else None
+    parts.clear()
+    return out
+
+
 def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
@@ -197,30 +210,34 @@ def counted(train: DataFrame, of, n_buckets: int) -> DataFrame:
     however often it occurs."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray | None]]] = {}
+        held: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
             rows = []
-            for kind, parts in held.items():
-                key, other, n = summed(np.concatenate([k for k, _ in parts]), None if parts[0][1] is None else np.concatenate([o for _, o in parts]), None)
+            for kind in list(held):
+                key, other, n = summed(*map(gathered, held.pop(kind)), None)
                 order, ends = by_bucket(key, n_buckets)
-                key, other, n = key[order], None if other is None else other[order], n[order]
-                rows += [(b, kind, j - i, packed_keys(key[i:j]), None if other is None else packed(other[i:j]), packed(n[i:j], np.uint32)) for b, i, j in ends]
-            held.clear()
+                for b, i, j in ends:
+                    own = order[i:j]
+                    rows.append((b, kind, j - i, packed_keys(key[own]), None if other is None else packed(other[own]), packed(n[own], np.uint32)))
             return batch_of(rows, _RUN)
 
         for batch in batches:
-            for _, _, raw, bounds in slices_of(batch.column(0)):
+            for _, _, raw, bounds in slices_of(batch.column(0), SLICE):
                 for kind, _, key, other in of(raw, bounds):
                     if len(key):
-                        held.setdefault(kind, []).append((key, other))
+                        keys, others = held.setdefault(kind, ([], []))
+                        keys.append(key)
+                        if other is not None:
+                            others.append(other)
                         size += len(key)
                 if size >= RUN:
                     yield flush()
                     size = 0
         if size:
             yield flush()
+        let_go()
 
     def sums(table: pa.Table) -> pa.Table:
         held: dict[int, list[tuple]] = {}
@@ -247,12 +264,37 @@ def counts_of(row: dict) -> np.ndarray:
     return unpacked(row["counts"], row["n"]) if row["counts"] else np.ones(row["n"], np.int64)
 
 
+@contextmanager
+def few_texts(spark: SparkSession) -> Iterator[None]:
+    """Jobs in it send a task at most TEXTS rows at once; the session's batch size is what it was afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(TEXTS, int(before)) if int(before) > 0 else TEXTS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def let_go() -> None:
+    """Arrow gives back what it keeps of a task's batches: the process serves other tasks."""
+    pa.default_memory_pool().release_unused()
+
+
+def in_groups(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``materialise`` for packed rows: a writer holds about GROUP bytes of them, and a reader takes as many at once."""
+    path = path or shared_dir(df.sparkSession)
+    df.write.options(**{"parquet.block.size": GROUP, "parquet.page.size.row.check.min": 8}).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], columns: list[str], of) -> Iterator[pa.RecordBatch]:
     """Packed rows one by one, as the columns that ``of`` makes of each."""
     for batch in batches:
         for k in range(batch.num_rows):
             (row,) = batch.slice(k, 1).to_pylist()
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in of(row)], names=columns)
+    let_go()
 
 
 def words_in(counts: DataFrame) -> DataFrame:
@@ -530,7 +572,7 @@ class Tables:
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         path = shared_dir(self.spark)
-        out = materialise(df, path)
+        out = in_groups(df, path)
         self.drop(name)
         self.paths[name] = path
         forget_shuffles(self.spark)
@@ -548,7 +590,8 @@ def fit(train: DataFrame, hot: int = HOT, burn_in: int = BURN_IN, samples: int =
     tables = Tables(spark)
     size = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_buckets = max(BUCKETS, -(-size // BUCKET))
-    words = tables.put("words", counted(train, _words, n_buckets))
+    with few_texts(spark):
+        words = tables.put("words", counted(train, _words, n_buckets))
     n_tokens, n_known = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     known = words_in(words)
     least = hot_count(known, hot)
@@ -560,7 +603,8 @@ def fit(train: DataFrame, hot: int = HOT, burn_in: int = BURN_IN, samples: int =
         _, u, w = shared.value.pairs(raw, bounds)
         return shared.value.kinds(u, w)
 
-    pairs = materialise(counted(train, of, n_buckets))
+    with few_texts(spark):
+        pairs = in_groups(counted(train, of, n_buckets))
     forget_shuffles(spark)
     once, twice = pairs.agg(F.coalesce(F.sum(F.when(F.col("once"), F.col("n"))), F.lit(0)), F.coalesce(F.sum("twice"), F.lit(0))).first()
     lower = Level(discount_of(once, twice))
@@ -609,7 +653,7 @@ def fit(train: DataFrame, hot: int = HOT, burn_in: int = BURN_IN, samples: int =
         kept = seated.select("k", "c", *[F.col(x).alias(f"{x}{k}") for x in ("tu", "rc", "rt")])
         table = kept if table is None else table.join(kept.drop("c"), "k")
     rare = materialise(table.unionByName(seat_unchanging(others, [draw for _, draw, _, _ in drawn])))
-    repeated, frequent = materialise(repeated.drop("t")), materialise(frequent.drop("t"))
+    repeated, frequent = in_groups(repeated.drop("t")), in_groups(frequent.drop("t"))
     tables.drop(*list(tables.paths))
     forget_shuffles(spark)
     return Model(codes, n_buckets, pairs, frequent, repeated, [x for *_, x in drawn], rare, [now for _, _, now, _ in drawn], n_tokens, n_known, lower.discount)
@@ -709,7 +753,7 @@ KNOWN_COLUMNS = RUN_COLUMNS + ", kept array<binary>"
 
 
 def packed_rows(rows: DataFrame, n_buckets: int, of) -> DataFrame:
-    """Rows of pairs or tokens packed by bucket, RUN of a task at a time; ``of`` (batch) gives kind, key, other, counts and a list of
+    """Rows of pairs or tokens packed by bucket, PACKED of a task at a time; ``of`` (batch) gives kind, key, other, counts and a list of
     columns by sample, each a list of arrays that are packed one after the other."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -729,11 +773,12 @@ def packed_rows(rows: DataFrame, n_buckets: int, of) -> DataFrame:
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
-            if size >= RUN:
+            if size >= PACKED:
                 yield flush()
                 held, size = [], 0
         if size:
             yield flush()
+        let_go()
 
     return rows.mapInArrow(pack, KNOWN_COLUMNS)
 
@@ -826,14 +871,14 @@ def score_texts(docs: DataFrame, model: Model, hot_pairs: int = HOT_PAIRS, train
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, (p, b, inv), keys, chances, repeated = shared.value
         task, counter, size, first = TaskContext.get().partitionId() << 40, 0, 0, 0
-        asked: dict[int, list[tuple]] = {}
+        asked: dict[int, tuple[list[np.ndarray], ...]] = {}
         hot_base = np.log10((codes.counts + base_of) / base_all)
         out = ["__key", *columns, "n_tokens", "__known", "__base", "__total", *_ASK.names]
 
         def flush(types: list[pa.DataType]) -> pa.RecordBatch:
             rows = []
-            for kind, parts in asked.items():
-                key, other, row = (None if x[0] is None else np.concatenate(x) for x in zip(*parts, strict=True))
+            for kind in list(asked):
+                key, other, row = map(gathered, asked.pop(kind))
                 order = np.lexsort((row, key) if other is None else (row, other, key))
                 key, row, other = key[order], row[order], None if other is None else other[order]
                 new = np.ones(len(key), bool)
@@ -845,13 +890,12 @@ def score_texts(docs: DataFrame, model: Model, hot_pairs: int = HOT_PAIRS, train
                 by, ends = by_bucket(key[at], n_buckets)
                 at, times = at[by], times[by]
                 rows += [(x, kind, j - i, packed_keys(key[at[i:j]]), None if other is None else packed(other[at[i:j]]), packed(row[at[i:j]], np.int32), packed(times[i:j], np.int32)) for x, i, j in ends]
-            asked.clear()
             batch = batch_of(rows, _ASK)
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), task + first)), *[pa.nulls(len(rows), t) for t in types], *batch.columns], names=out)
 
         for batch in batches:
             types = [*[c.type for c in batch.columns[: len(columns)]], pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            for i, j, raw, bounds in slices_of(batch.column(len(columns) + 1)):
+            for i, j, raw, bounds in slices_of(batch.column(len(columns) + 1), SLICE):
                 row, u, w = codes.pairs(raw, bounds)
                 hot = codes.is_hot(w)
                 n, n_known = np.bincount(row, minlength=j - i), np.bincount(row[hot], minlength=j - i)
@@ -872,7 +916,9 @@ def score_texts(docs: DataFrame, model: Model, hot_pairs: int = HOT_PAIRS, train
                         there[alone] = True
                         place, key = place[~there], key[~there]
                     if len(place):
-                        asked.setdefault(kind, []).append((key, other, (row[place] + (counter - first)).astype(np.int32)))
+                        for parts, x in zip(asked.setdefault(kind, ([], [], [])), (key, other, (row[place] + (counter - first)).astype(np.int32)), strict=True):
+                            if x is not None:
+                                parts.append(x)
                         size += len(place)
                 ids = pa.array(task + counter + np.arange(j - i))
                 counter += j - i
@@ -882,10 +928,12 @@ def score_texts(docs: DataFrame, model: Model, hot_pairs: int = HOT_PAIRS, train
                     size, first = 0, counter
         if size:
             yield flush(types)
+        let_go()
 
     schema = "__key bigint, " + "".join(f"`{x}` {t}, " for x, t in docs.select(*columns).dtypes) + "n_tokens bigint, __known bigint, __base double, __total double, " + ASK_COLUMNS
     told = F.coalesce(F.col(trained), F.lit(False)) if trained else F.lit(False)
-    parts = materialise(docs.select(*columns, told.alias("__trained"), "text").mapInArrow(score, schema))  # keys are fixed by writing them
+    with few_texts(spark):
+        parts = in_groups(docs.select(*columns, told.alias("__trained"), "text").mapInArrow(score, schema))  # keys are fixed by writing them
     forget_shuffles(spark)
     asked = parts.where("__bucket is not null").select("__key", *_ASK.names)
     width = -(-n_buckets // 4)
